@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyperlang, media, packing, sstable, urlcascade, wordpiece
+from . import hyperlang, licenses, media, packing, sstable, urlcascade, wordpiece
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer())
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), ["doc_id"]).withColumn("n_detections", F.size("detections").cast("long")).drop("detections")
+
+
 def op4_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.shard_digests(sstable.write_shards(documents(spark, sf_dir), tokenizer()))
 
@@ -53,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.predict(docs.select("doc_id", "text", held.alias("held_out")), prototypes).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op4_sorted_string_tables, op8_url_cascade, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op8_url_cascade, op9_token_counts, op10_language_id)}
 
 #: The parts of a url; a null url is empty.
 _URL = r"""
