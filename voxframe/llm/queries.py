@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyperlang, licenses, media, packing, sstable, urlcascade, wordpiece
+from . import hyperlang, licenses, linededup, media, ngramjoin, packing, sstable, urlcascade, wordpiece
 from .common import documents
 
 
@@ -37,6 +37,15 @@ def op4_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.shard_digests(sstable.write_shards(documents(spark, sf_dir), tokenizer()))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return linededup.dedup(docs).drop("text")
+
+
 #: Host labels that the query's block list names.
 BLOCKED_LABELS = ("spam-farm", "cheap-pills", "ththon", "ththre", "thther", "therti")
 
@@ -57,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.predict(docs.select("doc_id", "text", held.alias("held_out")), prototypes).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op8_url_cascade, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op6_ngram_jaccard, op7_line_dedup, op8_url_cascade, op9_token_counts, op10_language_id)}
 
 #: The parts of a url; a null url is empty.
 _URL = r"""
@@ -72,7 +81,19 @@ r AS (SELECT *, CASE
         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
 """
 
+#: Characters that are white space at a line's ends.
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LINES = f"""
+WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, line, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM t),
+f AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT k.doc_id, k.i, k.line, f.key IS NOT NULL AND f.last_doc <> k.doc_id AS gone FROM k LEFT JOIN f ON k.key = f.key)
+"""
+
 ORACLES = {
+    "op7_line_dedup": _LINES
+    + """SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
     "op8_url_cascade": _URL
     + """SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN regexp_matches(host, '(^|[.])("""
