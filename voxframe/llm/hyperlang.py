@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, fresh
 
 DIM = 1024
 SEED = 20
@@ -151,8 +151,15 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM
     return {r["lang"]: r["v"] for r in sorted(found, key=lambda r: r["lang"]) if any(r["v"])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "text", dim: int = DIM, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all by default) and lang_pred, score: the best cosine, not below 0."""
+def predict(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "text", dim: int = DIM, seed: int = SEED) -> DataFrame:
+    """All columns but those named so, and lang_pred and score: the best cosine, not below 0."""
+    (made,) = fresh(docs, "_guess")
+    columns = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return with_guess(docs, prototypes, made, text, dim, seed).select(*columns, f"{made}.*")
+
+
+def with_guess(docs: DataFrame, prototypes: dict[str, list[float]], made: str, text: str = "text", dim: int = DIM, seed: int = SEED) -> DataFrame:
+    """All columns and ``made``, a struct of lang_pred and score."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     names = list(prototypes)
@@ -174,5 +181,4 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "te
             out["score"] = np.where(has & some, np.clip(cos[np.arange(len(best)), best], 0, 1), 0.0)
         return out
 
-    columns = keep if keep is not None else docs.columns
-    return docs.select(*columns, guess(F.col(text).cast("string")).alias("_guess")).select(*columns, "_guess.*")
+    return docs.withColumn(made, guess(F.col(text).cast("string")))

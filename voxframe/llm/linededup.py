@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, fresh, materialize
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -247,13 +247,24 @@ def _kept(text: str | None, loses) -> tuple:
 
 
 def apply(docs: DataFrame, state: State, sent: int = SENT_DIGESTS) -> DataFrame:
-    """Columns of ``docs`` with ``text`` deduplicated, and n_lines, n_dropped, kept_sha256."""
+    """Columns of ``docs`` with ``text`` deduplicated, and n_lines, n_dropped, kept_sha256.
+
+    Columns of ``docs`` that have one of the last three names give way.
+    """
+    (made,) = fresh(docs, "_lines")
+    names = ["n_lines", "n_dropped", "kept_sha256"]
+    out = with_kept(docs, state, made, sent)
+    columns = [F.col(f"{made}.text").alias(c) if c == "text" else F.col(c) for c in docs.columns if c.lower() not in names]
+    return out.select(*columns, *[f"{made}.{n}" for n in names])
+
+
+def with_kept(docs: DataFrame, state: State, made: str, sent: int = SENT_DIGESTS) -> DataFrame:
+    """All columns of ``docs`` and ``made``, a struct of text, n_lines, n_dropped, kept_sha256."""
     spark, min_chars = docs.sparkSession, state.min_chars
     bounded_batches(spark)
     losing = state.counts.where(F.col("refs") >= state.min_docs).select("hi", "lo", "last_doc")
     names = ["text", "n_lines", "n_dropped", "kept_sha256"]
-    columns = [F.col("_l.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in names[1:]]
-    counted = [F.col(f"_l.{n}").alias(n) for n in names[1:]]
+    own_id, own_gone = fresh(docs, "_doc", "_gone")
     if losing.limit(sent + 1).count() <= sent:
         table = losing.toPandas()  # at most `sent` digests
         last = spark.sparkContext.broadcast((table["hi"].to_numpy("int64"), table["lo"].to_numpy("int64"), [None if pd.isna(x) else int(x) for x in table["last_doc"]]))
@@ -279,7 +290,7 @@ def apply(docs: DataFrame, state: State, sent: int = SENT_DIGESTS) -> DataFrame:
                 out.append(_kept(x if isinstance(x, str) else None, loses))
             return pd.DataFrame(out, columns=names)
 
-        return docs.withColumn("_l", keep(F.col("doc_id").cast("long"), F.col("text").cast("string"))).select(*columns, *counted)
+        return docs.withColumn(made, keep(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
     @F.pandas_udf(_LINES)
     def keep_rest(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -290,9 +301,9 @@ def apply(docs: DataFrame, state: State, sent: int = SENT_DIGESTS) -> DataFrame:
         return pd.DataFrame(out, columns=names)
 
     hits = postings(docs, min_chars).join(losing, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    gone = hits.select("doc_id", "hi", "lo").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_doc")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").withColumn("_l", keep_rest(F.col("text").cast("string"), "_gone")).select(*columns, *counted)
+    gone = hits.select("doc_id", "hi", "lo").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias(own_gone))
+    gone = gone.withColumnRenamed("doc_id", own_id)
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)), "left").withColumn(made, keep_rest(F.col("text").cast("string"), own_gone)).drop(own_id, own_gone)
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, sent: int = SENT_DIGESTS) -> DataFrame:

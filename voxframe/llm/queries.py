@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyperlang, licenses, linededup, media, ngramjoin, packing, sstable, urlcascade, wordpiece
+from . import decontaminate, hyperlang, licenses, linededup, media, ngramjoin, packing, sstable, urlcascade, wordpiece
 from .common import documents
 
 
@@ -37,6 +37,10 @@ def op4_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.shard_digests(sstable.write_shards(documents(spark, sf_dir), tokenizer()))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(documents(spark, sf_dir))
 
@@ -66,7 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.predict(docs.select("doc_id", "text", held.alias("held_out")), prototypes).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op6_ngram_jaccard, op7_line_dedup, op8_url_cascade, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op5_decontamination, op6_ngram_jaccard, op7_line_dedup, op8_url_cascade, op9_token_counts, op10_language_id)}
 
 #: The parts of a url; a null url is empty.
 _URL = r"""
