@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.session import plain_unions
+
 #: Rows of (long, long) that may be broadcast; about 100 MB as a hashed relation.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of one Arrow batch handed to a Python worker.
@@ -36,6 +38,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, so that a run of very long texts fits a worker."""
+    plain_unions(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
@@ -127,6 +130,7 @@ def components(links: DataFrame) -> DataFrame:
     need about log(diameter) rounds.  Each round is written to the shared folder.
     A graph without links gives no rows.
     """
+    plain_unions(links.sparkSession)
     edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     edges = materialize(edges.mapInPandas(_union_find, "a long, b long").where("a <> b").distinct(), "cc")
     last = None
