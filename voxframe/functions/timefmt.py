@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from voxframe.constants import ITEM_TIMEOUT_RTF, ITEM_TIMEOUT_SEC, QUOTA_TIGHT, RESERVE_BYTES, RESERVE_SHARE, RTF_GOOD, RTF_USABLE
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp's wall clock, in any session time zone."""
+    i = f"(cast({ts} as timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00')"
+    return F.expr(f"extract(DAYS FROM {i}) * 86400000000L + extract(HOURS FROM {i}) * 3600000000L + extract(MINUTES FROM {i}) * 60000000L + cast(extract(SECONDS FROM {i}) * 1000000 as bigint)")
+
+
 def half_up(x: Column) -> Column:
     """Rounding to the next integer, halves up."""
     return F.floor(x + F.lit(0.5))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxframe.constants import COVERAGE_SPEECH_SEC, FRAMES_PER_SEC, MAX_LABELS, MIN_WORDS_PER_SPEECH_SEC
+from voxframe.session import plain_unions
 
 WER = T.StructType([T.StructField("wer", T.DoubleType()), *[T.StructField(n, T.IntegerType()) for n in ("sub", "del", "ins", "ref_words", "hyp_words")]])
 
@@ -110,6 +111,7 @@ def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], coll
     """(keys, f0, f1, ref set, hyp set) outside the collar, and collar intervals marked ``forgiven``."""
     from voxframe.operators.intervals import elementary
 
+    plain_unions(reference.sparkSession)
     ref, hyp = _frames(reference, keys), _frames(hypothesis, keys)
     ends = ref.select(*keys, "b").unionByName(hyp.select(*keys, "b")).groupBy(*keys).agg(F.max("b").alias("_end"))
     edges = ends.select(*keys, F.explode(F.array(F.lit(0).cast("long"), F.col("_end"))).alias("f"))
