@@ -36,6 +36,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, no_id, text) for Python workers: a long column with nulls would reach them as doubles."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
+
+
+def ids_of(pdf) -> list[int | None]:
+    """The doc_id of each row of a batch of ``keyed_texts``."""
+    return [None if none else doc for doc, none in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), strict=True)]
+
+
+def longs(values):
+    """A nullable column of whole numbers, never by way of doubles."""
+    import numpy as np
+    import pandas as pd
+
+    none = np.array([v is None for v in values], bool)
+    return pd.arrays.IntegerArray(np.array([0 if v is None else v for v in values], "int64"), none)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, so that a run of very long texts fits a worker."""
     plain_unions(spark)

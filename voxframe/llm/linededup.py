@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, materialize
+from .common import bounded_batches, fresh, ids_of, keyed_texts, longs, materialize
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -146,14 +146,14 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
         for pdf in batches:
             docs_, pairs = [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, text in zip(ids_of(pdf), pdf["text"], strict=True):
                 own = {digest_of(line, min_chars) for line in (text or "").split("\n") if len(line) >= min_chars} - {None}
                 docs_ += [doc] * len(own)
                 pairs += own
             both = np.array(pairs, "int64").reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": pd.array(docs_, "Int64"), "hi": both[:, 0], "lo": both[:, 1]})
+            yield pd.DataFrame({"doc_id": longs(docs_), "hi": both[:, 0], "lo": both[:, 1]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(read, "doc_id long, hi long, lo long")
+    return keyed_texts(docs).mapInPandas(read, "doc_id long, hi long, lo long")
 
 
 def count_table(rows: DataFrame) -> DataFrame:
@@ -266,20 +266,19 @@ def with_kept(docs: DataFrame, state: State, made: str, sent: int = SENT_DIGESTS
     names = ["text", "n_lines", "n_dropped", "kept_sha256"]
     own_id, own_gone = fresh(docs, "_doc", "_gone")
     if losing.limit(sent + 1).count() <= sent:
-        table = losing.toPandas()  # at most `sent` digests
-        last = spark.sparkContext.broadcast((table["hi"].to_numpy("int64"), table["lo"].to_numpy("int64"), [None if pd.isna(x) else int(x) for x in table["last_doc"]]))
+        table = losing.select("hi", "lo", F.coalesce("last_doc", F.lit(0).cast("long")).alias("doc_id"), F.col("last_doc").isNull().alias("no_id")).toPandas()  # at most `sent` digests
+        last = spark.sparkContext.broadcast((table["hi"].to_numpy("int64"), table["lo"].to_numpy("int64"), ids_of(table)))
         tables = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in state.filters.collect()})  # 2 to 5 bytes a digest
         shards, loaded, exact = state.shards, {}, {}
 
         @F.pandas_udf(_LINES)
-        def keep(doc: pd.Series, text: pd.Series) -> pd.DataFrame:
+        def keep(doc: pd.Series, no_id: pd.Series, text: pd.Series) -> pd.DataFrame:
             if not loaded:
                 loaded.update({k: Cuckoo.load(v) for k, v in tables.value.items()})
                 hi, lo, doc_ids = last.value
                 exact.update(zip(zip(hi.tolist(), lo.tolist(), strict=True), doc_ids, strict=True))
             out = []
-            for own, x in zip(doc, text, strict=True):
-                own = None if pd.isna(own) else int(own)
+            for own, x in zip(ids_of({"doc_id": doc, "no_id": no_id}), text, strict=True):
 
                 def loses(line, own=own):
                     key = digest_of(line, min_chars) if len(line) >= min_chars else None
@@ -290,7 +289,7 @@ def with_kept(docs: DataFrame, state: State, made: str, sent: int = SENT_DIGESTS
                 out.append(_kept(x if isinstance(x, str) else None, loses))
             return pd.DataFrame(out, columns=names)
 
-        return docs.withColumn(made, keep(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+        return docs.withColumn(made, keep(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull(), F.col("text").cast("string")))
 
     @F.pandas_udf(_LINES)
     def keep_rest(text: pd.Series, gone: pd.Series) -> pd.DataFrame:

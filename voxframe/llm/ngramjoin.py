@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, components, materialize
+from .common import bounded_batches, broadcast_if_small, components, ids_of, keyed_texts, longs, materialize
 from .tokens import _Pieces
 
 N = 3
@@ -151,7 +151,7 @@ def _read(n: int, share: int):
         seen: set[int] = set()
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, text in zip(ids_of(pdf), pdf["text"], strict=True):
                 x = shingles(text, n)
                 if not len(x):
                     rows.append((doc, 0, None, None, None, None))
@@ -167,9 +167,8 @@ def _read(n: int, share: int):
                 keys = np.concatenate([signatures(x, band - 1, share) if band else np.zeros(0, "int64"), signatures(x, band, share)])
                 maps = {t & 1: parity(x, bits_of(t, share)).tobytes() for t in (band - 1, band) if t >= 0}
                 rows.append((doc, len(x), node, keys.tolist(), maps.get(0), maps.get(1)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "keys", "even", "odd"])
-            out["doc_id"], out["node"] = out["doc_id"].astype("Int64"), out["node"].astype("Int64")
-            yield out
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "keys", "even", "odd"], dtype=object)
+            yield out.assign(doc_id=longs(out["doc_id"].tolist()), node=longs(out["node"].tolist()))
 
     return read
 
@@ -361,7 +360,7 @@ def join(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = materialize(rows.mapInPandas(_read(n, share), _READ), "ngram-sets")
+    read = materialize(keyed_texts(docs).mapInPandas(_read(n, share), _READ), "ngram-sets")
     # the runs of nodes that agree on a part
     keyed = read.where("keys is not null").select(F.explode("keys").alias("key"), "node")
     runs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_runs, "run long, node long, chunk int, odd boolean").distinct()
@@ -380,7 +379,7 @@ def join(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
     held = held.withColumn("_chunks", F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") * 8 / BLOCK_BYTES), F.lit(1)).cast("int"))
     todo = near.join(held.select("component", "_chunks"), "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
     todo = todo.select("head", "node", "component", F.expr(_SPLIT).alias("blocks"))
-    texts = rows.join(broadcast_if_small(todo.withColumnRenamed("head", "doc_id")), "doc_id")
+    texts = rows.join(broadcast_if_small(todo.withColumnRenamed("head", "_head")), F.col("doc_id").eqNullSafe(F.col("_head")))
     sets = texts.mapInPandas(_sets(n), "cluster long, i int, j int, chunk int, node long, shingles binary")
     exact = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInPandas(_exact(share), "a long, b long")
     linked = components(exact)

@@ -18,9 +18,8 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, ids_of, keyed_texts, longs
 
 SEQUENCE = 2048
 SEGMENTS = 256
@@ -161,15 +160,15 @@ def _pack(tokenizer: str, end_id: int, limits: tuple):
 
         def frame():
             pdf = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "sequence_tokens", "padded_to"])
-            pdf["doc_id"] = pdf["doc_id"].astype("Int64")
+            pdf["doc_id"] = longs([r[0] for r in out])
             out.clear()
             return pdf
 
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc, text in zip(ids_of(pdf), pdf["text"], strict=True):
                 ids = enc.encode(text or "") + end
                 tokens = len(ids) // enc.width
-                held[row] = [None if pd.isna(doc) else int(doc), tokens, ids, tokens]
+                held[row] = [doc, tokens, ids, tokens]
                 place(packer.add(row, 0, tokens, tokens - 1))  # the first token of a document bears no loss
                 row += 1
             if out:
@@ -184,5 +183,4 @@ def _pack(tokenizer: str, end_id: int, limits: tuple):
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tokens: int = SEQUENCE, segments: int = SEGMENTS, loss: int = SEQUENCE) -> DataFrame:
     """Pieces of all documents placed in sequences; see SCHEMA."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_pack(tokenizer, end_id, (tokens, segments, loss)), SCHEMA)
+    return keyed_texts(docs).mapInPandas(_pack(tokenizer, end_id, (tokens, segments, loss)), SCHEMA)

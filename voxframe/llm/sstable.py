@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, offsets, scratch
+from .common import bounded_batches, ids_of, keyed_texts, longs, materialize, offsets, scratch
 
 MAGIC = b"VXS1"
 FOOTER = struct.Struct("<QQQQQHH4s")
@@ -212,7 +212,6 @@ def _writer(tokenizer: str, end_id: int, folder: str, shard_bytes: int):
     def write(batches):
         import os
 
-        import pandas as pd
         from pyarrow import fs as pfs
         from pyspark import TaskContext
 
@@ -227,8 +226,7 @@ def _writer(tokenizer: str, end_id: int, folder: str, shard_bytes: int):
         seq, out, last, repeat = 0, None, (), 0
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                doc = None if pd.isna(doc) else int(doc)
+            for doc, text in zip(ids_of(pdf), pdf["text"], strict=True):
                 repeat = repeat + 1 if last == (doc,) else 0
                 last = (doc,)
                 if out is None:
@@ -244,15 +242,22 @@ def _writer(tokenizer: str, end_id: int, folder: str, shard_bytes: int):
                     rows.append((f"{folder}/{name}", part, seq, *first, n, tokens, size))
                     out, seq = None, seq + 1
             if rows:
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+                yield _manifest(rows)
         if out is not None:
             n, size = out.n, out.close()
             stream.close()
-            yield pd.DataFrame([(f"{folder}/{name}", part, seq, *first, n, tokens, size)], columns=_COLUMNS)
+            yield _manifest([(f"{folder}/{name}", part, seq, *first, n, tokens, size)])
 
     return write
 
 
+def _manifest(rows: list[tuple]):
+    import pandas as pd
+
+    out = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
+    return out.assign(first_doc=longs(out["first_doc"].tolist()))
+
+
 _COLUMNS = ["path", "part", "seq", "first_doc", "first_repeat", "n_docs", "n_tokens", "n_bytes"]
 _MANIFEST = "path string, part long, seq long, first_doc long, first_repeat long, n_docs long, n_tokens long, n_bytes long"
 
@@ -265,14 +270,20 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes:
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = scratch(spark, "sst")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    rows = keyed_texts(docs).withColumn("some_id", ~F.col("no_id"))  # null ids come first
+    ranged = rows.repartitionByRange("some_id", "doc_id").sortWithinPartitions("some_id", "doc_id", F.xxhash64("text"), "text")
     manifest = materialize(ranged.mapInPandas(_writer(tokenizer, end_id, folder, shard_bytes), _MANIFEST), "sst-manifest")
     return materialize(offsets(manifest, ["part", "seq"], "n_tokens", "start", buckets=64), "sst-manifest")
 
 
-def _read(batches):
+def _documents(rows: list[tuple]):
     import pandas as pd
+
+    docs, *rest = zip(*rows, strict=True)
+    return pd.DataFrame({"doc_id": longs(docs)} | dict(zip(("start", "n_tokens", "width", "ids"), map(list, rest), strict=True)))
+
+
+def _read(batches):
     import pyarrow.fs as pfs
 
     for pdf in batches:
@@ -286,22 +297,19 @@ def _read(batches):
                     rows.append((doc_of(key), at, n, reader.width, value))
                     at, held = at + n, held + len(value)
                     if held > 8 << 20:
-                        yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "width", "ids"])
+                        yield _documents(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "width", "ids"])
+                    yield _documents(rows)
 
 
 def _digests(batches):
     """The same scan, reduced to a digest of each document's ids before it leaves the worker."""
     import numpy as np
-    import pandas as pd
 
     for pdf in _read(batches):
         crc = [zlib.crc32(np.frombuffer(v, f"<u{w}").astype("<u4").tobytes()) for v, w in zip(pdf["ids"], pdf["width"], strict=True)]
-        out = pdf[["doc_id", "start", "n_tokens"]].copy()
-        out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in pdf["doc_id"]], dtype="Int64")
-        yield out.assign(ids_crc32=np.array(crc, "int64"))
+        yield pdf[["doc_id", "start", "n_tokens"]].assign(ids_crc32=np.array(crc, "int64"))
 
 
 def _spread(manifest: DataFrame) -> DataFrame:
@@ -324,8 +332,6 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
 
     The keys' range join goes by the manifest's bounds; a key that no shard holds gives no row.
     """
-    import pyspark.sql.types as T  # noqa: F401
-
     shards = manifest.select("path", F.col("first_doc"), F.lead("first_doc").over(_by_part()).alias("next_doc"))
     asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     hits = asked.join(F.broadcast(shards), (F.coalesce("first_doc", F.lit(-(1 << 63))) <= F.col("doc_id")) & (F.col("next_doc").isNull() | (F.col("doc_id") <= F.col("next_doc"))))

@@ -17,9 +17,8 @@ from __future__ import annotations
 from collections import deque
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, ids_of, keyed_texts, longs
 from .tokens import _byte_letters, _Pieces
 
 
@@ -101,7 +100,7 @@ def _count(path: str):
         counts = counter(path).__getitem__
         for pdf in batches:
             words = [(x or "").split() for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": [len(w) for w in words], "n_pieces": [sum(map(counts, w)) for w in words]})
+            yield pd.DataFrame({"doc_id": longs(ids_of(pdf)), "n_words": [len(w) for w in words], "n_pieces": [sum(map(counts, w)) for w in words]})
 
     return count
 
@@ -109,5 +108,4 @@ def _count(path: str):
 def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_words, n_pieces) for the vocabulary file at the path ``vocabulary``."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_count(vocabulary), "doc_id long, n_words long, n_pieces long")
+    return keyed_texts(docs).mapInPandas(_count(vocabulary), "doc_id long, n_words long, n_pieces long")
