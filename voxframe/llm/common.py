@@ -18,7 +18,7 @@ from voxframe.session import plain_unions
 #: Rows of (long, long) that may be broadcast; about 100 MB as a hashed relation.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of one Arrow batch handed to a Python worker.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -61,6 +61,30 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+_held: dict[str, object] = {}
+
+
+def claim(name: str, release) -> None:
+    """Called in a Python worker by the operator that is about to fill its cache.
+
+    Workers outlive stages; what other operators keep in this one is released first, and
+    the freed pages are given back, so that caches of successive stages do not add up.
+    """
+    others = [k for k in _held if k != name]
+    for k in others:
+        _held.pop(k)()
+    _held[name] = release
+    if others:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as a URI; only where none is set, a local one (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -21,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh
+from .common import bounded_batches, claim, fresh
 
 DIM = 1024
 SEED = 20
 #: Letters of text encoded together, and trigrams multiplied together.
-CHUNK_LETTERS, CHUNK_GRAMS = 400_000, 4096
+CHUNK_LETTERS, CHUNK_GRAMS = 200_000, 2048
 #: Languages that prototypes may have, as these go to every task.
 MAX_LANGUAGES = 2000
 
@@ -84,7 +84,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             first, held, all_codes, owners = at, 0, [], []
-            while at < len(texts) and held < CHUNK_LETTERS and at - first < 256:
+            while at < len(texts) and held < CHUNK_LETTERS and at - first < 128:
                 codes = self.codes(texts[at] or "")
                 all_codes.append(codes)
                 owners.append(np.full(len(codes), at - first))
@@ -107,6 +107,7 @@ _made: dict[tuple, Encoder] = {}
 
 
 def encoder(dim: int, seed: int) -> Encoder:
+    claim("letters", _made.clear)
     if (dim, seed) not in _made:
         _made[dim, seed] = Encoder(dim, seed)
     return _made[dim, seed]

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, components, ids_of, keyed_texts, longs, materialize
+from .common import bounded_batches, broadcast_if_small, claim, components, ids_of, keyed_texts, longs, materialize
 from .tokens import _Pieces
 
 N = 3
@@ -87,6 +87,13 @@ def _mix(x):
 
 
 _words: _Pieces | None = None
+#: Signatures and rows in a batch that leaves a worker.
+OUT_KEYS, OUT_ROWS = 100_000, 1000
+
+
+def _forget() -> None:
+    global _words
+    _words = None
 
 
 def shingles(text: str | None, n: int = N):
@@ -96,7 +103,8 @@ def shingles(text: str | None, n: int = N):
 
     global _words
     if _words is None:
-        _words = _Pieces(xxhash.xxh3_64_intdigest, 300_000)
+        _words = _Pieces(xxhash.xxh3_64_intdigest, 100_000)
+        claim("words", _forget)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, "uint64")
@@ -149,8 +157,16 @@ def _read(n: int, share: int):
         import numpy as np
 
         seen: set[int] = set()
+        rows: list[tuple] = []
+        held = 0
+
+        def frame():
+            nonlocal rows, held
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "keys", "even", "odd"], dtype=object)
+            rows, held = [], 0
+            return out.assign(doc_id=longs(out["doc_id"].tolist()), node=longs(out["node"].tolist()))
+
         for pdf in batches:
-            rows = []
             for doc, text in zip(ids_of(pdf), pdf["text"], strict=True):
                 x = shingles(text, n)
                 if not len(x):
@@ -160,15 +176,18 @@ def _read(n: int, share: int):
                 if node in seen:
                     rows.append((doc, len(x), node, None, None, None))
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(node)
                 band = band_of(len(x), share)
                 keys = np.concatenate([signatures(x, band - 1, share) if band else np.zeros(0, "int64"), signatures(x, band, share)])
                 maps = {t & 1: parity(x, bits_of(t, share)).tobytes() for t in (band - 1, band) if t >= 0}
-                rows.append((doc, len(x), node, keys.tolist(), maps.get(0), maps.get(1)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "keys", "even", "odd"], dtype=object)
-            yield out.assign(doc_id=longs(out["doc_id"].tolist()), node=longs(out["node"].tolist()))
+                rows.append((doc, len(x), node, keys, maps.get(0), maps.get(1)))
+                held += len(keys)
+                if held > OUT_KEYS or len(rows) >= OUT_ROWS:
+                    yield frame()
+        if rows:
+            yield frame()
 
     return read
 
@@ -190,7 +209,7 @@ def _runs(batches):
                 run = _one(own.view("uint64"), key & 1)
                 if run in sent:
                     return None
-                if len(sent) > 300_000:
+                if len(sent) > 100_000:
                     sent.clear()
                 sent.add(run)
             return pd.DataFrame({"run": run, "node": own, "chunk": chunk, "odd": bool(key & 1)})

@@ -12,6 +12,8 @@ import re
 import unicodedata
 from array import array
 
+from .common import claim
+
 #: White space other than a space and a newline.
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 #: Letters and digits below U+0250, where Unicode's versions agree.
@@ -96,6 +98,7 @@ _open: dict[str, Codec] = {}
 
 def codec(path: str) -> Codec:
     """One codec for each worker process; its cache serves all tasks of that worker."""
+    claim("codec", _open.clear)
     if path not in _open:
         _open[path] = Codec(path)
     return _open[path]

@@ -18,7 +18,7 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, ids_of, keyed_texts, longs
+from .common import bounded_batches, claim, ids_of, keyed_texts, longs
 from .tokens import _byte_letters, _Pieces
 
 
@@ -87,6 +87,7 @@ _open: dict[str, _Pieces] = {}
 
 
 def counter(path: str) -> _Pieces:
+    claim("pieces", _open.clear)
     if path not in _open:
         automaton = Automaton(byte_pieces(path))
         _open[path] = _Pieces(lambda w: automaton.count(b" " + w.encode("utf-8", "surrogatepass")), 400_000)
