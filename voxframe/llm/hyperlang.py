@@ -135,7 +135,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM
             for name in set(langs):
                 sums[name] = sums.get(name, np.zeros(dim)) + vectors[langs == name].sum(0)
         part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"lang": list(sums), "salt": part % 64, "part": part, "v": [x.tolist() for x in sums.values()]}, columns=["lang", "salt", "part", "v"])
+        if sums:  # an empty frame has no type for vectors
+            yield pd.DataFrame({"lang": list(sums), "salt": part % 64, "part": part, "v": [x.tolist() for x in sums.values()]}, columns=["lang", "salt", "part", "v"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
