@@ -130,9 +130,9 @@ def test_shards(spark, odd, none, bpe, own):
     assert sstable.shard_digests(sstable.write_shards(none, bpe)).count() == 0
 
 
-def greedy(word, pieces):
+def greedy(word, pieces, longest=None):
     n = at = 0
-    longest = max(map(len, pieces))
+    longest = longest or max(map(len, pieces))
     while at < len(word):
         step = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces), None)
         if step is None:
@@ -149,10 +149,11 @@ def test_automaton_equals_greedy_matching(pieces, word):
 
 def test_piece_counts(spark, odd, none, bpe):
     pieces = set(wordpiece.byte_pieces(bpe))
+    longest = max(map(len, pieces))
     got = {(r.doc_id, r.n_words, r.n_pieces) for r in wordpiece.count_pieces(odd, bpe).collect()}
     want = set()
     for r in odd.collect():
         words = (r.text or "").split()
-        want.add((r.doc_id, len(words), sum(greedy(b" " + w.encode(), pieces) for w in words)))
+        want.add((r.doc_id, len(words), sum(greedy(b" " + w.encode(), pieces, longest) for w in words)))
     assert got == want
     assert wordpiece.count_pieces(none, bpe).count() == 0
