@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+def prefer(spark: SparkSession, key: str, value: str) -> None:
+    """Set what the session does not set itself; a setting of the caller's stays."""
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, value)
+
+
 def plain_unions(spark: SparkSession) -> None:
     """Let no exchange be left out above a union.
 
@@ -12,4 +18,4 @@ def plain_unions(spark: SparkSession) -> None:
     adaptive execution their partitions can be coalesced differently; joins on top then
     miss rows.  The setting is unknown to earlier versions, which do not have the rule.
     """
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    prefer(spark, "spark.sql.unionOutputPartitioning", "false")
