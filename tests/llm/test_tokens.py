@@ -15,7 +15,7 @@ from voxframe.llm.tokens import Codec, _Pieces
 
 @pytest.fixture(scope="module")
 def own(bpe):
-    return Codec(bpe, cap=50)
+    return Codec(bpe, most=20_000)
 
 
 def library(codec, text):
@@ -37,10 +37,13 @@ def test_ids_equal_the_library_on_any_text(own, text):
 
 
 def test_cache_is_bounded():
-    made = _Pieces(len, 10)
+    import sys
+
+    made = _Pieces(len, 4000)
     for i in range(1000):
         assert made[str(i)] == len(str(i))
-        assert len(made) <= 10 and len(made.old) <= 10
+        assert sum(sys.getsizeof(k) + 100 for k in [*made, *made.old]) <= 4000
+    assert made["x" * 5000] == 5000 and "x" * 5000 not in made
 
 
 @pytest.mark.parametrize("limits", [(64, 256, 64), (64, 3, 64), (64, 8, 20)])

@@ -17,16 +17,20 @@ language in order; repeated rows count each; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, claim, fresh
+from .common import bounded_batches, claim, fresh, give_back
 
 DIM = 1024
 SEED = 20
 #: Letters of text encoded together, and trigrams multiplied together.
 CHUNK_LETTERS, CHUNK_GRAMS = 200_000, 2048
+#: Texts whose vectors are held together.
+SLICE = 512
 #: Languages that prototypes may have, as these go to every task.
 MAX_LANGUAGES = 2000
 
@@ -130,13 +134,15 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM
 
         enc, sums = encoder(dim, seed), {}
         for pdf in batches:
-            vectors = _unit(enc.encode(pdf["text"].tolist()))
-            langs = pdf["lang"].to_numpy()
-            for name in set(langs):
-                sums[name] = sums.get(name, np.zeros(dim)) + vectors[langs == name].sum(0)
+            for low in range(0, len(pdf), SLICE):
+                own = pdf.iloc[low : low + SLICE]
+                vectors, langs = _unit(enc.encode(own["text"].tolist())), own["lang"].to_numpy()
+                for name in set(langs):
+                    sums[name] = sums.get(name, np.zeros(dim)) + vectors[langs == name].sum(0)
         part = TaskContext.get().partitionId()
         if sums:  # an empty frame has no type for vectors
             yield pd.DataFrame({"lang": list(sums), "salt": part % 64, "part": part, "v": [x.tolist() for x in sums.values()]}, columns=["lang", "salt", "part", "v"])
+        give_back()
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -167,20 +173,24 @@ def with_guess(docs: DataFrame, prototypes: dict[str, list[float]], made: str, t
     names = list(prototypes)
     shared = spark.sparkContext.broadcast([prototypes[n] for n in names])  # one vector a language
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def guess(col: pd.Series) -> pd.DataFrame:
+    def best_of(texts: list) -> pd.DataFrame:
         import numpy as np
 
-        out = pd.DataFrame({"lang_pred": ["und"] * len(col), "score": 0.0})
-        if names and len(col):
-            protos = _unit(np.array(shared.value))
-            vectors = encoder(dim, seed).encode([x if isinstance(x, str) else None for x in col])
-            cos = _unit(vectors) @ protos.T
-            best = cos.argmax(1)
-            some = (vectors != 0).any(1)
-            has = np.array([isinstance(x, str) and any(map(str.isalpha, x)) for x in col])
+        out = pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0})
+        if names and texts:
+            vectors = encoder(dim, seed).encode(texts)
+            cos = _unit(vectors) @ _unit(np.array(shared.value)).T
+            best, some = cos.argmax(1), (vectors != 0).any(1)
+            has = np.array([x is not None and any(map(str.isalpha, x)) for x in texts])
             out["lang_pred"] = np.where(has, np.array(names, object)[best], "und")
             out["score"] = np.where(has & some, np.clip(cos[np.arange(len(best)), best], 0, 1), 0.0)
         return out
 
+    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for col in batches:
+            texts = [x if isinstance(x, str) else None for x in col]
+            yield pd.concat([best_of(texts[low : low + SLICE]) for low in range(0, max(len(texts), 1), SLICE)], ignore_index=True)
+        give_back()
+
     return docs.withColumn(made, guess(F.col(text).cast("string")))

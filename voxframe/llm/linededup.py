@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, ids_of, keyed_texts, longs, materialize
+from .common import bounded_batches, fresh, ids_of, keyed_texts, longs, materialize, tidy
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -153,7 +153,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             both = np.array(pairs, "int64").reshape(-1, 2)
             yield pd.DataFrame({"doc_id": longs(docs_), "hi": both[:, 0], "lo": both[:, 1]})
 
-    return keyed_texts(docs).mapInPandas(read, "doc_id long, hi long, lo long")
+    return keyed_texts(docs).mapInPandas(tidy(read), "doc_id long, hi long, lo long")
 
 
 def count_table(rows: DataFrame) -> DataFrame:

@@ -10,9 +10,14 @@ the part's hashes).
 1. Documents with one set are one node, which is emitted once a task.
 2. Nodes that meet form runs; runs with the same members are kept once.  A run over
    BLOCK nodes is cut into chunks, and each pair of chunks is a block of its own.
+   Signatures that very many nodes share are found by a look at one node in 64 and
+   are dealt by node, not by signature, so that none of them fills a task; a
+   signature that the look misses takes the common way, to the same result.
 3. In a block, hashed parity bitmaps are compared: the bits in which two bitmaps
-   differ bound the symmetric difference from below, so the overlap from above.  Of
-   the pairs that the bound lets pass, a spanning forest is handed on, never all pairs.
+   differ bound the symmetric difference from below, so the overlap from above.  A
+   search over the pairs that the bound lets pass compares a node only with those not
+   reached yet, so a family of near copies takes about one step a node; a spanning
+   forest is handed on, never all pairs.
 4. Components of these forests are clusters, outside of which no link exists.  In each
    cluster (in blocks again if it is large) pairs that pass the bound and are not yet
    connected are settled by exact intersection of sorted arrays.
@@ -34,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, claim, components, ids_of, keyed_texts, longs, materialize
+from .common import bounded_batches, broadcast_if_small, claim, components, discard, ids_of, keyed_texts, longs, materialize, tidy
 from .tokens import _Pieces
 
 N = 3
@@ -43,6 +48,8 @@ SHARE = 90
 BLOCK = 4096
 BLOCK_BYTES = 48 << 20
 LEAST_BITS, MOST_BITS = 64, 8192
+#: One node in LOOK is looked at for signatures of BLOCK nodes or more.
+LOOK = 64
 
 
 @lru_cache(maxsize=64)
@@ -86,6 +93,8 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of the cache of word hashes in a worker.
+WORD_BYTES = 24 << 20
 _words: _Pieces | None = None
 #: Signatures and rows in a batch that leaves a worker.
 OUT_KEYS, OUT_ROWS = 100_000, 1000
@@ -103,7 +112,7 @@ def shingles(text: str | None, n: int = N):
 
     global _words
     if _words is None:
-        _words = _Pieces(xxhash.xxh3_64_intdigest, 100_000)
+        _words = _Pieces(xxhash.xxh3_64_intdigest, WORD_BYTES)
         claim("words", _forget)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -251,33 +260,34 @@ def forest(sizes, maps, side, share: int, verify=None):
     """Index pairs of a spanning forest of the pairs that the bitmap bound lets pass.
 
     ``side`` is None to compare all, or a mask: only pairs across it are compared.
-    ``verify(i, j)`` settles a pair exactly; pairs already connected are not tried.
+    ``verify(i, j)`` settles a pair exactly.  Each node in turn is compared with the nodes
+    that no tree has reached yet, so every pair is compared or already connected.
     """
     import numpy as np
 
-    m = len(sizes)
-    label = np.arange(m)
-    words = np.ascontiguousarray(maps).view("uint64")
+    rest, words = np.arange(len(sizes)), np.ascontiguousarray(maps).view("uint64")
+    bits, size, across = words, sizes, side
     out = []
-    for i in range(m - 1):
-        rest = slice(i + 1, m)
-        apart = np.bitwise_count(words[rest] ^ words[i]).sum(1, dtype="int64")
-        both = sizes[rest] + sizes[i]
-        ok = (apart * (100 + share) <= both * (100 - share)) & (np.minimum(sizes[rest], sizes[i]) * 100 >= np.maximum(sizes[rest], sizes[i]) * share)
-        if side is not None:
-            ok &= side[rest] != side[i]
-        near = np.flatnonzero(ok & (label[rest] != label[i]))
-        if not len(near):
-            continue
-        if verify is None:
-            _, first = np.unique(label[i + 1 + near], return_index=True)
-            near = near[first]
-        else:
-            near = near[np.argsort(apart[near], kind="stable")]
-        for j in (near + i + 1).tolist():
-            if label[j] != label[i] and (verify is None or verify(i, j)):
-                out.append((i, j))
-                label[label == label[j]] = label[i]
+    while len(rest):
+        queue, rest, bits, size = [int(rest[0])], rest[1:], bits[1:], size[1:]
+        across = None if side is None else across[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            apart = np.bitwise_count(bits ^ words[i]).sum(1, dtype="int64")
+            ok = (apart * (100 + share) <= (size + sizes[i]) * (100 - share)) & (np.minimum(size, sizes[i]) * 100 >= np.maximum(size, sizes[i]) * share)
+            if side is not None:
+                ok &= across != side[i]
+            at = np.flatnonzero(ok)
+            if verify is not None:
+                at = np.array([k for k in at[np.argsort(apart[at], kind="stable")].tolist() if verify(i, int(rest[k]))], "int64")
+            if len(at):
+                near = rest[at].tolist()
+                out += [(i, j) for j in near]
+                queue += near
+                left = np.ones(len(rest), bool)
+                left[at] = False
+                rest, bits, size = rest[left], bits[left], size[left]
+                across = None if side is None else across[left]
     return out
 
 
@@ -374,34 +384,52 @@ def _exact(share: int):
 _SPLIT = "filter(transform(sequence(0, _chunks - 1), x -> named_struct('i', least(x, chunk), 'j', greatest(x, chunk), 'chunk', chunk)), x -> true)"
 
 
+def _hot_runs(read: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(keyed without signatures of very many nodes, the runs of those): dealt by node, one of equal runs kept."""
+    look = read.where(F.pmod(F.xxhash64("node"), F.lit(LOOK)) == 0).select("node", "keys").dropDuplicates(["node"])
+    seen = look.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * LOOK >= BLOCK)
+    seen = materialize(seen.select("key"), "ngram-hot")
+    if not seen.limit(1).count():
+        discard(seen)
+        return keyed, None
+    rows = materialize(keyed.join(broadcast_if_small(seen), "key").distinct(), "ngram-hot")
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+    kept = sums.groupBy("n", "s", F.col("key").bitwiseAND(F.lit(1)).alias("odd")).agg(F.min("key").alias("key"))
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    hot = rows.join(broadcast_if_small(kept.select("key", "n", "odd")), "key").select(F.col("key").alias("run"), "node", chunk.alias("chunk"), (F.col("odd") == 1).alias("odd"))
+    return keyed.join(broadcast_if_small(seen), "key", "left_anti"), hot
+
+
 def join(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id); 100 * |both| >= share * |union| links two documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = materialize(keyed_texts(docs).mapInPandas(_read(n, share), _READ), "ngram-sets")
+    read = materialize(keyed_texts(docs).mapInPandas(tidy(_read(n, share)), _READ), "ngram-sets")
     # the runs of nodes that agree on a part
-    keyed = read.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    runs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_runs, "run long, node long, chunk int, odd boolean").distinct()
-    runs = materialize(runs, "ngram-runs")
-    info = read.where("keys is not null").select("node", "n_shingles", F.col("even").alias("even_map"), F.col("odd").alias("odd_map")).dropDuplicates(["node"])
+    some = read.where("keys is not null")
+    keyed, hot = _hot_runs(some, some.select(F.explode("keys").alias("key"), "node"))
+    runs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(tidy(_runs), "run long, node long, chunk int, odd boolean").distinct()
+    runs = materialize(runs if hot is None else runs.unionByName(hot), "ngram-runs")
+    info = some.select("node", "n_shingles", F.col("even").alias("even_map"), F.col("odd").alias("odd_map")).dropDuplicates(["node"])
     large = runs.where("chunk > 0").groupBy("run").agg((F.max("chunk") + 1).alias("_chunks"))
     blocks = runs.join(broadcast_if_small(large), "run", "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
     blocks = blocks.withColumn("_b", F.explode(F.expr(_SPLIT))).select("run", "node", "chunk", "odd", "_b.i", "_b.j")
     met = blocks.join(info, "node").repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "node")
-    maybe = components(met.mapInPandas(_bounded(share), "a long, b long"))
+    maybe = components(met, _bounded(share))
+    discard(runs)
     # exact links inside the clusters
-    heads = read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("head"), F.min("n_shingles").alias("n_shingles"))
-    heads = materialize(heads, "ngram-nodes")
+    heads = materialize(read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("head"), F.min("n_shingles").alias("n_shingles")), "ngram-nodes")
     near = materialize(heads.join(maybe, "node"), "ngram-clusters")
+    discard(maybe)
     held = near.groupBy("component").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
     held = held.withColumn("_chunks", F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") * 8 / BLOCK_BYTES), F.lit(1)).cast("int"))
     todo = near.join(held.select("component", "_chunks"), "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
     todo = todo.select("head", "node", "component", F.expr(_SPLIT).alias("blocks"))
     texts = rows.join(broadcast_if_small(todo.withColumnRenamed("head", "_head")), F.col("doc_id").eqNullSafe(F.col("_head")))
-    sets = texts.mapInPandas(_sets(n), "cluster long, i int, j int, chunk int, node long, shingles binary")
-    exact = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInPandas(_exact(share), "a long, b long")
-    linked = components(exact)
+    sets = texts.mapInPandas(tidy(_sets(n)), "cluster long, i int, j int, chunk int, node long, shingles binary")
+    linked = components(sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node"), _exact(share))
+    discard(near)
     # the least doc_id of each component
     classes = heads.join(linked, "node", "left").select("node", "head", F.coalesce("component", "node").alias("component"))
     least = classes.groupBy("component").agg(F.min("head").alias("component_id"))

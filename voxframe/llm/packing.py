@@ -19,7 +19,7 @@ import zlib
 
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, ids_of, keyed_texts, longs
+from .common import bounded_batches, ids_of, keyed_texts, longs, tidy
 
 SEQUENCE = 2048
 SEGMENTS = 256
@@ -183,4 +183,4 @@ def _pack(tokenizer: str, end_id: int, limits: tuple):
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tokens: int = SEQUENCE, segments: int = SEGMENTS, loss: int = SEQUENCE) -> DataFrame:
     """Pieces of all documents placed in sequences; see SCHEMA."""
     bounded_batches(docs.sparkSession)
-    return keyed_texts(docs).mapInPandas(_pack(tokenizer, end_id, (tokens, segments, loss)), SCHEMA)
+    return keyed_texts(docs).mapInPandas(tidy(_pack(tokenizer, end_id, (tokens, segments, loss))), SCHEMA)

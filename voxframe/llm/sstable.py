@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ids_of, keyed_texts, longs, materialize, offsets, scratch
+from .common import bounded_batches, ids_of, keyed_texts, longs, materialize, offsets, scratch, tidy
 
 MAGIC = b"VXS1"
 FOOTER = struct.Struct("<QQQQQHH4s")
@@ -272,7 +272,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes:
     folder = scratch(spark, "sst")
     rows = keyed_texts(docs).withColumn("some_id", ~F.col("no_id"))  # null ids come first
     ranged = rows.repartitionByRange("some_id", "doc_id").sortWithinPartitions("some_id", "doc_id", F.xxhash64("text"), "text")
-    manifest = materialize(ranged.mapInPandas(_writer(tokenizer, end_id, folder, shard_bytes), _MANIFEST), "sst-manifest")
+    manifest = materialize(ranged.mapInPandas(tidy(_writer(tokenizer, end_id, folder, shard_bytes)), _MANIFEST), "sst-manifest")
     return materialize(offsets(manifest, ["part", "seq"], "n_tokens", "start", buckets=64), "sst-manifest")
 
 

@@ -9,6 +9,7 @@ other white space, or with runs of it, go to the library whole.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from array import array
 
@@ -34,27 +35,35 @@ def _byte_letters() -> list[str]:
 _BYTES = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
 
 
+#: Bytes of a codec's caches in a worker process.
+CACHE_BYTES = 56 << 20
+
+
 class _Pieces(dict):
-    """Piece -> ids as bytes.  Holds at most two generations of ``cap`` pieces."""
+    """Piece -> what ``encode`` gives for it.  Two generations, of about ``most`` bytes together."""
 
-    def __init__(self, encode, cap: int):
-        self.encode, self.cap, self.old = encode, cap, {}
+    def __init__(self, encode, most: int):
+        self.encode, self.most, self.old, self.held = encode, most // 2, {}, 0
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.cap:
+    def __missing__(self, piece: str):
+        value = self.old.get(piece)
+        if value is None:
+            value = self.encode(piece)
+        size = sys.getsizeof(piece) + sys.getsizeof(value) + 100  # and a slot of the dictionary
+        if self.held + size > self.most:
             self.old = dict(self)
             self.clear()
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        self[piece] = ids
-        return ids
+            self.held = 0
+        if size <= self.most:
+            self[piece] = value
+            self.held += size
+        return value
 
 
 class Codec:
     """``encode(text)`` gives the library's ids as little-endian bytes of ``width`` bytes each."""
 
-    def __init__(self, path: str, cap: int = 300_000):
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -62,9 +71,9 @@ class Codec:
         self.code, self.dtype = ("H", "<u2") if self.tok.get_vocab_size() <= 1 << 16 else ("I", "<u4")
         self.width = array(self.code).itemsize
         self.model = self.tok.model
-        self.words = _Pieces(lambda w: self._piece(" " + w), cap)
-        self.firsts = _Pieces(self._piece, cap // 4)
-        self.pre = _Pieces(self._pre, cap // 2)
+        self.words = _Pieces(lambda w: self._piece(" " + w), most * 5 // 8)
+        self.firsts = _Pieces(self._piece, most // 8)
+        self.pre = _Pieces(self._pre, most // 4)
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:

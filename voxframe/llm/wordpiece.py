@@ -18,8 +18,8 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, claim, ids_of, keyed_texts, longs
-from .tokens import _byte_letters, _Pieces
+from .common import bounded_batches, claim, ids_of, keyed_texts, longs, tidy
+from .tokens import CACHE_BYTES, _byte_letters, _Pieces
 
 
 class Automaton:
@@ -90,7 +90,7 @@ def counter(path: str) -> _Pieces:
     claim("pieces", _open.clear)
     if path not in _open:
         automaton = Automaton(byte_pieces(path))
-        _open[path] = _Pieces(lambda w: automaton.count(b" " + w.encode("utf-8", "surrogatepass")), 400_000)
+        _open[path] = _Pieces(lambda w: automaton.count(b" " + w.encode("utf-8", "surrogatepass")), CACHE_BYTES)
     return _open[path]
 
 
@@ -109,4 +109,4 @@ def _count(path: str):
 def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_words, n_pieces) for the vocabulary file at the path ``vocabulary``."""
     bounded_batches(docs.sparkSession)
-    return keyed_texts(docs).mapInPandas(_count(vocabulary), "doc_id long, n_words long, n_pieces long")
+    return keyed_texts(docs).mapInPandas(tidy(_count(vocabulary)), "doc_id long, n_words long, n_pieces long")
