@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.llm import decontaminate, hyperlang, linededup, ngramjoin, packing
-from voxframe.llm.common import broadcast_if_small, fresh, materialize
+from voxframe.llm.common import broadcast_if_small, fresh, materialize, settle
 from voxframe.llm.queries import tokenizer
 
 #: Cosine under which a text is in none of the known languages; unrelated texts have about 0.03.
@@ -64,5 +64,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = settle(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
