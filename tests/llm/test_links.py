@@ -63,12 +63,13 @@ def rows_of(df):
     return [(r.doc_id, r.text) for r in df.collect()]
 
 
-@pytest.mark.parametrize("sent", [1000, 0])
-def test_lines_on_odd_rows(spark, odd, none, sent):
-    out = linededup.dedup(odd, sent=sent)
+@pytest.mark.parametrize("keys", [1, 100])
+def test_lines_on_odd_rows(spark, monkeypatch, odd, none, keys):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", keys)
+    out = linededup.dedup(odd)
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()), key=repr) == brute_lines(rows_of(odd))
     assert {"source", "_doc", "_guess", "lang_pred"} <= set(out.columns) and out.where("_doc = 'clash'").count() > 0
-    assert linededup.dedup(none, sent=sent).count() == 0
+    assert linededup.dedup(none).count() == 0
 
 
 def state_of(state):
@@ -102,9 +103,23 @@ def test_cuckoo_filter():
     assert sum(k in made for k in other) < 25
     assert all(made.delete(*k) for k in keys[:2500])
     assert all(k in made for k in keys[2500:])
+    for some in (keys, other):
+        hi, lo = np.array(some, "int64").T
+        assert made.among(np.ascontiguousarray(hi), np.ascontiguousarray(lo)).tolist() == [k in made for k in some]
     assert sum(k in made for k in keys[:2500]) < 25
 
 
+def test_filters_decide_before_counts(spark, monkeypatch):
+    """Lines whose shard's filter does not hold them never meet the counts, and a hot line is dealt over salts."""
+    rows = [(d, "the very same line of every single document here\nown line number %d with enough characters in it" % d) for d in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    state = linededup.build(docs)
+    gone = linededup.losing_lines(state.postings, state).collect()
+    assert len(gone) == 299 and {r.doc_id for r in gone} == set(range(299)) and len({(r.hi, r.lo) for r in gone}) == 1
+    bare = linededup.State(state.postings, state.counts, state.filters.limit(0), state.shards)
+    assert linededup.losing_lines(state.postings, bare).count() == 0
+
+
 # ---- joins ----
 
 
@@ -188,6 +203,35 @@ def test_large_runs_in_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, ngramjoin.join(docs).collect()), key=repr) == want
 
 
+def test_hot_signatures_give_the_same(spark, monkeypatch):
+    """Signatures of many nodes, dealt by node: chunks by hash, equal runs once."""
+    monkeypatch.setattr(ngramjoin, "LOOK", 1)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 5)
+    rows = near_copies(11, 90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngramjoin.join(docs).collect()), key=repr) == brute_join(rows)
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(8)
+    for side in (None, "some"):
+        base = [np.unique(rng.integers(0, 2**63, 60).astype("uint64")) for _ in range(4)]
+        sets = [np.unique(np.concatenate((rng.choice(base[i % 4], 58, replace=False), rng.integers(0, 2**63, 1).astype("uint64")))) for i in range(40)]
+        sizes, maps = np.array([len(x) for x in sets]), np.stack([ngramjoin.parity(x, 256) for x in sets])
+        mask = None if side is None else rng.random(40) < 0.5
+        parent, other = list(range(40)), list(range(40))
+        for i in range(40):
+            for j in range(i):
+                apart = int(np.bitwise_count(maps[i] ^ maps[j]).sum())
+                if 190 * apart <= 10 * (sizes[i] + sizes[j]) and (mask is None or mask[i] != mask[j]) and min(sizes[i], sizes[j]) * 100 >= max(sizes[i], sizes[j]) * 90:
+                    parent[find(parent, i)] = find(parent, j)
+        pairs = ngramjoin.forest(sizes, maps, mask, 90)
+        for i, j in pairs:
+            other[find(other, i)] = find(other, j)
+        same = lambda p: {frozenset(i for i in range(40) if find(p, i) == r) for r in {find(p, i) for i in range(40)}}
+        assert same(parent) == same(other) and len(pairs) == 40 - len(same(parent))
+
+
 def test_join_on_odd_rows(spark, odd, none):
     got = sorted(map(tuple, ngramjoin.join(odd).collect()), key=repr)
     assert got == brute_join(rows_of(odd))
@@ -264,6 +308,24 @@ def test_leaks_on_odd_rows(spark, odd, none):
     assert decontaminate.find(odd, empty).count() == 0 and decontaminate.clean(odd, empty).count() == odd.count()
 
 
+def test_unrelated_pairs_never_meet_and_near_ones_do(spark):
+    """Recall over passages from 0.8 up with words changed, put in and left out; windows ask only for their own items."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(60)]
+    docs = []
+    for d in range(240):
+        p = items[d % 60][1].split()
+        for _ in range(rng.choice([0, 1, 1])):
+            at = rng.randrange(len(p))
+            p[at : at + rng.choice([0, 1])] = [word()] if rng.random() < 0.7 else []
+        docs.append((d, " ".join([word() for _ in range(20)] + p + [word() for _ in range(20)])))
+    make = lambda rows, k: spark.createDataFrame(rows, f"{k} long, text string")
+    pairs = {(r.doc_id, r.item_id) for r in decontaminate.find(make(docs, "doc_id").repartition(3), make(items, "item_id")).collect()}
+    want = brute_leaks(docs, items)
+    assert pairs <= want and len(want) > 150 and len(pairs) >= 0.99 * len(want)
+
+
 def test_every_block_variant_within_the_radius_is_listed():
     masks = decontaminate._variants()
     assert len(masks) == len(set(masks)) == 1 + 8 + 28

@@ -46,23 +46,91 @@ def test_cache_is_bounded():
     assert made["x" * 5000] == 5000 and "x" * 5000 not in made
 
 
-@pytest.mark.parametrize("limits", [(64, 256, 64), (64, 3, 64), (64, 8, 20)])
+def test_prompts_are_first_lines(own):
+    for t in [*TEXTS, "one two\nthree", "one  two\nthree\n", "\n\n", "tab\t\nx"]:
+        ids, prompt = own.encode_from(t)
+        first, cut, _ = t.partition("\n")
+        assert ids == own.encode(t)
+        assert prompt == (min(len(library(own, first)) + 1, len(library(own, t))) if cut else 0), t
+
+
+def packed(limits, sizes, **kw):
+    packer, done = packing.Packer(*limits, **kw), []
+    for k, (n, loss) in sizes.items():
+        done += packer.add(k, n, loss)
+    return done + packer.finish()
+
+
+@pytest.mark.parametrize("limits", [(64, 256, 64), (64, 3, 64), (64, 8, 20), (64, 4, 40)])
 def test_packing_keeps_limits_and_every_token(limits):
     rng = random.Random(7)
-    packer, done, size = packing.Packer(*limits, pool=40, min_cut=4), [], {}
+    sizes = {}
     for k in range(600):
         n = rng.choice([1, rng.randint(1, 63), 64, rng.randint(1, 500)])
-        size[k] = (n, rng.randint(0, n))
-        done += packer.add(k, 0, *size[k])
-    done += packer.finish()
-    at = {k: [] for k in size}
+        cuts = sorted(rng.randint(0, n) for _ in range(4))
+        sizes[k] = (n, packing.Loss([(cuts[0], cuts[1]), (cuts[2], cuts[3])]))
+    done = packed(limits, sizes, pool=40, min_cut=4)
+    at = {k: [] for k in sizes}
     for pieces in done:
-        assert 0 < sum(p[2] for p in pieces) <= limits[0] and len(pieces) <= limits[1] and sum(p[3] for p in pieces) <= limits[2]
+        total = sum(p[2] for p in pieces)
+        assert 0 < total <= limits[0] and len(pieces) <= limits[1] and sum(p[3] for p in pieces) <= limits[2]
+        assert total & (total - 1) == 0 or limits[0] - total <= packing.SLACK
         for k, start, n, loss in pieces:
-            at[k].append((start, n, loss))
-    for k, (n, loss) in size.items():
-        assert [s for s, _, _ in sorted(at[k])] == [sum(x[1] for x in sorted(at[k])[:i]) for i in range(len(at[k]))]
-        assert sum(x[1] for x in at[k]) == n and sum(x[2] for x in at[k]) == loss
+            assert loss == sizes[k][1].within(start, start + n)
+            at[k].append((start, n))
+    for k, (n, _) in sizes.items():
+        assert [s for s, _ in sorted(at[k])] == [sum(x[1] for x in sorted(at[k])[:i]) for i in range(len(at[k]))]
+        assert sum(x[1] for x in at[k]) == n
+
+
+def first_fit(limits, sizes):
+    """Whole pieces into the first sequence that has room in every dimension: how many sequences there are."""
+    bins = []
+    for n, loss in sizes.values():
+        own = loss.within(0, n)
+        spot = next((b for b in bins if b[0] + n <= limits[0] and b[1] < limits[1] and b[2] + own <= limits[2]), None)
+        if spot is None:
+            bins.append(spot := [0, 0, 0])
+        spot[0], spot[1], spot[2] = spot[0] + n, spot[1] + 1, spot[2] + own
+    return bins
+
+
+def test_every_limit_closes_sequences_and_the_heuristic_beats_first_fit():
+    rng = random.Random(5)
+    limits = (256, 6, 160)
+    sizes = {}
+    for k in range(800):
+        n = rng.choice([rng.randint(4, 40), rng.randint(60, 250)])
+        sizes[k] = (n, packing.Loss([(rng.randint(0, n) if rng.random() < 0.5 else 0, n)]))
+    sizes = {k: (n, x) for k, (n, x) in sizes.items() if x.within(0, n) <= limits[2]}
+    done = packed(limits, sizes, pool=200)
+    totals = [(sum(p[2] for p in s), len(s), sum(p[3] for p in s)) for s in done]
+    assert all(any(t[d] == limits[d] for t in totals) for d in range(3))
+    padding = sum(0 if n & (n - 1) == 0 else limits[0] - n for n, _, _ in totals)
+    bins = first_fit(limits, sizes)
+    rest = sum(0 if b[0] & (b[0] - 1) == 0 else limits[0] - b[0] for b in bins)
+    assert padding < rest / 5
+
+
+def test_conversations_bear_loss_in_assistant_turns(spark, none, bpe, own):
+    rows = [(c, t, r, f"turn {t} of {c}: " + "words " * (5 * t)) for c in range(12) for t, r in enumerate(("system", "user", "assistant", "user", "assistant"))]
+    rows += [(99, 0, None, None), (99, 0, "assistant", ""), (None, 1, "assistant", "no id"), (3, 7, "assistant", "long " * 4000)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, length string").repartition(3)
+    got = packing.pack_conversations(df, bpe).toPandas()
+    want, loss = {}, {}
+    for c, _, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] or "")):
+        ids = library(own, text or "") + [1]
+        want[c] = want.get(c, []) + ids
+        loss[c] = loss.get(c, 0) + (len(ids) if role == "assistant" else 0)
+    got["doc"] = got["doc_id"].fillna(-1).astype(int)
+    for c, ids in want.items():
+        own_rows = got[got["doc"] == (-1 if c is None else c)].sort_values("start")
+        assert own_rows.length.sum() == len(ids) and own_rows.loss_tokens.sum() == loss[c]
+        for r in own_rows.itertuples():
+            assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+    sums = got.groupby("sequence_id").agg({"length": "sum", "loss_tokens": "sum", "doc_id": "size"})
+    assert (sums.length <= 2048).all() and (sums.loss_tokens <= 1536).all() and (sums.doc_id <= packing.SEGMENTS).all()
+    assert packing.pack_conversations(df.limit(0), bpe).count() == 0
 
 
 def test_pack_documents(spark, odd, none, bpe, own):

@@ -11,9 +11,12 @@ which holds the digests that lose lines.  ``insert`` and ``delete`` change count
 the documents given and put into, or take out of, the filters the digests that
 cross the threshold; so deleting what was inserted gives the state from before.
 
-Lines are probed in the filter first; what passes is settled by the counts.  If the
-losing digests are few enough (checked), filter and counts go to the workers and no
-text is shuffled; beyond that bound the digests are joined and texts follow by key.
+Lines are routed by shard, at every size alike: the digests of a shard's lines meet its
+filter first, and what passes is settled by the shard's exact counts, which came with
+it.  Lines of a shard are dealt over several tasks by a salt of their document, each
+with a copy of the shard's filter and counts, so that a line of very many documents
+fills no task.  Each document then gets the digests that it loses: by broadcast where
+these are small (checked in rows and bytes), else by a join on doc_id.
 
 Cases: null and empty texts are one empty line, and null stays null in ``text``;
 each row is a document, so rows with an equal doc_id count each, and all that have
@@ -23,19 +26,21 @@ gives no rows; other columns are kept; lines of any length are read whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, ids_of, keyed_texts, longs, materialize, tidy
+from .common import bounded_batches, broadcast_if_small, discard, fresh, ids_of, keyed_texts, longs, materialize, tidy
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Losing digests (24 bytes each, some 200 in a worker's dictionary) that are sent to the workers.
-SENT_DIGESTS = 250_000
-SHARD_KEYS = 65_536
+#: Losing digests of a shard; its filter and counts are held by a task.
+SHARD_KEYS = 16_384
+#: Tasks that a shard's lines are dealt to: as many as there are shuffle partitions for it, within these.
+LEAST_SALTS, MOST_SALTS = 8, 64
 SLOTS = 4
 _SPACE = b" \t\n\x0b\x0c\r"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -122,6 +127,18 @@ class Cuckoo:
                 return True
         return False
 
+    def among(self, hi, lo):
+        """Mask of the digests (arrays of signed 64-bit halves) that may be held."""
+        import numpy as np
+
+        mark = lo.view("uint64") & np.uint64(0xFFFF)
+        mark[mark == 0] = 1
+        last = np.uint64(len(self.table) - 1)
+        a = hi.view("uint64") & np.uint64(0xFFFFFFFF) & last
+        b = (a ^ (mark * np.uint64(0x5BD1E995))) & last
+        mark = mark.astype("uint16")[:, None]
+        return (self.table[a] == mark).any(1) | (self.table[b] == mark).any(1)
+
     def __contains__(self, key: tuple[int, int]) -> bool:
         mark, a, b = self._places(*key)
         return bool((self.table[a] == mark).any() or (self.table[b] == mark).any())
@@ -176,9 +193,8 @@ def filters_of(losing: DataFrame, shards: int) -> DataFrame:
 
 def build(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, incremental: bool = True) -> State:
     """The state of a first load.  Without ``incremental``, counts of losing keys alone are stored."""
-    rows = postings(docs, min_chars)
+    rows = materialize(postings(docs, min_chars), "postings")
     if incremental:
-        rows = materialize(rows, "postings")
         counts = materialize(count_table(rows), "counts")
     else:
         counts = materialize(count_table(rows).where(F.col("refs") >= min_docs), "counts")
@@ -246,65 +262,91 @@ def _kept(text: str | None, loses) -> tuple:
     return (None if text is None else joined, len(lines), len(lines) - len(kept), hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest())
 
 
-def apply(docs: DataFrame, state: State, sent: int = SENT_DIGESTS) -> DataFrame:
+def _probe(batches):
+    """The losing lines (doc_id, no_id, hi, lo) of rows in order of (shard, salt, kind): filter, counts, lines."""
+    import numpy as np
+
+    filter_, last, now = None, {}, None
+    for pdf in batches:
+        place = pdf["shard"].to_numpy("int64") * (MOST_SALTS + 1) + pdf["salt"].to_numpy("int64")
+        kind = pdf["kind"].to_numpy("int64")
+        cuts = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (kind[1:] != kind[:-1]))))
+        for low, high in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
+            if place[low] != now:
+                filter_, last, now = None, {}, place[low]
+            own = pdf.iloc[low:high]
+            if kind[low] == 0:
+                filter_ = Cuckoo.load(bytes(own["filter"].iloc[0]))
+            elif kind[low] == 1:
+                last.update(zip(zip(own["hi"].tolist(), own["lo"].tolist(), strict=True), ids_of(own), strict=True))
+            elif filter_ is not None:  # else the shard has no losing line
+                own = own[filter_.among(own["hi"].to_numpy("int64"), own["lo"].to_numpy("int64"))]
+                keys = zip(own["hi"].tolist(), own["lo"].tolist(), strict=True)
+                yield own.loc[[k in last and last[k] != doc for k, doc in zip(keys, ids_of(own), strict=True)], ["doc_id", "no_id", "hi", "lo"]]
+
+
+def losing_lines(lines: DataFrame, state: State) -> DataFrame:
+    """(doc_id, no_id, hi, lo) of the ``lines`` (as ``postings`` gives them) that go."""
+    salts = min(max(LEAST_SALTS, -(-int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) // state.shards)), MOST_SALTS)
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    doc = lambda c: [F.coalesce(F.col(c), F.lit(0).cast("long")).alias("doc_id"), F.col(c).isNull().alias("no_id")]
+    none, zero = F.lit(None).cast("binary").alias("filter"), F.lit(0).cast("long")
+    filters = state.filters.select("shard", every, F.lit(0).alias("kind"), zero.alias("hi"), zero.alias("lo"), zero.alias("doc_id"), F.lit(False).alias("no_id"), "filter")
+    counts = state.counts.where(F.col("refs") >= state.min_docs).select(_shard(state.shards), every, F.lit(1).alias("kind"), "hi", "lo", *doc("last_doc"), none)
+    asked = lines.select(_shard(state.shards), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(2).alias("kind"), "hi", "lo", *doc("doc_id"), none)
+    whole = filters.unionByName(counts).unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    return whole.mapInPandas(tidy(_probe), "doc_id long, no_id boolean, hi long, lo long")
+
+
+def apply(docs: DataFrame, state: State, lines: DataFrame | None = None) -> DataFrame:
     """Columns of ``docs`` with ``text`` deduplicated, and n_lines, n_dropped, kept_sha256.
 
     Columns of ``docs`` that have one of the last three names give way.
     """
     (made,) = fresh(docs, "_lines")
     names = ["n_lines", "n_dropped", "kept_sha256"]
-    out = with_kept(docs, state, made, sent)
+    out = with_kept(docs, state, made, lines)
     columns = [F.col(f"{made}.text").alias(c) if c == "text" else F.col(c) for c in docs.columns if c.lower() not in names]
     return out.select(*columns, *[f"{made}.{n}" for n in names])
 
 
-def with_kept(docs: DataFrame, state: State, made: str, sent: int = SENT_DIGESTS) -> DataFrame:
-    """All columns of ``docs`` and ``made``, a struct of text, n_lines, n_dropped, kept_sha256."""
+def with_kept(docs: DataFrame, state: State, made: str, lines: DataFrame | None = None) -> DataFrame:
+    """All columns of ``docs`` and ``made``, a struct of text, n_lines, n_dropped, kept_sha256.
+
+    ``lines`` are the postings of ``docs``, where the caller has them already.
+    """
     spark, min_chars = docs.sparkSession, state.min_chars
     bounded_batches(spark)
-    losing = state.counts.where(F.col("refs") >= state.min_docs).select("hi", "lo", "last_doc")
     names = ["text", "n_lines", "n_dropped", "kept_sha256"]
     own_id, own_gone = fresh(docs, "_doc", "_gone")
-    if losing.limit(sent + 1).count() <= sent:
-        table = losing.select("hi", "lo", F.coalesce("last_doc", F.lit(0).cast("long")).alias("doc_id"), F.col("last_doc").isNull().alias("no_id")).toPandas()  # at most `sent` digests
-        last = spark.sparkContext.broadcast((table["hi"].to_numpy("int64"), table["lo"].to_numpy("int64"), ids_of(table)))
-        tables = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in state.filters.collect()})  # 2 to 5 bytes a digest
-        shards, loaded, exact = state.shards, {}, {}
-
-        @F.pandas_udf(_LINES)
-        def keep(doc: pd.Series, no_id: pd.Series, text: pd.Series) -> pd.DataFrame:
-            if not loaded:
-                loaded.update({k: Cuckoo.load(v) for k, v in tables.value.items()})
-                hi, lo, doc_ids = last.value
-                exact.update(zip(zip(hi.tolist(), lo.tolist(), strict=True), doc_ids, strict=True))
-            out = []
-            for own, x in zip(ids_of({"doc_id": doc, "no_id": no_id}), text, strict=True):
-
-                def loses(line, own=own):
-                    key = digest_of(line, min_chars) if len(line) >= min_chars else None
-                    if key is None or (held := loaded.get((key[0] >> 32) % shards)) is None or key not in held:
-                        return False
-                    return key in exact and exact[key] != own
 
-                out.append(_kept(x if isinstance(x, str) else None, loses))
-            return pd.DataFrame(out, columns=names)
+    @F.pandas_udf(_LINES)
+    def keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, gone in batches:
+            out = []
+            for x, g in zip(text, gone, strict=True):
+                lost = {(int(r["hi"]), int(r["lo"])) for r in g} if g is not None else set()
+                out.append(_kept(x if isinstance(x, str) else None, lambda line, lost=lost: bool(lost) and len(line) >= min_chars and digest_of(line, min_chars) in lost))
+            yield pd.DataFrame(out, columns=names)
 
-        return docs.withColumn(made, keep(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull(), F.col("text").cast("string")))
+    hits = losing_lines(postings(docs, min_chars) if lines is None else lines, state)
+    gone = hits.distinct().groupBy("doc_id", "no_id").agg(F.collect_list(F.struct("hi", "lo")).alias(own_gone))
+    gone = materialize(gone.select(F.when(~F.col("no_id"), F.col("doc_id")).alias(own_id), own_gone), "gone")
+    met = docs.join(broadcast_if_small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)), "left")
+    return met.withColumn(made, keep(F.col("text").cast("string"), F.col(own_gone))).drop(own_id, own_gone)
 
-    @F.pandas_udf(_LINES)
-    def keep_rest(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, g in zip(text, gone, strict=True):
-            lost = {(int(r["hi"]), int(r["lo"])) for r in g} if g is not None else set()
-            out.append(_kept(x if isinstance(x, str) else None, lambda line, lost=lost: bool(lost) and digest_of(line, min_chars) in lost))
-        return pd.DataFrame(out, columns=names)
 
-    hits = postings(docs, min_chars).join(losing, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    gone = hits.select("doc_id", "hi", "lo").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias(own_gone))
-    gone = gone.withColumnRenamed("doc_id", own_id)
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)), "left").withColumn(made, keep_rest(F.col("text").cast("string"), own_gone)).drop(own_id, own_gone)
+def with_deduped(docs: DataFrame, made: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``with_kept`` by the state of ``docs`` alone, whose postings are read once."""
+    state = build(docs, min_chars, min_docs, incremental=False)
+    out = with_kept(docs, state, made, state.postings)
+    discard(state.postings, state.counts, state.filters)
+    return out
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, sent: int = SENT_DIGESTS) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """One-shot deduplication of a table of documents."""
-    return apply(docs, build(docs, min_chars, min_docs, incremental=False), sent)
+    state = build(docs, min_chars, min_docs, incremental=False)
+    out = apply(docs, state, state.postings)
+    discard(state.postings, state.counts, state.filters)
+    return out

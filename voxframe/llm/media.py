@@ -7,31 +7,49 @@ by the SHA-256 of the stored form.  ``resolve`` joins the references with the
 store by digest and keeps position and caption beside what the payload gives.
 
 Payload bytes are never shuffled: what is needed of them is computed where they
-are read, one row a digest, and only those small rows meet the references.
+are read, one row a digest, and only those small rows meet the references.  These rows
+are written first, so that the join's exchanges are plain ones, and Spark can split the
+partition of a digest that very many references share.
+
+A figcaption is the caption of all media of its own figure, before or after it, and wins
+over an alt text; the caption of a figure without media, or outside any figure, is a text
+part at its place.  A source element gives its video or audio a digest if that has none,
+and is no part of its own; in a picture the img is the part.
 
 Cases: null HTML gives an empty sequence; an image without a digest keeps its
 place with a null digest; a digest that the store lacks keeps its row with null
 payload columns; repeated references and repeated stored rows give one row a
-reference; unclosed tags end with the page; script and style text is no text;
-empty tables give no rows; extra columns are ignored, or kept by ``parse_pages``.
+reference; unclosed tags end with the page, an unclosed figcaption with its figure;
+script and style text is no text; ties and long pages are read whole; empty tables give
+no rows; extra columns are ignored, or kept by ``parse_pages``, but one called parts
+gives way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch
+from .common import bounded_batches, materialize, scratch, tidy
 
 UNIT = 576
 ROW = 24
 SCHEME = "media:sha256-"
 PARTS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
-_BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "br", "nav", "blockquote", "pre", "figure", "body", "title"}
+_BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "br", "nav", "blockquote", "pre", "body", "title"}
 _SILENT = {"script", "style", "template", "noscript"}
+_HOLDERS = {"video", "audio"}
+
+
+class _Figure:
+    def __init__(self):
+        self.media: list[dict] = []
+        self.said: list[str] = []
+        self.at = 0  # where a caption without media stands
 
 
 class _Page(HTMLParser):
@@ -39,8 +57,10 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.words: list[str] = []
-        self.silent = self.figure = 0
-        self.caption: list[str] | None = None
+        self.silent = 0
+        self.figures: list[_Figure] = []
+        self.captioning = False
+        self.holder: dict | None = None
 
     def _text(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -48,41 +68,81 @@ class _Page(HTMLParser):
             self.parts.append({"kind": "text", "text": text, "digest": None, "caption": None})
         self.words = []
 
+    def _media(self, attrs: dict) -> dict:
+        self._text()
+        src = attrs.get("src") or ""
+        part = {"kind": "media", "text": None, "digest": src[len(SCHEME) :] if src.startswith(SCHEME) else None, "caption": attrs.get("alt")}
+        self.parts.append(part)
+        if self.figures:
+            self.figures[-1].media.append(part)
+        return part
+
+    def _end_figure(self) -> None:
+        self._text()
+        self.captioning = False
+        figure = self.figures.pop()
+        said = " ".join("".join(figure.said).split())
+        if said and figure.media:
+            for part in figure.media:
+                part["caption"] = said
+        elif said:
+            self.parts.insert(figure.at, {"kind": "text", "text": said, "digest": None, "caption": None})
+
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
             self.silent += 1
+        elif tag == "figure":
+            self._text()
+            self.captioning = False
+            self.figures.append(_Figure())
         elif tag == "figcaption":
-            self.caption = []
-        elif tag in ("img", "video", "audio", "source"):
             self._text()
-            a = dict(attrs)
-            src = a.get("src") or ""
-            self.parts.append({"kind": "media", "text": None, "digest": src[len(SCHEME) :] if src.startswith(SCHEME) else None, "caption": a.get("alt")})
+            if self.figures:
+                self.captioning = True
+                self.figures[-1].said.append(" ")
+                self.figures[-1].at = len(self.parts)
+        elif tag == "img":
+            self._media(dict(attrs))
+        elif tag in _HOLDERS:
+            self.holder = self._media(dict(attrs))
+        elif tag == "source":
+            src = dict(attrs).get("src") or ""
+            if self.holder is not None and self.holder["digest"] is None and src.startswith(SCHEME):
+                self.holder["digest"] = src[len(SCHEME) :]
         elif tag in _BLOCKS:
-            self._text()
+            self._block()
 
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            last = next((x for x in reversed(self.parts) if x["kind"] == "media"), None)
-            if last is not None:
-                last["caption"] = said
-            self.caption = None
+        elif tag == "figure":
+            if self.figures:
+                self._end_figure()
+        elif tag == "figcaption":
+            self._text()
+            self.captioning = False
+        elif tag in _HOLDERS:
+            self.holder = None
         elif tag in _BLOCKS:
+            self._block()
+
+    def _block(self) -> None:
+        if self.captioning:
+            self.figures[-1].said.append(" ")
+        else:
             self._text()
 
     def handle_data(self, data):
-        if self.silent:
-            return
-        (self.words if self.caption is None else self.caption).append(data)
+        if not self.silent:
+            (self.figures[-1].said if self.captioning else self.words).append(data)
 
 
 def parse(html: str | None) -> list[dict]:
     page = _Page()
     page.feed(html or "")
     page.close()
+    while page.figures:
+        page._end_figure()
     page._text()
     return [{"position": i} | x for i, x in enumerate(page.parts)]
 
@@ -92,10 +152,22 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     bounded_batches(pages.sparkSession)
 
     @F.pandas_udf(PARTS)
-    def parts(col: pd.Series) -> pd.Series:
-        return pd.Series([parse(x if isinstance(x, str) else None) for x in col])
+    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for col in batches:
+            yield pd.Series([parse(x if isinstance(x, str) else None) for x in col], dtype=object)
+
+    kept = [c for c in pages.columns if c.lower() not in (html.lower(), "parts")]
+    return pages.select(*kept, parts(F.col(html)).alias("parts"))
+
 
-    return pages.withColumn("parts", parts(F.col(html))).drop(html)
+def html_of(text, figure):
+    """A text column as an article: its lines are paragraphs, ``figure`` stands behind the first."""
+    safe = F.coalesce(text, F.lit(""))
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(raw), F.lit(entity))
+    lines = F.split(safe, "\n")
+    more = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), "</p><p>")
+    return F.concat(F.lit("<article><p>"), F.get(lines, F.lit(0)), F.lit("</p>"), figure, F.lit("<p>"), more, F.lit("</p></article>"))
 
 
 def image(payload):
@@ -158,9 +230,9 @@ def _features(batches):
 
 
 def media_features(store: DataFrame) -> DataFrame:
-    """One row a digest, from the stored bytes read back: sizes, hashes and an average-hash feature."""
+    """One row a digest, from the stored bytes read back: sizes, hashes and an average-hash feature; a written table."""
     bounded_batches(store.sparkSession)
-    return store.select("digest", "media").mapInPandas(_features, FEATURES).dropDuplicates(["digest"])
+    return materialize(store.select("digest", "media").mapInPandas(tidy(_features), FEATURES).dropDuplicates(["digest"]), "features")
 
 
 def resolve(sequences: DataFrame, keys: list[str], media: DataFrame) -> DataFrame:

@@ -16,19 +16,35 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document becomes a page of a paragraph and a figure whose payload is resolved by digest."""
+    """Each document becomes a page of its lines as paragraphs and a figure whose payload is resolved by digest.
+
+    ``n_texts`` counts the page's text parts; those before the figure are its position.
+    """
     docs = documents(spark, sf_dir).select("doc_id", F.col("text").cast("string").alias("text"))
-    store = media.store_media(docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.padded(F.col("text")).alias("payload")))
-    html = F.concat(F.lit("<article><p>document</p><figure><img src='" + media.SCHEME), F.col("digest"), F.lit("'><figcaption>bytes "), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure></article>"))
-    pages = media.parse_pages(store.select("doc_id", html.alias("html")))
-    parts = media.resolve(pages, ["doc_id"], media.media_features(store)).where("kind = 'media'")
-    return parts.select("doc_id", F.substring("caption", 7, 20).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    store = media.store_media(docs.select(media.padded(F.col("text")).alias("payload")))
+    figure = F.concat(F.lit("<figure><img src='" + media.SCHEME), F.sha2(media.image(media.padded(F.col("text"))), 256), F.lit("'><figcaption>bytes "), n_bytes.cast("string"), F.lit("</figcaption></figure>"))
+    pages = media.parse_pages(docs.select("doc_id", media.html_of(F.col("text"), figure).alias("html")))
+    pages = pages.withColumn("n_texts", F.size(F.filter("parts", lambda p: p["kind"] == "text")).cast("long"))
+    parts = media.resolve(pages, ["doc_id", "n_texts"], media.media_features(store)).where("kind = 'media'")
+    return parts.select("doc_id", F.substring("caption", 7, 20).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_texts")
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw pages as ordered parts, text and media references with their captions."""
+    pages = media.parse_pages(documents(spark, sf_dir, "pages").select("page_id", F.col("html").cast("string").alias("html")))
+    return pages.select("page_id", F.explode("parts").alias("p")).select("page_id", F.col("p.position").cast("long").alias("position"), "p.kind", "p.text", "p.digest", "p.caption")
 
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer())
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations in sequences: only the assistant's turns bear loss."""
+    return packing.pack_conversations(documents(spark, sf_dir, "conversations"), tokenizer())
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir), ["doc_id"]).withColumn("n_detections", F.size("detections").cast("long")).drop("detections")
 
@@ -50,13 +66,26 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(docs).drop("text")
 
 
-#: Host labels that the query's block list names.
-BLOCKED_LABELS = ("spam-farm", "cheap-pills", "ththon", "ththre", "thther", "therti")
+def line_dedup_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup kept up to date: English documents first, then the others put in, then the toxic ones taken out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    toxic = documents(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    state = linededup.insert(linededup.build(docs.where(english)), docs.where(~english))
+    state = linededup.delete(state, toxic)
+    left = docs.drop("lang").join(toxic, "doc_id", "left_anti")
+    return linededup.apply(left, state, state.postings).drop("text")
+
+
+#: What marks a page's html as symbol junk; urls of such pages are the query's block list.
+JUNK = "###"
 
 
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.col("key").rlike("(^|[.])(" + "|".join(BLOCKED_LABELS) + ")[.]")
-    return urlcascade.judge(documents(spark, sf_dir, "pages"), listed)
+    """The block list is a table of its own: host and path of every page whose html is symbol junk."""
+    pages = documents(spark, sf_dir, "pages")
+    listed = pages.where(F.contains("html", F.lit(JUNK))).select(urlcascade.key_of(F.col("url").cast("string")).alias("key"))
+    return urlcascade.judge(pages, listed)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +99,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.predict(docs.select("doc_id", "text", held.alias("held_out")), prototypes).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op5_decontamination, op6_ngram_jaccard, op7_line_dedup, op8_url_cascade, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op5_decontamination, op6_ngram_jaccard, op7_line_dedup, op8_url_cascade, op9_token_counts, op10_language_id, page_sequences, instruction_packing, line_dedup_replay)}
 
 #: The parts of a url; a null url is empty.
 _URL = r"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
-s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
-h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH u AS (SELECT page_id, html, coalesce(url, '') AS url FROM pages),
+s AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
 r AS (SELECT *, CASE
         WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
@@ -98,9 +127,11 @@ ORACLES = {
     "op7_line_dedup": _LINES
     + """SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
+    "line_dedup_replay": _LINES.replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))", 1)
+    + """SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
     "op8_url_cascade": _URL
-    + """SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|[.])("""
-    + "|".join(BLOCKED_LABELS)
-    + """)[.]') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    + f""", listed AS (SELECT DISTINCT host || path AS key FROM h WHERE contains(html, '{JUNK}'))
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+    key IS NOT NULL AS listed FROM r LEFT JOIN listed ON key = host || path""",
 }

@@ -88,18 +88,27 @@ class Codec:
         return self._whole(piece)
 
     def encode(self, text: str) -> bytes:
+        return self.encode_from(text)[0]
+
+    def encode_from(self, text: str) -> tuple[bytes, int]:
+        """The ids of a text, and how many its first line and line end take; 0 if no other line follows."""
         if not text:
-            return b""
-        if any(c in text for c in _OTHER_SPACE):
-            return self._whole(text)
-        words = self.words.__getitem__
-        out = []
-        for line in text.split("\n"):
-            parts = line.split(" ")
-            if "" in parts:  # an empty line, or spaces side by side or at an end
-                return self._whole(text)
-            out.append(self.firsts[parts[0]] + b"".join(map(words, parts[1:])))
-        return self.newline.join(out)
+            return b"", 0
+        out: list[bytes] = []
+        if not any(c in text for c in _OTHER_SPACE):
+            words = self.words.__getitem__
+            for line in text.split("\n"):
+                parts = line.split(" ")
+                if "" in parts:  # an empty line, or spaces side by side or at an end
+                    break
+                out.append(self.firsts[parts[0]] + b"".join(map(words, parts[1:])))
+            else:
+                return self.newline.join(out), (len(out[0] + self.newline) // self.width if len(out) > 1 else 0)
+        ids, cut = self._whole(text), text.find("\n")
+        if cut < 0:
+            return ids, 0
+        first = len(out[0]) if out else len(self.encode(text[:cut]))
+        return ids, min((first + len(self.newline)) // self.width, len(ids) // self.width)
 
 
 _open: dict[str, Codec] = {}

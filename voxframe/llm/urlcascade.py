@@ -1,36 +1,42 @@
-"""Exact URL membership by a cascade of Bloom filters, in DataFrame functions only.
-
-Level 1 encodes the listed keys; level 2 the other keys of the universe that pass
-level 1; level 3 the listed keys that pass level 2; and so on until no key passes
-wrongly.  The first level that a key fails decides: odd levels hold listed keys,
-even ones unlisted keys, and a key that passes every level is on the side of the
-last.  Over the key universe it was built from, the answer is exact, and a lookup
-is arithmetic on a literal: no join.
-
-Filters are built by bit_or over (byte position, bit) and reach the driver as
-bytes; their number of bits is checked against ``max_bytes`` first.  Beyond it the
-build raises, and ``judge_by_join`` is the other way, a plain join.
-
-Cases: null URLs and URLs without ``://`` have an empty host and path; an empty
-list answers no for every key; an empty universe gives an empty cascade; keys are
-distinct before they are counted, so repeated and hot hosts cost one key.
+"""Exact URL membership by cascades of Bloom filters, in DataFrame functions only.
+
+The key universe (every distinct key of the corpus) is cut by hash into shards of about
+KEYS_PER_SHARD keys, and each shard has a cascade of its own.  Level 1 encodes the
+shard's listed keys; level 2 the other keys that pass level 1; level 3 the listed keys
+that pass level 2; and so on until no key passes wrongly.  The first level that a key
+fails decides: odd levels hold listed keys, even ones unlisted keys, and a key that
+passes every level is on the side of the last.  Over its universe the answer is exact.
+
+Filters are arrays of 64-bit words, put together on the executors, a shard a row.  If
+all together are within ``literal_bytes`` (checked) they become a constant of the plan,
+and a lookup is arithmetic on it, without a join; beyond it rows meet the filters of
+their shard (never the keys) in a join, whose skewed partitions Spark can split.
+
+Cases: null urls and urls without ``://`` have an empty host and path, and the empty
+key; a null page_id and repeated rows keep their rows; an empty list answers no for
+every key; listed keys outside the universe change nothing; an empty table gives no
+rows; columns of ``pages`` other than page_id and url are ignored, whatever their names;
+keys are distinct before they are counted, so hot hosts cost one key; urls of any length
+are read whole.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from voxframe.session import plain_unions
+
+from .common import discard, materialize
 
 BITS_PER_KEY = 10
 PROBES = 4
-MAX_BYTES = 64 << 20
-MAX_LEVELS = 40
+KEYS_PER_SHARD = 4096
+LITERAL_BYTES = 4 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,72 +56,103 @@ def path_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") == 0, F.lit("")).otherwise(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
 
 
+def key_of(url: Column) -> Column:
+    """Host and path of a url, without scheme, query and fragment."""
+    return F.concat(host_of(url), path_of(url))
+
+
+def _passes(key: Column, level: int, words: Column) -> Column:
+    """Are all of the key's bits set in the level's words?"""
+    bits = F.greatest(F.size(words), F.lit(1)).cast("long") * 64
+
+    def held(probe: int) -> Column:
+        at = F.pmod(F.xxhash64(F.lit(level), F.lit(probe), key), bits)
+        return F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+    return reduce(Column.__and__, map(held, range(PROBES)))
+
+
 @dataclass
 class Cascade:
-    """Levels as (bits, bytes); level i is seeded with i."""
-
-    levels: list[tuple[int, bytes]] = field(default_factory=list)
-
-    def contains(self, key: Column) -> Column:
-        """Is the key listed?  Exact for keys of the universe."""
-        answer = F.lit(len(self.levels) % 2 == 1)
-        for i in range(len(self.levels), 0, -1):
-            answer = F.when(_passes(key, i, *self.levels[i - 1]), answer).otherwise(F.lit(i % 2 == 0))
-        return answer
-
-
-def _place(key: Column, level: int, probe: int, bits: int) -> Column:
-    a, b = F.xxhash64(F.lit(level), key), F.xxhash64(key, F.lit(level))
-    return F.pmod(F.shiftright(a, 1) + F.lit(probe) * F.shiftright(b, 2), F.lit(bits).cast("long")) if probe < 2 else F.pmod(F.xxhash64(F.lit(level), F.lit(probe), key), F.lit(bits).cast("long"))
-
-
-def _passes(key: Column, level: int, bits: int, data: bytes) -> Column:
-    held = F.lit(bytearray(data))
-
-    def set_at(probe: int) -> Column:
-        at = _place(key, level, probe, bits)
-        byte = F.conv(F.hex(F.substring(held, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), (at.bitwiseAND(F.lit(7).cast("long")) + 1).cast("int"))) != 0
-
-    return reduce(Column.__and__, map(set_at, range(PROBES)))
-
-
-def _filter(keys: DataFrame, level: int, n: int, max_bytes: int) -> tuple[int, bytes]:
-    """The level's filter over column ``key``; n is the number of keys."""
-    bits = max(64, math.ceil(n * BITS_PER_KEY / 8) * 8)
-    if bits // 8 > max_bytes:
-        raise ValueError(f"a filter of {bits // 8} bytes is over the bound of {max_bytes}")
-    places = keys.select(F.explode(F.array(*[_place(F.col("key"), level, p, bits) for p in range(PROBES)])).alias("at"))
-    one = F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), (F.col("at").bitwiseAND(F.lit(7).cast("long")) + 1).cast("int"))
-    data = bytearray(bits // 8)
-    for row in places.groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(one).alias("v")).toLocalIterator():
-        data[row["byte"]] = row["v"]
-    return bits, bytes(data)
-
-
-def build(universe: DataFrame, listed: Column, key: Column, max_bytes: int = MAX_BYTES) -> Cascade:
-    """A cascade over the distinct keys of ``universe``; ``listed`` is a predicate of the key column."""
-    keys = materialize(universe.select(key.alias("key")).where("key is not null").distinct().withColumn("listed", F.coalesce(listed, F.lit(False))), "keys")
-    cascade = Cascade()
-    passing = {True: keys.where("listed"), False: keys.where("not listed")}
-    side, n = True, passing[True].count()
-    while n:
-        if len(cascade.levels) == MAX_LEVELS:
-            raise ValueError("the cascade does not end")
-        cascade.levels.append(_filter(passing[side], len(cascade.levels) + 1, n, max_bytes))
-        other = passing[not side]
-        passing[not side] = other.where(_passes(F.col("key"), len(cascade.levels), *cascade.levels[-1]))
+    """``filters`` has (shard, levels) for each shard with a listed key; ``size`` is the bytes of all words."""
+
+    filters: DataFrame
+    shards: int
+    depth: int
+    size: int
+
+    def shard_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(0), key), F.lit(self.shards).cast("long")).cast("int")
+
+    def answer(self, key: Column, levels: Column) -> Column:
+        """Is the key listed, by its shard's levels?  Exact for keys of the universe."""
+        out = F.lit(self.depth % 2 == 1)
+        for i in range(self.depth, 0, -1):
+            words = F.get(levels, F.lit(i - 1))
+            out = F.when(words.isNull(), F.lit(i % 2 == 0)).when(F.coalesce(_passes(key, i, words), F.lit(False)), out).otherwise(F.lit(i % 2 == 0))
+        return F.when(levels.isNull(), F.lit(False)).otherwise(out)
+
+    def mark(self, rows: DataFrame, key: str, listed: str, literal_bytes: int = LITERAL_BYTES) -> DataFrame:
+        """``rows`` and the boolean column ``listed`` for the column ``key``."""
+        shard = self.shard_of(F.col(key))
+        if self.size <= literal_bytes:
+            table: list = [None] * self.shards
+            for r in self.filters.select("shard", F.to_json("levels").alias("levels")).collect():  # at most `literal_bytes` of filters
+                table[r["shard"]] = r["levels"]
+            held = F.from_json(F.lit("[" + ",".join(x or "null" for x in table) + "]"), "array<array<array<bigint>>>")
+            return rows.withColumn(listed, self.answer(F.col(key), F.get(held, shard)))
+        names = ("_shard", "_levels")
+        filters = self.filters.select(F.col("shard").alias(names[0]), F.col("levels").alias(names[1]))
+        met = rows.withColumn(names[0], shard).join(filters, names[0], "left")
+        return met.withColumn(listed, self.answer(F.col(key), F.col(names[1]))).drop(*names)
+
+
+def _filters(keys: DataFrame, level: int) -> DataFrame:
+    """(shard, words) of the level's keys (shard, key)."""
+    need = F.ceil(F.col("n") * BITS_PER_KEY / 64)
+    counts = keys.groupBy("shard").agg(F.count("*").alias("n")).select("shard", need.alias("n_words"))
+    at = F.array(*[F.pmod(F.xxhash64(F.lit(level), F.lit(p), "key"), F.col("n_words") * 64) for p in range(PROBES)])
+    bits = keys.join(counts, "shard").select("shard", F.explode(at).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63L as int))")
+    zero = counts.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_words") - 1)).alias("word"), F.lit(0).cast("long").alias("v"))
+    words = bits.select("shard", F.shiftright("at", 6).alias("word"), one.alias("v")).unionByName(zero).groupBy("shard", "word").agg(F.bit_or("v").alias("v"))
+    return words.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "v"))), lambda w: w["v"]).alias("words"))
+
+
+def build(universe: DataFrame, listed: DataFrame) -> Cascade:
+    """A cascade over the distinct keys (column ``key``) of ``universe``; ``listed`` has those to answer yes for."""
+    plain_unions(universe.sparkSession)
+    marks = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
+    keys = universe.select("key").where("key is not null").distinct().join(marks, "key", "left")
+    keys = materialize(keys.withColumn("listed", F.coalesce("listed", F.lit(False))), "keys")
+    cascade = Cascade(keys, max(1, -(-keys.count() // KEYS_PER_SHARD)), 0, 0)
+    sharded = keys.withColumn("shard", cascade.shard_of(F.col("key")))
+    left = {True: sharded.where("listed").select("key", "shard"), False: sharded.where("not listed").select("key", "shard")}
+    side, levels, spent = True, [], []
+    while True:
+        level = len(levels) + 1
+        own = materialize(_filters(left[side], level), "filters")
+        size = own.agg(F.sum(F.size("words"))).first()[0]
+        if not size:
+            discard(own)
+            break
+        levels.append(own)
+        cascade.size += 8 * size
+        wrong = left[not side].join(own, "shard").where(_passes(F.col("key"), level, F.col("words"))).select("key", "shard")
+        left[not side] = materialize(wrong, "wrong")
+        spent.append(left[not side])
         side = not side
-        n = passing[side].count()
+    cascade.depth = len(levels)
+    if levels:
+        rows = reduce(DataFrame.unionByName, (f.withColumn("level", F.lit(i)) for i, f in enumerate(levels)))
+        whole = rows.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "words"))), lambda x: x["words"]).alias("levels"))
+    else:
+        whole = keys.limit(0).select(F.lit(0).alias("shard"), F.array(F.array(F.lit(0).cast("long"))).alias("levels"))
+    cascade.filters = materialize(whole, "cascade")
+    discard(keys, *levels, *spent)
     return cascade
 
 
-def judge_by_join(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """The way without a size bound: a left join with the distinct listed keys."""
-    marks = listed.select(F.col("key").alias(key)).distinct().withColumn("listed", F.lit(True))
-    return rows.join(marks, key, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-
-
 #: (host, path, verdict) of the query's rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -130,14 +167,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def judge(pages: DataFrame, listed: Column, rules=RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """page_id, host, path, rule, verdict; without a rule, hosts that the cascade lists are blocked.
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, literal_bytes: int = LITERAL_BYTES) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed; without a rule, listed urls are blocked.
 
-    ``listed`` is a predicate of the column ``key``, the host.
+    ``listed`` has the column ``key``: host and path as ``key_of`` gives them.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    cascade = build(rows, listed, F.col("host"), max_bytes)
+    rows = rows.withColumn("key", F.concat("host", "path"))
+    marked = build(rows, listed).mark(rows, "key", "listed", literal_bytes)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    by_list = F.when(cascade.contains(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
+    by_list = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
+    return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed")
