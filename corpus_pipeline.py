@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat in five documents stay in the last of them; n_chars follows the text."""
     (made,) = fresh(docs, "_lines")
-    out = linededup.with_kept(docs, linededup.build(docs, incremental=False), made)
+    out = linededup.with_deduped(docs, made)
     text = F.col(f"{made}.text")
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
