@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from voxframe.operators import bench, corpus, cues, store
-from voxframe.sources import sinks
+from voxframe.sources import readers, sinks
 
 TIMED = "k string, idx int, start_sec double, end_sec double, text string, speaker string"
 
@@ -126,9 +126,148 @@ def test_manifest_rules(spark):
     assert len(got) == 9 and "id repeated" in got
 
 
-def test_seeded_generator_and_turns():
-    a, b = corpus.seeded(42), corpus.seeded(42)
-    first = [next(a) for _ in range(5)]
-    assert first == [next(b) for _ in range(5)] and all(0 <= x < 1 for x in first)
-    plan = corpus.turns({"A": [("a1", 2.0), ("a2", 2.0)], "B": [("b1", 3.0)]}, 60, 1)
-    assert sorted(x[1] for x in plan) == ["a1", "a2", "b1"]
+def mulberry(seed, n):
+    import numpy as np
+
+    out, a = [], np.uint32(seed)
+    with np.errstate(over="ignore"):
+        for _ in range(n):
+            a = a + np.uint32(0x6D2B79F5)
+            t = (a ^ (a >> np.uint32(15))) * (np.uint32(1) | a)
+            t = (t + (t ^ (t >> np.uint32(7))) * (np.uint32(61) | t)) ^ t
+            out.append(int(t ^ (t >> np.uint32(14))) / 4294967296)
+    return out
+
+
+def test_seeded_generator():
+    for seed in (0, 1, 42, 20260823, 2**32 - 1):
+        draw = corpus.seeded(seed)
+        assert [next(draw) for _ in range(50)] == mulberry(seed, 50)
+
+
+def test_turns():
+    clips = {"B": [("b1", 3.0), ("b2", 2.0)], "A": [("a1", 2.0), ("a2", 0.4), ("a3", 1.0)]}
+    plan = corpus.turns(clips, 60, iter([0.2, 0.7, 0.5, 0.1]))
+    assert plan == [("B", "b1", 0.0, 3.0), ("A", "a1", 2.75, 4.75), ("B", "b2", 4.5, 6.5), ("A", "a3", 6.25, 7.25)]  # a2 is too short, and used up
+    assert [x[1] for x in corpus.turns(clips, 4, iter([0.0, 0.0, 0.0]))] == ["b1", "a1"]
+    draws = iter([0.0] * 3)
+    assert [x[1] for x in corpus.turns({"A": [("a1", 1.0)], "B": [("b1", 1.0), ("b2", 1.0)]}, 60, draws)] == ["a1", "b1", "b2"]
+    assert next(draws, None) is None  # no draw for a speaker who has none left
+    assert corpus.turns({}, 10, iter([])) == []
+
+
+def test_take_until_counts_the_gap(spark):
+    df = spark.createDataFrame([("s", i, 1.0) for i in range(10)] + [("s", 10, 0.3)], "k string, i int, duration_sec double")
+    assert corpus.take_until(df, ["k"], "i", 5.0).count() == 4
+    assert corpus.take_until(df, ["k"], "i", 5.0, gap=0.0).count() == 5
+
+
+def test_resumed_equals_uninterrupted(spark):
+    """Blocks of 8 s every 10 s, in one run and in two, with a chunk that a broken run left behind."""
+    block = lambda f, b, tag: (f, b, [(b * 10.0, b * 10.0 + 3.0), (b * 10.0 + 4.0, b * 10.0 + 8.0)], f"{tag} block {b} said")
+    schema = "file_key string, block_index int, spans array<struct<start_sec:double,end_sec:double>>, text string"
+
+    def done(rows):
+        df = spark.createDataFrame(rows, schema).withColumn("texts", cues.align_block_text(F.col("spans"), F.col("text")))
+        return df.select("file_key", "block_index", F.zip_with("spans", "texts", lambda s, t: F.struct(s["start_sec"].alias("start_sec"), s["end_sec"].alias("end_sec"), t.alias("text"))).alias("segments"), F.lit(7.0).alias("speech_sec"), "text")
+
+    whole = done([block("f", b, "x") for b in range(6)])
+    first = done([block("f", b, "x") for b in range(3)] + [block("f", 3, "stale")])
+    rest = done([block("f", b, "x") for b in range(3, 6)])
+    no_runs = spark.createDataFrame([], "file_key string, done_blocks int")
+    runs = spark.createDataFrame([("f", 3)], "file_key string, done_blocks int")
+    a, b = store.resumed(no_runs, first, whole).first(), store.resumed(runs, first, rest).first()
+    assert a == b and len(a.segments) == 12 and a.speech_sec == 42.0 and a.text.startswith("x block 0 said x block 1")
+    assert store.resumed(runs, first, whole).first() == a  # what is done is not taken again
+
+
+def test_store_projections(spark):
+    s = spark.createDataFrame([("s", "n", "video/mp4", [(0, 0.0, 1.0, "a", None, True), (1, 1.0, 0.5, "b c", "A", None)]), ("t", "m", None, [])], "session_id string, name string, mime string, segments array<struct<idx:int,start_sec:double,end_sec:double,text:string,speaker:string,edited:boolean>>")
+    got = {r.session_id: r for r in store.opened(s).collect()}
+    assert got["s"].segments[0].asDict() == {"start_sec": 0.0, "end_sec": 1.0, "text": "a", "speaker": None}
+    assert (got["s"].media_kind, got["s"].edited_initially, got["t"].media_kind, got["t"].edited_initially) == ("video", [0], "audio", [])
+    rows = s.select("session_id", F.explode("segments").alias("x")).select("session_id", "x.*")
+    t = store.editor_totals(rows, ["session_id"]).first()
+    assert (t.n_words, t.speech_sec) == (3, 1.0)
+    saved = spark.createDataFrame([(True,), (False,), (None,)], "x boolean")
+    assert [r[0] for r in saved.select(store.save_notice(F.col("x"), "both", "text")).collect()] == ["both", "text", None]
+    assert store.stored_bytes(spark.createDataFrame([(5,), (None,)], "audio_bytes long")).first().bytes == 5
+    log = spark.createDataFrame([("a", i) for i in range(300)], "k string, i int")
+    assert store.log_tail(log, ["k"], ["i"]).agg(F.min("i"), F.count("*")).first()[:] == (99, 201)
+    twice = spark.createDataFrame([("s", 1, "old", "A", 1), ("s", 1, "new", None, 2)], "session_id string, idx int, text string, speaker string, v int")
+    base = spark.createDataFrame([("s", 1, "x", "B", False)], "session_id string, idx int, text string, speaker string, edited boolean")
+    assert store.merge_edits(base, twice, ["session_id", "idx"], ["text", "speaker"], version="v").collect()[0][:] == ("s", 1, "new", "B", True)
+
+
+def test_manifest_headers(spark):
+    item = "struct<id:string,url:string,lang:string,durationSec:double,condition:string,reference:string,sha256:string,level:string,split:string,snrDb:double,speakers:int>"
+    good = ("a", "u", "es", 1.0, "clean", "r", "0" * 64, None, None, None, None)
+    df = spark.createDataFrame([("x", None, []), ("y", "1", [good, good, (None, *good[1:])])], f"path string, version string, items array<{item}>")
+    got = sorted((r.path, r.item, r.problem) for r in corpus.manifest_problems(df).where("path = 'y'").collect())
+    assert got == [("y", 1, "id repeated"), ("y", 2, "id missing")]
+    assert {r.problem for r in corpus.manifest_problems(df).where("path = 'x'").collect()} == {"version missing", "no items"}
+
+
+def test_run_store_and_report(spark):
+    fields = "run_id string, seq int, model string, backend string, item_id string, status string, infer_ms double, rtf double, load_ms double, mem_peak_mb double, sub int, del int, ins int, ref_words int, error string"
+    rows = [("r", 1, "m", "wasm", "i2", "error", None, None, None, None, None, None, None, None, "boom | bang"), ("r", 0, "m", "wasm", "i1", "ok", 500.0, 0.5, 2000.0, 120.4, 1, 0, 0, 10, None), ("q", 0, "n", "webgpu", "i1", "timeout", None, None, None, None, None, None, None, None, "late")]
+    results = spark.createDataFrame(rows, fields)
+    heads = spark.createDataFrame([("r", "dev"), ("z", "dev")], "run_id string, device string")
+    loaded = {r.run_id: [x.seq for x in r.results] for r in readers.load_run(heads, results).collect()}
+    assert loaded == {"r": [0, 1], "z": []} and readers.load_run(heads, results, "z").count() == 1
+    models = spark.createDataFrame([("m", "MIT", 0), ("n", "Apache", 1)], "model string, license string, place int")
+    body = sinks.report("r", "2026", {"Browser": "x", "Memory": None}, results.where("run_id = 'r'"), models, choice="m")
+    assert "| m | — | **0.50** · 10.0 % | MIT |" in body and "| n | — | — | Apache |" in body
+    assert "| m | wasm | 1 | 0.50 | 10.0 % | 0 | 120 MB | 2.0 s |" in body
+    assert "## Failures" in body and "boom \\| bang" in body and "| Memory | — |" in body
+    whole = sinks.report("q", "2026", {}, results.where("run_id = 'q'"), models)
+    assert "⏱ >5×" in whole and "| n | webgpu | 1 | ⏱ >5× | — |" in whole
+    import pytest
+
+    with pytest.raises(ValueError):
+        sinks.markdown_table(spark.range(20), limit=10)
+
+
+def test_saves_are_whole_or_not_seen(spark, tmp_path):
+    head = spark.createDataFrame([("a", 1)], "k string, n int")
+    rows = spark.createDataFrame([("a", 0), ("a", 1)], "k string, idx int")
+    for _ in range(2):
+        sinks.save_pair(head, rows, str(tmp_path / "s"), "k")
+    sinks.replace_keys(rows.withColumn("k", F.lit("b")), str(tmp_path / "s" / "rows"), ["k"])  # a save that broke off
+    h, r = sinks.load_pairs(spark, str(tmp_path / "s"), "k")
+    assert h.count() == 1 and r.count() == 2
+    body = sinks.to_json(rows, ["k"], "idx").first().body
+    import json
+
+    assert json.loads(body) == [{"idx": 0}, {"idx": 1}]
+
+
+def test_csv_keeps_exact_times_and_trims_all_space(spark):
+    t = timed(spark, (1.0005, 0.0625, " \t\u00a0x\u2003", None), (1, 2, "\t\u00a0", None))
+    assert sinks.to_csv(t, ["k"]).first().body.split("\r\n")[1:] == ["1.000,0.063,00:00:01.000,00:00:00.063,,x", ""]
+
+
+def test_quantiles_by_brackets(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    data = {"a": [rng.gauss(0, 1) for _ in range(6000)], "b": [5.0] * 3000 + [rng.random() for _ in range(4000)], "c": [1.0], None: [2.0, 4.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in data.items() for x in xs] + [("a", None)], "k string, x double").repartition(5)
+    monkeypatch.setattr(bench, "SKETCH", 500)
+    got = {r.k: r for r in bench.spread(df, ["k"], "x").collect()}
+    for k, xs in data.items():
+        assert (got[k].n, got[k].single) == (len(xs), len(xs) < 2)
+        assert np.allclose([got[k].median, got[k].p10, got[k].p90], np.quantile(xs, [0.5, 0.1, 0.9]))
+    assert bench.spread(df.limit(0), ["k"], "x").count() == 0
+
+
+def test_running_estimates(spark):
+    rows = [("r", 0, "start", 0.0, 0.0), ("r", 1, "calibrate", 9.0, 26.0), ("r", 2, "calibrate", 15.0, 30.0), ("r", 3, "refine", 20.0, 30.0), ("r", 4, "refine", 30.0, 100.0)]
+    df = spark.createDataFrame([(*r, 300.0, None, 0.4) for r in rows], "k string, i int, kind string, elapsed_sec double, processed_sec double, duration_sec double, learned double, median double")
+    got = [(r.rtf, r.source, round(r.remaining_sec, 6), r.warmup) for r in bench.running_estimate(df, ["k"], "i").orderBy("i").collect()]
+    assert got[:4] == [(0.4, "tabla", 120.0, None), (0.4, "tabla", 109.6, None), (0.5, "calibrado", 135.0, None), (0.5, "calibrado", 135.0, None)]
+    assert got[4][:3] == (0.3, "refinado", 60.0) and abs(got[4][3] - 15 / 9) < 1e-9
+    known = bench.running_estimate(df.withColumn("learned", F.lit(0.9)).where("i = 0"), ["k"], "i").first()
+    assert (known.rtf, known.source) == (0.9, "aprendido")

@@ -33,6 +33,15 @@ def test_edit_counts_equal_the_full_table():
         assert edit_counts(ref, hyp) == table_counts(ref, hyp)
 
 
+def test_pairs_compared_together_give_the_same(monkeypatch):
+    rng = random.Random(2)
+    pairs = [tuple([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2)) for _ in range(200)]
+    want = [table_counts(r, h) for r, h in pairs]
+    for cells in (1, 50, 1 << 16):
+        monkeypatch.setattr(metrics, "CELLS", cells)
+        assert metrics.edit_counts_of(pairs) == want
+
+
 @pytest.mark.parametrize("ref,hyp,want", [("hola que tal", "hola que tal a b c d e f g h", (8 / 3, 0, 0, 8)), ("a b", "", (1.0, 0, 2, 0)), ("", "a", (float("inf"), 0, 0, 1)), ("", "", (0.0, 0, 0, 0)), ("a b c", "a x c", (1 / 3, 1, 0, 0))])
 def test_word_errors(spark, ref, hyp, want):
     df = spark.createDataFrame([(ref.split(), hyp.split())], "r array<string>, h array<string>")

@@ -1,3 +1,6 @@
+import hashlib
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +29,27 @@ def test_mix_has_the_ratio_asked_for():
     noise = out - s
     assert abs(20 * np.log10(np.sqrt((s**2).mean()) / np.sqrt((noise**2).mean())) - 10) < 0.1
     assert np.abs(signal.mix(tone(1, 100) * 2, n, 0.0)).max() <= 0.99 + 1e-9
-    assert len(signal.babble([s, n], 5000)) == 5000
+
+
+def test_babble_draws_its_layers():
+    rate, pool = 100, [np.full(100, float(i)) for i in range(60)]
+    draws = iter([0.0, 0.5, 0.99, 0.0, 0.5, 0.99])
+    out = signal.babble(pool, 300, draws, rate)
+    assert len(out) == 300
+    want = np.zeros(300)
+    for k, first in enumerate([0, 10, 19, 0, 10, 19]):  # one of 60 - 40 places
+        layer = np.concatenate([np.concatenate((pool[first + i], np.zeros(5))) for i in range(3)])
+        want += [layer[(i + k * len(layer) // 6) % len(layer)] for i in range(300)]
+    assert np.allclose(out, want / 6)
+    assert not signal.babble([np.ones(10)], 50, iter([0.1] * 6), rate).any()  # all too short
+
+
+def test_room_noise_equals_its_recurrence():
+    state, want = 7, []
+    for _ in range(1000):
+        state = (state * 1664525 + 1013904223) % 2**32
+        want.append((state / 2**32 * 2 - 1) * 0.01)
+    assert np.allclose(signal.room_noise(1000, 7), want) and len(signal.room_noise(0)) == 0
 
 
 def test_wav_round_trip(spark, tmp_path):
@@ -37,14 +60,15 @@ def test_wav_round_trip(spark, tmp_path):
     (tmp_path / "b.wav").write_bytes(b"nope")
     rows = {r.path.rsplit("/", 1)[-1]: r for r in readers.wav(spark, str(tmp_path / "*.wav")).collect()}
     assert rows["a.wav"].samples[0] > 0.999 and rows["a.wav"].error is None
+    assert rows["b.wav"].sha256 == hashlib.sha256(b"nope").hexdigest()
     assert rows["b.wav"].samples is None and rows["b.wav"].error
 
 
 def test_index_readers(spark, tmp_path):
-    (tmp_path / "i.tsv").write_text("a\tx\ty\n\nb\tz\n")
-    (tmp_path / "i.csv").write_text('1, s, "hola, mundo"\n')
+    (tmp_path / "i.tsv").write_text(" a \tx\ty \r\n\nb\tz\n")
+    (tmp_path / "i.csv").write_text('1, s1, "hola, mundo"\nonly, two\n3, , no id\n4, s4, ""\n5,s5,"a" b\n')
     assert sorted(map(tuple, readers.tsv_index(spark, str(tmp_path / "i.tsv")).collect())) == [("a", "x\ty"), ("b", "z")]
-    assert tuple(readers.csv_index(spark, str(tmp_path / "i.csv")).first()) == ("1", "s", "hola, mundo")
+    assert sorted(map(tuple, readers.csv_index(spark, str(tmp_path / "i.csv")).collect())) == [("s1", "hola, mundo"), ("s5", 'a" b')]
     agents = spark.createDataFrame([("Mozilla Chrome/1 Edg/2",), ("Chrome/1 Safari/2",), ("Firefox/3",), ("x",)], "a string")
     assert [r[0] for r in agents.select(readers.browser_of(F.col("a"))).collect()] == ["edge", "chrome", "firefox", "otro"]
 
@@ -95,3 +119,24 @@ def test_isolated_model_slot(spark):
 
     got = [(r.result.value, r.result.status, r.result.error) for r in streams.isolated(df, call, "t").collect()]
     assert got == [("A", "ok", None), (" ", "skipped", None), (None, "error", "no")]
+
+    def slow(x):
+        time.sleep(3 if x == "a" else 0)
+        return [0.5, float(len(x))]
+
+    late = [(r.result.value, r.result.status) for r in streams.isolated(df.coalesce(1), slow, "t", kind="array<float>", seconds=0.5).collect()]
+    assert late == [(None, "timeout"), (None, "skipped"), ([0.5, 3.0], "ok")]
+
+
+def test_blocks_are_sent_in_order(spark, tmp_path):
+    for k, rows in enumerate([[(7, 2, "c"), (7, 0, "a")], [(8, 1, "y")], [(7, 1, "b"), (7, 0, "again"), (8, 0, "x")], [(7, 5, "early")]]):
+        spark.createDataFrame(rows, "k long, block_index long, payload string").coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema("k long, block_index long, payload string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    out = streams.in_order(stream, "k")
+    assert dict(out.dtypes)["k"] == "bigint"
+    q = streams.write_batches(out, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    sent = lambda k: [(r.block_index, r.payload) for r in sorted((r for r in rows if r.k == k), key=lambda r: (r.batch_id, r.block_index))]
+    assert sent(7) == [(0, "a"), (1, "b"), (2, "c")] and sent(8) == [(0, "x"), (1, "y")]

@@ -65,6 +65,14 @@ def test_normalize_is_idempotent(spark):
         assert r.n == r.m
 
 
+def test_contractions_are_looked_for_by_their_letters():
+    from voxframe.constants import CONTRACTIONS
+
+    for pattern, _ in CONTRACTIONS:
+        need = text._literal_of(pattern)
+        assert "'" in need and need in pattern and len(need) > 1
+
+
 def one(spark, col, *values):
     df = spark.createDataFrame([values], ", ".join(f"c{i} string" for i in range(len(values))))
     return df.select(col(*[F.col(c) for c in df.columns]).alias("x")).first().x
@@ -82,6 +90,14 @@ def test_small_text_functions(spark):
     assert one(spark, lambda c: text.default_speaker_name(c), "1") == "Hablante 2"
     assert one(spark, lambda c: text.default_speaker_name(c), "Ana") == "Ana"
     assert one(spark, lambda c: text.slug(c), "Run A/B 2") == "run-a-b-2"
-    assert one(spark, text.pdf_safe, "a→b 日 €") == "a>b ? €"
+    assert one(spark, text.pdf_safe, "a→b 日 €") == "a->b ? €"
+    assert one(spark, text.pdf_safe, "5\u2032 6\u2033 \u22123\u00a0x\ny\u2009z \U0001f600") == "5' 6\" -3\u00a0x?y z ?"
+    assert one(spark, text.dtype_label, "fp16", "fp16") == "enc:fp16/dec:fp16"
+    assert one(spark, text.report_filename, "Mi PC/2", "r1") == "resultados-mi-pc-2-r1.md"
+    assert one(spark, text.report_filename, None, "r1") == "resultados-equipo-r1.md"
+    assert one(spark, text.language_pair, "es", "en") == "es-en" and one(spark, text.language_pair, "es", "es") is None
+    assert one(spark, text.language_pair, None, "en") is None and one(spark, text.language_pair, "fr", "en") is None
+    assert one(spark, text.is_video, "video/mp4") is True and one(spark, text.is_video, None) is False
+    assert one(spark, text.strip_diacritics, "ñandú Ḃ ở") == "ñandu B o"
     assert one(spark, lambda c: text.phrase({"a": "b"}, c), "a") == "b"
     assert one(spark, lambda c: text.phrase({"a": "b"}, c), "z") == "z"

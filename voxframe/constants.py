@@ -39,6 +39,14 @@ RESERVE_BYTES, RESERVE_SHARE = 150 * 1024 * 1024, 0.1
 KEPT_RUNS = 3
 QUOTA_TIGHT = 0.8
 
+LONG_FILE_SEC = 1800.0
+LANGUAGE_PAIRS = ("es-en", "en-es")
+
+# Names of files and single-byte Western text.
+FORBIDDEN_IN_NAMES = r"[<>:\"/\\|?*\x00-\x1f]"
+WESTERN = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+PDF_SUBSTITUTES = (("[\u2032\u2035]", "'"), ("[\u2033\u2036]", '"'), ("[\u2192\u27f6]", "->"), ("\u2212", "-"), ("[\u2009\u202f]", " "))
+
 # Corpus building and signal checks.
 CORPUS_GAP_SEC, CORPUS_OVERLAP_SEC, CORPUS_SNR_DB, CORPUS_SEED = 0.4, 0.25, 10.0, 20260823
 ENERGY_RATIO = 4.0

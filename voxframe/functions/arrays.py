@@ -37,7 +37,14 @@ def clip_percent(a: Column, level: float = 0.999) -> Column:
 
 def limit_peak(a: Column, top: float = 0.99) -> Column:
     """Scale down to ``top`` where the peak is above it."""
-    return F.when(peak(a) > top, F.transform(_doubles(a), lambda x: x * top / peak(a))).otherwise(_doubles(a))
+    scaled = lambda p: F.when(p > top, F.transform(_doubles(a), lambda x: x * top / p)).otherwise(_doubles(a))
+    return F.get(F.transform(F.array(peak(a)), scaled), F.lit(0))
+
+
+def concat_clips(rows, keys: list[str], order: str, samples: str = "samples"):
+    """The clips of each key one after another, by ``order``: one array a key."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, samples))), lambda r: r[samples])
+    return rows.groupBy(*keys).agg(F.flatten(parts).alias(samples))
 
 
 def slice_samples(a: Column, start_sec: Column, end_sec: Column, rate: int = 16_000) -> Column:

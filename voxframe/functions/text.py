@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from voxframe.constants import CONTRACTIONS, HUNDRED_WORDS, HUNDREDS, JOINERS, THOUSAND_WORDS, UNITS
+from voxframe.constants import CONTRACTIONS, FORBIDDEN_IN_NAMES, HUNDRED_WORDS, HUNDREDS, JOINERS, LANGUAGE_PAIRS, PDF_SUBSTITUTES, THOUSAND_WORDS, UNITS, WESTERN
 
 #: Unicode white space, as trimming and splitting see it.
 SPACE = r"[\s\u000b\u0085   -     　﻿]"
@@ -31,8 +31,10 @@ def words(col: Column) -> Column:
 def _bare_letters() -> tuple[str, str]:
     """Single characters whose decomposition is a base and marks U+0300 to U+036F, and the bases; not ñ."""
     have, give = [], []
-    for code in range(0xC0, 0x1F00 + 0x100):
+    for code in range(0xC0, 0x10000):
         c = chr(code)
+        if 0xAC00 <= code < 0xD800 or 0xD800 <= code < 0xE000:  # syllables have no marks; surrogates are no characters
+            continue
         full = unicodedata.normalize("NFD", c)
         if c in "ñÑ" or len(full) < 2 or not all("̀" <= m <= "ͯ" for m in full[1:]):
             continue
@@ -49,16 +51,36 @@ def strip_diacritics(col: Column) -> Column:
     return F.regexp_replace(F.translate(col, _MARKED, _BARE), "[̀-ͯ]", "")
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _literal_of(pattern: str) -> str:
+    """The letters that a contraction's pattern needs: its longest plain run around the apostrophe."""
+    at = pattern.index("'")
+    low = high = at
+    while low and (pattern[low - 1].isalpha()):
+        low -= 1
+    while high + 1 < len(pattern) and pattern[high + 1].isalpha():
+        high += 1
+    return pattern[low : high + 1]
+
+
 def expand_contractions(col: Column) -> Column:
+    """Each pattern in order, looked for only where its letters stand."""
+
+    def gated(pattern: str, full: str):
+        return lambda c: F.when(F.contains(c, F.lit(_literal_of(pattern))), F.regexp_replace(c, pattern, full)).otherwise(c)
+
     for pattern, full in CONTRACTIONS:
-        col = F.regexp_replace(col, pattern, full)
+        col = _once(col, gated(pattern, full))
     return col
 
 
 def normalize_base(text: Column, lang: Column) -> Column:
     """Rules 1 to 5: lower case, contractions (en), punctuation, diacritics, white space."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    low = F.when((lang == "en") & F.contains(low, F.lit("'")), expand_contractions(low)).otherwise(low)
+    low = _once(F.lower(F.coalesce(text, F.lit(""))), lambda c: F.when((lang == "en") & F.contains(c, F.lit("'")), expand_contractions(c)).otherwise(c))
     spaced = F.regexp_replace(low, "[-–—/_]+", " ")
     kept = F.regexp_replace(spaced, rf"[^\p{{L}}\p{{N}}{SPACE[1:-1]}]", "")
     return collapse_space(strip_diacritics(kept))
@@ -138,27 +160,20 @@ def escape_markup(col: Column) -> Column:
     return col
 
 
-#: Characters that file systems refuse in names.
-FORBIDDEN = r"[<>:\"/\\|?*\x00-\x1f]"
-
-
 def safe_name(col: Column, fallback: str = "transcripcion") -> Column:
     """A file name without extension and forbidden characters, at most 80 long."""
     name = F.regexp_replace(F.coalesce(col, F.lit("")), r"\.[^.]+$", "")
-    name = F.regexp_replace(F.regexp_replace(name, FORBIDDEN, "-"), rf"{SPACE}+", " ")
+    name = F.regexp_replace(F.regexp_replace(name, FORBIDDEN_IN_NAMES, "-"), rf"{SPACE}+", " ")
     name = F.regexp_replace(name, r"[-\s]*-[-\s]*", "-")
     name = F.regexp_replace(name, r"^[-\s]+|[-\s]+$", "")
     return F.coalesce(F.nullif(trim_space(F.substring(name, F.lit(1), F.lit(80))), F.lit("")), F.lit(fallback))
 
 
-#: Typographic characters of a single-byte Western encoding, beside Latin-1.
-_WESTERN = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
-
-
 def pdf_safe(col: Column) -> Column:
-    """Characters that a Western single-byte font lacks become '?'."""
-    plain = F.translate(col, "‐‑−   →←", "---   ><")
-    return F.regexp_replace(plain, rf"[^\x0a\x20-\x7e\xa1-\xff{_WESTERN}]", "?")
+    """What a Western single-byte font can draw: a few signs have equivalents, all else becomes '?'."""
+    for sign, plain in PDF_SUBSTITUTES:
+        col = F.regexp_replace(col, sign, plain)
+    return F.regexp_replace(col, rf"[^\x20-\x7e\xa0-\xff{WESTERN}]", "?")
 
 
 def ellipsis(col: Column, width: int) -> Column:
@@ -179,13 +194,18 @@ def run_key(model: Column, backend: Column, item: Column) -> Column:
 
 
 def dtype_label(encoder: Column, decoder: Column) -> Column:
-    return F.when(encoder == decoder, encoder).otherwise(F.concat_ws("/", encoder, decoder))
+    return F.concat(F.lit("enc:"), encoder, F.lit("/dec:"), decoder)
 
 
 def slug(col: Column) -> Column:
     return F.lower(F.regexp_replace(col, "(?i)[^a-z0-9]+", "-"))
 
 
+def report_filename(label: Column, run_id: Column) -> Column:
+    """A report's file name, with the device's label so that runs do not overwrite each other."""
+    return F.concat(F.lit("resultados-"), F.coalesce(slug(label), F.lit("equipo")), F.lit("-"), run_id, F.lit(".md"))
+
+
 def default_speaker_name(label: Column, template: str = "Hablante {}") -> Column:
     """A numeric label n becomes the template with n + 1, another stays; blank counts as 0."""
     head, tail = template.split("{}")
@@ -210,3 +230,14 @@ def phrase(entries: dict[str, str], key: Column) -> Column:
     """Dictionary lookup; the key itself where an entry is missing."""
     table = F.create_map(*[F.lit(x) for pair in entries.items() for x in pair]) if entries else F.create_map().cast("map<string,string>")
     return F.coalesce(F.try_element_at(table, key), key)
+
+
+def language_pair(source: Column, target: Column, pairs: tuple[str, ...] = LANGUAGE_PAIRS) -> Column:
+    """The translation direction, null where source and target agree, the source is unknown or no pair fits."""
+    key = F.concat_ws("-", source, target)
+    return F.when(source.isNotNull() & (source != "") & (source != target) & key.isin(*pairs), key)
+
+
+def is_video(mime: Column) -> Column:
+    """Is the declared type a video's?  An unknown type is not."""
+    return F.coalesce(F.startswith(mime, F.lit("video/")), F.lit(False))

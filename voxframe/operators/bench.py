@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.constants import LEARNED_MAX_RTF, LEARNED_MIN_SPEECH_SEC, LEARNED_SAMPLES
+from voxframe.constants import CALIBRATION_SEC, CALIBRATION_SHARE, LEARNED_MAX_RTF, LEARNED_MIN_SPEECH_SEC, LEARNED_SAMPLES
+from voxframe.session import catalogue
 
 
 def should_run(coverage: Column, lang: Column) -> Column:
@@ -19,9 +20,8 @@ def in_levels(level: Column, levels: list[str]) -> Column:
 
 
 def run_matrix(models: DataFrame, backends: DataFrame, items: DataFrame) -> DataFrame:
-    """All models by backends by items; the first two are catalogues of a fixed few rows, sent to the items."""
-    few = models.crossJoin(backends)
-    return items.crossJoin(F.broadcast(few))
+    """All models by backends by items, which is what a run does; the first two are catalogues of few rows."""
+    return items.crossJoin(catalogue(models.crossJoin(backends)))
 
 
 def pending(matrix: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,7 +48,7 @@ def model_key(hf_id: Column) -> Column:
 
 def pick_profile(profiles: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     """First profile by ``rank`` whose needs (need_bytes, need_gpu) a device (keys, max_bytes, gpu) meets."""
-    fits = limits.crossJoin(F.broadcast(profiles)).where((F.col("need_bytes") <= F.col("max_bytes")) & (~F.col("need_gpu") | F.col("gpu")))  # profiles are a fixed catalogue
+    fits = limits.join(catalogue(profiles), (F.col("need_bytes") <= F.col("max_bytes")) & (~F.col("need_gpu") | F.col("gpu")))
     best = fits.groupBy(*keys).agg(F.min_by("profile", "rank").alias("profile"))
     return limits.join(best, keys, "left")
 
@@ -101,9 +101,49 @@ def failures(results: DataFrame) -> DataFrame:
     return results.where(F.col("status").isin("error", "timeout"))
 
 
+#: Accuracy of the sketch that brackets a quantile: the bracket holds some 1 / 25,000 of a key's rows.
+SKETCH = 200_000
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles (name -> share) of each key, and ``n``.
+
+    A sketch of bounded rank error brackets each quantile; what lies below a bracket is only
+    counted, and of what lies inside distinct values and their counts are collected, so no
+    task holds a key's values, nor the copies of one value.  AQE broadcasts the brackets if
+    they are small.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    names, slack = list(shares), 4.0 / SKETCH
+    edges = [min(max(p + s, 0.0), 1.0) for p in shares.values() for s in (-slack, slack)]
+    few = F.count("*") * slack < 2  # then the bracket is everything: at most 100,000 rows
+    ends = rows.groupBy(*keys).agg(F.percentile_approx("_x", F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH)).alias("_e"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), few.alias("_few"))
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.when(F.col("_few"), F.col("_high" if j % 2 else "_low")).otherwise(F.get("_e", F.lit(j))).alias(f"_e{j}") for j in range(len(edges))])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    sides = rows.join(ends, on) if keys else rows.crossJoin(F.broadcast(ends))  # without keys one row
+    below = sides.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(F.col("_x") < F.col(f"_e{2 * i}")).alias(f"_b{i}") for i in range(len(names))])
+    inside = F.array_compact(F.array(*[F.when(F.col("_x").between(F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}")), F.lit(i)) for i in range(len(names))]))
+    held = sides.select(*keys, "_x", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_x").agg(F.count("*").alias("c"))
+    lists = held.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("_i") == i, F.struct(F.col("_x").alias("x"), "c")))).alias(f"_v{i}") for i in range(len(names))])
+    lists = lists.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_v{i}" for i in range(len(names))])
+    both = below.join(lists, on) if keys else below.crossJoin(F.broadcast(lists))
+
+    def at(i: int, rank: Column) -> Column:
+        start = F.struct(F.col(f"_b{i}").alias("n"), F.lit(None).cast("double").alias("x"))
+        return F.aggregate(f"_v{i}", start, lambda a, v: F.struct((a["n"] + v["c"]).alias("n"), F.when(a["x"].isNull() & (a["n"] + v["c"] > rank), v["x"]).otherwise(a["x"]).alias("x")))["x"]
+
+    def quantile(i: int, p: float) -> Column:
+        place = (F.col("n") - 1) * F.lit(p)
+        return at(i, F.floor(place)) + (at(i, F.ceil(place)) - at(i, F.floor(place))) * (place - F.floor(place))
+
+    return both.select(*keys, *[quantile(i, p).alias(name) for i, (name, p) in enumerate(shares.items())], "n")
+
+
 def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median and the p10 to p90 range, interpolated; a single sample is its own range."""
-    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias("median"), F.percentile(value, F.lit(0.1)).alias("p10"), F.percentile(value, F.lit(0.9)).alias("p90"), F.count("*").alias("n"), (F.count("*") < 2).alias("single"))
+    return quantiles(rows, keys, value, {"median": 0.5, "p10": 0.1, "p90": 0.9}).withColumn("single", F.col("n") < 2)
 
 
 def range_coverage(held: DataFrame, ranges: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -157,3 +197,53 @@ def matrix_hours(items: DataFrame, level: str, combinations: int) -> DataFrame:
 
 def describe_corpus(items: DataFrame) -> DataFrame:
     return items.groupBy("lang").agg(F.count("*").alias("items"), (F.sum("duration_sec") / 60).alias("minutes"))
+
+
+def detail_rows(catalogue_: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """A report's detail: only the pairs of the catalogue that have results."""
+    return catalogue_.join(cells, keys)
+
+
+def modes(devices: DataFrame, profiles: DataFrame, keys: list[str], fast: str, balanced: str, no_gpu: str, no_room: str) -> DataFrame:
+    """Three rows a device (keys, max_bytes, gpu, reason), always in this order: rapido, equilibrado, preciso.
+
+    The first two have fixed profiles.  The third is the first GPU profile by ``rank`` that
+    fits the device's buffer (a limit of 0 or null is none); without one, ``why`` says so.
+    """
+    limit = F.coalesce("max_bytes", F.lit(0))
+    on = F.col("need_gpu") & ((limit <= 0) | (F.col("need_bytes") <= limit))
+    fits = devices.where("gpu").join(catalogue(profiles), on).groupBy(*keys).agg(F.min_by("profile", "rank").alias("_best"))
+    rows = devices.join(fits, keys, "left")
+    why = F.when(F.col("_best").isNull(), F.when(F.coalesce("gpu", F.lit(False)), F.lit(no_room)).otherwise(F.coalesce("reason", F.lit(no_gpu))))
+    none = F.lit(None).cast("string")
+    row = lambda n, mode, profile, reason: F.struct(F.lit(n).alias("place"), F.lit(mode).alias("mode"), profile.alias("profile"), reason.alias("why"))
+    three = F.array(row(0, "rapido", F.lit(fast), none), row(1, "equilibrado", F.lit(balanced), none), row(2, "preciso", F.col("_best"), why))
+    return rows.select(*keys, F.explode(three).alias("_m")).select(*keys, "_m.*")
+
+
+def running_estimate(events: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rate, source and what is left after each event of a run.
+
+    Events have ``kind`` (start, calibrate, refine or any other), elapsed_sec, processed_sec,
+    duration_sec, learned and median: the rate is the table's median, or the learned one if
+    that is above 0; a calibration counts if it covers nine tenths of a window, a refinement
+    beyond one window.  ``warmup`` compares the first window with the steady rate.
+    """
+    so_far = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rate = F.try_divide("elapsed_sec", "processed_sec")
+    first = (F.col("kind") == "calibrate") & (F.col("processed_sec") >= CALIBRATION_SEC * CALIBRATION_SHARE)
+    later = (F.col("kind") == "refine") & (F.col("processed_sec") > CALIBRATION_SEC) & (F.col("elapsed_sec") > 0)
+    known = F.when(first, F.struct(rate.alias("rtf"), F.lit("calibrado").alias("source"))).when(later, F.struct(rate.alias("rtf"), F.lit("refinado").alias("source")))
+    learned = F.col("learned") > 0
+    start = F.struct(F.when(learned, F.col("learned")).otherwise(F.col("median")).alias("rtf"), F.when(learned, F.lit("aprendido")).otherwise(F.lit("tabla")).alias("source"))
+    rows = events.withColumn("_k", F.coalesce(F.last(known, ignorenulls=True).over(so_far), start)).withColumn("_w", F.last(F.when(first, F.col("elapsed_sec")), ignorenulls=True).over(so_far))
+    rtf, done = F.col("_k.rtf"), F.coalesce("processed_sec", F.lit(0.0))
+    steady = rtf * CALIBRATION_SEC
+    return rows.select(
+        *events.columns,
+        rtf.alias("rtf"),
+        F.col("_k.source").alias("source"),
+        (F.greatest(F.lit(0.0), F.col("duration_sec") - done) * rtf).alias("remaining_sec"),
+        (F.col("duration_sec") * rtf).alias("total_sec"),
+        F.when((F.col("_k.source") == "refinado") & (steady > 0), F.try_divide(F.col("_w"), steady)).alias("warmup"),
+    )

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxframe.constants import CORPUS_GAP_SEC, CORPUS_OVERLAP_SEC
+from voxframe.functions.text import trim_space
+
 
 def violations(rows: DataFrame, key: str, rules: list[tuple[str, Column]], order: str | None = None) -> DataFrame:
     """(key, problem): every rule that holds for a row; a repeated key is a problem from its second row on."""
@@ -17,7 +20,7 @@ def violations(rows: DataFrame, key: str, rules: list[tuple[str, Column]], order
 
 def manifest_rules() -> list[tuple[str, Column]]:
     c = F.col
-    blank = lambda x: x.isNull() | (F.trim(x) == "")
+    blank = lambda x: x.isNull() | (trim_space(x) == "")
     return [
         ("id missing", blank(c("id"))),
         ("url missing", blank(c("url"))),
@@ -32,6 +35,39 @@ def manifest_rules() -> list[tuple[str, Column]]:
     ]
 
 
+def manifest_problems(manifests: DataFrame, key: str = "path") -> DataFrame:
+    """(key, item, problem) of whole manifests (key, version, items): those of the header, with a null item, then the items'."""
+    header = F.array_compact(F.array(F.when(F.coalesce("version", F.lit("")) == "", F.lit("version missing")), F.when(F.coalesce(F.size("items"), F.lit(0)) < 1, F.lit("no items"))))
+    head = manifests.select(key, F.lit(None).cast("int").alias("item"), F.explode(header).alias("problem"))
+    rows = manifests.select(key, F.posexplode("items").alias("item", "i")).select(key, "item", "i.*")
+    n = F.row_number().over(W.partitionBy(key, "id").orderBy("item"))
+    rules = [*manifest_rules(), ("id repeated", F.col("_dup"))]
+    marked = rows.withColumn("_dup", F.col("id").isNotNull() & (F.col("id") != "") & (n > 1))
+    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(text)) for text, bad in rules]))
+    return head.unionByName(marked.select(key, "item", F.explode(found).alias("problem")))
+
+
+def density_ok(reference: Column, seconds: Column, low: float = 1.0, high: float = 4.5) -> Column:
+    """Do a reference's words a second of audio lie inside the band of read speech (ends excluded)?"""
+    from voxframe.functions.text import words
+
+    rate = F.try_divide(F.size(words(reference)), seconds)
+    return F.coalesce((rate > low) & (rate < high), F.lit(False))
+
+
+def speech_bands(items: DataFrame, low: float = 0.5, high: float = 0.98, least: float = 0.6, most: float = 1.8) -> DataFrame:
+    """Of items (speech_sec, duration_sec, n_segments, expected): speech's share, segments by those expected, and whether both are inside their bands."""
+    share, ratio = F.try_divide("speech_sec", "duration_sec"), F.try_divide("n_segments", "expected")
+    inside = lambda x, a, b: F.coalesce((x > a) & (x < b), F.lit(False))
+    return items.withColumn("speech_share", share).withColumn("segment_ratio", ratio).withColumn("share_ok", inside(F.col("speech_share"), low, high)).withColumn("segments_ok", inside(F.col("segment_ratio"), least, most))
+
+
+def reference_bands(items: DataFrame, n_words: str = "n_words", seconds: str = "duration_sec", least: int = 50, low: float = 0.5, high: float = 6.0) -> DataFrame:
+    """Has a normalized reference enough words for a stable error rate, and a plausible number a second?"""
+    rate = F.try_divide(n_words, seconds)
+    return items.withColumn("words_per_sec", rate).withColumn("enough", F.col(n_words) > least).withColumn("rate_ok", F.coalesce((rate > low) & (rate < high), F.lit(False)))
+
+
 def quality(items: DataFrame) -> DataFrame:
     """Data-quality rules of measured items, one row an item and rule, ``ok`` or not."""
     c = F.col
@@ -42,8 +78,8 @@ def quality(items: DataFrame) -> DataFrame:
         "duration": F.abs(c("duration_sec") - c("measured_sec")) < 0.05,
         "level": c("rms") > 0.005,
         "clipping": c("clip_percent") < 0.1,
-        "reference": F.length(F.trim("reference")) > 20,
-        "density": c("words_per_sec").between(1.0, 4.5),
+        "reference": F.length(trim_space(c("reference"))) > 20,
+        "density": (c("words_per_sec") > 1.0) & (c("words_per_sec") < 4.5),
     }
     wide = items.select("id", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in rules.items()])
     return wide.unpivot("id", list(rules), "rule", "ok")
@@ -56,7 +92,7 @@ def changed_hashes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def existing(index: DataFrame, files: DataFrame) -> DataFrame:
     """Index rows with text whose file exists."""
-    return index.where(F.trim("text") != "").join(files.select("name"), "name", "left_semi")
+    return index.where(trim_space(F.col("text")) != "").join(files.select("name"), "name", "left_semi")
 
 
 def contained_share(texts: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,11 +102,12 @@ def contained_share(texts: DataFrame, references: DataFrame, keys: list[str]) ->
     return sums.withColumn("ok", F.col("inside") * 100 >= F.col("n") * 80)
 
 
-def take_until(pool: DataFrame, keys: list[str], order: str, seconds: float, least: float = 0.5) -> DataFrame:
-    """Clips in order till their sum reaches the target; clips shorter than ``least`` are passed over."""
+def take_until(pool: DataFrame, keys: list[str], order: str, seconds: float, least: float = 0.5, gap: float = CORPUS_GAP_SEC) -> DataFrame:
+    """Clips in order till they and the gap behind each reach the target; clips shorter than ``least`` are passed over."""
     rows = pool.where(F.col("duration_sec") >= least)
-    before = F.coalesce(F.sum("duration_sec").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("_before", before).where(F.col("_before") < seconds).drop("_before")
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    held = F.coalesce(F.sum("duration_sec").over(before), F.lit(0.0)) + F.count("*").over(before) * gap
+    return rows.withColumn("_before", held).where(F.col("_before") < seconds).drop("_before")
 
 
 def pick_diverse(speakers: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -100,16 +137,32 @@ def seeded(seed: int):
         yield (x ^ x >> 14) / 2**32
 
 
-def turns(clips: dict[str, list[tuple[str, float]]], seconds: float, seed: int, overlap: float = 0.25) -> list[tuple[str, str, float, float]]:
-    """A dialogue plan (speaker, clip, start, end): speakers in turn, one or two clips each, turns overlapping."""
-    draw, out, at = seeded(seed), [], 0.0
-    queues = {s: list(c) for s, c in sorted(clips.items())}
-    while at < seconds and any(queues.values()):
-        for speaker, queue in queues.items():
-            for k in range(1 + (next(draw) < 0.5)):
-                if queue:
-                    clip, length = queue.pop(0)
-                    start = max(0.0, at - (overlap if k == 0 and out else 0.0))
-                    out.append((speaker, clip, start, start + length))
-                    at = start + length
+def turns(clips: dict[str, list[tuple[str, float]]], seconds: float, draw, overlap: float = CORPUS_OVERLAP_SEC, least: float = 0.5) -> list[tuple[str, str, float, float]]:
+    """A dialogue plan (speaker, clip, start, end) over a driver-side catalogue of clips.
+
+    Speakers take turns in the order given; a turn is one clip, or two for a draw of a half
+    or more, and a speaker without clips is passed over without a draw.  Turns go on till
+    the clips reach the target.  Clips shorter than ``least`` are used up unplaced; every
+    clip starts ``overlap`` before the end of the one before.
+    """
+    at, held, placed, idle = dict.fromkeys(clips, 0), 0.0, [], 0
+    order = list(clips)
+    turn = 0
+    while held < seconds and idle < len(order):
+        speaker = order[turn % len(order)]
+        turn += 1
+        if at[speaker] >= len(clips[speaker]):
+            idle += 1
+            continue
+        idle = 0
+        own = clips[speaker][at[speaker] : at[speaker] + 1 + (next(draw) >= 0.5)]
+        at[speaker] += len(own)
+        for clip, length in own:
+            if length >= least:
+                placed.append((speaker, clip, length))
+                held += length
+    out, start = [], 0.0
+    for speaker, clip, length in placed:
+        out.append((speaker, clip, start, start + length))
+        start += length - overlap
     return out

@@ -102,7 +102,7 @@ def cue_parts(timed: DataFrame, keys: list[str]) -> DataFrame:
     each = F.ceil(F.size("_w") / F.col("_n")).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_w") / each).cast("int") - 1), lambda i: F.array_join(F.slice(F.col("_w"), i * each + 1, each), " "))
     rows = rows.withColumn("_parts", F.when(F.col("_n") == 1, F.array("text")).otherwise(cut))
-    rows = rows.select(*keys, "idx", "start_sec", "end_sec", "speaker", "_dur", F.posexplode("_parts").alias("part", "text"))
+    rows = rows.select(*keys, "idx", "start_sec", "end_sec", "speaker", "_dur", F.posexplode_outer("_parts").alias("part", "text"))  # there is always a part; outer keeps a filter on the parts' number from being inferred, which would cut the text anew for each part
     order = W.partitionBy(*keys, "idx").orderBy("part")
     chars = F.length("text").cast("double")
     total = F.sum(chars).over(W.partitionBy(*keys, "idx"))

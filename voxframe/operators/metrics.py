@@ -14,55 +14,97 @@ from voxframe.session import plain_unions
 WER = T.StructType([T.StructField("wer", T.DoubleType()), *[T.StructField(n, T.IntegerType()) for n in ("sub", "del", "ins", "ref_words", "hyp_words")]])
 
 
-def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions); ties take the diagonal, then deletion, then insertion.
+#: Cells of one diagonal that pairs are compared in together.
+CELLS = 1 << 16
+
 
-    Cells of an anti-diagonal do not depend on each other, so each is one vector step.
+def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+    """(substitutions, deletions, insertions); ties take the diagonal, then deletion, then insertion."""
+    return edit_counts_of([(ref, hyp)])[0]
+
+
+def edit_counts_of(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[int, int, int]]:
+    """``edit_counts`` of many pairs: those of like length are compared together."""
+    out: list = [None] * len(pairs)
+    todo = []
+    for k, (ref, hyp) in enumerate(pairs):
+        if not ref or not hyp:
+            out[k] = (0, len(ref), len(hyp))
+        else:
+            todo.append((len(ref), len(hyp), k))
+    todo.sort()
+    while todo:
+        size, group = todo[-1][0] + 1, []  # from the longest down
+        while todo and (len(group) + 1) * size <= max(CELLS, size) and (not group or todo[-1][0] * 2 >= size):
+            group.append(todo.pop()[2])
+        for k, counts in zip(group, _diagonals([pairs[k] for k in group]), strict=True):
+            out[k] = counts
+    return out
+
+
+def _diagonals(pairs: list) -> list[tuple[int, int, int]]:
+    """Counts of pairs of like length, padded to the longest.
+
+    Cells of an anti-diagonal do not depend on each other, so each is one vector step for
+    all pairs; a pair's result stands at its own last cell, which padding does not reach.
     A cell holds (cost, sub): at (i, j) deletions less insertions are i - j.
     """
     import numpy as np
 
-    n, m = len(ref), len(hyp)
-    if not n or not m:
-        return 0, n, m
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in ref])
-    b = np.array([ids.setdefault(w, len(ids)) for w in hyp])
+    ns, ms = np.array([len(r) for r, _ in pairs]), np.array([len(h) for _, h in pairs])
+    n, m, rows = int(ns.max()), int(ms.max()), len(pairs)
+    a, b = np.full((rows, n), -1), np.full((rows, m), -2)
+    for k, (ref, hyp) in enumerate(pairs):
+        ids: dict[str, int] = {}
+        a[k, : len(ref)] = [ids.setdefault(w, len(ids)) for w in ref]
+        b[k, : len(hyp)] = [ids.setdefault(w, len(ids)) for w in hyp]
+    b = b[:, ::-1]
     # by i: the two diagonals before, costs and substitutions
-    cost2, sub2 = np.zeros(n + 1, int), np.zeros(n + 1, int)
-    cost1, sub1 = np.zeros(n + 1, int), np.zeros(n + 1, int)
-    cost1[0] = cost1[1] = 1
+    shape = (rows, n + 1)
+    cost2, sub2, cost1, sub1 = (np.zeros(shape, "int32") for _ in range(4))
+    cost1[:, :2] = 1
+    last, total, subs = ns + ms, np.zeros(rows, int), np.zeros(rows, int)
     for d in range(2, n + m + 1):
-        cost, sub = np.zeros(n + 1, int), np.zeros(n + 1, int)
+        cost, sub = np.zeros(shape, "int32"), np.zeros(shape, "int32")
         low, high = max(1, d - m), min(n, d - 1)
         if d <= m:
-            cost[0] = d
+            cost[:, 0] = d
         if d <= n:
-            cost[d] = d
+            cost[:, d] = d
         if low <= high:
-            i = np.arange(low, high + 1)
-            miss = (a[i - 1] != b[d - i - 1]).astype(int)
-            diag, gone, more = cost2[i - 1] + miss, cost1[i - 1] + 1, cost1[i] + 1
+            i = slice(low, high + 1)
+            before = slice(low - 1, high)
+            miss = (a[:, before] != b[:, m - d + low : m - d + high + 1]).astype("int32")
+            diag, gone, more = cost2[:, before] + miss, cost1[:, before] + 1, cost1[:, i] + 1
             best = np.minimum(diag, np.minimum(gone, more))
-            cost[i] = best
-            sub[i] = np.where(diag == best, sub2[i - 1] + miss, np.where(gone == best, sub1[i - 1], sub1[i]))
+            cost[:, i] = best
+            sub[:, i] = np.where(diag == best, sub2[:, before] + miss, np.where(gone == best, sub1[:, before], sub1[:, i]))
+        for k in np.flatnonzero(last == d):
+            total[k], subs[k] = cost[k, ns[k]], sub[k, ns[k]]
         cost2, sub2, cost1, sub1 = cost1, sub1, cost, sub
-    total, subs = int(cost1[n]), int(sub1[n])
-    dels = (total - subs + n - m) // 2
-    return subs, dels, total - subs - dels
+    dels = (total - subs + ns - ms) // 2
+    return [(int(s), int(x), int(t - s - x)) for s, x, t in zip(subs, dels, total, strict=True)]
 
 
 @F.pandas_udf(WER)
 def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Edit distance of two word arrays with its breakdown; null arrays are empty."""
+    words = lambda x: list(x) if x is not None else []
+    pairs = [(words(r), words(h)) for r, h in zip(ref, hyp, strict=True)]
     out = []
-    for r, h in zip(ref, hyp, strict=True):
-        r, h = list(r) if r is not None else [], list(h) if h is not None else []
-        s, d, i = edit_counts(r, h)
+    for (r, h), (s, d, i) in zip(pairs, edit_counts_of(pairs), strict=True):
         out.append(((s + d + i) / len(r) if r else (float("inf") if h else 0.0), s, d, i, len(r), len(h)))
     return pd.DataFrame(out, columns=["wer", "sub", "del", "ins", "ref_words", "hyp_words"])
 
 
+def round_trips(rows: DataFrame, keys: list[str], original: str, there: str, back_wer: str) -> tuple[DataFrame, DataFrame]:
+    """(summary, worst first) of translated sentences: mean rate of the way back, and how much longer they get."""
+    ratio = F.length(there) / F.greatest(F.lit(1), F.length(original))
+    rows = rows.withColumn("length_ratio", ratio)
+    summary = rows.groupBy(*keys).agg(F.avg(back_wer).alias("mean_wer"), F.avg("length_ratio").alias("mean_ratio"), F.count("*").alias("n"))
+    return summary, rows.orderBy(F.desc(F.coalesce(back_wer, F.lit(0.0))), original)
+
+
 def micro_wer(rows: DataFrame, keys: list[str], col: str = "wer") -> DataFrame:
     """Counts added up, then divided: never a mean of rates."""
     sums = rows.groupBy(*keys).agg(*[F.sum(f"{col}.{n}").cast("long").alias(n) for n in ("sub", "del", "ins", "ref_words", "hyp_words")], F.count("*").alias("n"))
@@ -126,14 +168,14 @@ def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], coll
         forgiven = changes.select(*keys, F.lit("collar").alias("speaker"), F.greatest(F.col("f0") - radius, F.lit(0)).alias("a"), F.least(F.col("f0") + radius, F.col("_end")).alias("b")).where("a < b")
         bounds = bounds.unionByName(_bounds(forgiven, keys))
     cuts = elementary(bounds, keys)
-    sides = lambda t, n: _covering(cuts, t, keys).groupBy(*keys, "f0", "f1").agg(F.array_sort(F.collect_set("speaker")).alias(n))
-    none = F.array().cast("array<string>")
-    out = cuts.join(sides(ref, "ref"), [*keys, "f0", "f1"], "left").join(sides(hyp, "hyp"), [*keys, "f0", "f1"], "left")
-    out = out.withColumn("ref", F.coalesce("ref", none)).withColumn("hyp", F.coalesce("hyp", none))
-    if forgiven is None:
-        return out.withColumn("forgiven", F.lit(False))
-    marks = _covering(cuts, forgiven, keys).select(*keys, "f0", "f1", F.lit(True).alias("forgiven"))
-    return out.join(marks, [*keys, "f0", "f1"], "left").withColumn("forgiven", F.coalesce("forgiven", F.lit(False)))
+    # all sides meet the cuts in one join; cuts that nothing covers come back by the union
+    tagged = lambda t, side: t.select(*keys, F.concat(F.lit(side), "speaker").alias("speaker"), "a", "b")
+    sides = tagged(ref, "r").unionByName(tagged(hyp, "h"))
+    if forgiven is not None:
+        sides = sides.unionByName(tagged(forgiven, "c"))
+    found = _covering(cuts, sides, keys).unionByName(cuts.withColumn("speaker", F.lit(None).cast("string")))
+    own = lambda side: F.array_sort(F.collect_set(F.when(F.startswith("speaker", F.lit(side)), F.substring("speaker", 2, 1 << 30))))
+    return found.groupBy(*keys, "f0", "f1").agg(own("r").alias("ref"), own("h").alias("hyp"), F.coalesce(F.bool_or(F.startswith("speaker", F.lit("c"))), F.lit(False)).alias("forgiven"))
 
 
 def der_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -215,6 +257,14 @@ def label_gap(vectors: DataFrame, keys: list[str], vec_id: str = "vec_id", label
     return out.withColumn("gap", F.col("within") - F.col("between"))
 
 
+def shuffled_labels(vectors: DataFrame, keys: list[str], vec_id: str = "vec_id", label: str = "label") -> DataFrame:
+    """The control of ``label_gap``: each key's labels dealt anew, in an order drawn from the ids' digests."""
+    by = W.partitionBy(*keys)
+    ranked = vectors.withColumn("_i", F.row_number().over(by.orderBy(vec_id))).withColumn("_j", F.row_number().over(by.orderBy(F.md5(F.col(vec_id).cast("string")), vec_id)))
+    dealt = ranked.select(*keys, F.col("_j").alias("_i"), F.col(label).alias("_l"))
+    return ranked.drop("_j").join(dealt, [*keys, "_i"]).withColumn(label, F.col("_l")).drop("_i", "_l")
+
+
 def cosine_pairs(vectors: DataFrame, keys: list[str], vec_id: str = "vec_id", embedding: str = "embedding", carry: tuple[str, ...] = ()) -> DataFrame:
     """Cosine of all pairs of one key's vectors; norms are computed once a vector, before the join."""
     from voxframe.functions.arrays import cosine_of, dot

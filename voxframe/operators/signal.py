@@ -66,23 +66,41 @@ def mix_at_snr(pairs: DataFrame, snr_db: float, signal: str = "samples", noise:
     return pairs.withColumn(signal, run(signal, noise))
 
 
-def babble(voices, n: int, layers: int = 6):
-    """Mean of layers of concatenated voices, each from another phase."""
+def babble(pool: list[list], n: int, draw, rate: int = 16_000, layers: int = 6, window: int = 40, gap: float = 0.05):
+    """Murmur of a driver-side pool of clips: layers of consecutive clips from drawn places, each with its own phase, averaged."""
     import numpy as np
 
-    whole = np.concatenate([np.asarray(v, "float64") for v in voices])
-    return sum(np.resize(np.roll(whole, -(len(whole) * k // layers)), n) for k in range(layers)) / layers
+    still, least = np.zeros(int(gap * rate + 0.5)), rate * 0.5
+    out = np.zeros(n)
+    for k in range(layers):
+        first = int(next(draw) * max(1, len(pool) - window))
+        own, held = [], 0.0
+        for clip in pool[first : first + window]:
+            if held >= n / rate:
+                break
+            if len(clip) >= least:
+                own += [np.asarray(clip, "float64"), still]
+                held += len(clip) / rate + gap
+        if own:
+            layer = np.concatenate(own)
+            out += np.resize(np.roll(layer, -(k * len(layer) // layers)), n)
+    return out / layers
 
 
 def room_noise(n: int, seed: int = 1, level: float = 0.01):
-    """Linear-congruential noise: state = state * 1664525 + 1013904223 modulo 2^32."""
+    """Linear-congruential noise: state = state * 1664525 + 1013904223 modulo 2^32.
+
+    States k steps apart obey a rule of the same form, so known ones double with each step.
+    """
     import numpy as np
 
-    out, state = np.empty(n), seed
-    for i in range(n):
-        state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
-        out[i] = (state / 0x100000000 * 2 - 1) * level
-    return out
+    mask = 0xFFFFFFFF
+    states = np.array([seed & mask], "uint64")
+    times, plus = 1664525, 1013904223
+    while len(states) <= n:
+        states = np.concatenate((states, (states * np.uint64(times) + np.uint64(plus)) & np.uint64(mask)))
+        times, plus = times * times & mask, (plus * times + plus) & mask
+    return (states[1 : n + 1] / 0x100000000 * 2 - 1) * level
 
 
 def frames(samples: DataFrame, keys: list[str], n: int = WINDOW_SAMPLES) -> DataFrame:

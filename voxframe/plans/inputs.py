@@ -47,7 +47,8 @@ def timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, lower-cased words of a turn (ref) and of the next one (hyp)."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", words(F.lower("text")).alias("ref"))
-    return c.withColumn("hyp", F.lead("ref").over(W.partitionBy("conv_id").orderBy("turn"))).where("hyp is not null")
+    both = c.withColumn("hyp", F.lead("ref").over(W.partitionBy("conv_id").orderBy("turn"))).where("hyp is not null")
+    return both.repartition(spark.sparkContext.defaultParallelism, "conv_id", "turn")  # few bytes, but much work a row
 
 
 def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,14 @@ _TIMED = "tt AS (SELECT conv_id, turn, turn * 4.0::DOUBLE AS s, turn * 4.0::DOUB
 
 _NEXT = f"nx AS (SELECT * FROM (SELECT conv_id, turn, {_WORDS.format('lower(text)')} AS ref, lead({_WORDS.format('lower(text)')}) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM conversations) WHERE hyp IS NOT NULL)"
 
+#: Word errors of the pairs in nx: cells (i, j) of one anti-diagonal after the other, cost and substitutions; ties take the diagonal, then deletion.
+_WER = f"""{_NEXT}, pr AS (SELECT row_number() OVER () AS k, conv_id, turn, ref, hyp, len(ref)::INT AS n, len(hyp)::INT AS m FROM nx),
+dg AS (SELECT k, 0 AS d, [0] AS c2, [0] AS s2, [0] AS c1, [0] AS s1, n, m, ref, hyp FROM pr
+    UNION ALL SELECT k, d + 1, c1, s1, list_transform(cells, lambda x: x[1]), list_transform(cells, lambda x: x[3]), n, m, ref, hyp FROM (
+        SELECT *, list_transform(range(0, n + 1), lambda i: CASE WHEN i > d + 1 OR d + 1 - i > m THEN [1000000, 0, 0] WHEN i = 0 OR i = d + 1 THEN [d + 1, 0, 0] ELSE list_min([
+            [c2[i] + (ref[i] <> hyp[d + 1 - i])::INT, 0, s2[i] + (ref[i] <> hyp[d + 1 - i])::INT], [c1[i] + 1, 1, s1[i]], [c1[i + 1] + 1, 2, s1[i + 1]]]) END) AS cells FROM dg WHERE d < n + m)),
+we AS (SELECT pr.conv_id, pr.turn, dg.n, dg.m, c1[dg.n + 1] AS cost, s1[dg.n + 1] AS sub FROM dg JOIN pr USING (k) WHERE d = dg.n + dg.m)"""
+
 _RUNS = """rn AS (SELECT l_returnflag || '/' || (l_suppkey % 7) AS model, l_linestatus AS backend, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'error' ELSE 'timeout' END AS status,
     l_extendedprice AS infer, l_discount + 0.1 AS rtf, CASE WHEN l_tax > 0.02 THEN l_tax * 1000 END AS load_ms, CASE WHEN l_tax > 0.04 THEN l_quantity END AS mem,
     l_quantity::INT % 5 AS sub, l_quantity::INT % 3 AS del, l_quantity::INT % 7 AS ins, l_quantity::INT AS ref_words, l_orderkey * 10 + l_linenumber AS seq
@@ -71,7 +79,7 @@ ORACLES = {
     "coverage_check": f"""SELECT conv_id, sum(w)::BIGINT AS total_words, round(sum(sec), 6) AS speech_sec, count(*) FILTER (WHERE w = 0) AS empty_segments, round(CASE WHEN sum(sec) > 0 THEN sum(w) / sum(sec) ELSE 0 END, 6) AS words_per_speech_sec,
         sum(sec) > 10 AND sum(w) / sum(sec) < 1.0 AS suspicious FROM (SELECT conv_id, len({_WORDS.format("text")}) AS w, length(text) / 30.0::DOUBLE AS sec FROM conversations) GROUP BY conv_id""",
     "bench_matrix": """SELECT m.model, b.backend, s_suppkey AS item FROM supplier, (SELECT DISTINCT l_returnflag AS model FROM lineitem) m, (SELECT DISTINCT l_linestatus AS backend FROM lineitem) b
-        WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_returnflag = m.model AND l.l_linestatus = b.backend AND l.l_suppkey = s_suppkey AND l_quantity >= 45 AND l_discount > 0.02)""",
+        WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_returnflag = m.model AND l.l_linestatus = b.backend AND l.l_suppkey = s_suppkey AND l_quantity >= 50 AND l_discount > 0.02)""",
     "run_summary": f"""WITH {_RUNS}, a AS (SELECT model, backend, count(*) FILTER (WHERE status = 'ok') AS k, count(*) AS n, bool_or(status = 'timeout') AS t, bool_or(status = 'error') AS e,
         sum(infer) FILTER (WHERE status = 'ok') AS i, sum(infer / rtf) FILTER (WHERE status = 'ok' AND infer <> 0 AND rtf <> 0) AS au, sum(sub + del + ins) FILTER (WHERE status = 'ok') AS er,
         sum(ins) FILTER (WHERE status = 'ok') AS ins, sum(ref_words) FILTER (WHERE status = 'ok') AS rw, max(mem) FILTER (WHERE status = 'ok') AS pk,
@@ -146,7 +154,8 @@ ORACLES = {
     "speech_regions": f"""WITH {_TIMES}, o AS (SELECT user_id, idx FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS top FROM et) WHERE value >= top * 0.3),
         m AS (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY user_id ORDER BY idx) - 1 < 3 THEN 0 ELSE 1 END AS fresh FROM o), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY idx) AS g FROM m)
         SELECT user_id, min(idx) AS first_w, max(idx) + 1 AS end_w FROM g GROUP BY user_id, g HAVING max(idx) + 1 - min(idx) >= 2""",
-    "take_until": "SELECT p_brand, p_partkey FROM (SELECT *, coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM part WHERE p_size >= 5) WHERE b < 300",
+    "take_until": """SELECT p_brand, p_partkey FROM (SELECT *, coalesce(sum(p_size) OVER w, 0) + (count(*) OVER w) * 0.4::DOUBLE AS b FROM part WHERE p_size >= 5
+        WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE b < 300""",
     "pick_diverse": "SELECT s_suppkey, s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier) ORDER BY r, s_nationkey LIMIT 40",
     "disjoint_bins": "SELECT p_partkey, floor(coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 200)::BIGINT AS bin FROM part",
     "monotone_progress": f"""WITH {_TIMES}, w AS (SELECT user_id, idx, value / 20 AS t, CASE WHEN value < lag(value) OVER (PARTITION BY user_id ORDER BY idx) THEN 1 ELSE 0 END AS b FROM et),
@@ -158,4 +167,52 @@ ORACLES = {
     "beyond_cube": f"WITH {_RUNS} SELECT backend, status, count(*) AS n, sum(ref_words)::BIGINT AS ref_words, grouping(backend, status)::BIGINT AS level FROM rn WHERE status = 'ok' GROUP BY CUBE (backend, status)",
     "beyond_ranks": """SELECT c_custkey, rank() OVER w AS rank, ntile(4) OVER w AS quartile, round(cume_dist() OVER w, 6) AS cume FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)""",
     "beyond_props": "SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k_sum, count(DISTINCT json_extract_string(props, '$.k')::BIGINT) AS k_distinct FROM events GROUP BY event_type",
+    "run_load": "SELECT o_orderkey AS run_id, o_orderstatus, count(l_orderkey) AS n, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_part FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL",
+    "run_detail": f"""WITH {_RUNS}, m AS (SELECT DISTINCT 'R/' || (s_suppkey % 9) AS model FROM supplier), a AS (SELECT model, backend, count(*) FILTER (WHERE status = 'ok') AS k, count(*) AS n, bool_or(status = 'timeout') AS t,
+        sum(infer) FILTER (WHERE status = 'ok') AS i, sum(infer / rtf) FILTER (WHERE status = 'ok') AS au FROM rn GROUP BY model, backend)
+        SELECT model, backend, CASE WHEN k > 0 THEN 'ok' WHEN t THEN 'timeout' ELSE 'error' END AS status, CASE WHEN k > 0 THEN k ELSE n END AS n, round(i / au, 6) AS rtf FROM a JOIN m USING (model)""",
+    "running_estimates": f"""WITH {_TIMES}, e AS (SELECT user_id, idx, t / 1000 AS el, idx * CASE WHEN user_id % 2 = 0 THEN 28.0::DOUBLE ELSE 26.0 END AS pc, CASE WHEN user_id % 3 = 0 THEN 0.7::DOUBLE END AS learned FROM et),
+        g AS (SELECT *, CASE WHEN idx = 1 AND pc >= 27 THEN 'calibrado' WHEN idx > 0 AND idx % 5 = 0 AND pc > 30 AND el > 0 THEN 'refinado' END AS src FROM e),
+        h AS (SELECT *, max(CASE WHEN src IS NOT NULL THEN idx END) OVER (PARTITION BY user_id ORDER BY idx) AS at, max(CASE WHEN src = 'calibrado' THEN el END) OVER (PARTITION BY user_id ORDER BY idx) AS w FROM g),
+        j AS (SELECT h.*, CASE WHEN a.idx IS NOT NULL THEN a.el / a.pc ELSE coalesce(h.learned, 0.5) END AS rtf, coalesce(a.src, CASE WHEN h.learned > 0 THEN 'aprendido' ELSE 'tabla' END) AS source FROM h LEFT JOIN g a ON a.user_id = h.user_id AND a.idx = h.at)
+        SELECT user_id, idx, round(rtf, 6) AS rtf, source, round(greatest(0, 3000 - pc) * rtf, 4) AS remaining_sec, round(3000 * rtf, 4) AS total_sec, round(CASE WHEN source = 'refinado' AND rtf > 0 THEN w / (rtf * 30) END, 6) AS warmup FROM j""",
+    "estimate_texts": """WITH x AS (SELECT o_orderkey, floor(o_totalprice / 10)::BIGINT AS s, o_orderstatus = 'O' AS tab FROM orders),
+        y AS (SELECT *, s // 3600 AS h, floor((s % 3600) / 60 + 0.5)::BIGINT AS mr, s / 10 AS lo, s / 8 AS hi, s * 1000 AS b FROM x)
+        SELECT o_orderkey, CASE WHEN s < 45 THEN 'menos de un minuto' WHEN s < 90 THEN 'alrededor de un minuto' WHEN s < 3600 THEN 'alrededor de ' || floor(s / 60 + 0.5)::BIGINT || ' minutos' ELSE 'alrededor de ' || h || ' h' || CASE WHEN mr = 0 THEN '' ELSE ' ' || mr || ' min' END END
+            || CASE WHEN tab THEN ' (estimación aproximada)' ELSE '' END AS wait,
+        CASE WHEN s < 60 THEN s || ' segundos' WHEN s < 3600 THEN CASE WHEN s // 60 = 1 THEN '1 minuto' ELSE (s // 60) || ' minutos' END || CASE WHEN s % 60 = 0 THEN '' ELSE ' y ' || (s % 60) || ' s' END
+            ELSE CASE WHEN h = 1 THEN '1 hora' ELSE h || ' horas' END || CASE WHEN s // 60 % 60 = 0 THEN '' ELSE ' y ' || (s // 60 % 60) || ' min' END END AS duration,
+        CASE WHEN hi < 60 THEN CASE WHEN floor(lo + 0.5) = floor(hi + 0.5) THEN '' ELSE 'between ' || floor(lo + 0.5)::BIGINT || ' and ' END || floor(hi + 0.5)::BIGINT || CASE WHEN floor(hi + 0.5) = 1 THEN ' second' ELSE ' seconds' END
+            ELSE (SELECT CASE WHEN a = z THEN 'about ' ELSE 'between ' || a || ' and ' END || z || CASE WHEN hi < 3600 THEN ' minute' ELSE ' hour' END || CASE WHEN z = 1 THEN '' ELSE 's' END
+                FROM (SELECT a, greatest(a, floor(hi / u + 0.5)::BIGINT) AS z FROM (SELECT u, greatest(1, floor(lo / u + 0.5)::BIGINT) AS a FROM (SELECT CASE WHEN hi < 3600 THEN 60 ELSE 3600 END AS u)))) END AS between,
+        CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN replace(format('{:,}', floor(b / 1024.0::DOUBLE + 0.5)::BIGINT), ',', '.') || ' KB' ELSE replace((floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10)::DECIMAL(18, 1)::VARCHAR, '.', ',') || ' MB' END AS size FROM y""",
+    "mode_rows": """WITH d AS (SELECT s_suppkey, s_acctbal AS m, s_suppkey % 3 <> 0 AS gpu, CASE WHEN s_suppkey % 2 = 0 THEN 'old browser' END AS reason FROM supplier),
+        b AS (SELECT d.*, (SELECT arg_min(r_name, r_regionkey) FROM region WHERE gpu AND r_regionkey > 0 AND (coalesce(m, 0) <= 0 OR 6000.0 - r_regionkey * 1000 <= m)) AS best FROM d)
+        SELECT s_suppkey, 0::BIGINT AS place, 'rapido' AS mode, 'base' AS profile, NULL AS why FROM b UNION ALL SELECT s_suppkey, 1, 'equilibrado', 'small', NULL FROM b
+        UNION ALL SELECT s_suppkey, 2, 'preciso', best, CASE WHEN best IS NULL THEN CASE WHEN gpu THEN 'no room' ELSE coalesce(reason, 'no gpu') END END FROM b""",
+    "editor_totals": f"SELECT conv_id, sum(len({_WORDS.format('text')}))::BIGINT AS n_words, round(sum(length(text) / 30.0::DOUBLE), 6) AS speech_sec FROM conversations GROUP BY conv_id",
+    "stored_bytes": "SELECT coalesce(sum(o_custkey) FILTER (WHERE o_orderstatus <> 'P'), 0)::BIGINT AS bytes FROM orders",
+    "speech_bands": f"""WITH {_SEGMENTS}, l AS (SELECT user_id, max(dur) AS d, count(*) / 15 AS x FROM pr GROUP BY user_id), t AS (SELECT user_id, sum(end_sec - start_sec) / max(d) AS a, count(*) / max(x) AS b FROM sg JOIN l USING (user_id) GROUP BY user_id)
+        SELECT user_id, round(a, 6) AS speech_share, round(b, 6) AS segment_ratio, a > 0.5 AND a < 0.98 AS share_ok, b > 0.6 AND b < 1.8 AS segments_ok FROM t""",
+    "reference_bands": f"""WITH x AS (SELECT doc_id, len({_WORDS.format('text')}) AS w, n_chars / 17.0::DOUBLE AS s FROM documents), y AS (SELECT *, CASE WHEN s > 0 THEN w / s END AS r FROM x)
+        SELECT doc_id, round(r, 6) AS words_per_sec, w > 50 AS enough, coalesce(r > 0.5 AND r < 6, false) AS rate_ok, coalesce(r > 1.0 AND r < 4.5, false) AS density_ok FROM y""",
+    "manifest_rules": """WITH i AS (SELECT *, CASE WHEN doc_id % 11 <> 0 THEN lang END AS id FROM documents), j AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY doc_id) AS n FROM i),
+        p AS (SELECT source, unnest(list_filter([CASE WHEN id IS NULL THEN 'id missing' END, CASE WHEN trim(text) = '' THEN 'reference empty' END, CASE WHEN lang = 'de' THEN 'sha256 missing or malformed' END, CASE WHEN NOT n_chars > 0 THEN 'durationSec not above 0' END,
+            CASE WHEN lang NOT IN ('es', 'en') THEN 'lang neither es nor en' END, CASE WHEN lang = 'es' THEN 'level not A, B or V' END, CASE WHEN lang = 'fr' THEN 'noisy without snrDb' END, CASE WHEN id IS NOT NULL AND n > 1 THEN 'id repeated' END], lambda x: x IS NOT NULL)) AS problem FROM j)
+        SELECT source, problem, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 'src3', 'version missing', 1""",
+    "label_gap_control": """WITH r AS (SELECT *, vec_id // 40 AS meeting, row_number() OVER (PARTITION BY vec_id // 40 ORDER BY vec_id) AS i, row_number() OVER (PARTITION BY vec_id // 40 ORDER BY md5(vec_id::VARCHAR), vec_id) AS j FROM embeddings),
+        v AS (SELECT a.meeting, a.vec_id, a.embedding, b.label FROM r a JOIN r b ON a.meeting = b.meeting AND a.i = b.j),
+        p AS (SELECT a.meeting, a.label = b.label AS same, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM v a JOIN v b ON a.meeting = b.meeting AND a.vec_id < b.vec_id)
+        SELECT meeting, count(*) AS n_pairs, round(avg(c) FILTER (WHERE same), 6) AS within, round(avg(c) FILTER (WHERE NOT same), 6) AS between, round(avg(c) FILTER (WHERE same) - avg(c) FILTER (WHERE NOT same), 6) AS gap FROM p GROUP BY meeting""",
+    "resume_union": """WITH x AS (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) - 2 AS d FROM lineitem)
+        SELECT l_orderkey AS order_key, count(*) AS n, string_agg(CASE WHEN d > 0 AND l_linenumber <= d THEN l_returnflag ELSE lower(l_returnflag) END, ' ' ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS text, sum(l_quantity) AS speech_sec FROM x GROUP BY l_orderkey""",
+    "log_tail": "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 201",
+    "language_pairs": "SELECT CASE WHEN lang = 'es' THEN 'es-en' END AS to_en, CASE WHEN lang = 'en' THEN 'en-es' END AS to_es, count(*) AS n FROM documents GROUP BY 1, 2",
+    "opened_sessions": "SELECT conv_id AS session_id, count(*) AS n, CASE WHEN conv_id % 3 = 0 THEN 'video' ELSE 'audio' END AS media_kind, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE length(text) > 200), '') AS edited FROM conversations GROUP BY conv_id",
+    "concat_clips": "SELECT vec_id // 40 AS meeting, sum(len(embedding))::BIGINT AS n, round(max(embedding[1]) FILTER (WHERE vec_id % 40 = 1)::DOUBLE, 5) AS second_clip FROM embeddings GROUP BY 1",
+    "wer_pairs": f"WITH RECURSIVE {_WER} SELECT conv_id, turn, CASE WHEN n > 0 THEN cost / n WHEN m > 0 THEN 'inf'::DOUBLE ELSE 0 END AS wer, sub, (cost - sub + n - m) // 2 AS del, cost - sub - (cost - sub + n - m) // 2 AS ins, n AS ref_words, m AS hyp_words FROM we",
+    "wer_micro": f"""WITH RECURSIVE {_WER} SELECT conv_id, sum(sub)::BIGINT AS sub, sum((cost - sub + n - m) // 2)::BIGINT AS del, sum(cost - sub - (cost - sub + n - m) // 2)::BIGINT AS ins, sum(n)::BIGINT AS ref_words, sum(m)::BIGINT AS hyp_words, count(*) AS n,
+        CASE WHEN sum(n) > 0 THEN sum(cost) / sum(n) WHEN sum(cost) > 0 THEN 'inf'::DOUBLE ELSE 0 END AS wer FROM we GROUP BY conv_id""",
+    "round_trip": f"""WITH RECURSIVE {_WER}, t AS (SELECT we.conv_id % 7 AS k, cost / we.n AS w, length(array_to_string(hyp, ' ')) / greatest(1, length(array_to_string(ref, ' '))) AS r FROM we JOIN nx ON nx.conv_id = we.conv_id AND nx.turn = we.turn WHERE we.n > 0)
+        SELECT k, round(avg(w), 6) AS mean_wer, round(avg(r), 6) AS mean_ratio, count(*) AS n FROM t GROUP BY k""",
 }

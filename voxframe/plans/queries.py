@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.functions import arrays, text
+from voxframe.functions import arrays, text, timefmt
 from voxframe.functions.timefmt import format_clock, micros, rtf_band
 from voxframe.operators import bench, cluster, corpus, cues, intervals, metrics, signal, store
 from voxframe.plans.inputs import event_probs, event_times, event_turns, meetings, next_turns, runs, table, timed_turns
-from voxframe.sources import sinks
+from voxframe.sources import readers, sinks
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -74,8 +74,9 @@ def session_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tumbling_energy(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.floor(micros("ts") / 3_600_000_000).alias("hour"), "value")
-    return e.groupBy("hour").agg(r6(F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("rms"), F.count("*").alias("n"))
+    """The library's energy of tumbling windows, an hour as 3600 samples of a signal whose sample number is the second."""
+    e = table(spark, sf, "events").select(F.lit(0).alias("k"), F.floor(micros("ts") / 1_000_000).alias("i"), F.col("value").alias("x"))
+    return signal.energy_per_second(e, ["k"], 3600).select(F.col("sec").cast("long").alias("hour"), r6("rms").alias("rms"), "n")
 
 
 def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +114,7 @@ def bench_matrix(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     models, backends = li.select(F.col("l_returnflag").alias("model")).distinct(), li.select(F.col("l_linestatus").alias("backend")).distinct()
     items = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("item"))
-    done = li.where("l_quantity >= 45").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("backend"), F.col("l_suppkey").alias("item"), F.when(F.col("l_discount") > 0.02, "ok").otherwise("error").alias("status"))
+    done = li.where("l_quantity >= 50").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("backend"), F.col("l_suppkey").alias("item"), F.when(F.col("l_discount") > 0.02, "ok").otherwise("error").alias("status"))
     return bench.pending(bench.run_matrix(models, backends, items), done, ["model", "backend", "item"]).select("model", "backend", "item")
 
 
@@ -348,6 +349,128 @@ def set_operations(spark: SparkSession, sf: str) -> DataFrame:
     return tag(a.intersect(b), "intersect").unionByName(tag(a.subtract(b), "except")).unionByName(tag(a.unionByName(b).distinct(), "union"))
 
 
+def run_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as run headers, their lines as results in order."""
+    heads = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), "o_orderstatus")
+    results = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").alias("seq"), "l_partkey", "l_quantity")
+    out = readers.load_run(heads, results)
+    first = F.get("results", F.lit(0))
+    return out.select(F.col("run_id").cast("long").alias("run_id"), "o_orderstatus", F.size("results").cast("long").alias("n"), first["l_partkey"].alias("first_part"))
+
+
+def run_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalogue of models with one that never ran, by cells that have results."""
+    models = table(spark, sf, "supplier").select(F.concat(F.lit("R/"), F.pmod("s_suppkey", F.lit(9)).cast("string")).alias("model")).distinct()
+    return bench.detail_rows(models, bench.summarize(runs(spark, sf), ["model", "backend"]), ["model"]).select("model", "backend", "status", "n", r6("rtf").alias("rtf"))
+
+
+def running_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's events as a run: the second one calibrates, every fifth refines."""
+    e = event_times(spark, sf)
+    kind = F.when(F.col("idx") == 0, "start").when(F.col("idx") == 1, "calibrate").when(F.pmod("idx", F.lit(5)) == 0, "refine").otherwise("block")
+    e = e.select("user_id", "idx", kind.alias("kind"), (F.col("t") / 1000).alias("elapsed_sec"), (F.col("idx") * F.when(F.pmod("user_id", F.lit(2)) == 0, 28.0).otherwise(26.0)).alias("processed_sec"), F.lit(3000.0).alias("duration_sec"), F.when(F.pmod("user_id", F.lit(3)) == 0, F.lit(0.7)).alias("learned"), F.lit(0.5).alias("median"))
+    out = bench.running_estimate(e, ["user_id"], "idx")
+    return out.select("user_id", F.col("idx").cast("long").alias("idx"), r6("rtf").alias("rtf"), "source", F.round("remaining_sec", 4).alias("remaining_sec"), F.round("total_sec", 4).alias("total_sec"), r6("warmup").alias("warmup"))
+
+
+def estimate_texts(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 10).alias("s"), F.when(F.col("o_orderstatus") == "O", "tabla").otherwise("aprendido").alias("source"))
+    return o.select(
+        "o_orderkey", timefmt.describe_estimate(F.col("s"), F.col("source")).alias("wait"), timefmt.human_duration(F.col("s"), "es").alias("duration"),
+        timefmt.human_range(F.col("s") / 10, F.col("s") / 8, "en").alias("between"), timefmt.human_bytes(F.col("s") * 1000, "es").alias("size"),
+    )
+
+
+def mode_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("max_bytes"), (F.pmod("s_suppkey", F.lit(3)) != 0).alias("gpu"), F.when(F.pmod("s_suppkey", F.lit(2)) == 0, "old browser").alias("reason"))
+    p = table(spark, sf, "region").select(F.col("r_name").alias("profile"), F.col("r_regionkey").alias("rank"), (6000.0 - F.col("r_regionkey") * 1000).alias("need_bytes"), (F.col("r_regionkey") > 0).alias("need_gpu"))
+    return bench.modes(d, p, ["s_suppkey"], "base", "small", "no gpu", "no room").select("s_suppkey", F.col("place").cast("long").alias("place"), "mode", "profile", "why")
+
+
+def editor_totals(spark: SparkSession, sf: str) -> DataFrame:
+    t = store.editor_totals(timed_turns(spark, sf), ["conv_id"])
+    return t.select("conv_id", "n_words", r6("speech_sec").alias("speech_sec"))
+
+
+def stored_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("audio_bytes"))
+    return store.stored_bytes(s)
+
+
+def speech_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event is a window of 32 ms; a segment is expected for every fifteen."""
+    probs = event_probs(spark, sf)
+    length = probs.groupBy("user_id").agg(F.max("duration_sec").alias("duration_sec"), (F.count("*") / 15).alias("expected"))
+    b = corpus.speech_bands(intervals.total_speech(intervals.to_segments(probs, ["user_id"]), ["user_id"]).join(length, "user_id"))
+    return b.select("user_id", r6("speech_share").alias("speech_share"), r6("segment_ratio").alias("segment_ratio"), "share_ok", "segments_ok")
+
+
+def reference_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """A document as a reference read at 17 characters a second."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.size(text.words(F.col("text"))).alias("n_words"), (F.col("n_chars") / 17.0).alias("duration_sec"))
+    b = corpus.reference_bands(d).withColumn("density_ok", corpus.density_ok(F.col("text"), F.col("duration_sec")))
+    return b.select("doc_id", r6("words_per_sec").alias("words_per_sec"), "enough", "rate_ok", "density_ok")
+
+
+def manifest_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a source as one manifest of items; how often each rule is broken."""
+    none = lambda t: F.lit(None).cast(t)
+    item = F.struct(
+        F.when(F.pmod("doc_id", F.lit(11)) != 0, F.col("lang")).alias("id"), F.col("source").alias("url"), "lang", (F.col("n_chars") / 15).alias("durationSec"), F.when(F.col("lang") == "fr", "noisy").otherwise("multi").alias("condition"),
+        F.col("text").alias("reference"), F.when(F.col("lang") == "de", "xyz").otherwise(F.sha2("text", 256)).alias("sha256"), F.when(F.col("lang") == "es", "Q").alias("level"), none("string").alias("split"), none("double").alias("snrDb"), F.lit(2).alias("speakers"),
+    )
+    d = table(spark, sf, "documents").select("source", F.struct("doc_id", item.alias("i")).alias("r"))
+    m = d.groupBy("source").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["i"]).alias("items"))
+    m = m.withColumn("version", F.when(F.col("source") != "src3", "1"))
+    return corpus.manifest_problems(m, "source").groupBy("source", "problem").agg(F.count("*").alias("n"))
+
+
+def label_gap_control(spark: SparkSession, sf: str) -> DataFrame:
+    g = metrics.label_gap(metrics.shuffled_labels(meetings(spark, sf), ["meeting"]), ["meeting"])
+    return g.select("meeting", "n_pairs", *[r6(c).alias(c) for c in ("within", "between", "gap")])
+
+
+def round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A turn and the next one as a sentence and its way back."""
+    t = next_turns(spark, sf).select(F.pmod("conv_id", F.lit(7)).alias("k"), F.array_join("ref", " ").alias("original"), F.array_join("hyp", " ").alias("there"), metrics.word_errors("ref", "hyp")["wer"].alias("wer"))
+    s, _ = metrics.round_trips(t.where("wer < 1e300"), ["k"], "original", "there", "wer")
+    return s.select("k", r6("mean_wer").alias("mean_wer"), r6("mean_ratio").alias("mean_ratio"), "n")
+
+
+def resume_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as runs that broke off two lines before their end: storage's blocks, and all blocks done anew."""
+    li = table(spark, sf, "lineitem")
+    block = li.select(F.col("l_orderkey").cast("string").alias("file_key"), (F.col("l_linenumber") - 1).alias("block_index"), F.array(F.struct("l_partkey", "l_quantity")).alias("segments"), F.col("l_quantity").alias("speech_sec"), "l_shipdate", F.col("l_returnflag").alias("text"))
+    heads = li.groupBy(F.col("l_orderkey").cast("string").alias("file_key")).agg((F.max("l_linenumber") - 2).alias("done_blocks"))
+    anew = block.withColumn("text", F.lower("text"))  # so that it shows which blocks came from where
+    out = store.resumed(heads.where("done_blocks > 0"), block, anew)
+    return out.select(F.col("file_key").cast("long").alias("order_key"), F.size("segments").cast("long").alias("n"), "text", "speech_sec")
+
+
+def log_tail(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_type", "ts", "event_id")
+    return store.log_tail(e, ["event_type"], ["ts", "event_id"]).select("event_type", "event_id")
+
+
+def language_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(text.language_pair(F.col("lang"), F.lit("en")).alias("to_en"), text.language_pair(F.col("lang"), F.lit("es")).alias("to_es"))
+    return d.groupBy("to_en", "to_es").agg(F.count("*").alias("n"))
+
+
+def opened_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as stored sessions; long turns count as edited."""
+    t = timed_turns(spark, sf).withColumn("edited", F.length("text") > 200)
+    s = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "start_sec", "end_sec", "text", "speaker", "edited"))).alias("segments"))
+    mime = F.when(F.pmod("conv_id", F.lit(3)) == 0, "video/mp4").when(F.pmod("conv_id", F.lit(3)) == 1, "audio/wav")
+    o = store.opened(s.select(F.col("conv_id").alias("session_id"), F.col("conv_id").cast("string").alias("name"), "segments", mime.alias("mime")))
+    return o.select("session_id", F.size("segments").cast("long").alias("n"), "media_kind", F.array_join(F.transform("edited_initially", lambda x: x.cast("string")), ",").alias("edited"))
+
+
+def concat_clips(spark: SparkSession, sf: str) -> DataFrame:
+    c = arrays.concat_clips(meetings(spark, sf), ["meeting"], "vec_id", "embedding")
+    return c.select("meeting", F.size("embedding").cast("long").alias("n"), F.round(F.get("embedding", F.lit(64)).cast("double"), 5).alias("second_clip"))
+
+
 def beyond_cube(spark: SparkSession, sf: str) -> DataFrame:
     """Beyond the run summary's own groups: all their subtotals."""
     r = runs(spark, sf).where("status = 'ok'")
@@ -372,6 +495,7 @@ QUERIES = {
         range_coverage, ols_drift, last_n_median, decision_bands, cosine_pairs, label_gap, agglomerative, diarize, vocab_coverage, nearest_fill, interval_overlap,
         active_segment, der_totals, der, cue_times, cue_lines, csv_export, srt_export, vtt_export, text_export, speaker_change, speaker_order, document_rows,
         unique_names, resume_prefix, merge_edit, latest_version, top_k_recent, prune_runs, contained_turns, energy_pattern, background_level, speech_regions,
-        take_until, pick_diverse, disjoint_bins, monotone_progress, clock_labels, set_operations, beyond_cube, beyond_ranks, beyond_props,
+        take_until, pick_diverse, disjoint_bins, monotone_progress, clock_labels, set_operations, run_load, run_detail, running_estimates, estimate_texts, mode_rows, editor_totals,
+        stored_bytes, speech_bands, reference_bands, manifest_rules, label_gap_control, round_trip, resume_union, log_tail, language_pairs, opened_sessions, concat_clips, beyond_cube, beyond_ranks, beyond_props,
     )
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prefer(spark: SparkSession, key: str, value: str) -> None:
@@ -19,3 +20,12 @@ def plain_unions(spark: SparkSession) -> None:
     miss rows.  The setting is unknown to earlier versions, which do not have the rule.
     """
     prefer(spark, "spark.sql.unionOutputPartitioning", "false")
+
+
+#: Rows of a catalogue that may be broadcast; catalogues have short rows.
+CATALOGUE_ROWS = 100_000
+
+
+def catalogue(df: DataFrame, rows: int = CATALOGUE_ROWS) -> DataFrame:
+    """A broadcast hint for a table of few rows, which is checked; a larger one keeps Spark's own choice of join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe import schema
+from voxframe.functions.text import trim_space
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -23,16 +24,20 @@ def timeline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tsv_index(spark: SparkSession, path: str) -> DataFrame:
-    """id, text of lines cut at the first tab: later tabs belong to the text."""
+    """id, text of non-empty lines cut at the first tab, both trimmed: later tabs belong to the text."""
     parts = F.split("value", "\t", 2)
-    return spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, F.lit(0)).alias("id"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("text"))
+    return spark.read.text(path).where("value <> ''").select(trim_space(F.get(parts, F.lit(0))).alias("id"), trim_space(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("text"))
 
 
 def csv_index(spark: SparkSession, path: str) -> DataFrame:
-    """id, speaker, text of lines cut at the first two commas; one pair of outer quotes goes."""
+    """id, text of lines (prompt, id, text) cut at the first two commas; one pair of outer quotes goes.
+
+    Lines with fewer commas, and those without an id or a text, are left out.
+    """
     parts = F.split("value", ",", 3)
-    bare = lambda c: F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), '^"|"$', "")
-    return spark.read.text(path).where(F.trim("value") != "").select(*[bare(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(("id", "speaker", "text"))])
+    rows = spark.read.text(path).where(F.size(parts) == 3)
+    rows = rows.select(trim_space(parts[1]).alias("id"), F.regexp_replace(trim_space(parts[2]), '^"|"$', "").alias("text"))
+    return rows.where("id <> '' and text <> ''")
 
 
 def parse_wav(data: bytes) -> tuple[int, int, list]:
@@ -75,17 +80,27 @@ def wav(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
 
     def read(batches):
+        import hashlib
+
         for pdf in batches:
             rows = []
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                digest = hashlib.sha256(data).hexdigest()
                 try:
-                    rows.append((name, *parse_wav(bytes(data)), None))
+                    rows.append((name, *parse_wav(bytes(data)), digest, None))
                 except ValueError as e:
-                    rows.append((name, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "rate", "channels", "samples", "error"])
+                    rows.append((name, None, None, None, digest, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "rate", "channels", "samples", "sha256", "error"])
+
+    return files.select("path", "content").mapInPandas(read, "path string, rate int, channels int, samples array<float>, sha256 string, error string")
+
 
-    read_files = files.select("path", "content").mapInPandas(read, "path string, rate int, channels int, samples array<float>, error string")
-    return read_files.join(files.select("path", F.sha2("content", 256).alias("sha256")), "path")
+def load_run(runs: DataFrame, results: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Headers of bench runs with their results in order of ``seq``; a run without results has none."""
+    some = (lambda df: df) if run_id is None else (lambda df: df.where(F.col("run_id") == run_id))
+    rest = [c for c in results.columns if c not in ("run_id", "seq")]
+    rows = some(results).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", *rest))).alias("results"))
+    return some(runs).join(rows, "run_id", "left").withColumn("results", F.coalesce("results", F.array().cast(rows.schema["results"].dataType)))
 
 
 def keyed(spark: SparkSession, path: str, **keys) -> DataFrame:

@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.functions.text import escape_csv, escape_markup, safe_name
-from voxframe.functions.timefmt import format_time
+from voxframe.functions.text import escape_csv, escape_markup, safe_name, trim_space
+from voxframe.functions.timefmt import fixed, format_time, percent, to_fixed
 from voxframe.operators.cues import shown_speaker
 from voxframe.operators.store import unique_names
 
@@ -28,13 +28,13 @@ def _join(rows: DataFrame, keys: list[str], order: str, line: Column, between: s
 
 
 def seconds(x: Column) -> Column:
-    """Three decimals, halves up on the decimal value."""
-    return F.round(x.cast("decimal(20,9)"), 3).cast("decimal(20,3)").cast("string")
+    """Three decimals of the exact binary value, exact halves up."""
+    return to_fixed(x, 3)
 
 
 def to_csv(timed: DataFrame, keys: list[str]) -> DataFrame:
     """keys, body: CRLF lines after a mark and a fixed header; rows without text are left out."""
-    rows = timed.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).where("text <> ''")
+    rows = timed.withColumn("text", trim_space(F.coalesce("text", F.lit("")))).where("text <> ''")
     s, e = F.col("start_sec"), F.col("end_sec")
     line = F.concat_ws(",", seconds(s), seconds(e), format_time(s, "."), format_time(e, "."), escape_csv(F.coalesce("speaker", F.lit(""))), escape_csv(F.col("text")))
     out = _join(rows, keys, "idx", line, "\r\n")
@@ -95,8 +95,77 @@ def replace_keys(rows: DataFrame, path: str, partition_by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A report's table; its rows are cells of a fixed catalogue, read up to ``limit``."""
-    rows = df.limit(limit).collect()
-    out = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(out + ["| " + " | ".join("—" if x is None else str(x) for x in r) + " |" for r in rows]) + "\n"
+def to_json(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """keys, body: a pretty JSON object of each key's row, or, with an order, an array of its rows."""
+    rest = F.struct(*[c for c in rows.columns if c not in keys])
+    if order is None:
+        return rows.select(*keys, F.to_json(rest, {"pretty": "true"}).alias("body"))
+    listed = rows.select(*keys, F.struct(F.col(order).alias("o"), rest.alias("r")).alias("_r")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_r")), lambda x: x["r"]).alias("_l"))
+    return listed.select(*keys, F.to_json("_l", {"pretty": "true"}).alias("body"))
+
+
+def save_pair(header: DataFrame, rows: DataFrame, path: str, key: str) -> None:
+    """A session's header and rows as one save: rows first, then the header that makes them visible.
+
+    Both overwrite their keys' partitions, so a save that broke off is done again whole; a key
+    without a header is not read by ``load_pairs``.
+    """
+    replace_keys(rows, f"{path}/rows", [key])
+    replace_keys(header, f"{path}/header", [key])
+
+
+def load_pairs(spark, path: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(header, rows) of the saves that are whole."""
+    header = spark.read.parquet(f"{path}/header")
+    return header, spark.read.parquet(f"{path}/rows").join(header.select(key), key, "left_semi")
+
+
+#: Rows of a report's table that a driver renders; more is no report but a table to write.
+REPORT_ROWS = 10_000
+
+
+def markdown_table(df: DataFrame, names: list[str] | None = None, limit: int = REPORT_ROWS) -> str:
+    """A report's table, whole; more than ``limit`` rows are refused, not cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report's table has at most {limit} rows")
+    head = names or df.columns
+    out = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
+    return "\n".join(out + ["| " + " | ".join("—" if x is None else str(x).replace("|", "\\|").replace("\n", " ") for x in r) + " |" for r in rows]) + "\n"
+
+
+def cell_text(limit: str = "5") -> Column:
+    """A cell of the matrix from ``summarize``: rate and error rate, or what happened instead."""
+    good = F.concat(F.lit("**"), fixed(F.col("rtf"), 2), F.lit("** · "), percent(F.col("wer")))
+    return F.when(F.col("status") == "ok", good).when(F.col("status") == "timeout", F.lit(f"⏱ >{limit}×")).when(F.col("status") == "error", F.lit("✕ error")).when(F.col("status") == "skipped", F.lit("n/a")).otherwise(F.lit("—"))
+
+
+def report(run_id: str, started_at: str, device: dict[str, object], results: DataFrame, models: DataFrame, sources: DataFrame | None = None, backends: tuple[str, ...] = ("webgpu", "wasm"), choice: str | None = None) -> str:
+    """The run's report in Markdown: device, corpus, matrix, detail, failures and decision.
+
+    ``results`` are one run's rows, ``models`` the catalogue (model, license, place).  All sums
+    run in Spark; the driver gets a table's cells.
+    """
+    from voxframe.operators.bench import failures, summarize
+
+    cells = summarize(results, ["model", "backend"])
+    known = models.select("model", "license", "place")
+    matrix = known.join(cells.select("model", "backend", cell_text().alias("cell")).groupBy("model").pivot("backend", list(backends)).agg(F.first("cell")), "model", "left")
+    matrix = matrix.orderBy("place").select("model", *[F.coalesce(b, F.lit("—")).alias(b) for b in backends], "license")
+    ok = F.col("status") == "ok"
+    spot = F.array_position(F.array(*[F.lit(b) for b in backends]), F.col("backend"))
+    detail = known.join(cells, "model").orderBy("place", spot).select(
+        "model", "backend", "n", F.when(ok, fixed(F.col("rtf"), 2)).otherwise(cell_text()).alias("rtf"), F.when(ok, percent(F.col("wer"))), F.when(ok, F.col("insertions")),
+        F.when(ok, F.concat(fixed(F.col("peak_mb"), 0), F.lit(" MB"))), F.when(ok, F.concat(fixed(F.col("load_ms") / 1000, 1), F.lit(" s"))),
+    )
+    failed = failures(results).orderBy("seq").select("model", "backend", "item_id", "status", F.coalesce("error", F.lit("")))
+    parts = [f"# Results of run `{run_id}`\n\nStarted {started_at}.\n", "## Device\n\n| | |\n|---|---|\n" + "".join(f"| {k} | {'—' if v is None else v} |\n" for k, v in device.items())]
+    if sources is not None:
+        parts.append("## Corpus\n\n" + markdown_table(sources.select("name", "url", "license"), ["Source", "Address", "License"]))
+    parts.append("## Matrix\n\nEach cell: **rate** · word error rate; a rate below 1 is faster than real time.\n\n" + markdown_table(matrix, ["Model", *[b.upper() for b in backends], "License"]))
+    parts.append("## Detail\n\n" + markdown_table(detail, ["Model", "Backend", "n", "Rate", "WER", "Insertions", "Peak", "Load"]))
+    parts.append("Rates are weighted by duration and leave loading out; insertions are invented words; peaks are sampled, and leave graphics memory out.\n")
+    if failed.limit(1).count():
+        parts.append("## Failures\n\n" + markdown_table(failed, ["Model", "Backend", "Item", "Status", "Reason"]))
+    parts.append(f"## Decision\n\nDefault model: {choice or '_(open)_'}\n")
+    return "\n".join(parts)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxframe.constants import MIN_SILENCE_MS, VAD_THRESHOLD, WINDOW_MS
@@ -36,27 +38,33 @@ def segments(probs: DataFrame, key: str, threshold: float = VAD_THRESHOLD, gap_m
     State is the open segment: (start window, end window).  A segment is sent when a gap
     closes it, or when nothing has come for an hour.
     """
-    schema = f"{key} string, start_sec double, end_sec double"
+    schema = T.StructType([probs.schema[key], T.StructField("start_sec", T.DoubleType()), T.StructField("end_sec", T.DoubleType())])
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
         start, end = state.get if state.exists else (-1, -1)
         out: list[tuple] = []
 
         def close() -> None:
             if start >= 0:
-                out.append((str(k[0]), start * window_ms / 1000, end * window_ms / 1000))
+                out.append((k[0], start * window_ms / 1000, end * window_ms / 1000))
 
         if state.hasTimedOut:
             close()
             state.remove()
         else:
             for pdf in batches:
-                speech = pdf.loc[pdf["p"] > threshold, "w"].sort_values()
-                for w in speech.tolist():
-                    if start < 0 or (w - end) * window_ms >= gap_ms:
-                        close()
-                        start = w
-                    end = w + 1
+                w = np.sort(pdf.loc[pdf["p"] > threshold, "w"].to_numpy("int64"))
+                if not len(w):
+                    continue
+                apart = np.diff(np.concatenate(([end - 1], w))) - 1  # silent windows before each
+                fresh = np.flatnonzero(apart * window_ms >= gap_ms) if start >= 0 else np.concatenate(([0], np.flatnonzero(apart[1:] * window_ms >= gap_ms) + 1))
+                for i in fresh.tolist():
+                    end = int(w[i - 1]) + 1 if i else end
+                    close()
+                    start = int(w[i])
+                end = int(w[-1]) + 1
             state.update((int(start), int(end)))
             state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame(out, columns=[key, "start_sec", "end_sec"])
@@ -64,6 +72,30 @@ def segments(probs: DataFrame, key: str, threshold: float = VAD_THRESHOLD, gap_m
     return probs.groupBy(key).applyInPandasWithState(step, schema, "start long, end long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def in_order(blocks: DataFrame, key: str, index: str = "block_index", payload: str = "payload") -> DataFrame:
+    """Blocks of a key, sent in order of their number from 0: one that comes early waits for those before it.
+
+    State is the next number and the waiting (number, payload) pairs; a block that comes again is left out.
+    """
+    schema = T.StructType([blocks.schema[key], T.StructField(index, T.LongType()), T.StructField(payload, T.StringType())])
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        following, held = state.get if state.exists else (0, "{}")
+        waiting = {int(i): x for i, x in json.loads(held).items()}
+        for pdf in batches:
+            for i, x in zip(pdf[index].tolist(), pdf[payload].tolist(), strict=True):
+                if i >= following:
+                    waiting.setdefault(int(i), x)
+        out = []
+        while following in waiting:
+            out.append((k[0], following, waiting.pop(following)))
+            following += 1
+        state.update((following, json.dumps(waiting)))
+        yield pd.DataFrame(out, columns=[key, index, payload])
+
+    return blocks.groupBy(key).applyInPandasWithState(step, schema, "following long, held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def write_batches(df: DataFrame, path: str, checkpoint: str, key: str = "batch_id") -> Any:
     """Idempotent sink: a batch's rows replace the partition of its number, so a repeated batch adds nothing."""
 
@@ -73,26 +105,35 @@ def write_batches(df: DataFrame, path: str, checkpoint: str, key: str = "batch_i
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
 
-def isolated(rows: DataFrame, call: Callable[[str], str], column: str, into: str = "result") -> DataFrame:
-    """A model slot: ``call`` on each row's text; its failure becomes the row's status and error, not the job's.
+def isolated(rows: DataFrame, call: Callable[[Any], Any], column: str, into: str = "result", kind: str = "string", seconds: float | None = None) -> DataFrame:
+    """A model slot: ``call`` on each row's value; its failure becomes the row's status and error, not the job's.
 
-    Blank texts are passed over with status 'skipped'.
+    ``kind`` is the type that the model gives: ``string`` for texts and translations,
+    ``array<float>`` for embeddings.  Null values and blank texts are passed over with status
+    'skipped'; a call that takes longer than ``seconds`` has status 'timeout' and is left
+    behind in its thread, which ends with the worker.
     """
-    from pyspark.sql import types as T
-
-    kind = T.StructType([T.StructField("value", T.StringType()), T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
+    from concurrent.futures import ThreadPoolExecutor
+    from concurrent.futures import TimeoutError as Late
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(f"struct<value:{kind},status:string,error:string>")
     def run(col: pd.Series) -> pd.DataFrame:
         out = []
+        pool = ThreadPoolExecutor(1) if seconds else None
         for x in col:
-            if x is None or not x.strip():
-                out.append((x, "skipped", None))
+            if x is None or (isinstance(x, str) and not x.strip()):
+                out.append((x if kind == "string" else None, "skipped", None))
                 continue
             try:
-                out.append((call(x), "ok", None))
+                out.append((pool.submit(call, x).result(seconds) if pool else call(x), "ok", None))
+            except Late:
+                out.append((None, "timeout", f"more than {seconds} s"))
+                pool.shutdown(wait=False, cancel_futures=True)
+                pool = ThreadPoolExecutor(1)
             except Exception as e:  # noqa: BLE001  any failure is this row's own
                 out.append((None, "error", str(e)))
+        if pool:
+            pool.shutdown(wait=False)
         return pd.DataFrame(out, columns=["value", "status", "error"])
 
     return rows.withColumn(into, run(F.col(column)))
