@@ -33,6 +33,17 @@ dg AS (SELECT k, 0 AS d, [0] AS c2, [0] AS s2, [0] AS c1, [0] AS s1, n, m, ref,
             [c2[i] + (ref[i] <> hyp[d + 1 - i])::INT, 0, s2[i] + (ref[i] <> hyp[d + 1 - i])::INT], [c1[i] + 1, 1, s1[i]], [c1[i + 1] + 1, 2, s1[i + 1]]]) END) AS cells FROM dg WHERE d < n + m)),
 we AS (SELECT pr.conv_id, pr.turn, dg.n, dg.m, c1[dg.n + 1] AS cost, s1[dg.n + 1] AS sub FROM dg JOIN pr USING (k) WHERE d = dg.n + dg.m)"""
 
+#: Cues (conv_id, cue, a, b, speaker, ln): words of a chunk are wrapped by a fold that keeps the lines in one text.
+_CUES = f"""{_TIMED},
+cp AS (SELECT *, e - s AS dur, {_WORDS.format("text")} AS w, greatest(1, ceil(length(text) / 84), ceil(length(text) / (17 * greatest(e - s, 0.1))), ceil((e - s) / 7))::BIGINT AS n FROM tt),
+cq AS (SELECT *, ceil(len(w) / n)::BIGINT AS each FROM cp),
+cr AS (SELECT conv_id, turn, s, e, dur, speaker, unnest(CASE WHEN n = 1 THEN [0] ELSE generate_series(0, ceil(len(w) / each)::BIGINT - 1) END) AS i, n, w, each, text FROM cq),
+cc AS (SELECT *, CASE WHEN n = 1 THEN w ELSE w[i * each + 1 : (i + 1) * each] END AS cw, CASE WHEN n = 1 THEN length(text) ELSE length(array_to_string(w[i * each + 1 : (i + 1) * each], ' ')) END AS ch FROM cr),
+cd AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id, turn) AS al, sum(ch) OVER (PARTITION BY conv_id, turn ORDER BY i) AS upto, lead(i) OVER (PARTITION BY conv_id, turn ORDER BY i) IS NULL AS fin FROM cc),
+cg AS (SELECT conv_id, turn, i, speaker, cw, s + dur * (upto - ch) / al AS a, CASE WHEN fin THEN e ELSE s + dur * upto / al END AS b FROM cd),
+cu AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS cue, a, CASE WHEN b - a < 1 THEN least(a + 1, coalesce(lead(a) OVER (PARTITION BY conv_id ORDER BY turn, i), 1e300)) ELSE b END AS b, speaker,
+    string_split(list_reduce(cw, lambda x, y: CASE WHEN length(string_split(x, chr(10))[-1]) + 1 + length(y) <= 42 THEN x || ' ' || y ELSE x || chr(10) || y END), chr(10)) AS ln FROM cg)"""
+
 _RUNS = """rn AS (SELECT l_returnflag || '/' || (l_suppkey % 7) AS model, l_linestatus AS backend, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'error' ELSE 'timeout' END AS status,
     l_extendedprice AS infer, l_discount + 0.1 AS rtf, CASE WHEN l_tax > 0.02 THEN l_tax * 1000 END AS load_ms, CASE WHEN l_tax > 0.04 THEN l_quantity END AS mem,
     l_quantity::INT % 5 AS sub, l_quantity::INT % 3 AS del, l_quantity::INT % 7 AS ins, l_quantity::INT AS ref_words, l_orderkey * 10 + l_linenumber AS seq
@@ -215,4 +226,29 @@ ORACLES = {
         CASE WHEN sum(n) > 0 THEN sum(cost) / sum(n) WHEN sum(cost) > 0 THEN 'inf'::DOUBLE ELSE 0 END AS wer FROM we GROUP BY conv_id""",
     "round_trip": f"""WITH RECURSIVE {_WER}, t AS (SELECT we.conv_id % 7 AS k, cost / we.n AS w, length(array_to_string(hyp, ' ')) / greatest(1, length(array_to_string(ref, ' '))) AS r FROM we JOIN nx ON nx.conv_id = we.conv_id AND nx.turn = we.turn WHERE we.n > 0)
         SELECT k, round(avg(w), 6) AS mean_wer, round(avg(r), 6) AS mean_ratio, count(*) AS n FROM t GROUP BY k""",
+    "der": f"""WITH RECURSIVE {_TIMES},
+        n AS (SELECT user_id, max(floor((idx + 1.4) * 100 + 0.5))::BIGINT AS n FROM et GROUP BY user_id), fr AS (SELECT user_id, n, unnest(generate_series(0, n - 1)) AS f FROM n),
+        rf AS (SELECT DISTINCT user_id, unnest(generate_series(floor(idx * 100 + 0.5)::BIGINT, floor((idx + 1.3) * 100 + 0.5)::BIGINT - 1)) AS f, event_type AS s FROM et),
+        hf AS (SELECT DISTINCT user_id, unnest(generate_series(floor((idx + 0.1) * 100 + 0.5)::BIGINT, floor((idx + 1.4) * 100 + 0.5)::BIGINT - 1)) AS f, CASE WHEN value > 80 THEN 's0' ELSE event_type END AS s FROM et),
+        ra AS (SELECT user_id, f, count(*) AS r, string_agg(s, ',' ORDER BY s) AS rs FROM rf GROUP BY ALL), ha AS (SELECT user_id, f, count(*) AS h FROM hf GROUP BY ALL),
+        al AS (SELECT fr.user_id, fr.f, n, coalesce(r, 0) AS r, coalesce(h, 0) AS h, coalesce(rs, '') AS rs FROM fr LEFT JOIN ra USING (user_id, f) LEFT JOIN ha USING (user_id, f)),
+        ch AS (SELECT user_id, f FROM (SELECT *, lag(rs) OVER (PARTITION BY user_id ORDER BY f) AS was FROM al) WHERE was IS NOT NULL AND was <> rs),
+        co AS (SELECT DISTINCT user_id, unnest(generate_series(f - 5, f + 4)) AS f FROM ch),
+        x AS (SELECT al.*, co.f IS NOT NULL AS c FROM al LEFT JOIN co ON co.user_id = al.user_id AND co.f = al.f),
+        t AS (SELECT user_id, sum(CASE WHEN c THEN 0 ELSE r END) AS rf, sum(CASE WHEN c THEN r ELSE 0 END) AS cf, sum(CASE WHEN c THEN 0 ELSE greatest(r - h, 0) END) AS mf, sum(CASE WHEN c THEN 0 ELSE greatest(h - r, 0) END) AS ff, sum(CASE WHEN c THEN 0 ELSE least(r, h) END) AS bf FROM x GROUP BY user_id),
+        w AS (SELECT rf.user_id, rf.s AS rs, hf.s AS hs, count(*) AS n FROM rf JOIN hf ON hf.user_id = rf.user_id AND hf.f = rf.f JOIN x ON x.user_id = rf.user_id AND x.f = rf.f AND NOT x.c GROUP BY ALL),
+        rl AS (SELECT user_id, rs, row_number() OVER (PARTITION BY user_id ORDER BY rs) AS k FROM (SELECT DISTINCT user_id, rs FROM w)),
+        opt AS (SELECT rl.user_id, rl.k, w.hs, w.n FROM rl JOIN w ON w.user_id = rl.user_id AND w.rs = rl.rs UNION ALL SELECT user_id, k, NULL, 0 FROM rl),
+        pick AS (SELECT DISTINCT user_id, 0::BIGINT AS k, []::VARCHAR[] AS used, 0::BIGINT AS total FROM rl
+            UNION ALL SELECT p.user_id, p.k + 1, CASE WHEN o.hs IS NULL THEN p.used ELSE list_append(p.used, o.hs) END, p.total + o.n FROM pick p JOIN opt o ON o.user_id = p.user_id AND o.k = p.k + 1 AND (o.hs IS NULL OR NOT list_contains(p.used, o.hs))),
+        best AS (SELECT user_id, max(total) AS ok FROM pick GROUP BY user_id)
+        SELECT user_id, true AS measurable, round((mf + ff + bf - coalesce(ok, 0)) / rf, 6) AS der, round(mf / 100, 6) AS missed_sec, round(ff / 100, 6) AS false_sec, round((bf - coalesce(ok, 0)) / 100, 6) AS confusion_sec, round(rf / 100, 6) AS ref_sec, round(cf / 100, 6) AS collar_sec FROM t LEFT JOIN best USING (user_id)""",
+    "cue_lines": f"""WITH {_CUES} SELECT conv_id, cue, array_to_string(ln[1:2], chr(10)) AS lines, coalesce(list_sum(list_transform(ln[3:], lambda x: len(string_split(x, ' ')))), 0)::BIGINT AS dropped_words FROM cu""",
+    "srt_export": f"""WITH {_CUES} SELECT conv_id, string_agg(cue || chr(13) || chr(10) || {_time("a", ",")} || ' --> ' || {_time("b", ",")} || chr(13) || chr(10) || speaker || ': ' || array_to_string(ln[1:2], chr(13) || chr(10)), chr(13) || chr(10) || chr(13) || chr(10) ORDER BY cue) || chr(13) || chr(10) AS body FROM cu GROUP BY conv_id""",
+    "vtt_export": f"""WITH {_CUES} SELECT conv_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_time("a", ".")} || ' --> ' || {_time("b", ".")} || chr(10) || '<v ' || speaker || '>' || replace(replace(replace(array_to_string(ln[1:2], chr(10)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) || chr(10) ORDER BY cue) || chr(10) AS body FROM cu GROUP BY conv_id""",
+    "align_text": f"""WITH x AS (SELECT conv_id, turn, trim(text) AS t, {_WORDS.format("text")} AS w, len({_WORDS.format("text")}) AS n FROM conversations),
+        y AS (SELECT *, CASE WHEN t = '' THEN [] ELSE string_split(regexp_replace(t, '([.!?…])\\s+([¿¡"''(\\p{{Lu}}])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) END AS se, greatest(least(1, n), floor(n / 6 + 0.5))::BIGINT AS a FROM x),
+        z AS (SELECT *, greatest(least(1, n - a), floor(n * 2 / 6 + 0.5), 0)::BIGINT AS b FROM y),
+        p AS (SELECT conv_id, turn, CASE WHEN t = '' THEN ['', '', ''] WHEN len(se) = 3 THEN list_transform(se, lambda q: trim(q)) ELSE [array_to_string(w[1:a], ' '), array_to_string(w[a + 1:a + b], ' '), array_to_string(w[a + b + 1:], ' ')] END AS parts FROM z)
+        SELECT conv_id, turn, unnest([0, 1, 2]) AS segment, unnest(parts) AS part FROM p""",
 }
