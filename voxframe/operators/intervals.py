@@ -155,10 +155,3 @@ def speech_regions(frames: DataFrame, keys: list[str], share: float = 0.05, gap:
     rows = frames.withColumn("_on", F.col("rms") >= F.max("rms").over(whole) * share).where("_on")
     rows = rows.withColumn("_g", F.sum(F.when(F.coalesce(F.col("w") - F.lag("w").over(order) - 1 >= gap, F.lit(True)), 1).otherwise(0)).over(order))
     return rows.groupBy(*keys, "_g").agg(F.min("w").alias("first_w"), (F.max("w") + 1).alias("end_w")).where(F.col("end_w") - F.col("first_w") >= least).drop("_g")
-
-
-def elementary(bounds: DataFrame, keys: list[str], point: str = "f") -> DataFrame:
-    """Consecutive distinct points as intervals (keys, f0, f1)."""
-    order = W.partitionBy(*keys).orderBy(point)
-    cut = bounds.select(*keys, point).distinct()
-    return cut.select(*keys, F.col(point).alias("f0"), F.lead(point).over(order).alias("f1")).where("f1 is not null")

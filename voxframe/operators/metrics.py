@@ -135,52 +135,53 @@ def _frames(turns: DataFrame, keys: list[str]) -> DataFrame:
     return turns.select(*keys, "speaker", F.greatest(f("start_sec"), F.lit(0)).alias("a"), f("end_sec").alias("b")).where("a < b")
 
 
-def _covering(cuts: DataFrame, turns: DataFrame, keys: list[str], width: int = 6000) -> DataFrame:
-    """(keys, f0, f1, speaker) of the turns over each elementary interval; a bucketed hash join.
-
-    An elementary interval lies inside or outside a turn as a whole, so its start decides.
-    """
-    c = cuts.withColumn("_bucket", F.floor(F.col("f0") / width))
-    t = turns.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))))
-    return c.join(t, [*keys, "_bucket"]).where("a <= f0 and f0 < b").select(*keys, "f0", "f1", "speaker").distinct()
-
-
-def _bounds(turns: DataFrame, keys: list[str]) -> DataFrame:
-    return turns.select(*keys, F.explode(F.array("a", "b")).alias("f"))
+#: Labels of an item's side that ``der_parts`` can tell apart.
+MASK_LABELS = 62
 
 
 def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_sec: float = 0.0) -> DataFrame:
-    """(keys, f0, f1, ref set, hyp set) outside the collar, and collar intervals marked ``forgiven``."""
-    from voxframe.operators.intervals import elementary
+    """(keys, f0, f1, ref and hyp sets, n_ref, n_hyp) of an item's elementary intervals; those in the collar are ``forgiven``.
 
+    One sweep over an item's boundaries, without a join: a label that begins or ends adds its
+    bit to, or takes it from, a running mask.  Beyond MASK_LABELS labels of a side the sets
+    lack the later ones; the numbers stay right.
+    """
     plain_unions(reference.sparkSession)
-    ref, hyp = _frames(reference, keys), _frames(hypothesis, keys)
-    ends = ref.select(*keys, "b").unionByName(hyp.select(*keys, "b")).groupBy(*keys).agg(F.max("b").alias("_end"))
-    edges = ends.select(*keys, F.explode(F.array(F.lit(0).cast("long"), F.col("_end"))).alias("f"))
-    bounds = _bounds(ref, keys).unionByName(_bounds(hyp, keys)).unionByName(edges)
+    rows = _frames(reference, keys).withColumn("_s", F.lit("r")).unionByName(_frames(hypothesis, keys).withColumn("_s", F.lit("h"))).repartition(*keys)
+    item = W.partitionBy(*keys)
+    names = lambda side: F.array_sort(F.collect_set(F.when(F.col("_s") == side, F.col("speaker"))).over(item))
+    rows = rows.withColumn("_end", F.max("b").over(item)).withColumn("_r", names("r")).withColumn("_h", names("h"))
+    # where each label begins and ends, its own overlapping turns being one
+    edge = lambda f, d: F.struct(f.cast("long").alias("f"), F.lit(d).alias("d"))
+    edges = F.explode(F.array(edge(F.col("a"), 1), edge(F.col("b"), -1), edge(F.lit(0), 0), edge(F.col("_end"), 0))).alias("_e")
+    steps = rows.select(*keys, "_s", "speaker", "_end", "_r", "_h", edges).groupBy(*keys, "_s", "speaker", F.col("_e.f").alias("f"))
+    steps = steps.agg(F.sum("_e.d").alias("d"), *[F.first(c).alias(c) for c in ("_end", "_r", "_h")])
+    run = F.sum("d").over(W.partitionBy(*keys, "_s", "speaker").orderBy("f"))
+    steps = steps.withColumn("_run", run).withColumn("c", F.when((F.col("_run") > 0) & (F.col("_run") == F.col("d")), 1).when((F.col("_run") == 0) & (F.col("d") < 0), -1).otherwise(0))
+    place = F.array_position(F.when(F.col("_s") == "r", F.col("_r")).otherwise(F.col("_h")), F.col("speaker")) - 1
+    steps = steps.withColumn("_i", place.cast("int")).withColumn("_m", F.when(F.col("_i") < MASK_LABELS, F.expr("shiftleft(1L, _i)") * F.col("c")).otherwise(0))
+    side = lambda c, k: F.sum(F.when(F.col("_s") == k, F.col(c)).otherwise(0)).alias(f"{k}{c}")
+    sums = ("r_m", "h_m", "rc", "hc")
+    points = steps.groupBy(*keys, "f").agg(side("_m", "r"), side("_m", "h"), side("c", "r"), side("c", "h"), *[F.first(c).alias(c) for c in ("_end", "_r", "_h")])
     radius = int(collar_sec * FRAMES_PER_SEC + 0.5)
-    forgiven = None
     if radius > 0:
-        own = elementary(_bounds(ref, keys).unionByName(edges), keys)
-        sets = own.join(_covering(own, ref, keys), [*keys, "f0", "f1"], "left").groupBy(*keys, "f0", "f1").agg(F.array_sort(F.collect_set("speaker")).alias("s"))
-        order = W.partitionBy(*keys).orderBy("f0")
-        changes = sets.withColumn("_was", F.lag("s").over(order)).where("_was is not null and not (_was <=> s)").join(ends, keys)
-        forgiven = changes.select(*keys, F.lit("collar").alias("speaker"), F.greatest(F.col("f0") - radius, F.lit(0)).alias("a"), F.least(F.col("f0") + radius, F.col("_end")).alias("b")).where("a < b")
-        bounds = bounds.unionByName(_bounds(forgiven, keys))
-    cuts = elementary(bounds, keys)
-    # all sides meet the cuts in one join; cuts that nothing covers come back by the union
-    tagged = lambda t, side: t.select(*keys, F.concat(F.lit(side), "speaker").alias("speaker"), "a", "b")
-    sides = tagged(ref, "r").unionByName(tagged(hyp, "h"))
-    if forgiven is not None:
-        sides = sides.unionByName(tagged(forgiven, "c"))
-    found = _covering(cuts, sides, keys).unionByName(cuts.withColumn("speaker", F.lit(None).cast("string")))
-    own = lambda side: F.array_sort(F.collect_set(F.when(F.startswith("speaker", F.lit(side)), F.substring("speaker", 2, 1 << 30))))
-    return found.groupBy(*keys, "f0", "f1").agg(own("r").alias("ref"), own("h").alias("hyp"), F.coalesce(F.bool_or(F.startswith("speaker", F.lit("c"))), F.lit(False)).alias("forgiven"))
+        at = lambda f, c, moved: F.struct(f.alias("f"), F.lit(c).alias("k"), *[(F.col(x) if moved else F.lit(0).cast("long")).alias(x) for x in sums])
+        changed = (F.col("r_m") != 0) & (F.col("f") > 0) & (F.col("f") < F.col("_end"))
+        around = F.array(at(F.greatest(F.col("f") - radius, F.lit(0).cast("long")), 1, False), at(F.least(F.col("f") + radius, F.col("_end")), -1, False))
+        own = F.array(at(F.col("f"), 0, True))
+        points = points.select(*keys, "_r", "_h", F.explode(F.when(changed, F.concat(own, around)).otherwise(own)).alias("_e")).groupBy(*keys, F.col("_e.f").alias("f"))
+        points = points.agg(*[F.sum(f"_e.{x}").alias(x) for x in (*sums, "k")], F.first("_r").alias("_r"), F.first("_h").alias("_h"))
+    else:
+        points = points.withColumn("k", F.lit(0))
+    order = item.orderBy("f")
+    points = points.select(*keys, F.col("f").alias("f0"), F.lead("f").over(order).alias("f1"), "_r", "_h", *[F.sum(x).over(order).alias(x) for x in (*sums, "k")]).where("f1 is not null")
+    held = lambda labels, mask: F.filter(F.transform(labels, lambda n, i: F.when((i < MASK_LABELS) & (F.getbit(F.col(mask), F.least(i, F.lit(63))) == 1), n)), lambda n: n.isNotNull())
+    return points.select(*keys, "f0", "f1", held("_r", "r_m").alias("ref"), held("_h", "h_m").alias("hyp"), F.col("rc").alias("n_ref"), F.col("hc").alias("n_hyp"), (F.col("k") > 0).alias("forgiven"))
 
 
 def der_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Frame sums that no assignment of labels changes."""
-    n, r, h = F.col("f1") - F.col("f0"), F.size("ref").cast("long"), F.size("hyp").cast("long")
+    n, r, h = F.col("f1") - F.col("f0"), F.col("n_ref"), F.col("n_hyp")
     kept = ~F.col("forgiven")
     total = lambda x, c: F.sum(F.when(c, x * n).otherwise(0)).cast("long")
     return parts.groupBy(*keys).agg(
