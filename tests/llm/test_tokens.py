@@ -199,6 +199,20 @@ def test_shards(spark, odd, none, bpe, own):
     assert sorted(r.doc_id for r in found) == [5, 5, 7]
     assert all(r.ids == library(own, "hola mundo") + [0] for r in found if r.doc_id == 5)
     assert sstable.shard_digests(sstable.write_shards(none, bpe)).count() == 0
+    assert sstable.lookup(sstable.write_shards(none, bpe), asked).count() == 0
+
+
+def test_lookup_in_many_shards(spark, bpe, own):
+    """Repeats of a doc_id over several shards, keys between shards, below the first and above the last, null keys."""
+    long = lambda n: " ".join(f"w{n * i}" for i in range(5000))  # noqa: E731  blocks have 128 KB
+    rows = [(d * 3, long(d + 1)) for d in range(60)] + [(30, long(i + 100)) for i in range(25)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = sstable.write_shards(docs, bpe, shard_bytes=100)
+    assert manifest.count() > 10
+    asked = [-5, 0, 1, 29, 30, 31, 90, 177, 178, 999, None, 30]
+    found = sstable.lookup(manifest, spark.createDataFrame([(k,) for k in asked], "doc_id long").repartition(3)).collect()
+    want = sorted((d, tuple(library(own, t) + [0])) for d, t in rows if d in set(asked) - {None})
+    assert sorted((r.doc_id, tuple(r.ids)) for r in found) == want
 
 
 def greedy(word, pieces, longest=None):

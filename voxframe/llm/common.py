@@ -102,6 +102,17 @@ def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage and hand unused heap back, before a stage of a long pipeline.
+
+    A heap that an earlier stage has grown stays grown, beside the Python workers that a
+    later stage needs.  One short task a core calls the collector; none of it is needed for
+    right results.
+    """
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as a URI.  Where none is set, a local one, which only a local master may have."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

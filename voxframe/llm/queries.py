@@ -49,6 +49,17 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir), ["doc_id"]).withColumn("n_detections", F.size("detections").cast("long")).drop("detections")
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of the scan alone, which SQL can express."""
+    return licenses.scan(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents, looked up in the shards of all documents by Bloom filter and binary search."""
+    found = sstable.lookup(sstable.write_shards(documents(spark, sf_dir), tokenizer()), documents(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.aggregate("ids", F.lit(0).cast("long"), lambda n, x: n + x).alias("id_sum"))
+
+
 def op4_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.shard_digests(sstable.write_shards(documents(spark, sf_dir), tokenizer()))
 
@@ -99,7 +110,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.predict(docs.select("doc_id", "text", held.alias("held_out")), prototypes).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op5_decontamination, op6_ngram_jaccard, op7_line_dedup, op8_url_cascade, op9_token_counts, op10_language_id, page_sequences, instruction_packing, line_dedup_replay)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op5_decontamination, op6_ngram_jaccard, op7_line_dedup, op8_url_cascade, op9_token_counts, op10_language_id, page_sequences, instruction_packing, line_dedup_replay, license_phrases, shard_lookup)}
 
 #: The parts of a url; a null url is empty.
 _URL = r"""
@@ -123,7 +134,22 @@ f AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40 GROUP B
 d AS (SELECT k.doc_id, k.i, k.line, f.key IS NOT NULL AND f.last_doc <> k.doc_id AS gone FROM k LEFT JOIN f ON k.key = f.key)
 """
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 ORACLES = {
+    "license_phrases": f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    p AS (SELECT doc_id, len(w) AS n, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'under' AND w[i + 2] = 'the' AND w[i + 3] = 'mit' AND w[i + 4] = 'license') AS a,
+        list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license' AND w[i + 3] = 'version' AND w[i + 4] = '2') AS b, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by' AND w[i + 3] = 'nc') AS c FROM w)
+    SELECT doc_id, n::BIGINT AS n_words, (len(a) + len(b) + len(c))::BIGINT AS n_base, list_min(a || b || c) AS first_word, list_max(a || b || c) AS last_word,
+        concat_ws(',', CASE WHEN len(b) > 0 THEN 'apache-2' END, CASE WHEN len(c) > 0 THEN 'cc-by-nc' END, CASE WHEN len(a) > 0 THEN 'mit' END) AS base_labels FROM p""",
+    "op6_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 90 * (nx.n + ny.n - i)),
+    e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+    r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.m)
+    SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.m) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op7_line_dedup": _LINES
     + """SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",

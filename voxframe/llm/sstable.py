@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ids_of, keyed_texts, longs, materialize, offsets, scratch, tidy
+from .common import bounded_batches, broadcast_if_small, ids_of, keyed_texts, longs, materialize, offsets, scratch, tidy
 
 MAGIC = b"VXS1"
 FOOTER = struct.Struct("<QQQQQHH4s")
@@ -207,6 +207,12 @@ class Reader:
                 return value if found == key else None
         return None
 
+    def first_repeat(self, doc_id: int) -> int:
+        """The repeat number that a shard's entries of ``doc_id`` begin with; 0 unless the shard begins inside them."""
+        raw, _, end = self._block(0) if self.blocks else (b"", [], 0)
+        first = next(self._entries(raw, 0, end), None)
+        return struct.unpack(">I", first[0][-4:])[0] if first and doc_of(first[0]) == doc_id else 0
+
 
 def _writer(tokenizer: str, end_id: int, folder: str, shard_bytes: int):
     def write(batches):
@@ -327,14 +333,35 @@ def shard_digests(manifest: DataFrame) -> DataFrame:
     return _spread(manifest).mapInPandas(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _shards_of(manifest: DataFrame, asked: DataFrame) -> DataFrame:
+    """(path, doc_id): the shards that can hold each asked document.
+
+    These are the last shard that begins below it, and all that begin with it (repeats of a
+    doc_id may go over several).  Keys and shard beginnings are range-partitioned together;
+    what a partition's first keys need of the partitions before is one row a partition.
+    """
+    from pyspark.sql import Window as W
+
+    shard = F.struct("part", "seq", "path")
+    bounds = manifest.select(F.coalesce("first_doc", F.lit(-(1 << 63))).alias("at"), F.lit(1).alias("kind"), shard.alias("shard"))
+    both = asked.select(F.col("doc_id").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(bounds.schema["shard"].dataType).alias("shard")).unionByName(bounds)
+    ranged = materialize(both.repartitionByRange("at").withColumn("_p", F.spark_partition_id()), "sst-keys")
+    below = W.partitionBy("_p").orderBy("at", "kind", "shard").rowsBetween(W.unboundedPreceding, W.currentRow)  # a key stands before shards that begin with it
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    carried = ranged.groupBy("_p").agg(F.max("shard").alias("_last")).select("_p", F.max("_last").over(before).alias("_carry"))
+    keys = ranged.withColumn("shard", F.last("shard", ignorenulls=True).over(below)).where("kind = 0")
+    last = keys.join(broadcast_if_small(carried), "_p", "left").select(F.coalesce("shard", "_carry")["path"].alias("path"), F.col("at").alias("doc_id")).where("path is not null")
+    same = asked.join(bounds, F.col("doc_id") == F.col("at")).select(F.col("shard.path").alias("path"), "doc_id")
+    return last.unionByName(same).distinct()
+
+
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """Ids of asked documents (column doc_id), by binary search in the shard that can hold each.
+    """Ids of asked documents (column doc_id): Bloom filter, then binary search in the shards that can hold each.
 
-    The keys' range join goes by the manifest's bounds; a key that no shard holds gives no row.
+    A key that no shard holds gives no row; null keys are not asked.
     """
-    shards = manifest.select("path", F.col("first_doc"), F.lead("first_doc").over(_by_part()).alias("next_doc"))
-    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    hits = asked.join(F.broadcast(shards), (F.coalesce("first_doc", F.lit(-(1 << 63))) <= F.col("doc_id")) & (F.col("next_doc").isNull() | (F.col("doc_id") <= F.col("next_doc"))))
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    hits = _shards_of(manifest, asked)
 
     def find(_, pdf):
         import numpy as np
@@ -346,7 +373,7 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
         with fs.open_input_file(name) as source:
             reader = Reader(source)
             for doc in pdf["doc_id"]:
-                repeat = 0
+                repeat = reader.first_repeat(int(doc))
                 while (value := reader.get(key_of(int(doc), repeat))) is not None:
                     rows.append((int(doc), np.frombuffer(value, f"<u{reader.width}").astype("int32").tolist()))
                     repeat += 1
@@ -354,8 +381,3 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
 
     return hits.groupBy("path").applyInPandas(find, "doc_id long, ids array<int>")
 
-
-def _by_part():
-    from pyspark.sql import Window as W
-
-    return W.orderBy("part", "seq")

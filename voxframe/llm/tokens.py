@@ -36,7 +36,7 @@ _BYTES = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
 
 
 #: Bytes of a codec's caches in a worker process.
-CACHE_BYTES = 56 << 20
+CACHE_BYTES = 48 << 20
 
 
 class _Pieces(dict):
