@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.llm import decontaminate, hyperlang, linededup, ngramjoin, packing
-from voxframe.llm.common import broadcast_if_small, fresh, materialize, settle
+from voxframe.llm.common import broadcast_if_small, fresh, materialize, settle, shrink_heaps
 from voxframe.llm.queries import tokenizer
 
 #: Cosine under which a text is in none of the known languages; unrelated texts have about 0.03.
@@ -23,6 +23,7 @@ WORDS, PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or unlike every language go; null texts go with them."""
+    shrink_heaps(spark)
     (made,) = fresh(docs, "_guess")
     guessed = hyperlang.with_guess(docs, hyperlang.fit(docs), made)
     return guessed.where((F.col(f"{made}.lang_pred") != "und") & (F.col(f"{made}.score") >= MIN_SCORE)).select(*docs.columns)
@@ -30,6 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat in five documents stay in the last of them; n_chars follows the text."""
+    shrink_heaps(spark)
     (made,) = fresh(docs, "_lines")
     out = linededup.with_deduped(docs, made)
     text = F.col(f"{made}.text")
@@ -39,6 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays."""
+    shrink_heaps(spark)
     groups = ngramjoin.join(docs, n=WORDS, share=PERCENT)
     (copy,) = fresh(docs, "_copy")
     rest = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(copy)).distinct(), "copies")
@@ -47,11 +50,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    shrink_heaps(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents, placed in sequences."""
+    shrink_heaps(spark)
     return packing.pack_documents(docs, tokenizer())
 
 
