@@ -142,3 +142,17 @@ def test_plateau(spark):
     rows = [(t, d) for t, ds in {0.3: (0.2, 0.22), 0.4: (0.05, 0.054), 0.5: (0.052, 0.054), 0.6: (0.07, None)}.items() for d in ds]
     p = metrics.sweep_plateau(spark.createDataFrame(rows, "threshold double, der double")).first()
     assert (p.low, p.high, p.centre) == (0.4, 0.5, 0.45)
+
+
+def test_cosine_pairs_of_a_key_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(23, 4)).round(3)
+    df = spark.createDataFrame([("k" if i < 20 else "m", i, x[i].tolist()) for i in range(23)], "k string, vec_id int, embedding array<float>")
+    monkeypatch.setattr(metrics, "BLOCK", 6)
+    got = {(r.a_vec_id, r.b_vec_id): r.cosine for r in metrics.cosine_pairs(df, ["k"]).collect()}
+    pairs = [(i, j) for i in range(23) for j in range(i + 1, 23) if (i < 20) == (j < 20)]
+    assert sorted(got) == pairs
+    y = x.astype("float32").astype("float64")
+    assert all(abs(got[i, j] - y[i] @ y[j] / np.linalg.norm(y[i]) / np.linalg.norm(y[j])) < 1e-12 for i, j in pairs)

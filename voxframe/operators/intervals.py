@@ -126,7 +126,7 @@ def at_point(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, w
     s = _bucketed(intervals.select(*keys, "idx", "start_sec", "end_sec"), "start_sec", "end_sec", width)
     met = p.join(s, [*keys, "_bucket"], "left")
     held = F.when((F.col(t) >= F.col("start_sec")) & (F.col(t) < F.col("end_sec")), F.col("idx"))
-    return met.groupBy(*points.columns, "_p").agg(F.coalesce(F.min(held), F.lit(-1)).alias("active_idx")).drop("_p")
+    return met.groupBy("_p").agg(*[F.first(c).alias(c) for c in points.columns], F.coalesce(F.min(held), F.lit(-1)).alias("active_idx")).drop("_p")
 
 
 def nearest_label(rows: DataFrame, keys: list[str], time: str, label: str, order_by: str = "idx") -> DataFrame:

@@ -266,11 +266,24 @@ def shuffled_labels(vectors: DataFrame, keys: list[str], vec_id: str = "vec_id",
     return ranked.drop("_j").join(dealt, [*keys, "_i"]).withColumn(label, F.col("_l")).drop("_i", "_l")
 
 
+#: Vectors of a key that meet in one task.
+BLOCK = 512
+
+
 def cosine_pairs(vectors: DataFrame, keys: list[str], vec_id: str = "vec_id", embedding: str = "embedding", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Cosine of all pairs of one key's vectors; norms are computed once a vector, before the join."""
+    """Cosine of all pairs of one key's vectors; norms are computed once a vector, before the join.
+
+    A key of many vectors is cut into blocks, and each pair of blocks is a group of its own,
+    so that the pairs of a large key are made by many tasks.
+    """
     from voxframe.functions.arrays import cosine_of, dot
 
     v = vectors.select(*keys, vec_id, *carry, F.col(embedding).cast("array<double>").alias("_v")).withColumn("_n", F.sqrt(dot(F.col("_v"), F.col("_v"))))
-    side = lambda p: v.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in (vec_id, *carry)], F.col("_v").alias(f"{p}_v"), F.col("_n").alias(f"{p}_n"))
-    met = side("a").join(side("b"), keys).where(F.col(f"a_{vec_id}") < F.col(f"b_{vec_id}"))
+    v = v.withColumn("_k", F.ceil(F.count("*").over(W.partitionBy(*keys)) / BLOCK)).withColumn("_c", F.pmod(F.xxhash64(vec_id), F.col("_k")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))
+
+    def side(p: str, own: str, other: str) -> DataFrame:
+        return v.select(*keys, F.col("_c").alias(own), every.alias(other), *[F.col(c).alias(f"{p}_{c}") for c in (vec_id, *carry)], F.col("_v").alias(f"{p}_v"), F.col("_n").alias(f"{p}_n"))
+
+    met = side("a", "_i", "_j").join(side("b", "_j", "_i"), [*keys, "_i", "_j"]).where(F.col(f"a_{vec_id}") < F.col(f"b_{vec_id}"))
     return met.select(*keys, *[f"{p}_{c}" for p in "ab" for c in (vec_id, *carry)], cosine_of(dot(F.col("a_v"), F.col("b_v")), F.col("a_n"), F.col("b_n")).alias("cosine"))
