@@ -36,7 +36,7 @@ _BYTES = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
 
 
 #: Bytes of a codec's caches in a worker process.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 112 << 20
 
 
 class _Pieces(dict):
@@ -71,9 +71,9 @@ class Codec:
         self.code, self.dtype = ("H", "<u2") if self.tok.get_vocab_size() <= 1 << 16 else ("I", "<u4")
         self.width = array(self.code).itemsize
         self.model = self.tok.model
-        self.words = _Pieces(lambda w: self._piece(" " + w), most * 5 // 8)
+        self.words = _Pieces(lambda w: self._piece(" " + w), most * 3 // 4)
         self.firsts = _Pieces(self._piece, most // 8)
-        self.pre = _Pieces(self._pre, most // 4)
+        self.pre = _Pieces(self._pre, most // 8)
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
@@ -83,9 +83,12 @@ class Codec:
         return array(self.code, [t.id for t in self.model.tokenize(pre.encode().decode("latin-1").translate(_BYTES))]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if _LATIN(piece):
-            return b"".join(map(self.pre.__getitem__, _CUT.findall(piece)))
-        return self._whole(piece)
+        if not _LATIN(piece):
+            return self._whole(piece)
+        cut = _CUT.findall(piece)
+        if len(cut) == 1:  # held as a word or as a first one, and not once more
+            return self._pre(piece)
+        return b"".join([self.words[x[1:]] if x[0] == " " and len(x) > 1 else self.pre[x] for x in cut])
 
     def encode(self, text: str) -> bytes:
         return self.encode_from(text)[0]
