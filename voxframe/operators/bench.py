@@ -101,8 +101,8 @@ def failures(results: DataFrame) -> DataFrame:
     return results.where(F.col("status").isin("error", "timeout"))
 
 
-#: Accuracy of the sketch that brackets a quantile: the bracket holds some 1 / 25,000 of a key's rows.
-SKETCH = 200_000
+#: Accuracy of the sketch that brackets a quantile: a bracket holds some 1 / 2,500 of a key's rows.
+SKETCH = 20_000
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -116,7 +116,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
     names, slack = list(shares), 4.0 / SKETCH
     edges = [min(max(p + s, 0.0), 1.0) for p in shares.values() for s in (-slack, slack)]
-    few = F.count("*") * slack < 2  # then the bracket is everything: at most 100,000 rows
+    few = F.count("*") * slack < 2  # then the bracket is everything: at most 10,000 rows
     ends = rows.groupBy(*keys).agg(F.percentile_approx("_x", F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH)).alias("_e"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), few.alias("_few"))
     ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.when(F.col("_few"), F.col("_high" if j % 2 else "_low")).otherwise(F.get("_e", F.lit(j))).alias(f"_e{j}") for j in range(len(edges))])
     on = F.lit(True)
