@@ -323,7 +323,7 @@ def test_unrelated_pairs_never_meet_and_near_ones_do(spark):
     make = lambda rows, k: spark.createDataFrame(rows, f"{k} long, text string")
     pairs = {(r.doc_id, r.item_id) for r in decontaminate.find(make(docs, "doc_id").repartition(3), make(items, "item_id")).collect()}
     want = brute_leaks(docs, items)
-    assert pairs <= want and len(want) > 150 and len(pairs) >= 0.99 * len(want)
+    assert pairs <= want and len(want) > 100 and len(pairs) >= 0.99 * len(want), (len(pairs), len(want))
 
 
 def test_every_block_variant_within_the_radius_is_listed():
