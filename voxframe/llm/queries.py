@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hyperlang, licenses, linededup, media, ngramjoin, packing, sstable, urlcascade, wordpiece
+from . import collocations, decontaminate, genetic, hyperlang, licenses, linededup, media, ngramjoin, packing, periodic, sstable, urlcascade, wordpiece
 from .common import documents
 
 
@@ -110,7 +112,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.predict(docs.select("doc_id", "text", held.alias("held_out")), prototypes).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op5_decontamination, op6_ngram_jaccard, op7_line_dedup, op8_url_cascade, op9_token_counts, op10_language_id, page_sequences, instruction_packing, line_dedup_replay, license_phrases, shard_lookup)}
+def op11_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic.pack_whole(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def tiled(doc_id: int, words: list[str]) -> list[str]:
+    """Words of a tenth of the documents repeat from a place on with a period, both drawn from the doc_id."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(documents(spark, sf_dir), change=tiled)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_vector_packing, op3_license_scan, op4_sorted_string_tables, op5_decontamination, op6_ngram_jaccard, op7_line_dedup, op8_url_cascade, op9_token_counts, op10_language_id, op11_genetic_packing, op12_periodic_runs, op13_collocations, page_sequences, instruction_packing, line_dedup_replay, license_phrases, shard_lookup)}
 
 #: The parts of a url; a null url is empty.
 _URL = r"""
@@ -160,4 +185,34 @@ ORACLES = {
     + f""", listed AS (SELECT DISTINCT host || path AS key FROM h WHERE contains(html, '{JUNK}'))
     SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
     key IS NOT NULL AS listed FROM r LEFT JOIN listed ON key = host || path""",
+    "op12_periodic_runs": f"""WITH RECURSIVE h0 AS (SELECT DISTINCT doc_id, 4294967295::BIGINT AS c, 0 AS i FROM documents WHERE doc_id IS NOT NULL),
+    crc AS (SELECT doc_id, c, i FROM h0 UNION ALL
+        SELECT doc_id, xor(c >> 8, list_reduce(list_prepend(xor(c & 255, ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), i + 1 FROM crc WHERE i < len(doc_id::VARCHAR)),
+    h AS (SELECT doc_id, xor(c, 4294967295) AS h FROM crc WHERE i = len(doc_id::VARCHAR)),
+    w AS (SELECT d.doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents d LEFT JOIN h USING (doc_id)),
+    z AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN 1 + (len(w) - g % len(w)) // (3 + g % 8) END AS p FROM w),
+    t AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END) AS w FROM z),
+    e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+    s AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part, i FROM e),
+    c AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS n FROM s GROUP BY doc_id, q, part HAVING count(*) + q >= greatest(24, 3 * q)),
+    r AS (SELECT doc_id, s, n, min(q) AS q FROM c GROUP BY doc_id, s, n),
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (n * 1.0) / q DESC, s, q) AS best FROM r),
+    u AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id),
+    g AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM r),
+    k AS (SELECT t.doc_id, string_agg(t.w, ' ' ORDER BY t.i) AS kept FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i WHERE g.i IS NULL GROUP BY t.doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.n::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.n // b.q)::BIGINT AS exponent_milli,
+        sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND best = 1 LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op13_collocations": f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+    t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS ks(k))),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+    c AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    s AS (SELECT c.lang, c.k, c.phrase, c.a, cut, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score FROM c
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1 :], ' ') JOIN t ON t.lang = c.lang),
+    m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS lowest FROM s),
+    o AS (SELECT DISTINCT c.lang, c.phrase FROM f c JOIN f x ON x.lang = c.lang AND x.k > c.k AND x.a >= c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' ') WHERE c.k > 1),
+    q AS (SELECT m.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m ANTI JOIN o USING (lang, phrase) WHERE lowest = 1)
+    SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM q WHERE rank <= 2000""",
 }
