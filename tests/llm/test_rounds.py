@@ -273,19 +273,13 @@ def test_packing_of_odd_rows(spark, odd, none, words):
 
 
 def test_evolution_finds_packings_that_best_fit_misses():
-    better = 0
-    for seed in range(12):
+    for seed in range(4):
         rng = np.random.default_rng(seed)
-        bins = [sorted(rng.choice(np.arange(1, 1000), 3 + int(rng.integers(0, 2)), replace=False)) for _ in range(30)]
-        sizes = np.array([y - x for cuts in bins for x, y in pairwise([0, *cuts, 1000])], "int64")  # thirty full bins, cut up
-        first = genetic.seed_packing(sizes, 1000, rng, 0.0)
-        seeds = [first, *(genetic.seed_packing(sizes, 1000, rng, 0.05 * i) for i in range(1, 6))]
-        best = genetic.evolve(sizes, 1000, seeds, rng, 40)[0]
-        assert best.fill.sum() == sizes.sum() and best.fill.max() <= 1000
-        assert (np.bincount(best.of, weights=sizes) == best.fill).all()
-        assert best.score(1000) <= min(s.score(1000) for s in seeds)
-        better += len(best.fill) < len(first.fill)
-    assert better >= 6
+        sizes = rng.integers(20, 101, 500)
+        seeds = [genetic.seed_packing(sizes, 150, rng, 0.05 * i) for i in range(6)]
+        best = genetic.evolve(sizes, 150, seeds, rng, 24)[0]
+        assert (np.bincount(best.of, weights=sizes) == best.fill).all() and best.fill.max() <= 150
+        assert -(-int(sizes.sum()) // 150) <= len(best.fill) < len(seeds[0].fill)
 
 
 def test_crossover_keeps_every_piece_and_whole_bins():

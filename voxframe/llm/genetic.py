@@ -87,21 +87,33 @@ def _rebuilt(sizes, room: int, of, fill, keep, rng) -> Packing:
     held = fill[keep].tolist()
     loose = np.flatnonzero(new < 0)
     loose = loose[np.argsort(-sizes[loose], kind="stable")]
-    # exchange: a piece for a larger loose one where that fits, so that bins get fuller and loose pieces smaller
+    # exchange: one piece for a larger loose one, or for two, so that bins get fuller and loose pieces smaller
     if len(loose) and len(held):
-        waiting = sorted((int(s), int(i)) for s, i in zip(sizes[loose], loose, strict=True))
+        loose = loose[::-1]
+        waiting = sizes[loose]  # rising
         inside = np.flatnonzero(new >= 0)
-        for i in rng.permutation(inside)[: 2 * len(waiting)].tolist():
+        for i in rng.permutation(inside)[: 2 * len(loose)].tolist():
             size, b = int(sizes[i]), int(new[i])
-            gap = room - held[b]
-            if gap:
-                at = bisect.bisect_right(waiting, (size + gap, 1 << 60)) - 1
-                if at >= 0 and waiting[at][0] > size:
-                    larger, j = waiting.pop(at)
-                    new[j], new[i] = b, -1
-                    held[b] += larger - size
-                    bisect.insort(waiting, (size, i))
-        loose = np.array([i for _, i in reversed(waiting)], "int64")
+            most = size + room - held[b]
+            if most == size:
+                continue
+            other = np.searchsorted(waiting, most - waiting, "right") - 1  # the largest partner of each loose piece
+            other = np.where(other == np.arange(len(waiting)), other - 1, other)
+            pair = np.where(other >= 0, waiting + waiting[other], 0)
+            pair[pair > most] = 0
+            at = int(pair.argmax())
+            out = [at, int(other[at])] if pair[at] else []
+            one = int(np.searchsorted(waiting, most, "right")) - 1
+            if one >= 0 and waiting[one] >= pair[at]:
+                out = [one]
+            larger = int(waiting[out].sum())
+            if larger > size:
+                new[loose[out]], new[i] = b, -1
+                held[b] += larger - size
+                loose, waiting = np.delete(loose, out), np.delete(waiting, out)
+                back = int(np.searchsorted(waiting, size))
+                loose, waiting = np.insert(loose, back, i), np.insert(waiting, back, size)
+        loose = loose[::-1]
     return best_fit(sizes, room, new, held, loose)
 
 
