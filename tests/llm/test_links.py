@@ -309,7 +309,7 @@ def test_leaks_on_odd_rows(spark, odd, none):
 
 
 def test_unrelated_pairs_never_meet_and_near_ones_do(spark):
-    """Recall over passages from 0.8 up with words changed, put in and left out; windows ask only for their own items."""
+    """Recall over passages from 0.8 up with words changed, put in and left out; the index alone says which item."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
     items = [(i, " ".join(word() for _ in range(40))) for i in range(60)]
@@ -326,10 +326,111 @@ def test_unrelated_pairs_never_meet_and_near_ones_do(spark):
     assert pairs <= want and len(want) > 100 and len(pairs) >= 0.99 * len(want), (len(pairs), len(want))
 
 
-def test_every_block_variant_within_the_radius_is_listed():
-    masks = decontaminate._variants()
-    assert len(masks) == len(set(masks)) == 1 + 8 + 28
+def test_every_pair_within_the_radius_meets_in_the_index(spark):
+    """Fingerprints RADIUS bits apart, as unevenly as can be or at random, against the listed variants."""
     rng = random.Random(5)
-    for _ in range(500):  # at most RADIUS bits apart: some block is at most RADIUS // BLOCKS apart
-        bits = rng.sample(range(64), decontaminate.RADIUS)
-        assert min(sum(b // 8 == k for b in bits) for k in range(8)) <= decontaminate.RADIUS // decontaminate.BLOCKS
+    bits = decontaminate.BLOCK_BITS
+    prints, windows = [], []
+    for i in range(60):
+        own = [rng.randrange(1 << bits) for _ in range(decontaminate.BLOCKS)]
+        other = list(own)
+        flips = rng.sample(range(decontaminate.BLOCKS * bits), decontaminate.RADIUS)
+        if i % 2:  # one more than allowed in as many blocks as that takes
+            flips = [k * bits + x for k, most in enumerate(decontaminate.ALLOWED) for x in rng.sample(range(bits), most + 1)]
+            flips = rng.sample(flips, decontaminate.RADIUS)
+        for f in flips:
+            other[f // bits] ^= 1 << f % bits
+        prints.append((i, 20, own))
+        windows.append((i, 20, other))
+    items = spark.createDataFrame(prints, "item_id long, n_words int, item_print array<int>")
+    asked = spark.createDataFrame(windows, "window long, length int, p array<int>").selectExpr("window", "length", "posexplode(p) AS (block, value)")
+    met = {(r.window, r.item_id) for r in asked.join(decontaminate.listed(items), ["length", "block", "value"]).collect()}
+    assert {(i, i) for i in range(60)} <= met
+    others = sum(a != b for a, b in met) / (60 * 59)
+    assert decontaminate.random_share() < 0.05 and abs(others - decontaminate.random_share()) < 0.015
+    assert all(len(decontaminate._variants(n)) == sum(__import__("math").comb(bits, k) for k in range(n + 1)) for n in (0, 1, 3))
+
+
+def test_long_texts_are_cut_into_stretches(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRETCH", 16)
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(30))) for i in range(12)]
+    docs = [(d, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randint(0, 90))) + " " + items[d % 12][1] + " x y " + items[d % 5][1]) for d in range(40)] + [(40, "the same " * 500), (None, items[3][1])]
+    items.append((12, "the same " * 20))
+    make = lambda rows, k: spark.createDataFrame(rows, f"{k} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(make(docs, "doc_id").repartition(3), make(items, "item_id")).collect()}
+    assert got == brute_leaks(docs, items) and (40, 12) in got and (None, 3) in got
+
+
+def test_rounds_hand_on_rows_linear_in_a_family(spark, monkeypatch):
+    """One run of N nodes that hang together, and one of which some do not."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ngramjoin, "BLOCK", 50)
+    sent = []
+
+    def meet(blocks):
+        rows = ngramjoin.materialize(blocks, "test")
+        sent.append(rows.count())
+        return rows.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "node")
+
+    def step(batches):  # nodes of one remainder by 1000 are linked
+        import pandas as pd
+
+        for g in ngramjoin._groups(batches, ["run", "i", "j"]):
+            first, links = {}, []
+            side = None if g["i"].iloc[0] == g["j"].iloc[0] else g["chunk"] == g["i"]
+            for node, left in zip(g["node"].tolist(), ([None] * len(g) if side is None else side.tolist()), strict=True):
+                for other, of in first.get(node % 1000, []):
+                    if of is None or of != left:
+                        links.append((other, node))
+                first.setdefault(node % 1000, []).append((node, left))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    def run(nodes):
+        rows = spark.createDataFrame([(7, n, i // 50, -(-len(nodes) // 50)) for i, n in enumerate(nodes)], "run long, node long, chunk int, chunks int")
+        sent.clear()
+        found = {r.node: r.component for r in ngramjoin.connect(rows, meet, step).collect()}
+        kinds = {}
+        for n in nodes:
+            kinds.setdefault(n % 1000, set()).add(found.get(n, n))
+        return sum(sent), kinds
+
+    for n in (1000, 4000):
+        rows, kinds = run([1000 * i + 1 for i in range(n)])
+        assert rows <= 1.1 * n and kinds == {1: {1}}
+    rows, kinds = run([1000 * i + (1 if i % 10 else i % 7) for i in range(1000)])
+    assert all(len(k) == 1 for k in kinds.values()) and rows <= 1000 * (1.2 + 3) + 100 * 30
+
+
+def test_many_null_ids_do_not_multiply(spark, monkeypatch):
+    rows = near_copies(21, 300)
+    made = spark.sparkContext.accumulator(0)
+    sets = ngramjoin._sets
+
+    def counted(n):
+        step = sets(n)
+
+        def run(batches):
+            for pdf in step(batches):
+                made.add(len(pdf))
+                yield pdf
+
+        return run
+
+    monkeypatch.setattr(ngramjoin, "_sets", counted)
+    with_ids = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ngramjoin.join(with_ids).collect()
+    plain = made.value
+    sizes = [r.n_shingles for r in ngramjoin.join(with_ids.withColumn("doc_id", with_ids.doc_id.cast("long") * None)).collect()]
+    assert len(sizes) == len(rows) and made.value - plain <= 2 * plain
+
+
+def test_sets_that_share_a_name_stay_apart(spark, monkeypatch):
+    """All names are one: the other halves of the identities keep the sets apart."""
+    node = ngramjoin._node
+    rows = near_copies(5, 60)
+    want = brute_join(rows)
+    monkeypatch.setattr(ngramjoin, "_node", lambda x: (node(x)[0] & 7, node(x)[1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngramjoin.join(docs).collect()), key=repr) == want

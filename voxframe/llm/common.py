@@ -38,9 +38,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, no_id, text) for Python workers: a long column with nulls would reach them as doubles."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
+def keyed_texts(docs: DataFrame, **more: Column) -> DataFrame:
+    """(doc_id, no_id, text) and ``more`` for Python workers: a long column with nulls would reach them as doubles."""
+    extra = [c.alias(name) for name, c in more.items()]
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
 def ids_of(pdf) -> list[int | None]:

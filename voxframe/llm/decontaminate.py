@@ -1,23 +1,28 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
 Texts become words (see ``licenses.words_line``) and 5-word shingles; an item or
-window of fewer words is one shingle.  A window as long as an item stands wherever
-a shingle of the text is a shingle of the item, shifted by the shingle's place in
-the item.  A window that shares no shingle with an item has similarity 0 with it, so
-each window asks the index for the items that it stands for and for no others.
-
-Windows and items get 64-bit SimHash fingerprints of their weighted shingles (the
-weight is the multiplicity).  Multi-index: of 8 blocks of 8 bits, two fingerprints
-within RADIUS differ in at most RADIUS // 8 bits in at least one; items are listed
-under every such variant of each block, so equal (item, block, value) finds all
-items within the radius.  (So wide a radius lets most pairs of random fingerprints
-meet in some block: it is the item's own shingles that keep unrelated pairs apart.)
-What the true Hamming distance keeps is verified by
-weighted shingle similarity, the sum of the lesser over the sum of the larger
-counts, compared in integers.
-
-RADIUS 23 is 4.6 standard deviations above the mean distance (about 9.7 bits) of
-sets at similarity 0.8, so that a pair at the threshold is lost about once in 10^5.
+window of fewer words is one shingle.  Windows have the lengths of items.  A window that
+holds no shingle of any item of its length has similarity 0 with all of them, so windows
+are placed where a shingle of the text is one of an item's, shifted by the shingle's place
+in the item.  That is a prefilter of places alone: which item a place came from is
+forgotten, and the index has to find it.
+
+Windows and items get SimHash fingerprints of their weighted shingles (the weight is the
+multiplicity), BLOCKS blocks of BLOCK_BITS bits.  Multi-index: fingerprints within RADIUS
+of each other cannot differ in more than ``ALLOWED[i]`` bits in every block i, since the
+bits that this would take, sum(ALLOWED) + BLOCKS, are more than RADIUS.  Items are listed
+under every variant of each block with at most that many bits flipped; a window looks its
+own blocks up under its length and so meets every item of its length within RADIUS.  Of
+random pairs of fingerprints ``random_share()``, about 4 %, meet.  What the true Hamming
+distance keeps is verified by weighted shingle similarity, the sum of the lesser over the
+sum of the larger counts, compared in integers.
+
+At similarity 0.8 the distance is 21.8 bits in the mean with a deviation of 4.3, so RADIUS
+32 keeps more than 99 % of windows at the very threshold, and all but a few in 10^6 from
+0.9 on; a passage has several windows.
+
+Texts with windows are cut into stretches of STRETCH words, each with the words that its
+last window needs, so that no row holds the windows of a whole long text.
 
 Cases: null and empty texts have no windows; items without words match nothing; a
 window is clipped at the text's ends; repeated rows and repeated items give one row
@@ -40,8 +45,14 @@ from .licenses import _let, words_line
 
 WORDS = 5
 PERCENT = 80
-RADIUS = 23
-BLOCKS, BLOCK_BITS = 8, 8
+#: 144 bits; a pair within RADIUS = sum(ALLOWED) + BLOCKS - 1 agrees so far in some block.
+BLOCKS, BLOCK_BITS = 8, 18
+ALLOWED = (4, 3, 3, 3, 3, 3, 3, 3)
+RADIUS = sum(ALLOWED) + BLOCKS - 1
+#: Blocks whose bits are drawn from one 64-bit hash of a shingle.
+BLOCKS_A_HASH = 64 // BLOCK_BITS
+#: Words of a stretch of text whose windows are made together.
+STRETCH = 2048
 
 
 def _hashes(text: Column) -> Column:
@@ -74,20 +85,47 @@ def _shingles(words: Column, k: int) -> Column:
 
 
 def fingerprint(shingles: Column) -> Column:
-    """SimHash as an array of BLOCKS ints of BLOCK_BITS bits; a bit is set if the weights' sum is above 0."""
+    """SimHash as an array of BLOCKS ints of BLOCK_BITS bits; a bit is set if the weights' sum is above 0.
 
-    def bit(at: Column) -> Column:
-        return F.aggregate(shingles, F.lit(0), lambda n, x: n + F.when(F.getbit(x, at) == 1, 1).otherwise(-1))
+    The hashes are given once for each group of blocks that draws its bits from them.
+    """
 
-    def block(j: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), F.lit(BLOCK_BITS - 1)), F.lit(0), lambda v, b: v * 2 + F.when(bit(j * BLOCK_BITS + b) > 0, 1).otherwise(0))
+    def bit(hashes: Column, at: Column) -> Column:
+        return F.aggregate(hashes, F.lit(0), lambda n, x: n + F.when(F.getbit(x, at) == 1, 1).otherwise(-1))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), block)
+    def block(hashes: Column, j: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(BLOCK_BITS - 1)), F.lit(0), lambda v, b: v * 2 + F.when(bit(hashes, b + j * BLOCK_BITS) > 0, 1).otherwise(0))
 
+    def group(g: int) -> Column:
+        hashes = shingles if g == 0 else F.transform(shingles, lambda x: F.xxhash64(x, F.lit(g)))
+        return _let(hashes, lambda h: F.array(*[block(h, j) for j in range(min(BLOCKS_A_HASH, BLOCKS - g * BLOCKS_A_HASH))]))
 
-def _variants() -> list[int]:
-    """Masks of a block with at most RADIUS // BLOCKS bits."""
-    return sorted(sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n))
+    return F.concat(*[group(g) for g in range(-(-BLOCKS // BLOCKS_A_HASH))])
+
+
+def _variants(most: int) -> list[int]:
+    """Masks of a block with at most ``most`` bits."""
+    return sorted(sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(BLOCK_BITS), n))
+
+
+def random_share() -> float:
+    """Share of pairs of random fingerprints that meet in the index."""
+    apart = 1.0
+    for most in ALLOWED:
+        apart *= 1 - len(_variants(most)) / 2**BLOCK_BITS
+    return 1 - apart
+
+
+def listed(items: DataFrame) -> DataFrame:
+    """(length, block, value, item_id): every variant under which an item is found."""
+    spark = items.sparkSession
+    masks = None
+    for most in sorted(set(ALLOWED)):  # 18-bit masks, made by Spark
+        bits = spark.range(1 << BLOCK_BITS).where(F.bit_count("id") <= most)
+        own = bits.select(F.col("id").cast("int").alias("mask"), F.explode(F.array(*[F.lit(i) for i, a in enumerate(ALLOWED) if a == most])).alias("block"))
+        masks = own if masks is None else masks.unionByName(own)
+    blocks = items.select(F.col("n_words").alias("length"), "item_id", F.posexplode("item_print").alias("block", "v"))
+    return blocks.join(masks, "block").select("length", "block", F.col("v").bitwiseXOR(F.col("mask")).alias("value"), "item_id")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -121,31 +159,30 @@ def find(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     if not kinds:
         kinds = [words]
-    # where windows stand, and for which items
+    # where windows stand
     hashed = rows.select("doc_id", _hashes(F.col("text")).alias("w"))
     places = reduce(DataFrame.unionByName, (hashed.select("doc_id", F.lit(k).alias("k"), F.posexplode(_shingles(F.col("w"), k)).alias("p", "shingle")) for k in kinds))
-    marks = broadcast_if_small(anchors)
-    windows = places.join(marks, ["k", "shingle"]).select("doc_id", "k", "n_words", (F.col("p") - F.col("q")).alias("start"), "item_id").distinct()
-    windows = materialize(windows, "windows")
-    asks = windows.groupBy("doc_id", "k", "n_words", "start").agg(F.collect_list(F.struct("item_id")).alias("items"))  # a struct, as a bare null would be left out
-    spots = materialize(asks.groupBy("doc_id").agg(F.collect_list(F.struct("k", "n_words", "start", "items")).alias("spots")).withColumnRenamed("doc_id", "_doc"), "spots")
-    # their shingles and fingerprints
-    near = rows.join(broadcast_if_small(spots), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "spots", _hashes(F.col("text")).alias("w"))
+    windows = places.join(broadcast_if_small(anchors), ["k", "shingle"]).select("doc_id", "k", "n_words", (F.col("p") - F.col("q")).alias("start")).distinct()
+    windows = windows.withColumn("part", F.floor(F.greatest(F.col("start"), F.lit(0)) / STRETCH).cast("int"))
+    spots = materialize(windows.groupBy("doc_id", "part").agg(F.collect_list(F.struct("k", "n_words", "start")).alias("spots")), "spots")
+    # their shingles and fingerprints, stretch by stretch
+    longest = items.agg(F.coalesce(F.max("n_words"), F.lit(0))).first()[0]
+    with_spots = materialize(spots.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list("part")).alias("parts")), "spotted")
+    near = rows.join(broadcast_if_small(with_spots), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "parts", _hashes(F.col("text")).alias("w"))
+    cuts = F.transform("parts", lambda i: F.struct(i.alias("part"), F.slice("w", i * STRETCH + 1, F.lit(STRETCH + longest)).alias("w")))
+    near = near.select("doc_id", F.explode(cuts).alias("s")).select("doc_id", "s.*").distinct()
+    near = near.join(spots.withColumnsRenamed({"doc_id": "_doc", "part": "_part"}), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("part") == F.col("_part")))
     by_k = F.array(*[_shingles(F.col("w"), k) for k in range(1, words + 1)])
-    near = near.select("doc_id", "spots", by_k.alias("grams")).select("doc_id", "grams", F.explode("spots").alias("s")).select("doc_id", "grams", "s.*")
+    near = near.select("doc_id", "part", "spots", by_k.alias("grams")).select("doc_id", "part", "grams", F.explode("spots").alias("s")).select("doc_id", "part", "grams", "s.*")
     first = F.greatest(F.col("start"), F.lit(0))
     length = F.col("start") + F.col("n_words") - F.col("k") + 1 - first
-    cut = near.where(length > 0).select("doc_id", "n_words", "items", first.alias("start"), F.slice(F.get("grams", F.col("k") - 1), first + 1, length).alias("shingles")).where(F.size("shingles") > 0)
-    prints = materialize(cut.withColumn("print", fingerprint(F.col("shingles"))), "prints")
-    # multi-index: blocks of windows against all near variants of their items' blocks
-    masks = F.array(*[F.lit(m) for m in _variants()])
-    listed = items.select(F.col("item_id").alias("_item"), F.posexplode("item_print").alias("block", "v")).select("_item", "block", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("v")))).alias("value")).distinct()
+    cut = near.where(length > 0).select("doc_id", "n_words", first.alias("start"), F.slice(F.get("grams", F.col("k") - 1), first - F.col("part") * STRETCH + 1, length).alias("shingles")).where(F.size("shingles") > 0)
     window = F.xxhash64("doc_id", "n_words", "start", "shingles").alias("window")
-    asked = prints.select(window, F.explode("items.item_id").alias("item_id"), "print").select("window", "item_id", F.posexplode("print").alias("block", "value"))
-    asked = asked.withColumnRenamed("block", "_block").withColumnRenamed("value", "_value")
-    at = F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("_block") == F.col("block")) & (F.col("_value") == F.col("value"))
-    pairs = asked.join(broadcast_if_small(listed), at).select("window", "item_id").distinct()
-    found = prints.select("doc_id", "n_words", "start", "shingles", "print", window).distinct().join(pairs, "window")
+    prints = materialize(cut.distinct().withColumn("print", fingerprint(F.col("shingles"))).withColumn("window", window), "prints")
+    # multi-index: blocks of windows against all near variants of the blocks of items of that length
+    asked = prints.select("window", F.col("n_words").alias("length"), F.posexplode("print").alias("block", "value")).distinct()
+    pairs = asked.join(materialize(listed(items), "index"), ["length", "block", "value"]).select("window", "item_id").distinct()
+    found = prints.join(pairs, "window")
     texts = items.select(F.col("item_id").alias("_item"), "item_shingles", "item_print")
     found = found.join(broadcast_if_small(texts), F.col("item_id").eqNullSafe(F.col("_item"))).withColumn("hamming", hamming(F.col("print"), F.col("item_print"))).where(F.col("hamming") <= RADIUS)
     lesser = _shared(F.col("shingles"), F.col("item_shingles"))

@@ -8,26 +8,31 @@ pair agrees wholly on at least one part, and documents meet by (tile, part, sum
 the part's hashes).
 
 1. Documents with one set are one node, which is emitted once a task.
-2. Nodes that meet form runs; runs with the same members are kept once.  A run over
-   BLOCK nodes is cut into chunks, and each pair of chunks is a block of its own.
-   Signatures that very many nodes share are found by a look at one node in 64 and
-   are dealt by node, not by signature, so that none of them fills a task; a
-   signature that the look misses takes the common way, to the same result.
-3. In a block, hashed parity bitmaps are compared: the bits in which two bitmaps
+2. Nodes that meet form runs; runs with the same members are kept once, and one over
+   BLOCK nodes is dealt in chunks.  Signatures that very many nodes share are found by a
+   look at one node in 64 and are dealt by node, not by signature, so that none of them
+   fills a task; a signature that the look misses takes the common way, to the same result.
+3. In a chunk, hashed parity bitmaps are compared: the bits in which two bitmaps
    differ bound the symmetric difference from below, so the overlap from above.  A
    search over the pairs that the bound lets pass compares a node only with those not
    reached yet, so a family of near copies takes about one step a node; a spanning
    forest is handed on, never all pairs.
-4. Components of these forests are clusters, outside of which no link exists.  In each
-   cluster (in blocks again if it is large) pairs that pass the bound and are not yet
-   connected are settled by exact intersection of sorted arrays.
-5. Components of the exact links are the result.
-
-No cap on partners or candidates; what is handed on is linear in the members.
+4. Chunks of one run then meet by rounds (``connect``): first one node of each tree, in
+   fewer and fewer chunks, then the nodes outside the run's largest tree against the rest.
+   So a family that hangs together is sent once, and only what is not connected is sent
+   to other chunks: rows handed on are N * (1 + R / BLOCK) for R nodes outside.
+5. Components of these forests are clusters, outside of which no link exists.  In each
+   cluster (in chunks of bounded bytes, which meet in the same rounds) pairs that pass the
+   bound and are not yet connected are settled by exact intersection of sorted arrays.
+6. Components of the exact links are the result.
+
+A set's identity has 128 bits: should two sets share the 64 that name a node, the later
+one is named anew.  No cap on partners or candidates.
 
 Cases: null and empty texts, and texts without words, have no shingles and link with
 nothing; with fewer words than n the whole sequence is the one shingle; repeated rows
-are one node; a null doc_id keeps its row, and is its component only if alone; an
+are one node; a null doc_id keeps its row, and is its component only if alone (texts are
+found again by doc_id and digest, so null ids do not multiply); an
 empty table gives no rows; extra columns are ignored; texts of any length are read whole.
 """
 
@@ -154,36 +159,41 @@ def _one(x, plus: int) -> int:
     return h - (h >> 63 << 64)
 
 
-def _node(x) -> int:
-    return _one(x, len(x))
+#: Flips bits of hashes for the second half of an identity.
+FLIP = 0x5851F42D4C957F2D
+
+
+def _node(x) -> tuple[int, int]:
+    """A set's name and the other half of its identity."""
+    return _one(x, len(x)), _one(x ^ x.dtype.type(FLIP), len(x) + 1)
 
 
-_READ = "doc_id long, n_shingles long, node long, keys array<long>, even binary, odd binary"
+_READ = "doc_id long, mark long, n_shingles long, node long, other long, keys array<long>, even binary, odd binary"
 
 
 def _read(n: int, share: int):
     def read(batches):
         import numpy as np
 
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         rows: list[tuple] = []
         held = 0
 
         def frame():
             nonlocal rows, held
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "keys", "even", "odd"], dtype=object)
+            out = pd.DataFrame(rows, columns=["doc_id", "mark", "n_shingles", "node", "other", "keys", "even", "odd"], dtype=object)
             rows, held = [], 0
-            return out.assign(doc_id=longs(out["doc_id"].tolist()), node=longs(out["node"].tolist()))
+            return out.assign(**{c: longs(out[c].tolist()) for c in ("doc_id", "node", "other")})
 
         for pdf in batches:
-            for doc, text in zip(ids_of(pdf), pdf["text"], strict=True):
+            for doc, mark, text in zip(ids_of(pdf), pdf["mark"].tolist(), pdf["text"], strict=True):
                 x = shingles(text, n)
                 if not len(x):
-                    rows.append((doc, 0, None, None, None, None))
+                    rows.append((doc, mark, 0, None, None, None, None, None))
                     continue
                 node = _node(x)
                 if node in seen:
-                    rows.append((doc, len(x), node, None, None, None))
+                    rows.append((doc, mark, len(x), *node, None, None, None))
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
@@ -191,7 +201,7 @@ def _read(n: int, share: int):
                 band = band_of(len(x), share)
                 keys = np.concatenate([signatures(x, band - 1, share) if band else np.zeros(0, "int64"), signatures(x, band, share)])
                 maps = {t & 1: parity(x, bits_of(t, share)).tobytes() for t in (band - 1, band) if t >= 0}
-                rows.append((doc, len(x), node, keys, maps.get(0), maps.get(1)))
+                rows.append((doc, mark, len(x), *node, keys, maps.get(0), maps.get(1)))
                 held += len(keys)
                 if held > OUT_KEYS or len(rows) >= OUT_ROWS:
                     yield frame()
@@ -339,12 +349,12 @@ def _sets(n: int):
     def read(batches):
         for pdf in batches:
             rows = []
-            for text, node, cluster, blocks in zip(pdf["text"], pdf["node"], pdf["component"], pdf["blocks"], strict=True):
+            for text, node, other, run, blocks in zip(pdf["text"], pdf["node"], pdf["other"], pdf["run"], pdf["blocks"], strict=True):
                 x = shingles(text, n)
-                if len(x) and _node(x) == node:
+                if len(x) and _node(x)[1] == other:  # not another text of this doc_id with an equal digest
                     own = x.tobytes()
-                    rows += [(cluster, b["i"], b["j"], b["chunk"], node, own) for b in blocks]
-            yield pd.DataFrame(rows, columns=["cluster", "i", "j", "chunk", "node", "shingles"])
+                    rows += [(run, b["i"], b["j"], b["chunk"], node, own) for b in blocks]
+            yield pd.DataFrame(rows, columns=["run", "i", "j", "chunk", "node", "shingles"])
 
     return read
 
@@ -354,7 +364,7 @@ def _exact(share: int):
         import numpy as np
 
         out = []
-        for g in _groups(batches, ["cluster", "i", "j"]):
+        for g in _groups(batches, ["run", "i", "j"]):
             g = g.drop_duplicates("node")
             sets = [np.frombuffer(x, "uint64") for x in g["shingles"]]
             sizes, nodes = np.array([len(x) for x in sets], "int64"), g["node"].to_numpy("int64")
@@ -381,7 +391,62 @@ def _exact(share: int):
     return run
 
 
-_SPLIT = "filter(transform(sequence(0, _chunks - 1), x -> named_struct('i', least(x, chunk), 'j', greatest(x, chunk), 'chunk', chunk)), x -> true)"
+def connect(members: DataFrame, meet, step, first: DataFrame | None = None) -> DataFrame:
+    """(node, component) of what ``step`` links in each run of ``members`` (run, node, chunk, chunks).
+
+    ``meet`` takes (run, i, j, node, chunk): nodes of one (run, i, j) are compared in one
+    task, all with all if i = j, else those of chunk i with those of chunk j.  ``first`` is
+    what it gives for each chunk by itself.
+    """
+    if first is None:
+        first = meet(members.select("run", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node", "chunk"))
+    found = components(first, step)
+    large = members.where("chunks > 1").select("run", "node", "chunk")
+    if not large.limit(1).count():
+        return found
+
+    def joined(blocks: DataFrame) -> DataFrame:
+        """The components so far, with what the blocks add."""
+        more = materialize(meet(blocks).mapInPandas(tidy(step), "a long, b long"), "ngram-links")
+        stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        out = components(stars.unionByName(more))
+        discard(found, more)
+        return out
+
+    named = lambda: large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = None
+    while True:  # one node of each tree of a run
+        heads = named().groupBy("run", "component").agg(F.min("node").alias("node"))
+        sizes = heads.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+        heads = materialize(heads.join(sizes, "run").select("run", "node", F.pmod(F.xxhash64("node", "run"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("chunk")), "ngram-heads")
+        n = heads.count()
+        if not n or (least is not None and 2 * n > least):
+            break
+        least = n
+        found = joined(heads.select("run", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node", "chunk"))
+        discard(heads)
+    discard(heads)
+    if not n:
+        return found
+    # nodes outside the largest tree of their run: against each other, and against that tree
+    whole = materialize(named(), "ngram-rest")
+    trees = whole.groupBy("run", "component").agg(F.count("*").alias("n"))
+    most = trees.groupBy("run").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"))
+    most = most.select("run", F.col("most.component").alias("largest"), F.col("all") - F.col("most.n")).toDF("run", "largest", "outside").where("outside > 0")
+    rest = whole.join(broadcast_if_small(materialize(most, "ngram-rest")), "run").withColumn("parts", F.ceil(F.col("outside") / BLOCK).cast("int"))
+    out, part = F.col("component") != F.col("largest"), F.pmod(F.xxhash64("node", "run"), F.col("parts")).cast("int")
+    last = rest.groupBy("run").agg(F.max("chunk").alias("last"))
+    rest = rest.join(last, "run").withColumn("part", part)
+    block = lambda i, j, chunk: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), chunk.cast("int").alias("chunk"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    own = -1 - F.col("part")
+    inside = F.transform(every, lambda x: block(F.least(-1 - x, own), F.greatest(-1 - x, own), own))  # parts are numbered from -1 down
+    across = F.transform(F.sequence(F.lit(0), F.col("last")), lambda x: block(x, own, own))
+    tree = F.transform(every, lambda x: block(F.col("chunk"), -1 - x, F.col("chunk")))
+    blocks = rest.select("run", "node", F.explode(F.when(out, F.concat(inside, across)).otherwise(tree)).alias("b")).select("run", "b.i", "b.j", "node", "b.chunk")
+    found = joined(blocks)
+    discard(whole)
+    return found
 
 
 def _hot_runs(read: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -404,34 +469,56 @@ def join(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id); 100 * |both| >= share * |union| links two documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = materialize(keyed_texts(docs).mapInPandas(tidy(_read(n, share)), _READ), "ngram-sets")
+    mark = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.alias("mark"))
+    read = materialize(keyed_texts(docs, mark=mark).mapInPandas(tidy(_read(n, share)), _READ), "ngram-sets")
+    heads = read.where("node is not null").groupBy("node", "other").agg(F.min(F.struct("doc_id", "mark")).alias("head"), F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles"))
+    heads = materialize(heads, "ngram-nodes")
+    # a name that two sets share is kept by the lesser
+    twice = materialize(heads.groupBy("node").agg(F.min("other").alias("_keeps"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "ngram-twice")
+    if twice.limit(1).count():
+        name = F.when(F.col("other") != F.col("_keeps"), F.xxhash64("node", "other")).otherwise(F.col("node"))
+        renamed = lambda df: df.join(broadcast_if_small(twice), "node", "left").withColumn("node", name).drop("_keeps")
+        read, heads = renamed(read), renamed(heads)
     # the runs of nodes that agree on a part
     some = read.where("keys is not null")
     keyed, hot = _hot_runs(some, some.select(F.explode("keys").alias("key"), "node"))
     runs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(tidy(_runs), "run long, node long, chunk int, odd boolean").distinct()
     runs = materialize(runs if hot is None else runs.unionByName(hot), "ngram-runs")
     info = some.select("node", "n_shingles", F.col("even").alias("even_map"), F.col("odd").alias("odd_map")).dropDuplicates(["node"])
-    large = runs.where("chunk > 0").groupBy("run").agg((F.max("chunk") + 1).alias("_chunks"))
-    blocks = runs.join(broadcast_if_small(large), "run", "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
-    blocks = blocks.withColumn("_b", F.explode(F.expr(_SPLIT))).select("run", "node", "chunk", "odd", "_b.i", "_b.j")
-    met = blocks.join(info, "node").repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "node")
-    maybe = components(met, _bounded(share))
+    large = materialize(runs.where("chunk > 0").groupBy("run").agg((F.max("chunk") + 1).alias("chunks"), F.max("odd").alias("odd")), "ngram-large")
+
+    def maps(blocks: DataFrame) -> DataFrame:
+        return blocks.join(info, "node").repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "node")
+
+    def with_odd(blocks: DataFrame) -> DataFrame:
+        """After the first round all runs are large."""
+        return maps(blocks.join(broadcast_if_small(large.select("run", "odd")), "run"))
+
+    small = runs.join(broadcast_if_small(large.select("run", "chunks")), "run", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    first = maps(small.select("run", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node", "chunk", "odd"))
+    maybe = connect(small, with_odd, _bounded(share), first)
     discard(runs)
     # exact links inside the clusters
-    heads = materialize(read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("head"), F.min("n_shingles").alias("n_shingles")), "ngram-nodes")
     near = materialize(heads.join(maybe, "node"), "ngram-clusters")
     discard(maybe)
     held = near.groupBy("component").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
-    held = held.withColumn("_chunks", F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") * 8 / BLOCK_BYTES), F.lit(1)).cast("int"))
-    todo = near.join(held.select("component", "_chunks"), "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
-    todo = todo.select("head", "node", "component", F.expr(_SPLIT).alias("blocks"))
-    texts = rows.join(broadcast_if_small(todo.withColumnRenamed("head", "_head")), F.col("doc_id").eqNullSafe(F.col("_head")))
-    sets = texts.mapInPandas(tidy(_sets(n)), "cluster long, i int, j int, chunk int, node long, shingles binary")
-    linked = components(sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node"), _exact(share))
+    held = held.withColumn("chunks", F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") * 8 / BLOCK_BYTES), F.lit(1)).cast("int"))
+    todo = near.join(held.select("component", "chunks"), "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    todo = materialize(todo.select("head", "node", "other", F.col("component").alias("run"), "chunk", "chunks"), "ngram-todo")
+
+    def sets(blocks: DataFrame) -> DataFrame:
+        """The shingles of each block's nodes, made anew from the text of one row of each."""
+        at = blocks.groupBy("run", "node").agg(F.collect_list(F.struct("i", "j", "chunk")).alias("blocks"))  # a node's own few blocks
+        at = at.join(todo.select("run", "node", "other", "head"), ["run", "node"]).select("run", "node", "other", "blocks", F.col("head.doc_id").alias("_head"), F.col("head.mark").alias("_mark"))
+        texts = rows.join(broadcast_if_small(materialize(at, "ngram-blocks")), F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("mark") == F.col("_mark")))
+        made = texts.mapInPandas(tidy(_sets(n)), "run long, i int, j int, chunk int, node long, shingles binary")
+        return made.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "node")
+
+    linked = connect(todo.select("run", "node", "chunk", "chunks"), sets, _exact(share))
     discard(near)
     # the least doc_id of each component
-    classes = heads.join(linked, "node", "left").select("node", "head", F.coalesce("component", "node").alias("component"))
-    least = classes.groupBy("component").agg(F.min("head").alias("component_id"))
+    classes = heads.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "component").select("node", "component_id")
     return read.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
