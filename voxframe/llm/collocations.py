@@ -10,6 +10,9 @@ through.  Exact counts follow for what they let through, so no result depends on
                -> exact counts by (lang, phrase), summed in the task before the shuffle
                -> bucket counts of n+1 words, at neighbouring positions that passed
 
+The first pass writes the texts down as blocks, each with its own words and their numbers,
+so that later passes neither cut nor look up words again.
+
 Bucket counts leave a task as slices of bytes that stop at 255 (or as whole numbers for
 a larger threshold) and are summed slice by slice as a stream.  What a task holds is
 bounded: its words by bytes, its phrases by rows, its buckets by their number.
@@ -43,8 +46,8 @@ SLICES = 256
 HELD_ROWS, HELD_BYTES = 400_000, 48 << 20
 #: Parts that a language's candidates are ranked in first.
 RANK_PARTS = 16
-ROWS = "kind int, slice int, bytes binary, lang string, phrase string, n long"
-BUCKETS, PHRASES, TOTAL = 0, 1, 2
+ROWS = "kind int, slice int, bytes binary, words binary, lang string, phrase string, n long"
+BUCKETS, PHRASES, TOTAL, BLOCK = 0, 1, 2, 3
 
 #: Stands between pieces; no byte of UTF-8.
 _EDGE = b"\xff"
@@ -106,6 +109,13 @@ def _holds(bits, hashes, log2: int):
     return (bits[(at >> np.uint64(3)).astype("int64")] >> (np.uint8(7) - (at & np.uint64(7)).astype("uint8"))) & 1 == 1
 
 
+def _row(kind: int, **columns):
+    """Rows of one kind; what it does not have is null."""
+    import pandas as pd
+
+    return pd.DataFrame(dict.fromkeys(("slice", "bytes", "words", "lang", "phrase")) | {"kind": kind, "n": 0} | columns)
+
+
 def _distinct(keys, columns):
     """(order, first places in it) of equal rows: by hash, and by the rows themselves should two share one."""
     import numpy as np
@@ -150,7 +160,6 @@ def _pass(n: int, longest: int, least: int, logs: tuple[int, int], frequent, wan
 
     def run(batches):
         import numpy as np
-        import pandas as pd
 
         frequent_log, bucket_log = logs[1], logs[0]
         before = np.frombuffer(frequent.value, "uint8") if n > 1 else None
@@ -165,12 +174,24 @@ def _pass(n: int, longest: int, least: int, logs: tuple[int, int], frequent, wan
                 lang, ids = columns[0].tolist(), list(zip(*[c.tolist() for c in columns[1:]], strict=True))
                 for a in range(0, len(made), 50_000):
                     text = [b" ".join([words.words[i] for i in row]).decode() for row in ids[a : a + 50_000]]
-                    yield pd.DataFrame({"kind": PHRASES, "slice": None, "bytes": None, "lang": [names[x] for x in lang[a : a + 50_000]], "phrase": text, "n": made[a : a + 50_000]})
+                    yield _row(PHRASES, lang=[names[x] for x in lang[a : a + 50_000]], phrase=text, n=made[a : a + 50_000])
             counts.blocks, counts.rows = [], 0
 
-        def read(lang, texts):
+        def cut(texts):
             split = _EDGE.join([t.translate(_BYTES) for t in texts]).replace(_EDGE, b" \xff ").split()
-            ids = np.fromiter(map(words.__getitem__, split), "int32", len(split))
+            return np.fromiter(map(words.__getitem__, split), "int32", len(split))
+
+        def block(lang, ids):
+            """The numbers once more, of the block's own words."""
+            seen = np.bincount(ids) > 0
+            own = (np.cumsum(seen) - 1).astype("int32")[ids]
+            return _row(BLOCK, lang=[lang], words=[b" ".join([words.words[i] for i in np.flatnonzero(seen).tolist()])], bytes=[own.tobytes()])
+
+        def reread(names, own):
+            names = names.split(b" ")
+            return np.fromiter(map(words.__getitem__, names), "int32", len(names))[np.frombuffer(own, "int32")]
+
+        def read(lang, ids):
             if not len(ids):
                 return
             own, hashes = langs.setdefault(lang, len(langs)), words.hashes[ids]
@@ -199,8 +220,15 @@ def _pass(n: int, longest: int, least: int, logs: tuple[int, int], frequent, wan
                 np.add.at(buckets, (_longer(gram[at], hashes[at + n]) >> np.uint64(64 - bucket_log)).astype("int64"), 1)
 
         for pdf in batches:
-            for lang, texts in pdf.groupby("lang")["text"]:
-                read(lang, texts.tolist())
+            if n == 1:
+                for lang, texts in pdf.groupby("lang")["text"]:
+                    ids = cut(texts.tolist())
+                    if ids.any():
+                        yield block(lang, ids)
+                        read(lang, ids)
+            else:
+                for lang, names, own in zip(pdf["lang"], pdf["words"], pdf["bytes"], strict=True):
+                    read(lang, reread(names, own))
             if counts.rows > HELD_ROWS:
                 counts.merge()
             if counts.rows > HELD_ROWS // 2 or words.size > HELD_BYTES:
@@ -209,13 +237,13 @@ def _pass(n: int, longest: int, least: int, logs: tuple[int, int], frequent, wan
                     words = _Words()
         yield from phrases()
         if totals and n == 1:
-            yield pd.DataFrame({"kind": TOTAL, "slice": None, "bytes": None, "lang": list(totals), "phrase": None, "n": list(totals.values())})
+            yield _row(TOTAL, lang=list(totals), n=list(totals.values()))
         if buckets is not None:
             held = np.minimum(buckets, 255).astype("uint8") if least <= 255 else buckets
             held = held.reshape(SLICES, -1)
             some = np.flatnonzero(held.any(axis=1))
             if len(some):
-                yield pd.DataFrame({"kind": BUCKETS, "slice": some, "bytes": [held[i].tobytes() for i in some], "lang": None, "phrase": None, "n": 0})
+                yield _row(BUCKETS, slice=some, bytes=[held[i].tobytes() for i in some])
 
     return run
 
@@ -294,6 +322,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     for n in range(1, longest + 1):
         rows = materialize(texts.mapInPandas(tidy(_pass(n, longest, least, (bucket_bits, frequent_bits), frequent, wanted)), ROWS), "phrases")
         if n == 1:
+            texts = rows.where(F.col("kind") == BLOCK).select("lang", "words", "bytes")
             totals = materialize(rows.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n")), "words")
         same = rows.where(F.col("kind") == PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         found.append(materialize(same.select("lang", "phrase", F.lit(n).alias("words"), "n"), "frequent"))
