@@ -240,3 +240,52 @@ def test_piece_counts(spark, odd, none, bpe):
         want.add((r.doc_id, len(words), sum(greedy(b" " + w.encode(), pieces, longest) for w in words)))
     assert got == want
     assert wordpiece.count_pieces(none, bpe).count() == 0
+
+
+def test_writers_hold_sixteen_bytes_a_key():
+    out = io.BytesIO()
+    writer = sstable.Writer(out, 2)
+    for i in range(200_000):
+        writer.add(sstable.key_of(i), b"\x00\x00")
+    assert len(writer.hashes) * writer.hashes.itemsize == 16 * 200_000 and not hasattr(writer, "keys")
+    writer.close()
+    reader = sstable.Reader(_Source(out.getvalue()))
+    assert all(reader.may_contain(sstable.key_of(i)) for i in range(0, 200_000, 997))
+    assert sum(reader.may_contain(sstable.key_of(i)) for i in range(10**6, 10**6 + 2000)) < 60
+    assert reader.get(sstable.key_of(777)) == b"\x00\x00" and reader.get(sstable.key_of(10**7)) is None
+
+
+class _Source(io.BytesIO):
+    def size(self):
+        return len(self.getvalue())
+
+
+def test_shards_close_at_so_many_entries(spark, bpe):
+    docs = spark.range(2500).selectExpr("id AS doc_id", "cast(null as string) AS text").coalesce(1)
+    made = sstable.write_shards(docs, bpe, shard_entries=400)
+    assert max(r.n_docs for r in made.collect()) == 400 and sum(r.n_docs for r in made.collect()) == 2500
+    found = sstable.lookup(made, spark.range(0, 5000, 3).withColumnRenamed("id", "doc_id"))
+    assert sorted((r.doc_id, list(r.ids)) for r in found.collect()) == [(i, [0]) for i in range(0, 2500, 3)]
+
+
+def test_long_documents_let_go_of_placed_ids():
+    """What waits of 40 documents of 300,000 tokens each is bounded by the pool, not by the documents."""
+    limits, size = (2048, 24, 1920), 2048 * 2
+    packer, held, most = packing.Packer(*limits), {}, 0
+    rng, given, taken = random.Random(1), {}, {}
+
+    def place(sequences):
+        for pieces in sequences:
+            for key, start, length, _ in pieces:
+                taken.setdefault(key, {})[start] = held[key].take(start * 2, length * 2)
+
+    for key in range(40):
+        n = 300_000 + rng.randrange(4000)
+        given[key] = np.arange(n, dtype="<u4").astype("<u2").tobytes()
+        held[key] = packing.Parts(given[key], size)
+        place(packer.add(key, n, packing.Loss([(rng.randrange(200), n)])))
+        most = max(most, sum(len(p) for h in held.values() for p in h.parts.values()))
+    place(packer.finish())
+    assert most <= packing.POOL * 2 * size
+    assert all(b"".join(taken[k][s] for s in sorted(taken[k])) == given[k] for k in given)
+    assert not any(h.parts for h in held.values())

@@ -7,7 +7,7 @@ demand goes in next, each scaled by its limit and weighted by what the waiting p
 ask of that dimension on the average, so that the scarce dimension counts most.  When
 none fits whole, the piece that fills most of the gap is cut.  Every partition packs its
 own pieces from a bounded pool, so nothing is shuffled and no hot source meets in one
-task.  What a partition has left at its end is cut into power-of-two sequences, which
+task; of a long document only the ids that still wait are held.  What a partition has left at its end is cut into power-of-two sequences, which
 need no padding as long as the limits let them fill; so is a sequence that the limits
 would leave with more than SLACK of padding, whose rest goes back to the pool.
 
@@ -182,6 +182,28 @@ class Packer:
         return done
 
 
+class Parts:
+    """A long document's ids in parts, each of which is let go once all its ids are taken."""
+
+    def __init__(self, ids: bytes, size: int):
+        self.size = size
+        self.parts = {i: ids[i * size : (i + 1) * size] for i in range(-(-len(ids) // size))}
+        self.left = {i: len(p) for i, p in self.parts.items()}
+
+    def take(self, start: int, length: int) -> bytes:
+        """Bytes [start, start + length), which nobody takes again."""
+        out = []
+        while length:
+            i, at = divmod(start, self.size)
+            own = self.parts[i][at : at + length]
+            out.append(own)
+            self.left[i] -= len(own)
+            if not self.left[i]:
+                del self.parts[i], self.left[i]
+            start, length = start + len(own), length - len(own)
+        return b"".join(out)
+
+
 def _pack(tokenizer: str, end_id: int, limits: tuple, read):
     """A task's step; ``read(codec, end, batch)`` gives (id, token ids, loss) of a batch's documents."""
 
@@ -199,9 +221,10 @@ def _pack(tokenizer: str, end_id: int, limits: tuple, read):
         end = int(end_id).to_bytes(enc.width, "little")
         packer = Packer(*limits)
         base = TaskContext.get().partitionId() << 36
-        held: dict[int, list] = {}  # row -> [doc_id, tokens, ids, tokens still to place]
+        held: dict[int, list] = {}  # row -> [doc_id, tokens, ids or Parts, tokens still to place]
         row = n = 0
         out: list[tuple] = []
+        size = limits[0] * enc.width  # bytes of a full sequence's ids
 
         def place(sequences):
             nonlocal n
@@ -210,7 +233,8 @@ def _pack(tokenizer: str, end_id: int, limits: tuple, read):
                 padded = total if total & (total - 1) == 0 else limits[0]
                 for key, start, length, loss in pieces:
                     doc = held[key]
-                    ids = np.frombuffer(doc[2], enc.dtype, length, start * enc.width).astype("<u4")
+                    own = doc[2].take(start * enc.width, length * enc.width) if isinstance(doc[2], Parts) else memoryview(doc[2])[start * enc.width : (start + length) * enc.width]
+                    ids = np.frombuffer(own, enc.dtype).astype("<u4")
                     out.append((doc[0], start, length, zlib.crc32(ids.tobytes()), doc[1], base + n, at, loss, total, padded))
                     at += length
                     doc[3] -= length
@@ -227,7 +251,7 @@ def _pack(tokenizer: str, end_id: int, limits: tuple, read):
         for pdf in batches:
             for doc, ids, loss in read(enc, end, pdf):
                 tokens = len(ids) // enc.width
-                held[row] = [doc, tokens, ids, tokens]
+                held[row] = [doc, tokens, Parts(ids, size) if len(ids) > 2 * size else ids, tokens]
                 place(packer.add(row, tokens, loss))
                 row += 1
             if out:

@@ -26,6 +26,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -38,7 +39,8 @@ MAGIC = b"VXS1"
 FOOTER = struct.Struct("<QQQQQHH4s")
 BLOCK_BYTES = 128 << 10
 RESTART = 16
-SHARD_BYTES = 256 << 20
+#: A shard is closed at either bound.
+SHARD_BYTES, SHARD_ENTRIES = 256 << 20, 1 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 
 
@@ -70,16 +72,34 @@ def _read_varint(buf: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int, probes: int) -> Iterator[int]:
+def _halves(key: bytes) -> tuple[int, int]:
     import xxhash
 
     h = xxhash.xxh3_128_intdigest(key)
-    a, b = h >> 64, h & ((1 << 64) - 1) | 1
+    return h >> 64, h & ((1 << 64) - 1) | 1
+
+
+def _probes(key: bytes, bits: int, probes: int) -> Iterator[int]:
+    a, b = _halves(key)
     return ((a + i * b) % bits for i in range(probes))
 
 
+def _bloom(halves: array, bits: int, probes: int) -> bytes:
+    """The filter of keys whose hashes' halves are given one after the other, some keys at a time."""
+    import numpy as np
+
+    out = np.zeros(-(-bits // 8), "uint8")
+    pairs = np.frombuffer(halves, "uint64").reshape(-1, 2)
+    for i in range(0, len(pairs), 1 << 16):
+        a, b = pairs[i : i + (1 << 16)].T % np.uint64(bits)  # so that no sum passes 64 bits
+        for k in range(probes):
+            at = (a + np.uint64(k) * b) % np.uint64(bits)
+            np.bitwise_or.at(out, (at >> np.uint64(3)).astype("int64"), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype("uint8")))
+    return out.tobytes()
+
+
 class Writer:
-    """Entries come in ascending key order; memory is one block, the index and the keys' hashes."""
+    """Entries come in ascending key order; memory is one block, the index and 16 bytes for each key's hash."""
 
     def __init__(self, out, width: int, block_bytes: int = BLOCK_BYTES):
         import zstandard
@@ -87,7 +107,7 @@ class Writer:
         self.out, self.width, self.block_bytes = out, width, block_bytes
         self.zip = zstandard.ZstdCompressor(level=1)
         self.at = self.n = self.held = 0
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")
         self.index = bytearray()
         self.last = b""
         self._new_block()
@@ -104,7 +124,7 @@ class Writer:
         for part in (_varint(shared), _varint(len(key) - shared), _varint(len(value)), key[shared:], value):
             self.block.append(part)
             self.held += len(part)
-        self.keys.append(key)
+        self.hashes.extend(_halves(key))
         self.last, self.count, self.n = key, self.count + 1, self.n + 1
         if self.held >= self.block_bytes:
             self._flush()
@@ -125,11 +145,7 @@ class Writer:
         self._flush()
         index = self._put(self.zip.compress(bytes(self.index)))
         bits = max(64, BLOOM_BITS * self.n)
-        bloom = bytearray(-(-bits // 8))
-        for key in self.keys:
-            for p in _probes(key, bits, BLOOM_PROBES):
-                bloom[p >> 3] |= 1 << (p & 7)
-        bloom_at = self._put(struct.pack("<Q", bits) + bytes(bloom))
+        bloom_at = self._put(struct.pack("<Q", bits) + _bloom(self.hashes, bits, BLOOM_PROBES))
         self._put(FOOTER.pack(*index, *bloom_at, self.n, self.width, BLOOM_PROBES, MAGIC))
         return self.at
 
@@ -214,7 +230,7 @@ class Reader:
         return struct.unpack(">I", first[0][-4:])[0] if first and doc_of(first[0]) == doc_id else 0
 
 
-def _writer(tokenizer: str, end_id: int, folder: str, shard_bytes: int):
+def _writer(tokenizer: str, end_id: int, folder: str, shard_bytes: int, shard_entries: int):
     def write(batches):
         import os
 
@@ -242,7 +258,7 @@ def _writer(tokenizer: str, end_id: int, folder: str, shard_bytes: int):
                 ids = enc.encode(text or "") + end
                 tokens += len(ids) // enc.width
                 out.add(key_of(doc, repeat), ids)
-                if out.at >= shard_bytes:
+                if out.at >= shard_bytes or out.n >= shard_entries:
                     n, size = out.n, out.close()
                     stream.close()
                     rows.append((f"{folder}/{name}", part, seq, *first, n, tokens, size))
@@ -268,7 +284,7 @@ _COLUMNS = ["path", "part", "seq", "first_doc", "first_repeat", "n_docs", "n_tok
 _MANIFEST = "path string, part long, seq long, first_doc long, first_repeat long, n_docs long, n_tokens long, n_bytes long"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """Encode (doc_id, text), write shards in ascending doc_id order, return their manifest.
 
     The manifest has a row for each shard and ``start``, the ids of all documents before it.
@@ -278,7 +294,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes:
     folder = scratch(spark, "sst")
     rows = keyed_texts(docs).withColumn("some_id", ~F.col("no_id"))  # null ids come first
     ranged = rows.repartitionByRange("some_id", "doc_id").sortWithinPartitions("some_id", "doc_id", F.xxhash64("text"), "text")
-    manifest = materialize(ranged.mapInPandas(tidy(_writer(tokenizer, end_id, folder, shard_bytes)), _MANIFEST), "sst-manifest")
+    manifest = materialize(ranged.mapInPandas(tidy(_writer(tokenizer, end_id, folder, shard_bytes, shard_entries)), _MANIFEST), "sst-manifest")
     return materialize(offsets(manifest, ["part", "seq"], "n_tokens", "start", buckets=64), "sst-manifest")
 
 
@@ -363,21 +379,32 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     hits = _shards_of(manifest, asked)
 
-    def find(_, pdf):
+    def find(batches):
         import numpy as np
         import pandas as pd
         import pyarrow.fs as pfs
 
-        fs, name = pfs.FileSystem.from_uri(pdf["path"].iloc[0])
-        rows = []
-        with fs.open_input_file(name) as source:
-            reader = Reader(source)
-            for doc in pdf["doc_id"]:
-                repeat = reader.first_repeat(int(doc))
-                while (value := reader.get(key_of(int(doc), repeat))) is not None:
-                    rows.append((int(doc), np.frombuffer(value, f"<u{reader.width}").astype("int32").tolist()))
+        path = source = reader = None
+        rows, held = [], 0
+        for pdf in batches:
+            for at, doc in zip(pdf["path"], pdf["doc_id"].tolist(), strict=True):
+                if at != path:  # one shard is open at a time
+                    if source is not None:
+                        source.close()
+                    fs, name = pfs.FileSystem.from_uri(at)
+                    path, source = at, fs.open_input_file(name)
+                    reader = Reader(source)
+                repeat = reader.first_repeat(doc)
+                while (value := reader.get(key_of(doc, repeat))) is not None:
+                    rows.append((doc, np.frombuffer(value, f"<u{reader.width}").astype("int32")))
+                    held += len(value)
                     repeat += 1
-        return pd.DataFrame(rows, columns=["doc_id", "ids"])
-
-    return hits.groupBy("path").applyInPandas(find, "doc_id long, ids array<int>")
+                    if held > 8 << 20:
+                        yield pd.DataFrame(rows, columns=["doc_id", "ids"])
+                        rows, held = [], 0
+        if source is not None:
+            source.close()
+        if rows:
+            yield pd.DataFrame(rows, columns=["doc_id", "ids"])
 
+    return hits.repartition("path").sortWithinPartitions("path", "doc_id").mapInPandas(tidy(find), "doc_id long, ids array<int>")
