@@ -32,8 +32,8 @@ from .common import bounded_batches, ids_of, keyed_texts, longs, materialize, ti
 
 SEQUENCE = 4096
 #: Pieces that are packed together, islands of a group, packings of an island.
-GROUP, ISLANDS, POPULATION = 2048, 3, 6
-EPOCHS, GENERATIONS = 3, 8
+GROUP, ISLANDS, POPULATION = 2048, 3, 5
+EPOCHS, GENERATIONS = 4, 4
 #: Tokens that a bin may lack and still be kept; a group under SMALL pieces hands all on.
 SLACK, SMALL = 8, 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, home long, slot int"
@@ -199,7 +199,7 @@ def _epoch(epoch: int, room: int, islands: int, size: int, generations: int):
                 if row.guest is not None:
                     known.append(_packing(sizes, np.frombuffer(row.guest, "<i2")))
                 if not known:
-                    known = [seed_packing(sizes, room, rng, 0.0 if row.island == 0 else 0.1)]
+                    known = [seed_packing(sizes, room, rng, 0.02 * row.island)]
                     while len(known) < size and len(known[0].fill) > -(-int(sizes.sum()) // room):
                         known.append(seed_packing(sizes, room, rng, 0.05 * len(known)))
                 found = [p.of.astype("<i2").tobytes() for p in evolve(sizes, room, known, rng, generations)[:size]]

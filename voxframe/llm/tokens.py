@@ -135,15 +135,34 @@ class WordCodec:
         self.model = self.tok.model
         self.words = _Pieces(self._word, most)
 
+    def _letters(self, word: str) -> bytes:
+        """A word of letters below U+0100, in lower case."""
+        own = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return array(self.code, [t.id for t in self.model.tokenize(own)]).tobytes()
+
     def _word(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return self._letters(word.lower())
+            core = word[:-1]
+            if core.isalpha() and word[-1] in ".,;:!?":  # most other words
+                known = self.words.get(core)
+                return (self._letters(core.lower()) if known is None else known) + self.words[word[-1]]
         if not word:
             return b""
         if not self._PLAIN(word):
             return array(self.code, self.tok.encode(word, add_special_tokens=False).ids).tobytes()
         parts = self._PARTS.findall(word.lower())
+        if len(parts) > 1:  # a word and signs beside it
+            return b"".join([self.words[p] for p in parts])
         return array(self.code, [t.id for part in parts for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))]).tobytes()
 
     def encode(self, text: str) -> bytes:
+        try:  # letters below U+0100 have one lower case, so that fewer words are different
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
