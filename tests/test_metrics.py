@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
-from voxframe.operators import metrics
+from voxframe.operators import cluster, metrics
 from voxframe.operators.cluster import agglomerate, diarize
 from voxframe.operators.metrics import best_assignment, edit_counts
 
@@ -156,3 +157,112 @@ def test_cosine_pairs_of_a_key_in_blocks(spark, monkeypatch):
     assert sorted(got) == pairs
     y = x.astype("float32").astype("float64")
     assert all(abs(got[i, j] - y[i] @ y[j] / np.linalg.norm(y[i]) / np.linalg.norm(y[j])) < 1e-12 for i, j in pairs)
+
+
+def literal_groups(vectors, threshold, most=None):
+    """Average linkage by all pairs of all groups, in the order of a list."""
+    unit = [v / n if (n := np.sqrt((v * v).sum())) else v * 0 for v in np.asarray(vectors, "float64")]
+    groups = [[i] for i in range(len(unit))]
+    most = len(groups) if most is None else most
+    while len(groups) > 1:
+        best = (-np.inf, 0, 0)
+        for i in range(len(groups)):
+            for j in range(i + 1, len(groups)):
+                mean = round(float(sum(unit[a] @ unit[b] for a in groups[i] for b in groups[j])) / (len(groups[i]) * len(groups[j])), 12)
+                if mean > best[0]:
+                    best = (mean, i, j)
+        if best[0] < threshold and len(groups) <= most:
+            break
+        _, i, j = best
+        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [groups[i] + groups[j]]
+    return sorted((sorted(g) for g in groups), key=lambda g: g[0])
+
+
+def test_groups_equal_the_definition_with_ties():
+    rng = np.random.default_rng(3)
+    for case in range(300):
+        n = int(rng.integers(1, 14))
+        if case % 3 == 0:  # along axes: most means tie
+            x = np.eye(4)[rng.integers(0, 4, n)] * rng.integers(0, 3, (n, 1))
+        elif case % 3 == 1:  # repeated vectors
+            x = rng.normal(size=(4, 3))[rng.integers(0, 4, n)]
+        else:
+            x = rng.normal(size=(n, 5))
+        x = x.astype("float32")
+        threshold, most = float(rng.choice([-2, 0.0, 0.4, 0.8, 1.0])), [None, 1, 3][int(rng.integers(0, 3))]
+        assert cluster.agglomerate(x, threshold, most) == literal_groups(x, threshold, most), (case, threshold, most)
+
+
+def test_groups_of_many_vectors_take_memory_linear_in_them():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 16))
+    of = rng.integers(0, 12, 8000)
+    x = (centres[of] + 0.05 * rng.normal(size=(8000, 16))).astype("float32")
+    tracemalloc.start()
+    groups = cluster.agglomerate(x[:6000], 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(groups) == 12 and all(len({int(of[i]) for i in g}) == 1 for g in groups)
+    assert peak < 6000 * 6000 * 8 / 4  # a matrix would take 288 MB
+
+
+def test_assignment_of_any_size():
+    from itertools import permutations
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, m = int(rng.integers(1, 6)), int(rng.integers(1, 6))
+        w = {(f"r{i}", f"h{j}"): int(rng.integers(0, 6)) for i in range(n) for j in range(m)}
+        refs, hyps = [f"r{i}" for i in range(n)], [f"h{j}" for j in range(m)]
+        small, large = (refs, hyps) if n <= m else (hyps, refs)
+        brute = max(sum(w[(a, b) if n <= m else (b, a)] for a, b in zip(small, p, strict=True)) for p in permutations(large, len(small)))
+        for total, pairs in (metrics.best_assignment(w), metrics._augmenting(w, refs, hyps)):
+            assert total == brute == sum(w[p] for p in pairs.items()) and len(set(pairs.values())) == len(pairs)
+    w = {(f"r{i:03d}", f"h{j:03d}"): int(x) for (i, j), x in np.ndenumerate(rng.integers(0, 50, (200, 200)))}
+    order = rng.permutation(200)
+    for i in range(200):
+        w[f"r{i:03d}", f"h{order[i]:03d}"] = 1000 + i
+    total, pairs = metrics.best_assignment(w)
+    assert total == sum(1000 + i for i in range(200)) and all(pairs[f"r{i:03d}"] == f"h{order[i]:03d}" for i in range(200))
+
+
+def test_der_of_two_hundred_labels_is_exact(spark):
+    """Labels past one word of a mask, two speaking at a time, each named anew."""
+    ref = [("a", f"s{i:03d}", float(i), i + 1.5) for i in range(200)]
+    hyp = [("a", f"t{(i * 7) % 200:03d}", float(i), i + 1.5) for i in range(200)]
+    rows = lambda x: spark.createDataFrame(x, "item string, speaker string, start_sec double, end_sec double")
+    parts = metrics.der_parts(rows(ref), rows(hyp), ["item"], 0.0, 200)
+    assert parts.where("size(ref) <> n_ref OR size(hyp) <> n_hyp").count() == 0 and parts.where("n_ref = 2").count() == 199
+    assert metrics.der_parts(rows(ref), rows(hyp), ["item"]).where("n_ref > 0 AND ref IS NOT NULL").count() == 0  # never a part of a set
+    (out,) = metrics.der(rows(ref), rows(hyp), ["item"], 0.0, 200).collect()
+    assert out.measurable and out.der == 0.0 and len(out.mapping) == 200
+    (out,) = metrics.der(rows(ref), rows(hyp[:150] + [("a", "other", 150.0, 201.0)]), ["item"], 0.0, 200).collect()
+    assert out.measurable and out.ref_sec == 300.0 and abs(out.missed_sec + out.confusion_sec + out.false_sec - (49.5 + 51.0 - 1.5 + 0.0)) < 60
+    (out,) = metrics.der(rows(ref), rows(hyp), ["item"]).collect()
+    assert not out.measurable and out.der is None
+
+
+def test_long_pairs_in_a_band_equal_the_whole_table(monkeypatch):
+    rng = random.Random(7)
+    for case in range(300):
+        ref = [rng.choice("abcd"[: 1 + case % 4]) for _ in range(rng.randint(1, 60))]
+        hyp = [rng.choice("abcd") if rng.random() < 0.2 else w for w in ref if rng.random() < 0.85] or ["a"]
+        at = rng.randrange(len(hyp) + 1)
+        hyp[at:at] = [rng.choice("abcd") for _ in range(rng.randint(0, 12))]
+        want = metrics._diagonals([(ref, hyp)])[0]
+        assert metrics._banded(ref, hyp) == want
+        ids = {w: i for i, w in enumerate("abcd")}
+        a, b = np.array([ids[w] for w in ref], "int32"), np.array([ids[w] for w in hyp], "int32")[::-1].copy()
+        for width in range(1, 40):  # too narrow a band is told, any other gives the same
+            found = metrics._band(a, b, len(ref), len(hyp), width)
+            assert (found is None) == (sum(want) > width) and (found is None or found == (sum(want), want[0]))
+
+
+def test_very_long_pairs_take_seconds():
+    rng = random.Random(2)
+    ref = [str(rng.randrange(5000)) for _ in range(60_000)]
+    hyp = [w if rng.random() > 0.005 else "other" for w in ref if rng.random() > 0.003]
+    s, d, i = metrics.edit_counts(ref, hyp)
+    assert len(ref) - d + i == len(hyp) and 100 < s < 500 and 100 < d < 300

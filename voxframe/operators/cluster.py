@@ -1,4 +1,4 @@
-"""Average-linkage clustering of embeddings, one key a task, and speaker attribution."""
+"""Average-linkage clustering of embeddings, one key a task in memory linear in its vectors, and speaker attribution."""
 
 from __future__ import annotations
 
@@ -10,17 +10,22 @@ from pyspark.sql import types as T
 from voxframe.constants import MAX_SPEAKERS, MIN_EMBED_SEC, SPEAKER_THRESHOLD
 from voxframe.operators.intervals import nearest_label
 
-#: Vectors of one key that a task takes; the similarity matrix is n * n doubles.
-MOST_VECTORS = 5000
+#: Rows of similarities that are made at a time.
+ROWS = 256
 
 
 def agglomerate(vectors, threshold: float, most: int | None = None) -> list[list[int]]:
     """Groups of element numbers, by average cosine.
 
-    The matrix holds sums between groups, so that joining two adds their rows.  Groups
-    keep the order of a list from which the joined two leave and whose end their union
-    takes; the first largest mean in that order is joined, while it reaches the
-    threshold or there are more than ``most`` groups.
+    Groups keep the order of a list from which the joined two leave and whose end their union
+    takes; the first largest mean in that order is joined, while it reaches the threshold or
+    there are more than ``most`` groups.
+
+    The mean cosine of two groups is the product of their sums of unit vectors over their
+    sizes, so no similarity is kept: memory is linear in the vectors.  Each group knows the
+    first of its nearest among those behind it in the list; a union stands at the end, so only
+    groups that lost their nearest look again.  Means are compared to twelve decimals, as the
+    order of additions must not decide between equal ones.  A vector of zeros is like none.
     """
     import numpy as np
 
@@ -28,25 +33,63 @@ def agglomerate(vectors, threshold: float, most: int | None = None) -> list[list
     n = len(x)
     if n == 0:
         return []
-    norm = np.sqrt((x * x).sum(1))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        sums = np.where(np.outer(norm, norm) > 0, (x @ x.T) / np.outer(norm, norm), 0.0)
-    members = [[i] for i in range(n)]
-    size = np.ones(n)
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    total = 2 * n - 1
+    sums = np.zeros((total, x.shape[1] if x.ndim > 1 else 0))
+    sums[:n] = np.where(norm > 0, x / np.where(norm > 0, norm, 1.0), 0.0)
+    size = np.ones(total)
+    alive = np.zeros(total, bool)
+    alive[:n] = True
+    near, best = np.zeros(total, "int64"), np.full(total, -np.inf)
+    children: dict[int, tuple[int, int]] = {}
+
+    def look(rows, end: int) -> None:
+        """The nearest behind each row, of the groups up to ``end``."""
+        for a in range(0, len(rows), ROWS):
+            own = rows[a : a + ROWS]
+            others = np.flatnonzero(alive[own[0] + 1 : end]) + own[0] + 1
+            if not len(others):
+                best[own] = -np.inf
+                continue
+            mean = (sums[own] @ sums[others].T / np.outer(size[own], size[others])).round(12)
+            mean[others[None, :] <= own[:, None]] = -np.inf
+            at = mean.argmax(1)
+            near[own], best[own] = others[at], mean[np.arange(len(own)), at]
+
+    look(np.arange(n), n)
+    left, new = n, n
     most = n if most is None else most
-    while len(members) > 1:
-        mean = sums / np.outer(size, size)
-        mean[np.tril_indices(len(members))] = -np.inf
-        i, j = divmod(int(mean.argmax()), len(members))
-        if mean[i, j] < threshold and len(members) <= most:
+    while left > 1:
+        i = int(best[:new].argmax())  # the first of the largest
+        if best[i] < threshold and left <= most:
             break
-        keep = [k for k in range(len(members)) if k not in (i, j)]
-        row = (sums[i] + sums[j])[keep]
-        sums = np.pad(sums[np.ix_(keep, keep)], ((0, 1), (0, 1)))
-        sums[-1, :-1] = sums[:-1, -1] = row
-        size = np.append(size[keep], size[i] + size[j])
-        members = [members[k] for k in keep] + [members[i] + members[j]]
-    return sorted((sorted(m) for m in members), key=lambda m: m[0])
+        j = int(near[i])
+        children[new] = i, j
+        sums[new], size[new] = sums[i] + sums[j], size[i] + size[j]
+        alive[[i, j]], alive[new] = False, True
+        best[[i, j]] = -np.inf
+        left -= 1
+        live = np.flatnonzero(alive[:new])
+        lost = live[(near[live] == i) | (near[live] == j)]
+        if len(lost):
+            look(lost, new)
+        if len(live):  # the union is behind all others
+            mean = (sums[live] @ sums[new] / (size[live] * size[new])).round(12)
+            nearer = mean > best[live]
+            near[live[nearer]], best[live[nearer]] = new, mean[nearer]
+        new += 1
+
+    def members(g: int) -> list[int]:
+        out, todo = [], [g]
+        while todo:
+            at = todo.pop()
+            if at < n:
+                out.append(at)
+            else:
+                todo += children[at]
+        return sorted(out)
+
+    return sorted((members(int(g)) for g in np.flatnonzero(alive[:new])), key=lambda m: m[0])
 
 
 def cluster(vectors: DataFrame, keys: list[str], vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = SPEAKER_THRESHOLD, most: int | None = MAX_SPEAKERS) -> DataFrame:
@@ -56,8 +99,6 @@ def cluster(vectors: DataFrame, keys: list[str], vec_id: str = "vec_id", embeddi
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        if len(pdf) > MOST_VECTORS:
-            raise ValueError(f"{len(pdf)} vectors of one key are over the bound of {MOST_VECTORS}")
         pdf = pdf.sort_values(vec_id).reset_index(drop=True)
         label = [""] * len(pdf)
         for k, group in enumerate(agglomerate(np.stack(pdf[embedding].tolist()), threshold, most)):

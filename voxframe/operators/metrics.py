@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +18,8 @@ WER = T.StructType([T.StructField("wer", T.DoubleType()), *[T.StructField(n, T.I
 
 #: Cells of one diagonal that pairs are compared in together.
 CELLS = 1 << 16
+#: Cells of a table beyond which a pair is compared in a band.
+BAND_CELLS = 1 << 22
 
 
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
@@ -30,6 +34,8 @@ def edit_counts_of(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[int,
     for k, (ref, hyp) in enumerate(pairs):
         if not ref or not hyp:
             out[k] = (0, len(ref), len(hyp))
+        elif len(ref) * len(hyp) > BAND_CELLS:
+            out[k] = _banded(ref, hyp)
         else:
             todo.append((len(ref), len(hyp), k))
     todo.sort()
@@ -86,6 +92,70 @@ def _diagonals(pairs: list) -> list[tuple[int, int, int]]:
     return [(int(s), int(x), int(t - s - x)) for s, x, t in zip(subs, dels, total, strict=True)]
 
 
+def _banded(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+    """Counts of one long pair, in memory linear in the band and time in its width and the length.
+
+    A pair of distance d or less has its whole path at most d off the diagonal, and no cell
+    further off ties with one on it; so the band is doubled until the distance fits in it.
+    Equal ends are on the path, as ties take the diagonal.
+    """
+    import numpy as np
+
+    n, m = len(ref), len(hyp)
+    while n and m and ref[n - 1] == hyp[m - 1]:
+        n, m = n - 1, m - 1
+    if not n or not m:
+        return 0, n, m
+    ids: dict[str, int] = {}
+    a = np.array([ids.setdefault(w, len(ids)) for w in ref[:n]], "int32")
+    b = np.array([ids.setdefault(w, len(ids)) for w in hyp[:m]], "int32")[::-1].copy()
+    width = max(64, abs(n - m), max(n, m) // 64)
+    while True:
+        found = _band(a, b, n, m, width)
+        if found is not None:
+            total, subs = found
+            dels = (total - subs + n - m) // 2
+            return subs, dels, total - subs - dels
+        width *= 2
+
+
+def _band(a, b, n: int, m: int, width: int) -> tuple[int, int] | None:
+    """(distance, substitutions) from the cells at most ``width`` off the diagonal; None if it may be larger.
+
+    A cell is one number: cost, then the step's place among ties, then substitutions.
+    """
+    import numpy as np
+
+    one, step, far = 1 << 34, 1 << 32, 1 << 60
+    clear = ~(3 << 32)
+    before2 = before1 = np.array([0], "int64")  # diagonals i + j = d - 2 and d - 1, by i
+    low2, low1 = 0, 0
+    for d in range(1, n + m + 1):
+        low, high = max(0, d - m, (d - width + 1) // 2), min(n, d, (d + width) // 2)
+        if low > high:
+            return None
+        now = np.full(high - low + 1, far, "int64")
+        # a word of the reference left out: (i - 1, j)
+        s, e = max(low, low1 + 1), min(high, low1 + len(before1))
+        if s <= e:
+            now[s - low : e - low + 1] = before1[s - 1 - low1 : e - low1] + (one + step)
+        # a word of the hypothesis put in: (i, j - 1)
+        s, e = max(low, low1), min(high, low1 + len(before1) - 1, d - 1)
+        if s <= e:
+            at = now[s - low : e - low + 1]
+            np.minimum(at, before1[s - low1 : e + 1 - low1] + (one + 2 * step), out=at)
+        # both: (i - 1, j - 1)
+        s, e = max(low, low2 + 1, 1), min(high, low2 + len(before2), d - 1)
+        if d > 1 and s <= e:
+            at = now[s - low : e - low + 1]
+            miss = a[s - 1 : e] != b[m - d + s : m - d + e + 1]
+            np.minimum(at, before2[s - 1 - low2 : e - low2] + miss * (one + 1), out=at)
+        now &= clear
+        before2, low2, before1, low1 = before1, low1, now, low
+    total, subs = int(before1[n - low1] >> 34), int(before1[n - low1] & (step - 1))
+    return (total, subs) if total <= width else None
+
+
 @F.pandas_udf(WER)
 def word_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Edit distance of two word arrays with its breakdown; null arrays are empty."""
@@ -135,17 +205,18 @@ def _frames(turns: DataFrame, keys: list[str]) -> DataFrame:
     return turns.select(*keys, "speaker", F.greatest(f("start_sec"), F.lit(0)).alias("a"), f("end_sec").alias("b")).where("a < b")
 
 
-#: Labels of an item's side that ``der_parts`` can tell apart.
+#: Labels that one word of a mask holds.
 MASK_LABELS = 62
 
 
-def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_sec: float = 0.0) -> DataFrame:
+def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_sec: float = 0.0, labels: int = MASK_LABELS) -> DataFrame:
     """(keys, f0, f1, ref and hyp sets, n_ref, n_hyp) of an item's elementary intervals; those in the collar are ``forgiven``.
 
     One sweep over an item's boundaries, without a join: a label that begins or ends adds its
-    bit to, or takes it from, a running mask.  Beyond MASK_LABELS labels of a side the sets
-    lack the later ones; the numbers stay right.
+    bit to, or takes it from, a running mask of as many words as ``labels`` of a side need.
+    An item with more labels on a side has null for that side's sets; the numbers stay right.
     """
+    words = range(max(1, -(-labels // MASK_LABELS)))
     plain_unions(reference.sparkSession)
     rows = _frames(reference, keys).withColumn("_s", F.lit("r")).unionByName(_frames(hypothesis, keys).withColumn("_s", F.lit("h"))).repartition(*keys)
     item = W.partitionBy(*keys)
@@ -159,14 +230,18 @@ def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], coll
     run = F.sum("d").over(W.partitionBy(*keys, "_s", "speaker").orderBy("f"))
     steps = steps.withColumn("_run", run).withColumn("c", F.when((F.col("_run") > 0) & (F.col("_run") == F.col("d")), 1).when((F.col("_run") == 0) & (F.col("d") < 0), -1).otherwise(0))
     place = F.array_position(F.when(F.col("_s") == "r", F.col("_r")).otherwise(F.col("_h")), F.col("speaker")) - 1
-    steps = steps.withColumn("_i", place.cast("int")).withColumn("_m", F.when(F.col("_i") < MASK_LABELS, F.expr("shiftleft(1L, _i)") * F.col("c")).otherwise(0))
+    steps = steps.withColumn("_i", place.cast("int")).withColumn("_bit", F.expr(f"shiftleft(1L, _i % {MASK_LABELS})") * F.col("c"))
+    for k in words:
+        steps = steps.withColumn(f"_m{k}", F.when(F.floor(F.col("_i") / MASK_LABELS) == k, F.col("_bit")).otherwise(F.lit(0).cast("long")))
     side = lambda c, k: F.sum(F.when(F.col("_s") == k, F.col(c)).otherwise(0)).alias(f"{k}{c}")
-    sums = ("r_m", "h_m", "rc", "hc")
-    points = steps.groupBy(*keys, "f").agg(side("_m", "r"), side("_m", "h"), side("c", "r"), side("c", "h"), *[F.first(c).alias(c) for c in ("_end", "_r", "_h")])
+    masks = [f"{s}_m{k}" for k in words for s in "rh"]
+    sums = (*masks, "rc", "hc")
+    points = steps.groupBy(*keys, "f").agg(*[side(m[1:], m[0]) for m in masks], side("c", "r"), side("c", "h"), *[F.first(c).alias(c) for c in ("_end", "_r", "_h")])
     radius = int(collar_sec * FRAMES_PER_SEC + 0.5)
     if radius > 0:
         at = lambda f, c, moved: F.struct(f.alias("f"), F.lit(c).alias("k"), *[(F.col(x) if moved else F.lit(0).cast("long")).alias(x) for x in sums])
-        changed = (F.col("r_m") != 0) & (F.col("f") > 0) & (F.col("f") < F.col("_end"))
+        turned = [F.col(m) != 0 for m in masks if m[0] == "r"]
+        changed = reduce(lambda x, y: x | y, turned) & (F.col("f") > 0) & (F.col("f") < F.col("_end"))
         around = F.array(at(F.greatest(F.col("f") - radius, F.lit(0).cast("long")), 1, False), at(F.least(F.col("f") + radius, F.col("_end")), -1, False))
         own = F.array(at(F.col("f"), 0, True))
         points = points.select(*keys, "_r", "_h", F.explode(F.when(changed, F.concat(own, around)).otherwise(own)).alias("_e")).groupBy(*keys, F.col("_e.f").alias("f"))
@@ -175,8 +250,17 @@ def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], coll
         points = points.withColumn("k", F.lit(0))
     order = item.orderBy("f")
     points = points.select(*keys, F.col("f").alias("f0"), F.lead("f").over(order).alias("f1"), "_r", "_h", *[F.sum(x).over(order).alias(x) for x in (*sums, "k")]).where("f1 is not null")
-    held = lambda labels, mask: F.filter(F.transform(labels, lambda n, i: F.when((i < MASK_LABELS) & (F.getbit(F.col(mask), F.least(i, F.lit(63))) == 1), n)), lambda n: n.isNotNull())
-    return points.select(*keys, "f0", "f1", held("_r", "r_m").alias("ref"), held("_h", "h_m").alias("hyp"), F.col("rc").alias("n_ref"), F.col("hc").alias("n_hyp"), (F.col("k") > 0).alias("forgiven"))
+
+    def held(side: str) -> Column:
+        """The labels whose bits are set; null where there are more labels than ``labels``."""
+        own = F.col(f"_{side}")
+        word = [F.col(f"{side}_m{k}") for k in words]
+        mask = word[0] if len(word) == 1 else F.array(*word)
+        bit = lambda i: F.getbit(mask if len(word) == 1 else F.get(mask, F.floor(i / MASK_LABELS).cast("int")), i % MASK_LABELS) == 1
+        named = F.filter(F.transform(own, lambda n, i: F.when(bit(i), n)), lambda n: n.isNotNull())
+        return F.when(F.size(own) <= len(words) * MASK_LABELS, named)
+
+    return points.select(*keys, "f0", "f1", held("r").alias("ref"), held("h").alias("hyp"), F.col("rc").alias("n_ref"), F.col("hc").alias("n_hyp"), (F.col("k") > 0).alias("forgiven"))
 
 
 def der_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,9 +277,16 @@ def der_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Labels of the smaller side up to which the assignment is found by subsets.
+SUBSETS = 8
+
+
 def best_assignment(weights: dict[tuple[str, str], int]) -> tuple[int, dict[str, str]]:
-    """Largest total weight of one-to-one pairs (ref, hyp), by subsets of the hyp labels."""
+    """Largest total weight of one-to-one pairs (ref, hyp)."""
     refs, hyps = sorted({r for r, _ in weights}), sorted({h for _, h in weights})
+    if len(hyps) > SUBSETS:
+        return _augmenting(weights, refs, hyps)
+    # by subsets of the hyp labels
     best: dict[int, tuple[int, tuple]] = {0: (0, ())}
     for r in refs:
         new = dict(best)
@@ -209,12 +300,60 @@ def best_assignment(weights: dict[tuple[str, str], int]) -> tuple[int, dict[str,
     return total, dict(pairs)
 
 
+def _augmenting(weights: dict[tuple[str, str], int], refs: list[str], hyps: list[str]) -> tuple[int, dict[str, str]]:
+    """The same for any number of labels: each label in turn takes its shortest augmenting path.
+
+    Potentials keep reduced costs at or above zero, in whole numbers, so the result is exact;
+    time is cubic in the labels.  A pair of weight 0 is no pair.
+    """
+    import numpy as np
+
+    rows, columns = (refs, hyps) if len(refs) <= len(hyps) else (hyps, refs)
+    turned = rows is hyps
+    place = {c: j for j, c in enumerate(columns)}
+    at = {r: i for i, r in enumerate(rows)}
+    cost = np.zeros((len(rows), len(columns) + 1), "int64")  # column 0 is where a path begins
+    for (r, h), w in weights.items():
+        i, j = (at[h], place[r]) if turned else (at[r], place[h])
+        cost[i, j + 1] = -w
+    far = np.iinfo("int64").max // 4
+    u, v = np.zeros(len(rows), "int64"), np.zeros(len(columns) + 1, "int64")
+    holder = np.full(len(columns) + 1, -1)
+    for i in range(len(rows)):
+        holder[0], column = i, 0
+        least, came, seen = np.full(len(columns) + 1, far), np.zeros(len(columns) + 1, int), np.zeros(len(columns) + 1, bool)
+        while holder[column] >= 0:
+            seen[column] = True
+            row = holder[column]
+            reduced = cost[row] - u[row] - v
+            nearer = ~seen & (reduced < least)
+            least[nearer], came[nearer] = reduced[nearer], column
+            open_ = np.where(seen, far, least)
+            open_[0] = far
+            column_next = int(open_.argmin())
+            delta = least[column_next]
+            u[holder[seen]] += delta
+            v[seen] -= delta
+            least[~seen] -= delta
+            column = column_next
+        while column:
+            holder[column] = holder[came[column]]
+            column = came[column]
+        holder[0] = -1
+    pairs = {}
+    for j, i in enumerate(holder[1:].tolist()):
+        if i >= 0 and cost[i, j + 1]:
+            r, h = (columns[j], rows[i]) if turned else (rows[i], columns[j])
+            pairs[r] = h
+    return sum(weights[r, h] for r, h in pairs.items()), pairs
+
+
 def der(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_sec: float = 0.0, max_labels: int = MAX_LABELS) -> DataFrame:
     """der, missed_sec, false_sec, confusion_sec, ref_sec, collar_sec, mapping, measurable.
 
     Items with more labels on a side than ``max_labels`` are not measurable and get nulls.
     """
-    parts = der_parts(reference, hypothesis, keys, collar_sec)
+    parts = der_parts(reference, hypothesis, keys, collar_sec, max(max_labels, MASK_LABELS))  # beyond, nothing is measured
     totals = der_totals(parts, keys)
     pairs = parts.where("not forgiven").select(*keys, F.explode("ref").alias("r"), "hyp", (F.col("f1") - F.col("f0")).alias("n")).select(*keys, "r", F.explode("hyp").alias("h"), "n")
     cooc = pairs.groupBy(*keys, "r", "h").agg(F.sum("n").alias("n"))
