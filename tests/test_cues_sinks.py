@@ -2,10 +2,11 @@ import io
 import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxframe.operators import bench, corpus, cues, store
-from voxframe.sources import readers, sinks
+from voxframe.sources import readers, sinks, versions
 
 TIMED = "k string, idx int, start_sec double, end_sec double, text string, speaker string"
 
@@ -228,18 +229,47 @@ def test_run_store_and_report(spark):
         sinks.markdown_table(spark.range(20), limit=10)
 
 
-def test_saves_are_whole_or_not_seen(spark, tmp_path):
-    head = spark.createDataFrame([("a", 1)], "k string, n int")
-    rows = spark.createDataFrame([("a", 0), ("a", 1)], "k string, idx int")
-    for _ in range(2):
-        sinks.save_pair(head, rows, str(tmp_path / "s"), "k")
-    sinks.replace_keys(rows.withColumn("k", F.lit("b")), str(tmp_path / "s" / "rows"), ["k"])  # a save that broke off
-    h, r = sinks.load_pairs(spark, str(tmp_path / "s"), "k")
-    assert h.count() == 1 and r.count() == 2
-    body = sinks.to_json(rows, ["k"], "idx").first().body
+def test_saves_are_whole_or_not_seen(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "s")
+    head = lambda *ks, n: spark.createDataFrame([(k, n) for k in ks], "k string, n int")
+    body = lambda k, n: spark.createDataFrame([(k, i) for i in range(n)], "k string, idx int")
+
+    def seen(as_of=None):
+        h, r = versions.load(spark, at, "k", as_of)
+        counts = {x.k: x["count"] for x in r.groupBy("k").count().collect()}
+        return {x.k: (x.n, counts.get(x.k, 0)) for x in h.collect()}
+
+    assert versions.version(spark, at) == 0
+    assert versions.save(head("a", "b", n=1), body("a", 2).union(body("b", 5)), at, "k") == 1
+    commit = versions._commit
+    # a re-save that stops between its writes and its commit, and one in the commit itself
+    monkeypatch.setattr(versions, "_commit", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        versions.save(head("a", n=2), body("a", 9), at, "k")
+    assert seen() == {"a": (1, 2), "b": (1, 5)}
+    monkeypatch.setattr(versions, "_commit", lambda spark, path, token, n: commit(spark, path, "", n))
+    versions.save(head("a", n=3), body("a", 7), at, "k")
+    monkeypatch.setattr(versions, "_commit", commit)
+    assert seen() == {"a": (1, 2), "b": (1, 5)}
+    # a whole one; a header without rows; the old state by its number
+    assert versions.save(head("a", n=4), body("a", 3), at, "k", base=1) == 3
+    versions.save(head("c", n=1), body("a", 0), at, "k")
+    assert seen() == {"a": (4, 3), "b": (1, 5), "c": (1, 0)} and seen(1) == {"a": (1, 2), "b": (1, 5)}
+    # two that read the same state: other keys go in, the same key is refused
+    with pytest.raises(versions.Conflict):
+        versions.save(head("a", n=5), body("a", 1), at, "k", base=1)
+    assert versions.save(head("b", n=6), body("b", 1), at, "k", base=1) == 5
+    # two that take one number: the second takes the next
+    taken = []
+    monkeypatch.setattr(versions, "version", lambda *a: 4 + len(taken) if not taken.append(1) else 0)
+    assert versions.save(head("d", n=1), body("d", 1), at, "k") == 6
+    monkeypatch.undo()
+    before = seen()
+    assert versions.vacuum(spark, at, "k", 4) == 1 and seen() == before == {"a": (4, 3), "b": (6, 1), "c": (1, 0), "d": (1, 1)}
+    rows = body("a", 2)
     import json
 
-    assert json.loads(body) == [{"idx": 0}, {"idx": 1}]
+    assert json.loads(sinks.to_json(rows, ["k"], "idx").first().body) == [{"idx": 0}, {"idx": 1}]
 
 
 def test_csv_keeps_exact_times_and_trims_all_space(spark):
@@ -271,3 +301,17 @@ def test_running_estimates(spark):
     assert got[4][:3] == (0.3, "refinado", 60.0) and abs(got[4][3] - 15 / 9) < 1e-9
     known = bench.running_estimate(df.withColumn("learned", F.lit(0.9)).where("i = 0"), ["k"], "i").first()
     assert (known.rtf, known.source) == (0.9, "aprendido")
+
+
+def test_rename_does_not_multiply(spark):
+    sessions = spark.createDataFrame([("a", "old"), ("b", "kept")], "session_id string, name string")
+    names = spark.createDataFrame([("a", "x"), ("a", " y "), ("a", ""), ("b", " ")], "session_id string, name string")
+    assert sorted(map(tuple, store.rename(sessions, names).select("session_id", "name").collect())) == [("a", "y"), ("b", "kept")]
+
+
+def test_catalogues_are_measured_in_rows_and_bytes(spark):
+    from voxframe.session import catalogue
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    df = spark.range(100).withColumn("t", F.repeat(F.lit("x"), 1000))
+    assert hinted(catalogue(df)) and not hinted(catalogue(df, rows=99)) and not hinted(catalogue(df, size=50_000))

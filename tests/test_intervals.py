@@ -75,7 +75,7 @@ def test_overlap_join_equals_all_pairs(spark):
     a, b = spans(40), spans(40)
     left = spark.createDataFrame(a, "k string, i int, start_sec double, end_sec double")
     right = spark.createDataFrame(b, "k string, j int, r_start double, r_end double")
-    got = sorted((r.i, r.j) for r in intervals.overlap_join(left, right, ["k"], 60.0).collect())
+    got = sorted((r.i, r.j) for r in intervals.overlap_join(left, right, ["k"]).collect())
     assert got == sorted((x[1], y[1]) for x in a for y in b if x[2] < y[3] and y[2] < x[3])
 
 
@@ -89,3 +89,65 @@ def test_point_in_interval_is_half_open(spark):
 def test_decode_windows(spark):
     n = lambda d: len(spark.range(1).select(intervals.decode_windows(F.lit(float(d))).alias("x")).first().x)
     assert [n(10), n(30), n(31), n(50), n(51)] == [1, 1, 2, 2, 3]
+
+
+def test_stretches_equal_windows(spark, monkeypatch):
+    """One key of many rows, small ones, a null key; stretches of a few rows or seconds."""
+    import random
+
+    from voxframe.operators import scans
+
+    monkeypatch.setattr(scans, "STRETCH_ROWS", 7)
+    monkeypatch.setattr(scans, "STRETCH_SEC", 0.5)
+    rng = random.Random(6)
+    probs = [(k, w, rng.random(), n * 0.032) for k, n in (("big", 400), ("one", 1), (None, 30), ("few", 9)) for w in range(n)]
+    probs = [(k, w, (0.9 if w % 40 < 25 else 0.1) if p < 0.97 else 1 - p, d) for k, w, p, d in probs]
+    df = spark.createDataFrame(probs, "k string, w long, p double, duration_sec double").repartition(5)
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    plain, cut = (intervals.to_segments(df, ["k"], stretched=s) for s in (False, True))
+    assert plain.count() > 8 and same(plain, cut)
+    rows = [(k, i, float(rng.randrange(200)) / 10, rng.choice([None, None, "x", "y"])) for k, n in (("big", 200), (None, 20), ("none", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, idx long, t double, label string")
+    assert same(*(intervals.nearest_label(df, ["k"], "t", "label", stretched=s) for s in (False, True)))
+    rows = [(k, i, rng.random() * 30, 500.0) for k in ("big", None) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, seq long, t double, duration_sec double")
+    assert same(*(intervals.monotone_progress(df, ["k"], stretched=s) for s in (False, True)))
+
+
+def test_stretches_are_read_by_many_tasks(spark):
+    from voxframe.operators import scans
+
+    rows = spark.range(400_000).selectExpr("0 AS k", "id AS w", "cast(id % 3 AS double) AS x")
+    out = scans.scanned(rows, ["k"], ["w"], scans.by_number("w"), total=("sum", F.col("x")), before=("prev", F.col("w")))
+    assert out.where("w > 0 AND before <> w - 1 OR w = 0 AND before IS NOT NULL").count() == 0
+    assert out.agg(F.max("total")).first()[0] == sum(i % 3 for i in range(400_000))
+    assert rows.select(scans.by_number("w").alias("s")).distinct().count() == 7
+
+
+def test_intervals_of_any_length_meet_once(spark):
+    """Against all pairs; lengths from nothing to months, and rows that do not grow with the length."""
+    import random
+
+    rng = random.Random(8)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            start = rng.uniform(-50, 4000)
+            out.append((rng.choice("ab"), i, start, start + rng.choice([0.0, 0.3, 5.0, 16.0, 17.0, 300.0, 1e7])))
+        return out
+
+    left, right = some(70), some(60)
+    a = spark.createDataFrame(left, "k string, idx int, start_sec double, end_sec double")
+    b = spark.createDataFrame(right, "k string, r_idx int, r_start double, r_end double")
+    got = sorted((r.idx, r.r_idx, r.overlap_sec) for r in intervals.overlap_join(a, b, ["k"]).collect())
+    want = sorted((i, j, min(e, f) - max(s, t)) for k, i, s, e in left for m, j, t, f in right if k == m and s < f and t < e)
+    assert got == want and len(want) > 200
+    held = a.withColumn("_class", intervals._class("start_sec", "end_sec"))
+    rows = intervals._bucketed(held, "start_sec", "end_sec", intervals._classes(held))
+    assert rows.groupBy("idx", "_m").count().agg(F.max("count")).first()[0] <= 2
+    points = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate([("a", 10.0), ("b", 9e6), ("c", 1.0), ("a", -60.0), (None, 5.0), ("a", None)])], "k string, n int, t double")
+    got = {r.n: r.active_idx for r in intervals.at_point(points, a, ["k"], "t").collect()}
+    first = lambda k, t: min((i for m, i, s, e in left if k == m and t is not None and s <= t < e), default=-1)
+    assert got == {i: first(k, t) for i, (k, t) in enumerate([("a", 10.0), ("b", 9e6), ("c", 1.0), ("a", -60.0), (None, 5.0), ("a", None)])}
+    assert intervals.at_point(points, a.where("false"), ["k"], "t").where("active_idx = -1").count() == 6

@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.operators import signal
 from voxframe.sources import readers
-from voxframe.streaming import streams
+from voxframe.operators import bench, recurrent, signal
+from voxframe.streaming import stateful, streams
 
 
 def tone(hz, rate, sec=1.0):
@@ -133,10 +133,112 @@ def test_blocks_are_sent_in_order(spark, tmp_path):
         spark.createDataFrame(rows, "k long, block_index long, payload string").coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
         time.sleep(0.02)
     stream = spark.readStream.schema("k long, block_index long, payload string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
-    out = streams.in_order(stream, "k")
+    out = stateful.in_order(stream, "k")
     assert dict(out.dtypes)["k"] == "bigint"
     q = streams.write_batches(out, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     sent = lambda k: [(r.block_index, r.payload) for r in sorted((r for r in rows if r.k == k), key=lambda r: (r.batch_id, r.block_index))]
     assert sent(7) == [(0, "a"), (1, "b"), (2, "c")] and sent(8) == [(0, "x"), (1, "y")]
+
+
+def smoother():
+    """A linear model of two leaking sums."""
+
+    def smooth(state, x):
+        new = [0.9 * state[0] + 0.1 * x[0], 0.5 * state[1] + x[0]]
+        return new, new[0] + 0.01 * new[1]
+
+    return smooth
+
+
+def started(stream, path, cp, mode="append", then=None):
+    q = streams.write_batches(stream, str(path), str(cp), mode=mode, then=then)
+    assert q.awaitTermination(180)
+    return q
+
+
+def test_recurrent_stream_equals_the_batch_fold(spark, tmp_path):
+    """Windows shuffled over batches, some twice, one never; a restart in between."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(4), datetime(2024, 1, 1)
+    rows = [(k, w, start + timedelta(seconds=w), rng.random()) for k in (1, 2, 3) for w in range(40) if (k, w) != (2, 7)]
+    rows.sort(key=lambda r: (r[1] + rng.random() * 6, r[0]))  # out of order by up to six windows
+    rows += [rows[5], rows[50]]
+    schema = "k long, w long, ts timestamp, x double"
+
+    def put(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+        time.sleep(0.02)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+        started(stateful.recurrent(stream, "k", smoother(), [0.0, 0.0], late="5 seconds"), tmp_path / "out", tmp_path / "cp")
+
+    for i in range(0, 60, 30):
+        put(rows[i : i + 30])
+    run()
+    first = spark.read.parquet(str(tmp_path / "out")).count()
+    assert 0 < first < 60
+    for i in range(60, len(rows), 35):
+        put(rows[i : i + 35])
+    put([(9, 0, start + timedelta(hours=1), 0.5)])  # moves the watermark past all that waits
+    put([(9, 1, start + timedelta(hours=2), 0.5)])
+    run()
+    got = sorted((r.k, r.w, r.score) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    batch = recurrent.recurrent_scores(spark.createDataFrame([*rows, (9, 0, start, 0.5), (9, 1, start, 0.5)], schema), ["k"], smoother(), [0.0, 0.0])
+    want = sorted((r.k, r.w, r.score) for r in batch.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and len(got) == 119 + 2
+    assert np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_recurrent_scores_of_odd_rows(spark):
+    rows = [(None, 1, [1.0]), (None, 0, [2.0]), ("a", 0, None), ("a", 0, [5.0]), ("a", 3, [1.0, 2.0])]
+    df = spark.createDataFrame(rows[:2] + rows[3:], "k string, w int, x array<double>")
+    out = recurrent.recurrent_scores(df, ["k"], lambda s, x: ([s[0] + sum(x)], s[0] + len(x)), [0.0])
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(None, 0, 1.0), (None, 1, 3.0), ("a", 0, 1.0), ("a", 3, 7.0)], key=repr)
+    none = spark.createDataFrame(rows[2:3], "k string, w int, x array<double>")
+    assert [r.score for r in recurrent.recurrent_scores(none, ["k"], lambda s, x: (s, len(x)), [0.0]).collect()] == [0.0]
+    assert recurrent.recurrent_scores(df.where("false"), ["k"], smoother(), [0.0, 0.0]).count() == 0
+
+
+def test_running_estimate_stream_equals_the_batch_form(spark, tmp_path):
+    schema = "run string, seq long, kind string, elapsed_sec double, processed_sec double, duration_sec double, learned double, median double"
+    rows = []
+    for run, learned in (("a", None), ("b", 0.7), ("c", 0.0)):
+        rows += [(run, 0, "start", 0.0, None, 600.0, learned, 0.5), (run, 1, "calibrate", 21.0, 30.0 if run != "c" else 20.0, 600.0, learned, 0.5), (run, 2, "block", 40.0, 60.0, 600.0, learned, 0.5)]
+        rows += [(run, 3, "refine", 45.0, 30.0, 600.0, learned, 0.5), (run, 4, "refine", 80.0, 120.0, 600.0, learned, 0.5), (run, 5, "refine", 0.0, 120.0, 600.0, learned, 0.5), (run, 6, "block", 300.0, 700.0, 600.0, learned, 0.5)]
+    src = tmp_path / "src"
+    told = []
+
+    saved = lambda batch: spark.read.parquet(str(tmp_path / "out")).where(f"batch_id = {batch}")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        tell = lambda save: stateful.told(save, lambda batch, row: told.append((batch, row["run"], row["last"])), "run", "seq", saved)
+        started(stateful.running_estimate(stream, "run", "seq"), tmp_path / "out", tmp_path / "cp", "update", tell)
+
+    for part in ([r for r in rows if r[1] < 3], [r for r in rows if r[1] == 3]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(0.02)
+    run()
+    spark.createDataFrame([r for r in rows if r[1] in (2, 4, 5, 6)][::-1], schema).coalesce(1).write.mode("append").parquet(str(src))
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch_id").collect()
+    want = bench.running_estimate(spark.createDataFrame(rows, schema), ["run"], "seq").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+    assert {(r, n) for _, r, n in told} == {(r, n) for r in "abc" for n in (2, 3, 6)}
+
+
+def test_late_calls_do_not_hold_a_worker(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1)
+
+    def stuck(x):
+        time.sleep(60 if x == "a" else 0)
+        return x
+
+    begun = time.monotonic()
+    assert [r.result.status for r in streams.isolated(df, stuck, "t", seconds=0.3).collect()] == ["timeout", "ok"]
+    assert time.monotonic() - begun < 30

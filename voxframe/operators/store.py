@@ -47,8 +47,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rename(sessions: DataFrame, names: DataFrame) -> DataFrame:
-    """New names by session_id; a blank one is refused and changes nothing."""
-    good = names.select("session_id", trim_space(F.col("name")).alias("_name")).where("_name <> ''")
+    """New names by session_id; a blank one is refused and changes nothing, and of several the largest counts."""
+    good = names.select("session_id", trim_space(F.col("name")).alias("_name")).where("_name <> ''").groupBy("session_id").agg(F.max("_name").alias("_name"))
     return sessions.join(good, "session_id", "left").withColumn("name", F.coalesce("_name", "name")).drop("_name")
 
 

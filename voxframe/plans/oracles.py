@@ -73,6 +73,13 @@ ORACLES = {
     "manifest_violations": """SELECT page_id, unnest(list_filter([CASE WHEN NOT starts_with(url, 'https://') THEN 'not https' END, CASE WHEN contains(url, '?') THEN 'has query' END,
         CASE WHEN trim(coalesce(html, '')) = '' THEN 'html empty' END, CASE WHEN regexp_matches(url, 'spam-farm|cheap-pills') THEN 'host blocked' END, CASE WHEN length(html) > 20000 THEN 'html long' END,
         CASE WHEN row_number() OVER (PARTITION BY page_id) > 1 THEN 'id repeated' END], lambda x: x IS NOT NULL)) AS problem FROM pages""",
+    "speech_one_stream": """WITH p AS (SELECT event_id AS w, value / 100 AS p, lead(event_id) OVER (ORDER BY event_id) AS nx, (max(event_id) OVER () + 1) * 32 / 1000.0::DOUBLE AS dur FROM events),
+    q AS (SELECT *, row_number() OVER (ORDER BY w) AS n FROM p), sp AS (SELECT *, n - row_number() OVER (ORDER BY w) AS g FROM q WHERE p > 0.5),
+    ra AS (SELECT min(w) * 32 / 1000.0::DOUBLE AS a, CASE WHEN bool_or(nx IS NULL) THEN max(dur) ELSE (max(w) + 1) * 32 / 1000.0::DOUBLE END AS b, max(dur) AS dur FROM sp GROUP BY g),
+    mk AS (SELECT *, CASE WHEN (a - lag(b) OVER (ORDER BY a)) * 1000 < 200 THEN 0 ELSE 1 END AS fresh FROM ra), mg AS (SELECT *, sum(fresh) OVER (ORDER BY a) AS m FROM mk),
+    me AS (SELECT min(a) AS a, max(b) AS b, max(dur) AS dur FROM mg GROUP BY m HAVING (max(b) - min(a)) * 1000 >= 250)
+    SELECT row_number() OVER (ORDER BY a) - 1 AS idx, round(greatest(coalesce((lag(b) OVER (ORDER BY a) + a) / 2, 0), a - 0.1), 6) AS start_sec,
+        round(least(coalesce((b + lead(a) OVER (ORDER BY a)) / 2, dur), b + 0.1), 6) AS end_sec FROM me""",
     "speech_segments": f"WITH {_SEGMENTS} SELECT user_id, idx, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec FROM sg",
     "speech_total": f"WITH {_SEGMENTS} SELECT user_id, round(sum(end_sec - start_sec), 6) AS speech_sec, count(*) AS n_segments FROM sg GROUP BY user_id",
     "blocks": f"""WITH RECURSIVE {_SEGMENTS},
@@ -182,6 +189,9 @@ ORACLES = {
     "run_detail": f"""WITH {_RUNS}, m AS (SELECT DISTINCT 'R/' || (s_suppkey % 9) AS model FROM supplier), a AS (SELECT model, backend, count(*) FILTER (WHERE status = 'ok') AS k, count(*) AS n, bool_or(status = 'timeout') AS t,
         sum(infer) FILTER (WHERE status = 'ok') AS i, sum(infer / rtf) FILTER (WHERE status = 'ok') AS au FROM rn GROUP BY model, backend)
         SELECT model, backend, CASE WHEN k > 0 THEN 'ok' WHEN t THEN 'timeout' ELSE 'error' END AS status, CASE WHEN k > 0 THEN k ELSE n END AS n, round(i / au, 6) AS rtf FROM a JOIN m USING (model)""",
+    "recurrent_scores": """WITH RECURSIVE p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS w, value / 100 AS x FROM events),
+    r AS (SELECT user_id, w, 0.9::DOUBLE * 0 + 0.1::DOUBLE * x AS s FROM p WHERE w = 0 UNION ALL SELECT p.user_id, p.w, 0.9::DOUBLE * r.s + 0.1::DOUBLE * p.x FROM r JOIN p ON p.user_id = r.user_id AND p.w = r.w + 1)
+    SELECT user_id, w, round(s, 6) AS score FROM r""",
     "running_estimates": f"""WITH {_TIMES}, e AS (SELECT user_id, idx, t / 1000 AS el, idx * CASE WHEN user_id % 2 = 0 THEN 28.0::DOUBLE ELSE 26.0 END AS pc, CASE WHEN user_id % 3 = 0 THEN 0.7::DOUBLE END AS learned FROM et),
         g AS (SELECT *, CASE WHEN idx = 1 AND pc >= 27 THEN 'calibrado' WHEN idx > 0 AND idx % 5 = 0 AND pc > 30 AND el > 0 THEN 'refinado' END AS src FROM e),
         h AS (SELECT *, max(CASE WHEN src IS NOT NULL THEN idx END) OVER (PARTITION BY user_id ORDER BY idx) AS at, max(CASE WHEN src = 'calibrado' THEN el END) OVER (PARTITION BY user_id ORDER BY idx) AS w FROM g),

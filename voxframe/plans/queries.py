@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import arrays, text, timefmt
 from voxframe.functions.timefmt import format_clock, micros, rtf_band
-from voxframe.operators import bench, cluster, corpus, cues, intervals, metrics, signal, store
+from voxframe.operators import bench, cluster, corpus, cues, intervals, metrics, recurrent, signal, store
 from voxframe.plans.inputs import event_probs, event_times, event_turns, meetings, next_turns, runs, table, timed_turns
 from voxframe.sources import readers, sinks
 
@@ -57,6 +57,15 @@ def speech_segments(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("user_id", F.col("idx").cast("long").alias("idx"), r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"))
 
 
+def speech_one_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as the score windows of one stream, scanned in stretches by many tasks."""
+    e = table(spark, sf, "events")
+    length = e.agg(((F.max("event_id") + 1) * 32 / 1000).alias("duration_sec"))
+    probs = e.select(F.lit(0).alias("stream"), F.col("event_id").alias("w"), (F.col("value") / 100).alias("p")).crossJoin(F.broadcast(length))  # `length` is one row
+    s = intervals.to_segments(probs, ["stream"], stretched=True)
+    return s.select(F.col("idx").cast("long").alias("idx"), r6("start_sec").alias("start_sec"), r6("end_sec").alias("end_sec"))
+
+
 def speech_total(spark: SparkSession, sf: str) -> DataFrame:
     s = intervals.total_speech(intervals.to_segments(event_probs(spark, sf), ["user_id"]), ["user_id"])
     return s.select("user_id", r6("speech_sec").alias("speech_sec"), "n_segments")
@@ -194,7 +203,7 @@ def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
     e = event_times(spark, sf)
     left = e.select("user_id", "idx", F.col("t").alias("start_sec"), (F.col("t") + 7200).alias("end_sec"))
     right = e.where("event_type = 'purchase'").select("user_id", F.col("idx").alias("r_idx"), (F.col("t") - 3600).alias("r_start"), (F.col("t") + 3600).alias("r_end"))
-    b = intervals.best_overlap(left, right, ["user_id"], "idx", "r_idx", 0.5, 7200.0)
+    b = intervals.best_overlap(left, right, ["user_id"], "idx", "r_idx", 0.5)
     return b.select("user_id", F.col("idx").cast("long").alias("idx"), F.col("r_idx").cast("long").alias("r_idx"), F.round("overlap_sec", 3).alias("overlap_sec"))
 
 
@@ -202,7 +211,7 @@ def active_segment(spark: SparkSession, sf: str) -> DataFrame:
     e = event_times(spark, sf)
     points = e.select("user_id", F.col("idx").alias("point"), "t")
     s = e.where("event_type = 'click'").select("user_id", "idx", F.col("t").alias("start_sec"), (F.col("t") + 10000).alias("end_sec"))
-    a = intervals.at_point(points, s, ["user_id"], "t", 10000.0)
+    a = intervals.at_point(points, s, ["user_id"], "t")
     return a.select("user_id", F.col("point").cast("long").alias("point"), F.col("active_idx").cast("long").alias("active_idx"))
 
 
@@ -364,6 +373,17 @@ def run_detail(spark: SparkSession, sf: str) -> DataFrame:
     return bench.detail_rows(models, bench.summarize(runs(spark, sf), ["model", "backend"]), ["model"]).select("model", "backend", "status", "n", r6("rtf").alias("rtf"))
 
 
+def recurrent_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A leaking sum that goes from each of a user's score windows to the next."""
+
+    def leak(state: list[float], x: list[float]) -> tuple[list[float], float]:
+        new = 0.9 * state[0] + 0.1 * x[0]
+        return [new], new
+
+    out = recurrent.recurrent_scores(event_probs(spark, sf), ["user_id"], leak, [0.0], "w", "p")
+    return out.select("user_id", "w", r6("score").alias("score"))
+
+
 def running_estimates(spark: SparkSession, sf: str) -> DataFrame:
     """A user's events as a run: the second one calibrates, every fifth refines."""
     e = event_times(spark, sf)
@@ -490,12 +510,12 @@ def beyond_props(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_normalize, words_to_digits, word_density, sentence_count, manifest_violations, speech_segments, speech_total, blocks, session_gap, tumbling_energy,
+        text_normalize, words_to_digits, word_density, sentence_count, manifest_violations, speech_segments, speech_one_stream, speech_total, blocks, session_gap, tumbling_energy,
         sliding_windows, decode_windows, align_text, coverage_check, wer_pairs, wer_micro, bench_matrix, run_summary, run_failures, pivot_report, percentile_range,
         range_coverage, ols_drift, last_n_median, decision_bands, cosine_pairs, label_gap, agglomerative, diarize, vocab_coverage, nearest_fill, interval_overlap,
         active_segment, der_totals, der, cue_times, cue_lines, csv_export, srt_export, vtt_export, text_export, speaker_change, speaker_order, document_rows,
         unique_names, resume_prefix, merge_edit, latest_version, top_k_recent, prune_runs, contained_turns, energy_pattern, background_level, speech_regions,
         take_until, pick_diverse, disjoint_bins, monotone_progress, clock_labels, set_operations, run_load, run_detail, running_estimates, estimate_texts, mode_rows, editor_totals,
-        stored_bytes, speech_bands, reference_bands, manifest_rules, label_gap_control, round_trip, resume_union, log_tail, language_pairs, opened_sessions, concat_clips, beyond_cube, beyond_ranks, beyond_props,
+        stored_bytes, speech_bands, reference_bands, manifest_rules, label_gap_control, round_trip, resume_union, log_tail, language_pairs, opened_sessions, concat_clips, recurrent_scores, beyond_cube, beyond_ranks, beyond_props,
     )
 }

@@ -22,10 +22,28 @@ def plain_unions(spark: SparkSession) -> None:
     prefer(spark, "spark.sql.unionOutputPartitioning", "false")
 
 
-#: Rows of a catalogue that may be broadcast; catalogues have short rows.
-CATALOGUE_ROWS = 100_000
+#: Rows and bytes of a catalogue that may be broadcast.
+CATALOGUE_ROWS, CATALOGUE_BYTES = 100_000, 16 << 20
 
 
-def catalogue(df: DataFrame, rows: int = CATALOGUE_ROWS) -> DataFrame:
-    """A broadcast hint for a table of few rows, which is checked; a larger one keeps Spark's own choice of join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def catalogue(df: DataFrame, rows: int = CATALOGUE_ROWS, size: int = CATALOGUE_BYTES) -> DataFrame:
+    """A broadcast hint for a table of few rows and bytes, both of which are checked; a larger one keeps Spark's own choice of join."""
+    text = F.length(F.to_json(F.struct(*df.columns)))  # about a row's bytes
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed: cut from its lineage, in the folder that driver and executors share.
+
+    Where the session names none, a local master gets a temporary one; a cluster must name it.
+    """
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not found and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="voxframe-checkpoint-"))
+    return df.checkpoint()

@@ -104,22 +104,6 @@ def to_json(rows: DataFrame, keys: list[str], order: str | None = None) -> DataF
     return listed.select(*keys, F.to_json("_l", {"pretty": "true"}).alias("body"))
 
 
-def save_pair(header: DataFrame, rows: DataFrame, path: str, key: str) -> None:
-    """A session's header and rows as one save: rows first, then the header that makes them visible.
-
-    Both overwrite their keys' partitions, so a save that broke off is done again whole; a key
-    without a header is not read by ``load_pairs``.
-    """
-    replace_keys(rows, f"{path}/rows", [key])
-    replace_keys(header, f"{path}/header", [key])
-
-
-def load_pairs(spark, path: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(header, rows) of the saves that are whole."""
-    header = spark.read.parquet(f"{path}/header")
-    return header, spark.read.parquet(f"{path}/rows").join(header.select(key), key, "left_semi")
-
-
 #: Rows of a report's table that a driver renders; more is no report but a table to write.
 REPORT_ROWS = 10_000
 

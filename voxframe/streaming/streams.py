@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -72,37 +71,16 @@ def segments(probs: DataFrame, key: str, threshold: float = VAD_THRESHOLD, gap_m
     return probs.groupBy(key).applyInPandasWithState(step, schema, "start long, end long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def in_order(blocks: DataFrame, key: str, index: str = "block_index", payload: str = "payload") -> DataFrame:
-    """Blocks of a key, sent in order of their number from 0: one that comes early waits for those before it.
+def write_batches(df: DataFrame, path: str, checkpoint: str, key: str = "batch_id", then: Callable[[Callable], Callable] | None = None, mode: str = "append") -> Any:
+    """Idempotent sink: a batch's rows replace the partition of its number, so a repeated batch adds nothing.
 
-    State is the next number and the waiting (number, payload) pairs; a block that comes again is left out.
+    ``then`` may wrap the step that saves a batch, as ``stateful.told`` does.
     """
-    schema = T.StructType([blocks.schema[key], T.StructField(index, T.LongType()), T.StructField(payload, T.StringType())])
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, held = state.get if state.exists else (0, "{}")
-        waiting = {int(i): x for i, x in json.loads(held).items()}
-        for pdf in batches:
-            for i, x in zip(pdf[index].tolist(), pdf[payload].tolist(), strict=True):
-                if i >= following:
-                    waiting.setdefault(int(i), x)
-        out = []
-        while following in waiting:
-            out.append((k[0], following, waiting.pop(following)))
-            following += 1
-        state.update((following, json.dumps(waiting)))
-        yield pd.DataFrame(out, columns=[key, index, payload])
-
-    return blocks.groupBy(key).applyInPandasWithState(step, schema, "following long, held string", "append", GroupStateTimeout.NoTimeout)
-
-
-def write_batches(df: DataFrame, path: str, checkpoint: str, key: str = "batch_id") -> Any:
-    """Idempotent sink: a batch's rows replace the partition of its number, so a repeated batch adds nothing."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn(key, F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
-    return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
+    return df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).foreachBatch(then(save) if then else save).trigger(availableNow=True).start()
 
 
 def isolated(rows: DataFrame, call: Callable[[Any], Any], column: str, into: str = "result", kind: str = "string", seconds: float | None = None) -> DataFrame:
@@ -111,29 +89,41 @@ def isolated(rows: DataFrame, call: Callable[[Any], Any], column: str, into: str
     ``kind`` is the type that the model gives: ``string`` for texts and translations,
     ``array<float>`` for embeddings.  Null values and blank texts are passed over with status
     'skipped'; a call that takes longer than ``seconds`` has status 'timeout' and is left
-    behind in its thread, which ends with the worker.
+    behind in a daemon thread, which nothing waits for.
     """
-    from concurrent.futures import ThreadPoolExecutor
-    from concurrent.futures import TimeoutError as Late
+    import queue
+    import threading
+
+    def timed(x: Any) -> tuple:
+        """(finished, value, failure) of a call within ``seconds``."""
+        given: queue.SimpleQueue = queue.SimpleQueue()
+
+        def work() -> None:
+            try:
+                given.put((True, call(x), None))
+            except BaseException as e:  # noqa: BLE001  handed to the row
+                given.put((True, None, e))
+
+        threading.Thread(target=work, daemon=True).start()
+        try:
+            return given.get(timeout=seconds)
+        except queue.Empty:
+            return False, None, None
 
     @F.pandas_udf(f"struct<value:{kind},status:string,error:string>")
     def run(col: pd.Series) -> pd.DataFrame:
         out = []
-        pool = ThreadPoolExecutor(1) if seconds else None
         for x in col:
             if x is None or (isinstance(x, str) and not x.strip()):
                 out.append((x if kind == "string" else None, "skipped", None))
                 continue
             try:
-                out.append((pool.submit(call, x).result(seconds) if pool else call(x), "ok", None))
-            except Late:
-                out.append((None, "timeout", f"more than {seconds} s"))
-                pool.shutdown(wait=False, cancel_futures=True)
-                pool = ThreadPoolExecutor(1)
+                finished, value, failure = timed(x) if seconds else (True, call(x), None)
+                if failure is not None:
+                    raise failure
+                out.append((value, "ok", None) if finished else (None, "timeout", f"more than {seconds} s"))
             except Exception as e:  # noqa: BLE001  any failure is this row's own
                 out.append((None, "error", str(e)))
-        if pool:
-            pool.shutdown(wait=False)
         return pd.DataFrame(out, columns=["value", "status", "error"])
 
     return rows.withColumn(into, run(F.col(column)))
