@@ -242,3 +242,42 @@ def test_late_calls_do_not_hold_a_worker(spark):
     begun = time.monotonic()
     assert [r.result.status for r in streams.isolated(df, stuck, "t", seconds=0.3).collect()] == ["timeout", "ok"]
     assert time.monotonic() - begun < 30
+
+
+def test_blocks_are_resampled_as_the_whole(spark):
+    rng = np.random.default_rng(3)
+    size, rows, whole = 500, [], {}
+    for k, (rate, n) in enumerate([(48000, 5321), (44100, 4999), (44100, 1001), (22050, 500), (48000, 40), (16000, 1200), (44100, 1502), (32000, 0)]):
+        x = rng.normal(size=n).astype("float32")
+        whole[k] = signal.resample_clip(x, rate, 16000)
+        rows += [(k, b, rate, x[b * size : (b + 1) * size].tolist()) for b in range(max(1, -(-n // size)))]
+    out = signal.resample_blocks(spark.createDataFrame(rows, "k int, block long, rate int, samples array<float>").repartition(5), ["k"], 16000, size)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.k, r.block)):
+        assert r.rate == 16000
+        got.setdefault(r.k, []).extend(r.samples)
+    for k, x in whole.items():
+        assert len(got[k]) == len(x) and np.allclose(got[k], x, atol=1e-6), k
+    with pytest.raises(ValueError):
+        signal.resample_blocks(out, ["k"], 8000, 50)
+
+
+def test_long_wav_files_are_read_in_ranges(spark, tmp_path):
+    from voxframe.sources import wavsource
+
+    x = (np.sin(np.arange(50_000) / 30) * 0.5).astype("float32")
+    (tmp_path / "a.wav").write_bytes(readers.write_wav(x, 16000))
+    (tmp_path / "b.wav").write_bytes(b"nope")
+    (tmp_path / "c.wav").write_bytes(readers.write_wav([], 16000))
+    (tmp_path / "d.txt").write_text("x")
+    spark.dataSource.register(wavsource.WavBlocks)
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        df = spark.read.format("wavblocks").option("block", 4096).option("blocks_a_task", 3).load(path)
+        assert df.rdd.getNumPartitions() == 5 + 1
+        rows = df.collect()
+        good = sorted((r for r in rows if r.error is None), key=lambda r: r.block)
+        assert [r.start for r in good] == [4096 * i for i in range(13)] and {(r.rate, r.channels) for r in good} == {(16000, 1)}
+        assert np.allclose(np.concatenate([r.samples for r in good]), readers.parse_wav((tmp_path / "a.wav").read_bytes())[2])
+        assert [(r.path.endswith("b.wav"), r.error) for r in rows if r.error] == [(True, "not a WAV file")]
+    made = signal.resample_blocks(df.where("error IS NULL"), ["path"], 8000, 4096)
+    assert made.selectExpr("sum(size(samples))").first()[0] == 25_000

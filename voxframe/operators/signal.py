@@ -47,6 +47,60 @@ def resample(clips: DataFrame, target: int, rate: str = "rate", samples: str = "
     return clips.withColumn(samples, run(rate, samples)).withColumn(rate, F.lit(target))
 
 
+def resample_blocks(blocks: DataFrame, keys: list[str], target: int, size: int, block: str = "block", rate: str = "rate", samples: str = "samples") -> DataFrame:
+    """``resample`` of signals that come as blocks 0, 1, ... of ``size`` samples, the last of any length.
+
+    A block is filtered with what the filter and the step between samples need of its
+    neighbours, which meets it by (keys, block), and the places of new samples are counted from
+    the signal's beginning; so the blocks of one long signal are made by many tasks and their
+    samples, one after the other, are those of the whole signal.
+    """
+    halo = TAPS // 2 + 1
+    if size < 2 * halo:
+        raise ValueError(f"a block has {2 * halo} samples or more")
+    held, n = F.coalesce(samples, F.array().cast("array<float>")), F.size(samples)
+    edge = lambda move, part: blocks.select(*[F.col(k).alias(f"_k{i}{move}") for i, k in enumerate(keys)], (F.col(block) + move).alias(f"_b{move}"), part)
+    behind = edge(1, F.slice(held, F.greatest(n - halo + 1, F.lit(1)), F.lit(halo)).alias("_left"))
+    ahead = edge(-1, F.struct(F.slice(held, F.lit(1), F.lit(halo)).alias("head"), n.alias("n")).alias("_right"))
+    own = lambda move: [*[F.col(k).eqNullSafe(F.col(f"_k{i}{move}")) for i, k in enumerate(keys)], F.col(block) == F.col(f"_b{move}")]
+    rows = blocks.join(behind, own(1), "left").join(ahead, own(-1), "left")
+
+    @F.pandas_udf("array<float>")
+    def run(index: pd.Series, rates: pd.Series, xs: pd.Series, left: pd.Series, right: pd.Series, after: pd.Series) -> pd.Series:
+        import numpy as np
+
+        out = []
+        for i, r, x, before, behind, more in zip(index, rates, xs, left, right, after, strict=True):
+            a = np.asarray(before if before is not None else [], "float64")
+            c = np.asarray(behind if behind is not None else [], "float64")
+            x = np.asarray(x, "float64")
+            start, n = int(i) * size, len(x)
+            if r == target:
+                out.append(x.astype("float32"))
+                continue
+            if r < target:
+                raise ValueError(f"no way up from {r} to {target}")
+            end = None if more == more and more is not None and more >= size else start + n + (0 if more is None or more != more else int(more))
+            whole = np.concatenate([a, x, c])
+            smooth = np.convolve(whole, lowpass(0.45 * target, int(r)))[TAPS // 2 : TAPS // 2 + len(whole)] if len(whole) else whole
+            first = -(-start * target // int(r))  # places at * r / target from this block on
+            last = -(-(start + n) * target // int(r))
+            if end is not None:  # the signal's end is known here
+                last = min(last, end * target // int(r))
+            at = np.arange(first, last) * (int(r) / target)
+            low = np.floor(at).astype("int64") - start + len(a)
+            if int(r) % target == 0:
+                out.append(smooth[low].astype("float32"))
+                continue
+            far = np.append(smooth, 0.0)
+            part = at - np.floor(at)
+            out.append((far[low] * (1 - part) + far[low + 1] * part).astype("float32"))
+        return pd.Series(out)
+
+    made = run(F.col(block), F.col(rate), held, F.col("_left"), F.col("_right.head"), F.col("_right.n").cast("double"))
+    return rows.select(*[made.alias(c) if c == samples else F.lit(target).alias(c) if c == rate else F.col(c) for c in blocks.columns])
+
+
 def mix(signal, noise, snr_db: float):
     """Noise looped under a signal at a signal-to-noise ratio, scaled down only if it would clip."""
     import numpy as np
