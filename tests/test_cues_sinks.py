@@ -1,4 +1,3 @@
-import io
 import re
 import zipfile
 
@@ -81,11 +80,18 @@ def test_exports(spark):
     assert sinks.to_text(t, ["k"]).first().body == 'Ana: di "algo", <ya>\nsi\nno'
 
 
-def test_zip(spark):
-    s = spark.createDataFrame([("z", "a", 0, "uno.mp3"), ("z", "b", 1, "UNO.wav")], "arc string, k string, idx int, name string")
+def test_zip(spark, tmp_path):
+    s = spark.createDataFrame([("z", "a", 0, "uno.mp3"), ("z", "b", 1, "UNO.wav"), ("y", "c", 0, "x"), (None, "a", 0, "n")], "arc string, k string, idx int, name string")
     texts = spark.createDataFrame([("a", "ta"), ("b", "tb")], "k string, body string")
-    content = sinks.zip_sessions(s, texts, texts, "arc", "k").first().content
-    assert sorted(zipfile.ZipFile(io.BytesIO(content)).namelist()) == ["UNO (2).srt", "UNO (2).txt", "uno.srt", "uno.txt"]
+    at = str(tmp_path / "zips")
+    for path in (at, f"file://{at}"):  # written again, the same files
+        made = {r.arc: r for r in sinks.zip_sessions(s, texts, texts, "arc", "k", path).collect()}
+        assert {k: r.n_files for k, r in made.items()} == {"z": 4, "y": 2, None: 2}
+        with zipfile.ZipFile(made["z"].path.removeprefix("file://")) as z:
+            assert z.namelist() == ["uno.txt", "uno.srt", "UNO (2).txt", "UNO (2).srt"] and z.read("UNO (2).srt") == b"tb"
+        with zipfile.ZipFile(made["y"].path.removeprefix("file://")) as z:
+            assert z.read("x.txt") == b""
+        assert len(list((tmp_path / "zips").iterdir())) == 3
 
 
 RESULT = "model string, status string, infer_ms double, rtf double, load_ms double, mem_peak_mb double, sub int, del int, ins int, ref_words int, seq int"

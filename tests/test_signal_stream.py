@@ -281,3 +281,53 @@ def test_long_wav_files_are_read_in_ranges(spark, tmp_path):
         assert [(r.path.endswith("b.wav"), r.error) for r in rows if r.error] == [(True, "not a WAV file")]
     made = signal.resample_blocks(df.where("error IS NULL"), ["path"], 8000, 4096)
     assert made.selectExpr("sum(size(samples))").first()[0] == 25_000
+
+
+def test_batches_that_fail_are_halved(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(values):
+        calls.add(1)
+        if "bad" in values:
+            raise ValueError("no")
+        return [v.upper() for v in values]
+
+    values = [f"v{i}" for i in range(40)] + ["bad", None, " "] + [f"w{i}" for i in range(20)]
+    df = spark.createDataFrame([(v,) for v in values], "t string").coalesce(1)
+    got = [(r.t, r.result.value, r.result.status, r.result.error) for r in streams.isolated_batches(df, call, "t", size=16).collect()]
+    want = [(v, None, "error", "no") if v == "bad" else (v, v, "skipped", None) if v is None or v == " " else (v, v.upper(), "ok", None) for v in values]
+    assert got == want and calls.value <= 5 + 2 * 5
+    short = streams.isolated_batches(df, lambda values: values[:-1], "t").collect()
+    assert {r.result.status for r in short if r.t and r.t.strip()} == {"error"}
+
+
+def test_table_functions_give_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "no"), (3, None), (4, "none")], "k int, t string")
+
+    def call(t):
+        if t == "no":
+            raise ValueError("refused")
+        return [] if t == "none" else t.split()
+
+    got = sorted((r.k, r.value, r.status, r.error) for r in streams.isolated_rows(df, call, "t", "string").collect() if r.value)
+    assert got == [(1, "a", "ok", None), (1, "b", "ok", None)]
+    rest = sorted((r.k, r.status, r.error) for r in streams.isolated_rows(df, call, "t", "string").collect() if not r.value)
+    assert rest == [(2, "error", "refused"), (3, "skipped", None), (4, "ok", None)]
+
+
+def test_queues_resume_their_first_item_only(spark):
+    rows = [("q", 0, "a", "half"), ("q", 1, "b", "half"), ("q", 2, "broken", None), ("q", 3, "fails", None), ("q", 4, "c", None), ("one", 0, "a", "half"), (None, 0, "broken", None), (None, 1, "a", None)]
+    df = spark.createDataFrame(rows, "queue string, idx int, name string, half string")
+
+    def prepare(name):
+        if name == "broken":
+            raise ValueError("cannot be decoded")
+        return name
+
+    def transcribe(name, half):
+        if half is not None and name != "a":
+            raise ValueError("resumed another's run")
+        return name != "fails"
+
+    got = {(r.queue, r.idx): (r.state, r.error) for r in streams.run_queue(df, ["queue"], "idx", prepare, transcribe, "name", "half").collect()}
+    assert got == {("q", 0): ("listo", None), ("q", 1): ("listo", None), ("q", 2): ("error", "cannot be decoded"), ("q", 3): ("error", None), ("q", 4): ("listo", None), ("one", 0): (None, None), (None, 0): ("error", "cannot be decoded"), (None, 1): ("listo", None)}

@@ -5,7 +5,6 @@ Assembling collects one key's rows, a session, and never a table.
 
 from __future__ import annotations
 
-import io
 import zipfile
 
 import pandas as pd
@@ -66,24 +65,59 @@ def to_text(timed: DataFrame, keys: list[str]) -> DataFrame:
     return _join(rows, keys, "idx", line, "\n")
 
 
-def zip_sessions(sessions: DataFrame, texts: DataFrame, srts: DataFrame, archive: str, key: str) -> DataFrame:
-    """(archive, content): a zip of a text and a subtitle file for each session of an archive's key.
+def zip_sessions(sessions: DataFrame, texts: DataFrame, srts: DataFrame, archive: str, key: str, path: str) -> DataFrame:
+    """Write a zip of a text and a subtitle file for each session of an archive's key; (archive, path, n_files, n_bytes).
 
-    ``sessions`` has archive, key, idx, name; names are made safe and unique.
+    ``sessions`` has archive, key, idx, name; names are made safe and unique.  Entries come in
+    order and go straight to the file, so a task holds one batch of them; a file has its name
+    only when it is whole, and a task that fails leaves none.
     """
     named = unique_names(sessions.withColumn("_safe", safe_name(F.col("name"))), [archive], "_safe")
     rows = named.select(archive, key, "idx", "unique_name").join(texts.select(key, F.col("body").alias("txt")), key, "left").join(srts.select(key, F.col("body").alias("srt")), key, "left")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
-            for r in pdf.sort_values("idx").itertuples():
-                z.writestr(f"{r.unique_name}.txt", r.txt or "")
-                z.writestr(f"{r.unique_name}.srt", r.srt or "")
-        return pd.DataFrame({archive: [pdf[archive].iloc[0]], "content": [out.getvalue()]})
-
+    digest = F.sha2(F.to_json(F.struct(archive)), 256).alias("_file")
+    rows = rows.select(archive, digest, "idx", "unique_name", "txt", "srt")
     kind = dict(sessions.dtypes)[archive]
-    return rows.groupBy(archive).applyInPandas(pack, f"{archive} {kind}, content binary")
+
+    def pack(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(root, recursive=True)
+        name = part = stream = made = own = None
+
+        def close():
+            nonlocal made
+            made.close()
+            stream.close()
+            final = f"{root}/{name}.zip"
+            system.move(part, final)
+            made = None
+            return pd.DataFrame({archive: [own], "path": [f"{path.rstrip('/')}/{name}.zip"], "n_files": [n], "n_bytes": [system.get_file_info(final).size]})
+
+        try:
+            for pdf in batches:
+                for r, of in zip(pdf.itertuples(index=False), pdf[archive], strict=True):
+                    if r[1] != name:
+                        if made is not None:
+                            yield close()
+                        name, own, n = r[1], of, 0
+                        part = f"{root}/.{name}-{uuid.uuid4().hex}"
+                        stream = system.open_output_stream(part)
+                        made = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED, compresslevel=6)
+                    made.writestr(f"{r[3]}.txt", r[4] or "")
+                    made.writestr(f"{r[3]}.srt", r[5] or "")
+                    n += 2
+            if made is not None:
+                yield close()
+        except BaseException:
+            if made is not None:
+                stream.close()
+                system.delete_file(part)
+            raise
+
+    return rows.repartition("_file").sortWithinPartitions("_file", "idx", "unique_name").mapInPandas(pack, f"{archive} {kind}, path string, n_files long, n_bytes long")
 
 
 def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

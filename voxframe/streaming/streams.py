@@ -127,3 +127,78 @@ def isolated(rows: DataFrame, call: Callable[[Any], Any], column: str, into: str
         return pd.DataFrame(out, columns=["value", "status", "error"])
 
     return rows.withColumn(into, run(F.col(column)))
+
+
+def isolated_batches(rows: DataFrame, call: Callable[[list], list], column: str, into: str = "result", kind: str = "string", size: int = 32) -> DataFrame:
+    """A model slot for models that take many values at once: ``call`` gets up to ``size`` values and gives as many.
+
+    A batch that fails is halved till the values that fail stand alone, so each failure is one
+    row's own and costs a few calls more; null values and blank texts are passed over as in
+    ``isolated``.
+    """
+
+    @F.pandas_udf(f"struct<value:{kind},status:string,error:string>")
+    def run(col: pd.Series) -> pd.DataFrame:
+        values = list(col)
+        out: list = [None] * len(values)
+        todo = []
+        for i, x in enumerate(values):
+            if x is None or (isinstance(x, str) and not x.strip()):
+                out[i] = (x if kind == "string" else None, "skipped", None)
+            else:
+                todo.append(i)
+        parts = [todo[i : i + size] for i in range(0, len(todo), size)][::-1]
+        while parts:
+            part = parts.pop()
+            try:
+                given = list(call([values[i] for i in part]))
+                if len(given) != len(part):
+                    raise ValueError(f"{len(given)} results of {len(part)} values")
+                for i, value in zip(part, given, strict=True):
+                    out[i] = (value, "ok", None)
+            except Exception as e:  # noqa: BLE001  any failure is a row's own
+                if len(part) == 1:
+                    out[part[0]] = (None, "error", str(e))
+                else:
+                    parts += [part[len(part) // 2 :], part[: len(part) // 2]]
+        return pd.DataFrame(out, columns=["value", "status", "error"])
+
+    return rows.withColumn(into, run(F.col(column)))
+
+
+def isolated_rows(rows: DataFrame, call: Callable[[Any], list], column: str, kind: str, seconds: float | None = None) -> DataFrame:
+    """A table function's slot: ``call`` gives any number of values of ``kind`` for a row, each of which becomes a row.
+
+    A row without values, passed over or failed stays as one row with a null ``value``, its status and error.
+    """
+    held = isolated(rows, call, column, "_r", f"array<{kind}>", seconds)
+    some = F.when(F.size("_r.value") > 0, F.col("_r.value"))
+    return held.select(*rows.columns, F.posexplode_outer(some).alias("value_idx", "value"), F.col("_r.status").alias("status"), F.col("_r.error").alias("error"))
+
+
+def run_queue(items: DataFrame, keys: list[str], order: str, prepare: Callable[[Any], Any], transcribe: Callable[[Any, Any], bool], value: str, resume: str) -> DataFrame:
+    """``state`` and ``error`` of each item of a queue: prepared, then transcribed, each by itself.
+
+    Only a queue's first item is resumed, with the row's ``resume``: a run left half-way belongs
+    to that file, and blocks of it must not begin another.  An item that fails has state
+    'error' and stops none behind it; a controlled failure (False) has no error text; a queue of
+    one item is run without states.
+    """
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    rows = items.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).withColumn("_resume", F.when(place == 1, F.col(resume)))
+
+    @F.pandas_udf("struct<state:string,error:string>")
+    def run(values: pd.Series, resumes: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, half in zip(values, resumes, strict=True):
+            try:
+                out.append(("listo" if transcribe(prepare(x), half) else "error", None))
+            except Exception as e:  # noqa: BLE001  any failure is this item's own
+                out.append(("error", str(e)))
+        return pd.DataFrame(out, columns=["state", "error"])
+
+    many = F.col("_n") > 1
+    done = rows.withColumn("_r", run(F.col(value), F.col("_resume")))
+    return done.select(*items.columns, F.when(many, F.col("_r.state")).alias("state"), F.when(many, F.col("_r.error")).alias("error"))
