@@ -27,7 +27,8 @@ last window needs, so that no row holds the windows of a whole long text.
 Cases: null and empty texts have no windows; items without words match nothing; a
 window is clipped at the text's ends; repeated rows and repeated items give one row
 a (doc_id, item_id); ties go to the first window; a null doc_id is kept as an id of
-its own; empty tables give no rows; extra columns are ignored.
+its own; texts of any length are read whole; empty tables give no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ meet in two steps.  What reaches the driver is one vector a language.
 
 Cases: null text or text without a letter: ``und``, score 0, never trained on;
 null lang: not trained on; no training rows at all: ``und``; ties go to the first
-language in order; repeated rows count each; an empty table gives no rows.
+language in order; repeated rows count each; a null doc_id is kept; texts of any length
+are read whole, as running sums of trigrams; an empty table gives no rows.  Extra columns
+are kept, but ``predict`` puts its own lang_pred and score in the place of any so named, in
+whatever case of letters.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ Containment is decided by running maxima over the detections in order of start
 (ends descending), so a text with many detections takes time in proportion.
 
 Cases: null and empty texts and texts without words have 0 words, no places, empty
-labels and score 0; repeated rows count each; texts of any length are scanned
-whole; an empty table gives no rows; extra columns are ignored.
+labels and score 0; a null doc_id is kept; repeated rows count each; texts of any length
+are scanned whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ counts as one unknown piece.  Counts of frequent words are kept in a bounded cac
 
 Words are maximal runs without Unicode white space; each is matched with the
 vocabulary's word-start mark before it.  Null and empty texts have 0 words and 0
-pieces; repeated rows count each; extra columns are ignored; an empty table gives
+pieces; a null doc_id is kept; repeated rows count each; extra columns are ignored; an empty table gives
 no rows; a word of any length takes time linear in it.
 """
 
