@@ -266,3 +266,21 @@ def test_very_long_pairs_take_seconds():
     hyp = [w if rng.random() > 0.005 else "other" for w in ref if rng.random() > 0.003]
     s, d, i = metrics.edit_counts(ref, hyp)
     assert len(ref) - d + i == len(hyp) and 100 < s < 500 and 100 < d < 300
+
+
+def test_contained_texts_equal_contains_of_each_pair(spark):
+    from pyspark.sql import functions as F
+
+    from voxframe.operators import corpus
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abñ ") for _ in range(rng.randint(0, n)))
+    texts = [(rng.choice([1, 2, 3, None, 9]), rng.choice([word(3), word(6), None, "ab"])) for _ in range(300)]
+    refs = [(1, word(200)), (2, word(60)), (2, word(80)), (3, None), (None, "ab"), (7, "ab")]
+    t, r = spark.createDataFrame(texts, "k long, text string").repartition(4), spark.createDataFrame(refs, "k long, reference string")
+    met = t.join(r, "k").groupBy("k").agg(F.count_if(F.contains("reference", "text")).alias("inside"), F.count("*").alias("n"))
+    want = sorted(map(tuple, met.collect()))
+    assert sorted((x.k, x.inside, x.n) for x in corpus.contained_share(t, r, ["k"]).collect()) == want and len(want) == 3
+    none = spark.createDataFrame([(1, None), (1, None)], "k long, text string")
+    assert [tuple(x) for x in corpus.contained_share(none, r, ["k"]).collect()] == [(1, 0, 2, False)]
+    assert corpus.contained_share(t.where("false"), r, ["k"]).count() == 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxframe.constants import CORPUS_GAP_SEC, CORPUS_OVERLAP_SEC
 from voxframe.functions.text import trim_space
@@ -96,9 +98,38 @@ def existing(index: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def contained_share(texts: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of a key's texts that its reference contains, and whether it is 80 % or more."""
-    met = texts.join(references, keys)
-    sums = met.groupBy(*keys).agg(F.count_if(F.contains("reference", "text")).alias("inside"), F.count("*").alias("n"))
+    """Share of a key's texts that its reference contains, and whether it is 80 % or more.
+
+    A key's distinct texts are one automaton, and its reference is read once, however many texts
+    there are.  An empty text is in every reference, a null one in none; several references
+    of a key count each with all texts; a key without texts or without reference gives no row.
+    """
+    some = F.lit(True)
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    counted = texts.where(some).groupBy(*keys, F.col("text").cast("string").alias("text")).agg(F.count("*").alias("times"))
+    held = references.where(some).select(*keys, F.col("reference").cast("string").alias("reference"))
+    schema = T.StructType([*counted.select(*keys).schema.fields, T.StructField("inside", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(key: tuple, own: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        import ahocorasick
+
+        if not len(own) or not len(refs):
+            return pd.DataFrame(columns=[*keys, "inside", "n"])
+        times = {t: int(n) for t, n in zip(own["text"], own["times"], strict=True) if t}
+        empty = int(own.loc[own["text"] == "", "times"].sum())
+        machine = ahocorasick.Automaton()
+        for t in times:
+            machine.add_word(t, t)
+        machine.make_automaton()
+        inside = 0
+        for reference in refs["reference"]:
+            if reference is not None:
+                found = {t for _, t in machine.iter(reference)} if times else set()
+                inside += empty + sum(times[t] for t in found)
+        return pd.DataFrame([[*key, inside, int(own["times"].sum()) * len(refs)]], columns=[*keys, "inside", "n"])
+
+    sums = counted.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(run, schema)
     return sums.withColumn("ok", F.col("inside") * 100 >= F.col("n") * 80)
 
 
