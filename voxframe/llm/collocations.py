@@ -39,8 +39,9 @@ from .common import bounded_batches, broadcast_if_small, materialize, tidy
 
 #: Most words of a phrase, least occurrences of a candidate, phrases reported of a language.
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: log2 of the hash buckets of a pass, and of the bits that hold the frequent phrases of the pass before.
-BUCKET_BITS, FREQUENT_BITS = 22, 24
+#: log2 of the hash buckets of a pass, and of the bits that hold the frequent phrases of the pass before.  Buckets
+#: that hold many times LEAST on the average let all phrases through to the exact counts; results stay the same.
+BUCKET_BITS, FREQUENT_BITS = 24, 24
 SLICES = 256
 #: Distinct phrases and bytes of distinct words that a task holds.
 HELD_ROWS, HELD_BYTES = 400_000, 48 << 20
