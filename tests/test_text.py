@@ -101,3 +101,12 @@ def test_small_text_functions(spark):
     assert one(spark, text.strip_diacritics, "ñandú Ḃ ở") == "ñandu B o"
     assert one(spark, lambda c: text.phrase({"a": "b"}, c), "a") == "b"
     assert one(spark, lambda c: text.phrase({"a": "b"}, c), "z") == "z"
+
+
+def test_texts_are_read_in_few_passes(spark):
+    """Rules 1 to 5 stand once in the plan."""
+    df = spark.createDataFrame([("a", "en")], "t string, lang string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    base = plan(text.normalize_base(F.col("t"), F.col("lang")))
+    full = plan(text.normalize(F.col("t"), F.col("lang")))
+    assert full.count("lower(") == base.count("lower(") == 1

@@ -86,7 +86,7 @@ def normalize_base(text: Column, lang: Column) -> Column:
     return collapse_space(strip_diacritics(kept))
 
 
-_NUMBER_WORD = "(^| )(" + "|".join([*UNITS, *HUNDREDS, *HUNDRED_WORDS, *THOUSAND_WORDS]) + ")( |$)"
+_NUMERIC = {**UNITS, **HUNDREDS, **dict.fromkeys((*HUNDRED_WORDS, *THOUSAND_WORDS), -1)}
 
 
 def digits(tokens: list[str]) -> list[str]:
@@ -96,46 +96,46 @@ def digits(tokens: list[str]) -> list[str]:
     rest; elsewhere it ends the run.  Adjacent numbers add up.
     """
     out: list[str] = []
-    total = rest = 0
-    running = False
-    numeric = {**UNITS, **HUNDREDS, **dict.fromkeys((*HUNDRED_WORDS, *THOUSAND_WORDS), -1)}
-    for at, token in enumerate(tokens):
-        if running and token in JOINERS:
-            after = tokens[at + 1] if at + 1 < len(tokens) else None
-            tens = rest % 100
-            if tens in range(30, 91, 10) and UNITS.get(after, 0) in range(1, 10):
-                continue
-            if rest >= 100 and tens == 0 and after in numeric:
-                continue
-        if token in numeric:
-            running = True
-            if token in THOUSAND_WORDS:
+    done = 0  # tokens that are in ``out``
+    for start in [i for i, token in enumerate(tokens) if token in _NUMERIC]:
+        if start < done:
+            continue
+        out += tokens[done:start]
+        total = rest = 0
+        done = start
+        while done < len(tokens):
+            token = tokens[done]
+            if token in JOINERS:
+                after = tokens[done + 1] if done + 1 < len(tokens) else None
+                tens = rest % 100
+                links = tens in range(30, 91, 10) and UNITS.get(after, 0) in range(1, 10)
+                if not links and not (rest >= 100 and tens == 0 and after in _NUMERIC):
+                    break
+            elif token not in _NUMERIC:
+                break
+            elif token in THOUSAND_WORDS:
                 total, rest = total + (rest or 1) * 1000, 0
             elif token in HUNDRED_WORDS:
                 rest = (rest or 1) * 100
             else:
-                rest += numeric[token]
-            continue
-        if running:
-            out.append(str(total + rest))
-            total = rest = 0
-            running = False
-        out.append(token)
-    if running:
+                rest += _NUMERIC[token]
+            done += 1
         out.append(str(total + rest))
-    return out
+    return out + tokens[done:]
+
+
+def _in_digits(text: str | None) -> str | None:
+    return None if text is None else " ".join(digits(text.split(" ")))
 
 
 @F.pandas_udf(StringType())
 def _digits(col: pd.Series) -> pd.Series:
-    return col.map(lambda s: None if s is None else " ".join(digits(s.split(" "))))
+    return col.map(_in_digits)
 
 
 def normalize(text: Column, lang: Column) -> Column:
-    """Rules 1 to 6.  Only rows with a number word leave the JVM with content."""
-    base = normalize_base(text, lang)
-    has = F.regexp_like(base, F.lit(_NUMBER_WORD))
-    return F.when(has, _digits(F.when(has, base))).otherwise(base)
+    """Rules 1 to 6.  Rules 1 to 5 stand once in the plan, as what the Python step reads."""
+    return _digits(normalize_base(text, lang))
 
 
 def normalized_words(text: Column, lang: Column) -> Column:
