@@ -110,3 +110,16 @@ def test_texts_are_read_in_few_passes(spark):
     base = plan(text.normalize_base(F.col("t"), F.col("lang")))
     full = plan(text.normalize(F.col("t"), F.col("lang")))
     assert full.count("lower(") == base.count("lower(") == 1
+
+
+def test_normalize_base_is_two_patterns(spark):
+    df = spark.createDataFrame([("a", "en")], "t string, lang string")
+    plan = df.select(text.normalize_base(F.col("t"), F.lit("es")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
+
+
+def test_dashes_space_and_marks_collapse_as_one(spark):
+    cases = {"a - b": "a b", "a-–_/b": "a b", "--a . - b--": "a b", "a \n b": "a b", "é ́ x": "e x", "É—ñ": "e ñ", "x . y": "x y", "a b": "a b", "-": "", "ﬁ ½": "ﬁ ½", "Ǆ Ǻ": "ǆ a"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = dict(df.select("t", text.normalize_base(F.col("t"), F.lit("es"))).collect())
+    assert got == cases

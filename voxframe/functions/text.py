@@ -78,12 +78,22 @@ def expand_contractions(col: Column) -> Column:
     return col
 
 
+#: Characters that come to stand for a space, and all others that rules 1 to 5 drop; what texts mostly hold is told first.
+_BETWEEN = f"[{SPACE[1:-1]}\\-–—/_]"
+_DROPPED = rf"[^a-z\x20-\x20\p{{L}}\p{{N}}{_BETWEEN[1:-1]}]+"
+
+
 def normalize_base(text: Column, lang: Column) -> Column:
-    """Rules 1 to 5: lower case, contractions (en), punctuation, diacritics, white space."""
+    """Rules 1 to 5: lower case, contractions (en), punctuation, diacritics, white space.
+
+    Each pass over a text costs, so dashes and white space are collapsed together, a lone space
+    is passed over, and letters are made bare only where one is not ASCII.  Marks of their own
+    are gone with the punctuation.
+    """
     low = _once(F.lower(F.coalesce(text, F.lit(""))), lambda c: F.when((lang == "en") & F.contains(c, F.lit("'")), expand_contractions(c)).otherwise(c))
-    spaced = F.regexp_replace(low, "[-–—/_]+", " ")
-    kept = F.regexp_replace(spaced, rf"[^\p{{L}}\p{{N}}{SPACE[1:-1]}]", "")
-    return collapse_space(strip_diacritics(kept))
+    kept = F.regexp_replace(low, _DROPPED, "")
+    bare = _once(kept, lambda c: F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, _MARKED, _BARE)))
+    return F.trim(F.regexp_replace(bare, rf"(?:\x20(?={_BETWEEN})|[{_BETWEEN}&&[^\x20]]){_BETWEEN}*", " "))
 
 
 _NUMERIC = {**UNITS, **HUNDREDS, **dict.fromkeys((*HUNDRED_WORDS, *THOUSAND_WORDS), -1)}
