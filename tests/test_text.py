@@ -123,3 +123,14 @@ def test_dashes_space_and_marks_collapse_as_one(spark):
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     got = dict(df.select("t", text.normalize_base(F.col("t"), F.lit("es"))).collect())
     assert got == cases
+
+
+@pytest.mark.parametrize("case", [None, "", " ", " \n", "a", " a  b\t", "a b﻿c d", "¿Qué? – sí…", "日本 語", "\U0001f600 x\U0001f600", "\u000b1\u000b"])
+def test_word_count_is_the_number_of_words(spark, case):
+    df = spark.createDataFrame([(case,)], "t string")
+    assert df.select(text.word_count(F.col("t")) == F.size(text.words(F.col("t")))).first()[0]
+
+
+def test_counting_words_makes_no_array_by_a_lambda(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    assert "lambda" not in df.select(text.word_count(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxframe.constants import CORPUS_GAP_SEC, CORPUS_OVERLAP_SEC
-from voxframe.functions.text import trim_space
+from voxframe.functions.text import trim_space, word_count
 
 
 def violations(rows: DataFrame, key: str, rules: list[tuple[str, Column]], order: str | None = None) -> DataFrame:
@@ -51,9 +51,12 @@ def manifest_problems(manifests: DataFrame, key: str = "path") -> DataFrame:
 
 def density_ok(reference: Column, seconds: Column, low: float = 1.0, high: float = 4.5) -> Column:
     """Do a reference's words a second of audio lie inside the band of read speech (ends excluded)?"""
-    from voxframe.functions.text import words
+    return rate_inside(word_count(reference), seconds, low, high)
 
-    rate = F.try_divide(F.size(words(reference)), seconds)
+
+def rate_inside(n_words: Column, seconds: Column, low: float = 1.0, high: float = 4.5) -> Column:
+    """``density_ok`` of words that are counted already."""
+    rate = F.try_divide(n_words, seconds)
     return F.coalesce((rate > low) & (rate < high), F.lit(False))
 
 

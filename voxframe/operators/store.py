@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxframe.constants import KEPT_RUNS
-from voxframe.functions.text import is_video, trim_space, words
+from voxframe.functions.text import is_video, trim_space, word_count
 
 
 def merge_edits(rows: DataFrame, edits: DataFrame, keys: list[str], replace: list[str], keep_null: tuple[str, ...] = ("speaker",), mark: str | None = "edited", version: str | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def stored_bytes(sessions: DataFrame, column: str = "audio_bytes") -> DataFrame:
 def editor_totals(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Words of the texts, and seconds of speech in which an interval that runs backwards counts as 0."""
     length = F.greatest(F.lit(0.0), F.col("end_sec") - F.col("start_sec"))
-    return segments.groupBy(*keys).agg(F.sum(F.size(words(F.col("text")))).alias("n_words"), F.sum(length).alias("speech_sec"))
+    return segments.groupBy(*keys).agg(F.sum(word_count(F.col("text"))).alias("n_words"), F.sum(length).alias("speech_sec"))
 
 
 #: What an editor gets of a stored segment; keys, numbers and marks stay in storage.
