@@ -286,3 +286,17 @@ def test_contained_texts_equal_contains_of_each_pair(spark):
     none = spark.createDataFrame([(1, None), (1, None)], "k long, text string")
     assert [tuple(x) for x in corpus.contained_share(none, r, ["k"]).collect()] == [(1, 0, 2, False)]
     assert corpus.contained_share(t.where("false"), r, ["k"]).count() == 0
+
+
+def test_der_sweep_holds_numbers_alone_in_tasks_of_bounded_turns(spark, monkeypatch):
+    """What the sweep sorts is numbers beside the keys, without the item's labels, in as many parts as the turns need."""
+    rows = [(i % 7, "abc"[i % 3], i * 1.0, i + 1.5) for i in range(60)]
+    ref = spark.createDataFrame(rows, "item int, speaker string, start_sec double, end_sec double")
+    whole = sorted(map(tuple, metrics.der_sums(ref, ref, ["item"], 0.25).collect()))
+    plan = metrics.der_sums(ref, ref, ["item"], 0.25)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "first(" not in plan
+    monkeypatch.setattr(metrics, "TASK_TURNS", 10)
+    points = metrics._der_points(ref, ref, ["item"], 0.25, 62)
+    assert points.rdd.getNumPartitions() == 12
+    assert sorted(map(tuple, metrics.der_sums(ref, ref, ["item"], 0.25).collect())) == whole
+    assert whole == sorted(map(tuple, metrics.der_totals(metrics.der_parts(ref, ref, ["item"], 0.25), ["item"]).collect()))

@@ -207,60 +207,88 @@ def _frames(turns: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Labels that one word of a mask holds.
 MASK_LABELS = 62
+#: Turns of both sides that a task takes, about; those of one item stay together.
+TASK_TURNS = 1 << 17
 
 
-def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_sec: float = 0.0, labels: int = MASK_LABELS) -> DataFrame:
-    """(keys, f0, f1, ref and hyp sets, n_ref, n_hyp) of an item's elementary intervals; those in the collar are ``forgiven``.
+def _sides(reference: DataFrame, hypothesis: DataFrame, keys: list[str]) -> DataFrame:
+    plain_unions(reference.sparkSession)
+    return _frames(reference, keys).withColumn("_s", F.lit(0)).unionByName(_frames(hypothesis, keys).withColumn("_s", F.lit(1)))
 
-    One sweep over an item's boundaries, without a join: a label that begins or ends adds its
-    bit to, or takes it from, a running mask of as many words as ``labels`` of a side need.
-    An item with more labels on a side has null for that side's sets; the numbers stay right.
+
+def _masks(labels: int) -> list[str]:
+    return [f"{s}_m{k}" for k in range(max(1, -(-labels // MASK_LABELS))) for s in "rh"]
+
+
+def _der_points(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_sec: float, labels: int) -> DataFrame:
+    """(keys, f0, f1, n_ref, n_hyp, forgiven) and masks by a label's place among its side's sorted labels.
+
+    All rows are numbers beside the keys, and only a turn's own two edges are made of it: names and an
+    item's end for each edge would be most of what the sorts hold.
     """
-    words = range(max(1, -(-labels // MASK_LABELS)))
-    plain_unions(reference.sparkSession)
-    rows = _frames(reference, keys).withColumn("_s", F.lit("r")).unionByName(_frames(hypothesis, keys).withColumn("_s", F.lit("h"))).repartition(*keys)
-    item = W.partitionBy(*keys)
-    names = lambda side: F.array_sort(F.collect_set(F.when(F.col("_s") == side, F.col("speaker"))).over(item))
-    rows = rows.withColumn("_end", F.max("b").over(item)).withColumn("_r", names("r")).withColumn("_h", names("h"))
+    item, own = W.partitionBy(*keys), W.partitionBy(*keys, "_s").orderBy(F.asc_nulls_last("speaker"))
+    # a given number: by the bytes of turns, before they grow to edges and points, Spark would make fewer and larger ones
+    n = max(reference.sparkSession.sparkContext.defaultParallelism, -(-(reference.count() + hypothesis.count()) // TASK_TURNS))
+    rows = _sides(reference, hypothesis, keys).repartition(n, *keys).withColumn("_end", F.max("b").over(item))
+    rows = rows.withColumn("_i", F.when(F.col("speaker").isNull(), -1).otherwise(F.dense_rank().over(own) - 1)).withColumn("_first", F.row_number().over(own) == 1)
     # where each label begins and ends, its own overlapping turns being one
     edge = lambda f, d: F.struct(f.cast("long").alias("f"), F.lit(d).alias("d"))
-    edges = F.explode(F.array(edge(F.col("a"), 1), edge(F.col("b"), -1), edge(F.lit(0), 0), edge(F.col("_end"), 0))).alias("_e")
-    steps = rows.select(*keys, "_s", "speaker", "_end", "_r", "_h", edges).groupBy(*keys, "_s", "speaker", F.col("_e.f").alias("f"))
-    steps = steps.agg(F.sum("_e.d").alias("d"), *[F.first(c).alias(c) for c in ("_end", "_r", "_h")])
-    run = F.sum("d").over(W.partitionBy(*keys, "_s", "speaker").orderBy("f"))
+    turn, ends = F.array(edge(F.col("a"), 1), edge(F.col("b"), -1)), F.array(edge(F.lit(0), 0), edge(F.col("_end"), 0))
+    steps = rows.select(*keys, "_s", "_i", "_end", F.explode(F.when(F.col("_first"), F.concat(turn, ends)).otherwise(turn)).alias("_e")).groupBy(*keys, "_s", "_i", F.col("_e.f").alias("f"))
+    steps = steps.agg(F.sum("_e.d").alias("d"), F.max("_end").alias("_end"))
+    run = F.sum("d").over(W.partitionBy(*keys, "_s", "_i").orderBy("f"))
     steps = steps.withColumn("_run", run).withColumn("c", F.when((F.col("_run") > 0) & (F.col("_run") == F.col("d")), 1).when((F.col("_run") == 0) & (F.col("d") < 0), -1).otherwise(0))
-    place = F.array_position(F.when(F.col("_s") == "r", F.col("_r")).otherwise(F.col("_h")), F.col("speaker")) - 1
-    steps = steps.withColumn("_i", place.cast("int")).withColumn("_bit", F.expr(f"shiftleft(1L, _i % {MASK_LABELS})") * F.col("c"))
-    for k in words:
-        steps = steps.withColumn(f"_m{k}", F.when(F.floor(F.col("_i") / MASK_LABELS) == k, F.col("_bit")).otherwise(F.lit(0).cast("long")))
-    side = lambda c, k: F.sum(F.when(F.col("_s") == k, F.col(c)).otherwise(0)).alias(f"{k}{c}")
-    masks = [f"{s}_m{k}" for k in words for s in "rh"]
+    bit = F.expr(f"shiftleft(1L, _i % {MASK_LABELS})") * F.col("c")
+    side = lambda m: F.sum(F.when((F.col("_s") == "rh".index(m[0])) & (F.col("_i") >= 0) & (F.floor(F.col("_i") / MASK_LABELS) == int(m[3:])), bit).otherwise(F.lit(0).cast("long"))).alias(m)
+    count = lambda c, k: F.sum(F.when(F.col("_s") == k, F.col("c")).otherwise(0)).alias(c)
+    masks = _masks(labels)
     sums = (*masks, "rc", "hc")
-    points = steps.groupBy(*keys, "f").agg(*[side(m[1:], m[0]) for m in masks], side("c", "r"), side("c", "h"), *[F.first(c).alias(c) for c in ("_end", "_r", "_h")])
+    points = steps.groupBy(*keys, "f").agg(*[side(m) for m in masks], count("rc", 0), count("hc", 1), F.max("_end").alias("_end"))
     radius = int(collar_sec * FRAMES_PER_SEC + 0.5)
     if radius > 0:
         at = lambda f, c, moved: F.struct(f.alias("f"), F.lit(c).alias("k"), *[(F.col(x) if moved else F.lit(0).cast("long")).alias(x) for x in sums])
         turned = [F.col(m) != 0 for m in masks if m[0] == "r"]
         changed = reduce(lambda x, y: x | y, turned) & (F.col("f") > 0) & (F.col("f") < F.col("_end"))
         around = F.array(at(F.greatest(F.col("f") - radius, F.lit(0).cast("long")), 1, False), at(F.least(F.col("f") + radius, F.col("_end")), -1, False))
-        own = F.array(at(F.col("f"), 0, True))
-        points = points.select(*keys, "_r", "_h", F.explode(F.when(changed, F.concat(own, around)).otherwise(own)).alias("_e")).groupBy(*keys, F.col("_e.f").alias("f"))
-        points = points.agg(*[F.sum(f"_e.{x}").alias(x) for x in (*sums, "k")], F.first("_r").alias("_r"), F.first("_h").alias("_h"))
+        here = F.array(at(F.col("f"), 0, True))
+        points = points.select(*keys, F.explode(F.when(changed, F.concat(here, around)).otherwise(here)).alias("_e")).groupBy(*keys, F.col("_e.f").alias("f"))
+        points = points.agg(*[F.sum(f"_e.{x}").alias(x) for x in (*sums, "k")])
     else:
         points = points.withColumn("k", F.lit(0))
     order = item.orderBy("f")
-    points = points.select(*keys, F.col("f").alias("f0"), F.lead("f").over(order).alias("f1"), "_r", "_h", *[F.sum(x).over(order).alias(x) for x in (*sums, "k")]).where("f1 is not null")
+    points = points.select(*keys, F.col("f").alias("f0"), F.lead("f").over(order).alias("f1"), *[F.sum(x).over(order).alias(x) for x in (*sums, "k")]).where("f1 is not null")
+    return points.select(*keys, "f0", "f1", *masks, F.col("rc").alias("n_ref"), F.col("hc").alias("n_hyp"), (F.col("k") > 0).alias("forgiven"))
+
+
+def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_sec: float = 0.0, labels: int = MASK_LABELS) -> DataFrame:
+    """(keys, f0, f1, ref and hyp sets, n_ref, n_hyp) of an item's elementary intervals; those in the collar are ``forgiven``.
+
+    One sweep over an item's boundaries: a label that begins or ends adds its bit to, or takes
+    it from, a running mask of as many words as ``labels`` of a side need; the labels' names,
+    a row an item, meet the intervals last.
+    An item with more labels on a side has null for that side's sets; the numbers stay right.
+    """
+    points, masks = _der_points(reference, hypothesis, keys, collar_sec, labels), _masks(labels)
+    name = lambda k: F.array_sort(F.collect_set(F.when(F.col("_s") == k, F.col("speaker"))))
+    names = _sides(reference, hypothesis, keys).groupBy(*keys).agg(name(0).alias("_r"), name(1).alias("_h"))
+    same = reduce(lambda x, y: x & y, [F.col(f"p.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys])
+    points = points.alias("p").join(names.alias("q"), same).select("p.*", "_r", "_h")
 
     def held(side: str) -> Column:
         """The labels whose bits are set; null where there are more labels than ``labels``."""
         own = F.col(f"_{side}")
-        word = [F.col(f"{side}_m{k}") for k in words]
+        word = [F.col(m) for m in masks if m[0] == side]
         mask = word[0] if len(word) == 1 else F.array(*word)
         bit = lambda i: F.getbit(mask if len(word) == 1 else F.get(mask, F.floor(i / MASK_LABELS).cast("int")), i % MASK_LABELS) == 1
         named = F.filter(F.transform(own, lambda n, i: F.when(bit(i), n)), lambda n: n.isNotNull())
-        return F.when(F.size(own) <= len(words) * MASK_LABELS, named)
+        return F.when(F.size(own) <= len(word) * MASK_LABELS, named)
+
+    return points.select(*keys, "f0", "f1", held("r").alias("ref"), held("h").alias("hyp"), "n_ref", "n_hyp", "forgiven")
+
 
-    return points.select(*keys, "f0", "f1", held("r").alias("ref"), held("h").alias("hyp"), F.col("rc").alias("n_ref"), F.col("hc").alias("n_hyp"), (F.col("k") > 0).alias("forgiven"))
+def der_sums(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_sec: float = 0.0) -> DataFrame:
+    """``der_totals`` of turns, without the labels' names."""
+    return der_totals(_der_points(reference, hypothesis, keys, collar_sec, MASK_LABELS), keys)
 
 
 def der_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
