@@ -300,3 +300,10 @@ def test_der_sweep_holds_numbers_alone_in_tasks_of_bounded_turns(spark, monkeypa
     assert points.rdd.getNumPartitions() == 12
     assert sorted(map(tuple, metrics.der_sums(ref, ref, ["item"], 0.25).collect())) == whole
     assert whole == sorted(map(tuple, metrics.der_totals(metrics.der_parts(ref, ref, ["item"], 0.25), ["item"]).collect()))
+
+
+def test_der_parts_keep_null_keys_and_labels(spark):
+    ref = spark.createDataFrame([(None, "a", 0.0, 2.0), (None, None, 1.0, 3.0), (1, "b", 0.0, 1.0)], "item int, speaker string, start_sec double, end_sec double")
+    got = {(r["item"], r.f0, r.f1, tuple(r.ref), tuple(r.hyp), r.n_ref, r.n_hyp) for r in metrics.der_parts(ref, ref, ["item"]).collect()}
+    at = metrics.FRAMES_PER_SEC
+    assert got == {(None, 0, at, ("a",), ("a",), 1, 1), (None, at, 2 * at, ("a",), ("a",), 2, 2), (None, 2 * at, 3 * at, (), (), 1, 1), (1, 0, at, ("b",), ("b",), 1, 1)}

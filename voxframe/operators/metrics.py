@@ -382,7 +382,7 @@ def der(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar_sec
     Items with more labels on a side than ``max_labels`` are not measurable and get nulls.
     """
     parts = der_parts(reference, hypothesis, keys, collar_sec, max(max_labels, MASK_LABELS))  # beyond, nothing is measured
-    totals = der_totals(parts, keys)
+    totals = der_totals(_der_points(reference, hypothesis, keys, collar_sec, max(max_labels, MASK_LABELS)), keys)
     pairs = parts.where("not forgiven").select(*keys, F.explode("ref").alias("r"), "hyp", (F.col("f1") - F.col("f0")).alias("n")).select(*keys, "r", F.explode("hyp").alias("h"), "n")
     cooc = pairs.groupBy(*keys, "r", "h").agg(F.sum("n").alias("n"))
     named = reference.select(*keys, F.col("speaker").alias("r"), F.lit(None).cast("string").alias("h")).unionByName(hypothesis.select(*keys, F.lit(None).cast("string").alias("r"), F.col("speaker").alias("h")))
