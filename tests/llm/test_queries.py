@@ -73,3 +73,15 @@ def test_shard_lookup_finds_the_labelled_documents(spark, bpe):
     ids = {d: tok.encode(texts[d] or "", add_special_tokens=False).ids + [0] for d in labelled & set(texts)}
     got = {r.doc_id: (r.n_tokens, r.id_sum) for r in queries.shard_lookup(spark, SF).collect()}
     assert got == {d: (len(x), sum(x)) for d, x in ids.items()} and got
+
+
+def test_parts_leave_the_worker_page_by_page(monkeypatch):
+    import pandas as pd
+
+    from voxframe.llm import media
+
+    monkeypatch.setattr(media, "PARSED_CHARS", 20)
+    pages = pd.Series(["<p>one page of text</p>", None, "<p>two</p>", "<p>three</p><p>four</p>", ""])
+    got = list(media._parse_some(iter([pages, pages[:0]])))
+    assert [len(x) for x in got] == [1, 3, 1]
+    assert [p for x in got for p in x] == [media.parse(p) for p in pages]

@@ -147,14 +147,32 @@ def parse(html: str | None) -> list[dict]:
     return [{"position": i} | x for i, x in enumerate(page.parts)]
 
 
+#: Characters of HTML that are parsed before their parts leave the worker: as Python objects, parts are many times their page.
+PARSED_CHARS = 256 << 10
+
+
+def _parse_some(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The parts of each batch's pages, some pages at a time."""
+    for col in batches:
+        done, held = [], 0
+        for html in col:
+            html = html if isinstance(html, str) else None
+            done.append(parse(html))
+            held += len(html or "")
+            if held >= PARSED_CHARS:
+                yield pd.Series(done, dtype=object)
+                done, held = [], 0
+        if done:
+            yield pd.Series(done, dtype=object)
+
+
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns but ``html``, and ``parts``: text and media references in page order."""
     bounded_batches(pages.sparkSession)
 
     @F.pandas_udf(PARTS)
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for col in batches:
-            yield pd.Series([parse(x if isinstance(x, str) else None) for x in col], dtype=object)
+        return tidy(_parse_some)(batches)
 
     kept = [c for c in pages.columns if c.lower() not in (html.lower(), "parts")]
     return pages.select(*kept, parts(F.col(html)).alias("parts"))
