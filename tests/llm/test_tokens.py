@@ -289,3 +289,26 @@ def test_long_documents_let_go_of_placed_ids():
     assert most <= packing.POOL * 2 * size
     assert all(b"".join(taken[k][s] for s in sorted(taken[k])) == given[k] for k in given)
     assert not any(h.parts for h in held.values())
+
+
+def test_keys_asked_in_order_read_a_block_once():
+    class Counted(io.BytesIO):
+        reads = 0
+
+        def size(self):
+            return len(self.getbuffer())
+
+        def read(self, n=-1):
+            self.reads += 1
+            return super().read(n)
+
+    out = Counted()
+    writer = sstable.Writer(out, 2, block_bytes=1000)
+    for i in range(500):
+        writer.add(sstable.key_of(i), bytes([i % 251] * 20))
+    writer.close()
+    reader = sstable.Reader(out)
+    before = out.reads
+    for i in range(500):
+        assert reader.first_repeat(i) == 0 and reader.get(sstable.key_of(i)) == bytes([i % 251] * 20)
+    assert len(reader.blocks) > 5 and out.reads - before <= len(reader.blocks) + 1

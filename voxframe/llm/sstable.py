@@ -172,16 +172,22 @@ class Reader:
             self.blocks.append((start, size))
         bloom = self._at(*places[2:4])
         self.bits, self.bloom = struct.unpack("<Q", bloom[:8])[0], bloom[8:]
+        self._open: tuple[int, tuple] = (-1, ())
+        self._first: bytes | None = None
 
     def _at(self, offset: int, size: int) -> bytes:
         self.source.seek(offset)
         return self.source.read(size)
 
     def _block(self, i: int) -> tuple[bytes, list[int], int]:
+        """A block's bytes, restarts and end; the last one stays open, as keys that are asked in order share blocks."""
+        if self._open[0] == i:
+            return self._open[1]
         raw = self.unzip.decompress(self._at(*self.blocks[i]), max_output_size=1 << 31)
         (count,) = struct.unpack("<I", raw[-4:])
         end = len(raw) - 4 - 4 * count
-        return raw, list(struct.unpack(f"<{count}I", raw[end:-4])), end
+        self._open = (i, (raw, list(struct.unpack(f"<{count}I", raw[end:-4])), end))
+        return self._open[1]
 
     @staticmethod
     def _entries(raw: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes]]:
@@ -225,9 +231,10 @@ class Reader:
 
     def first_repeat(self, doc_id: int) -> int:
         """The repeat number that a shard's entries of ``doc_id`` begin with; 0 unless the shard begins inside them."""
-        raw, _, end = self._block(0) if self.blocks else (b"", [], 0)
-        first = next(self._entries(raw, 0, end), None)
-        return struct.unpack(">I", first[0][-4:])[0] if first and doc_of(first[0]) == doc_id else 0
+        if self._first is None:
+            raw, _, end = self._block(0) if self.blocks else (b"", [], 0)
+            self._first = next(self._entries(raw, 0, end), (b"",))[0]
+        return struct.unpack(">I", self._first[-4:])[0] if self._first and doc_of(self._first) == doc_id else 0
 
 
 def _writer(tokenizer: str, end_id: int, folder: str, shard_bytes: int, shard_entries: int):
