@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 from itertools import pairwise
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -196,6 +197,46 @@ def test_counts_of_a_task_are_handed_on_in_parts(spark, monkeypatch):
     assert found == Counter(w for _, t in docs for w in t.split())
 
 
+def bits_of(phrases, log2):
+    """A broadcast bitmap that holds these phrases."""
+    pdf = __import__("pandas").DataFrame({"lang": "en", "phrase": phrases})
+    out = bytearray((1 << log2) // 8)
+    for step in collocations._frequent_bits(log2)(iter([pdf])):
+        for i, data in zip(step["slice"], step["bytes"], strict=True):
+            out[i * len(data) : (i + 1) * len(data)] = data
+    return SimpleNamespace(value=bytes(out))
+
+
+def test_a_task_reports_a_phrase_once(monkeypatch):
+    """Rare words fill what a task may hold many times over, and counts wait for their merging; neither hands phrases on twice."""
+    texts = [" ".join(f"r{i}x{j} a b c" for j in range(30)) for i in range(60)]
+    pdf = __import__("pandas").DataFrame({"lang": "en", "text": [t.encode() for t in texts]})
+    blocks = __import__("pandas").concat([b[b["kind"] == collocations.BLOCK] for i in range(0, 60, 5) for b in collocations._pass(1, 2, 5, (11, 11), None, None)(iter([pdf[i : i + 5]]))])
+    monkeypatch.setattr(collocations, "HELD_BYTES", 20_000)
+    monkeypatch.setattr(collocations, "HELD_ROWS", 8)
+    frequent, every = bits_of(["a", "b", "c"], 16), SimpleNamespace(value=b"\xff" * (1 << 13))
+    rows = [r for out in collocations._pass(2, 2, 5, (16, 16), frequent, every)(iter([blocks[i : i + 1] for i in range(len(blocks))])) for r in out.itertuples() if r.kind == collocations.PHRASES]
+    assert sorted((r.phrase, r.n) for r in rows) == [("a b", 1800), ("b c", 1800)]
+
+
+def test_rows_of_a_pass_do_not_grow_with_the_parts_of_the_table(spark, monkeypatch):
+    made, write = [], collocations.materialize
+    monkeypatch.setattr(collocations, "materialize", lambda df, tag, **k: (made.append(write(df, tag, **k)), made[-1])[1])
+    df = spark.createDataFrame([("en", "the same few words again")] * 320, "lang string, text string").repartition(40)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "3000")
+    try:
+        counted, _ = collocations.frequent_phrases(df, 100, 3, 11, 11)
+        passes = [t for t in made if "kind" in t.columns]
+        assert {(r.phrase, r.n) for r in counted.where("words > 1").collect()} == {(p, 320) for p in ("the same", "same few", "few words", "words again", "the same few", "same few words", "few words again")}
+        assert passes[0].where("kind = 1").count() >= 5 * 20  # the first pass has a task for each of many parts
+        for rows, phrases in zip(passes[1:], (4, 3), strict=True):
+            assert rows.where("kind = 1").count() <= phrases * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_collocations_of_empty_tables(spark, none, odd):
     assert collocations.collocations(none).count() == 0
     assert collocations.collocations(odd, least=10**6).count() == 0

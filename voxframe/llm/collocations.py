@@ -13,6 +13,11 @@ through.  Exact counts follow for what they let through, so no result depends on
 The first pass writes the texts down as blocks, each with its own words and their numbers,
 so that later passes neither cut nor look up words again.
 
+A task reports each of its phrases once, so a pass makes as many rows as tasks times
+phrases.  Passes over the blocks therefore go in about one task a core, however many parts
+the table has, and a task hands its counts on early only where it holds too many distinct
+phrases; words that none of them has are forgotten first.
+
 Bucket counts leave a task as slices of bytes that stop at 255 (or as whole numbers for
 a larger threshold) and are summed slice by slice as a stream.  What a task holds is
 bounded: its words by bytes, its phrases by rows, its buckets by their number.
@@ -43,8 +48,10 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: that hold many times LEAST on the average let all phrases through to the exact counts; results stay the same.
 BUCKET_BITS, FREQUENT_BITS = 24, 24
 SLICES = 256
-#: Distinct phrases and bytes of distinct words that a task holds.
-HELD_ROWS, HELD_BYTES = 400_000, 48 << 20
+#: Phrases (of which half may be distinct) and bytes of distinct words that a task holds.
+HELD_ROWS, HELD_BYTES = 1_000_000, 48 << 20
+#: Most parts of the table that one task of a pass over the blocks takes.
+TASK_PARTS = 32
 #: Parts that a language's candidates are ranked in first.
 RANK_PARTS = 16
 ROWS = "kind int, slice int, bytes binary, words binary, lang string, phrase string, n long"
@@ -148,6 +155,18 @@ class _Counts:
         self.blocks.append((keys[at], [c[at] for c in columns], made.astype("int64")))
         self.rows += len(at)
 
+    def only_words(self, words: _Words) -> _Words:
+        """The words of what is counted alone, numbered anew."""
+        import numpy as np
+
+        self.merge()
+        used = np.unique(np.concatenate([c for _, columns, _ in self.blocks for c in columns[1:]] or [np.zeros(0, "int32")]))
+        out = _Words()
+        for i in used.tolist():
+            out[words.words[i]]  # noqa: B018  numbered from 1 in this order
+        self.blocks = [(keys, [columns[0], *((np.searchsorted(used, c) + 1).astype("int32") for c in columns[1:])], made) for keys, columns, made in self.blocks]
+        return out
+
     def merge(self) -> None:
         import numpy as np
 
@@ -232,9 +251,13 @@ def _pass(n: int, longest: int, least: int, logs: tuple[int, int], frequent, wan
                     read(lang, reread(names, own))
             if counts.rows > HELD_ROWS:
                 counts.merge()
-            if counts.rows > HELD_ROWS // 2 or words.size > HELD_BYTES:
-                yield from phrases()
-                if words.size > HELD_BYTES:
+                if counts.rows > HELD_ROWS // 2:
+                    yield from phrases()
+            if words.size > HELD_BYTES:
+                if n > 1:
+                    words = counts.only_words(words)
+                if words.size > HELD_BYTES // 2:
+                    yield from phrases()
                     words = _Words()
         yield from phrases()
         if totals and n == 1:
@@ -321,6 +344,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     found, frequent, wanted = [], None, None
     for n in range(1, longest + 1):
+        if n > 1:
+            texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // TASK_PARTS))
         rows = materialize(texts.mapInPandas(tidy(_pass(n, longest, least, (bucket_bits, frequent_bits), frequent, wanted)), ROWS), "phrases")
         if n == 1:
             texts = rows.where(F.col("kind") == BLOCK).select("lang", "words", "bytes")
