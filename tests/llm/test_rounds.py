@@ -237,6 +237,22 @@ def test_rows_of_a_pass_do_not_grow_with_the_parts_of_the_table(spark, monkeypat
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_buckets_grow_with_the_texts(spark, monkeypatch):
+    """Else all of a large table's buckets are full, and each phrase of frequent words is counted exactly."""
+    for size in (0, 10**8, 10**9, 5 * 10**9, 10**10):
+        assert size / collocations.WORD_BYTES / 2 ** collocations.bucket_bits_for(size) <= collocations.LEAST / 4
+    assert collocations.bucket_bits_for(0) == collocations.bucket_bits_for(10**9) == 24 and collocations.bucket_bits_for(10**12) == 26
+    rng = random.Random(8)
+    docs = [("en", " ".join(["often so"] * 2 + [f"w{rng.randrange(60)}" for _ in range(60)])) for _ in range(400)]
+    df, want = spark.createDataFrame(docs, "lang string, text string").repartition(3), literal_phrases(docs, 30, 3, 2000)
+    made, write = [], collocations.materialize
+    monkeypatch.setattr(collocations, "materialize", lambda df, tag, **k: (made.append(write(df, tag, **k)), made[-1])[1])
+    monkeypatch.setattr(collocations, "BUCKET_BITS", 8)
+    assert sorted(map(tuple, collocations.collocations(df, 30, 3).collect())) == want and len(want) > 1
+    passing = [t for t in made if "kind" in t.columns][1].where("kind = 1").select("phrase").distinct().count()
+    assert passing < 1000  # of some 3600 pairs
+
+
 def test_collocations_of_empty_tables(spark, none, odd):
     assert collocations.collocations(none).count() == 0
     assert collocations.collocations(odd, least=10**6).count() == 0

@@ -44,9 +44,11 @@ from .common import bounded_batches, broadcast_if_small, materialize, tidy
 
 #: Most words of a phrase, least occurrences of a candidate, phrases reported of a language.
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: log2 of the hash buckets of a pass, and of the bits that hold the frequent phrases of the pass before.  Buckets
-#: that hold many times LEAST on the average let all phrases through to the exact counts; results stay the same.
-BUCKET_BITS, FREQUENT_BITS = 24, 24
+#: log2 of the hash buckets of a pass, at least and at most (256 MB of a task), and of the bits that hold the frequent
+#: phrases of the pass before.  Buckets that hold LEAST or more on the average let most phrases through to the exact
+#: counts, so there are so many that it is a quarter, with a word in WORD_BYTES of text; results stay the same.
+BUCKET_BITS, MOST_BUCKET_BITS, FREQUENT_BITS = 24, 26, 24
+WORD_BYTES = 6
 SLICES = 256
 #: Phrases (of which half may be distinct) and bytes of distinct words that a task holds.
 HELD_ROWS, HELD_BYTES = 1_000_000, 48 << 20
@@ -263,11 +265,11 @@ def _pass(n: int, longest: int, least: int, logs: tuple[int, int], frequent, wan
         if totals and n == 1:
             yield _row(TOTAL, lang=list(totals), n=list(totals.values()))
         if buckets is not None:
-            held = np.minimum(buckets, 255).astype("uint8") if least <= 255 else buckets
-            held = held.reshape(SLICES, -1)
+            held = buckets.reshape(SLICES, -1)
             some = np.flatnonzero(held.any(axis=1))
-            if len(some):
-                yield _row(BUCKETS, slice=some, bytes=[held[i].tobytes() for i in some])
+            for a in range(0, len(some), 16):
+                part = some[a : a + 16]
+                yield _row(BUCKETS, slice=part, bytes=[(np.minimum(held[i], 255).astype("uint8") if least <= 255 else held[i]).tobytes() for i in part])
 
     return run
 
@@ -337,11 +339,21 @@ def _bitmap(slices: DataFrame, log2: int, reduce_step):
     return slices.sparkSession.sparkContext.broadcast(bytes(whole))
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bucket_bits: int = BUCKET_BITS, frequent_bits: int = FREQUENT_BITS) -> tuple[DataFrame, DataFrame]:
+def bucket_bits_for(size: int, least: int = LEAST) -> int:
+    """log2 of the buckets for so many bytes of text."""
+    wanted = 4 * size // (WORD_BYTES * max(1, least))
+    return min(MOST_BUCKET_BITS, max(BUCKET_BITS, wanted.bit_length()))
+
+
+def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bucket_bits: int | None = None, frequent_bits: int = FREQUENT_BITS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, n) of all phrases with ``least`` occurrences, (lang, n) of all words)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    if bucket_bits is None:
+        bucket_bits = bucket_bits_for(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, least)
+        if bucket_bits > BUCKET_BITS:  # fewer tasks by as much as their tables are larger
+            texts = texts.coalesce(max(4 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() >> (bucket_bits - BUCKET_BITS)))
     found, frequent, wanted = [], None, None
     for n in range(1, longest + 1):
         if n > 1:
